@@ -10,9 +10,10 @@ from .common import written
 MOST_ROUNDS = 60
 
 
-def _state(links: DataFrame) -> tuple:
-    row = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _stars(links: DataFrame) -> bool:
+    """Has every left node one right node, and is none of those a left node?"""
+    one = links.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0
+    return one and links.join(links.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count() == 0
 
 
 def _large(links: DataFrame) -> DataFrame:
@@ -32,19 +33,15 @@ def _small(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label): for each node of links (u, v: bigint, in either order), the smallest node that it is connected with.
 
-    Rounds of large and small stars, each of which is written to the shared folder, until the links stand still;
-    then all of them are stars around the smallest node. Repeated links and links of a node with itself do no harm;
+    Rounds of large and small stars, each of which is written to the shared folder, until all
+    links are stars around the smallest node. Repeated links and links of a node with itself do no harm;
     a node with no other link doesn't appear. Many links of one node are added up before they are shuffled.
     """
     now = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    state = _state(now)
     for _ in range(MOST_ROUNDS):
-        if not state[0]:
-            break
-        now = written(_small(_large(now).distinct()).distinct(), "links")
-        before, state = state, _state(now)
-        if before == state:
+        if _stars(now):
             break
+        now = written(_small(_large(now)).distinct(), "links")
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

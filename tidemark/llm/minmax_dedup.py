@@ -6,8 +6,9 @@ its signature from one evaluation. Values are banded; classes that agree in a ba
 holds if the intersection of the full sets is at least threshold percent of their union.
 
 Candidates are never all pairs of a bucket. First each class is compared with one class of its bucket; linked
-classes then form components. After that, only pairs of a bucket whose components differ are left: they are
-compared all, once they are few, or else with another class of the bucket first.
+classes then form components. What is left are pairs of a bucket whose components differ. Of these, only those
+are compared that have enough in common by a bound: shingles that no other class of such a bucket has (an edit
+makes some) can't be in an intersection. The bound drops no pair that is similar enough.
 """
 
 from __future__ import annotations
@@ -30,10 +31,6 @@ FUNCTIONS = 50
 MISS = 1e-5
 #: Rows of a table that may be broadcast (8 bytes each); beyond that, it is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Rounds in which a class is compared with one class of its bucket, before all pairs of different components.
-STAR_ROUNDS = 3
-#: Pairs of different components per bucket row that are compared at once.
-CROSS_PAIRS = 2
 
 _XOR = mix64(np.arange(FUNCTIONS) + 7000)
 _ODD = mix64(np.arange(FUNCTIONS) + 9000) | np.uint64(1)
@@ -170,35 +167,43 @@ def link_classes(docs: DataFrame, described: DataFrame, k: int, threshold: int)
     shared = written(bands.join(anchors, "key").select("key", "node", "n", F.col("anchor.node").alias("other"), F.col("anchor.n").alias("other_n")), "dedup-buckets")
     ordered = [F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")]
     pairs = written(shared.where(near & (F.col("node") != F.col("other"))).select(*ordered).distinct(), "dedup-pairs")
-    buckets, n_rows = shared.select("key", "node", "n"), shared.count()
+    buckets = shared.select("key", "node", "n")
     members = buckets.select("node").distinct().join(classes.select("node", "doc_id"), "node")
     sets = written(_sets(docs, members, k), "dedup-sets")
     links = written(_linked(pairs, sets, threshold), "dedup-links")
-    checked, turn = pairs, 0
-    while True:
-        labels = components(links)
-        turn += 1
-        rows = buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-        # buckets of more than one component, and the component that most of their classes are in
-        parts = rows.groupBy("key", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("turn"), "node", "n")).alias("rep"))
-        tops = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("size"), F.max(F.struct("c", "label", "rep")).alias("top")).where("parts > 1")
-        tops = written(tops.select("key", "size", F.col("top.label").alias("top"), F.col("top.c").alias("top_size"), F.col("top.rep.node").alias("rep"), F.col("top.rep.n").alias("rep_n")), "dedup-open")
-        left = tops.agg(F.sum(F.expr("(size - top_size) * size")).alias("x")).first()["x"] or 0
-        if not left:
-            return labels
-        minor = rows.join(tops, "key").where("label <> top")
-        last = left <= CROSS_PAIRS * n_rows or turn > STAR_ROUNDS
-        if last:
-            others = rows.select("key", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
-            found = minor.join(others, "key").where(near & (F.col("label") != F.col("other_label")) & ((F.col("other_label") == F.col("top")) | (F.col("node") < F.col("other"))))
-        else:
-            found = minor.select("key", "node", "n", F.col("rep").alias("other"), F.col("rep_n").alias("other_n")).where(near)
-        fresh = written(found.select(*ordered).distinct().join(checked, ["u", "v"], "left_anti"), "dedup-pairs")
-        more = written(_linked(fresh, sets, threshold), "dedup-links")
-        links = links.unionByName(more)
-        if last:
-            return components(links)
-        checked = checked.unionByName(fresh)
+    labels = written(components(links), "dedup-stars")
+    rows = written(buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")), "dedup-rows")
+    apart = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    rows = rows.join(apart, "key", "left_semi")
+    # what a class may have in common with any other one here: its shingles that another class here has too
+    there = sets.join(rows.select("node").distinct(), "node", "left_semi")
+    tokens = map_batches(there, _tokens, "node bigint, token array<int>").select("node", F.explode("token").alias("token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    most = tokens.join(common, "token", "left_semi").groupBy("node").agg(F.count("*").alias("most"))
+    rows = rows.join(most, "node").select("key", "node", "n", "label", F.least("most", "n").alias("most"))
+    # a class that can't be similar enough to one of the shortest of its bucket, or of the best length, is done there
+    bounds = rows.groupBy("key").agg(F.min("n").alias("shortest"))
+    rows = rows.join(bounds, "key").withColumn("best", F.greatest("most", "shortest")).where(f"100 * most >= {threshold} * (n + best - most)").select("key", "node", "n", "label", "most")
+    rows = written(rows, "dedup-open")
+    parts = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
+    tops = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "label")).alias("top")).where("parts > 1").select("key", F.col("top.label").alias("top"))
+    open_ = rows.join(tops, "key")
+    others = open_.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "label", "most")), F.col("top").alias("other_top"))
+    once = (F.col("other_label") == F.col("other_top")) | (F.col("node") < F.col("other_node"))
+    both_most = F.expr(f"100 * least(most, other_most) >= {threshold} * (n + other_n - least(most, other_most))")
+    found = open_.where("label <> top").drop("top").join(others, "key").where(near & (F.col("label") != F.col("other_label")) & once & both_most)
+    fresh = found.select(F.least("node", "other_node").alias("u"), F.greatest("node", "other_node").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
+    more = written(_linked(written(fresh, "dedup-pairs"), sets, threshold), "dedup-links")
+    if not more.limit(1).count():
+        return labels
+    stars = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
+    return components(stars.unionByName(more))
+
+
+def _tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Sets with 31 bits of each hash. Where two shingles look alike by that, a class only seems to have more in common."""
+    short = [(np.frombuffer(x, np.uint64) >> np.uint64(33)).astype(np.int32) for x in batch.column("own").to_pylist()]
+    return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(short, pa.list_(pa.int32()))], names=["node", "token"])
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
