@@ -185,19 +185,31 @@ def link_classes(docs: DataFrame, described: DataFrame, k: int, threshold: int)
     bounds = rows.groupBy("key").agg(F.min("n").alias("shortest"))
     rows = rows.join(bounds, "key").withColumn("best", F.greatest("most", "shortest")).where(f"100 * most >= {threshold} * (n + best - most)").select("key", "node", "n", "label", "most")
     rows = written(rows, "dedup-open")
+    # then with the class of the bucket that has the least of its own, as the middle of a group does
+    middle = rows.groupBy("key").agg(F.max(F.struct((F.col("most") / F.col("n")).alias("share"), "node", "n", "most", "label")).alias("m")).select("key", *(F.col(f"m.{c}").alias(f"other_{c}") for c in ("node", "n", "label", "most")))
+    both_most = F.expr(f"100 * least(most, other_most) >= {threshold} * (n + other_n - least(most, other_most))")
+    unlike = near & (F.col("label") != F.col("other_label")) & both_most
+    pair = [F.least("node", "other_node").alias("u"), F.greatest("node", "other_node").alias("v")]
+    second = written(rows.join(middle, "key").where(unlike).select(*pair).distinct().join(pairs, ["u", "v"], "left_anti"), "dedup-pairs")
+    more = written(_linked(second, sets, threshold), "dedup-links")
+    if more.limit(1).count():
+        labels = written(components(_as_links(labels).unionByName(more)), "dedup-stars")
+        rows = rows.drop("label").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"), "most")
     parts = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
     tops = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "label")).alias("top")).where("parts > 1").select("key", F.col("top.label").alias("top"))
     open_ = rows.join(tops, "key")
     others = open_.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "label", "most")), F.col("top").alias("other_top"))
     once = (F.col("other_label") == F.col("other_top")) | (F.col("node") < F.col("other_node"))
-    both_most = F.expr(f"100 * least(most, other_most) >= {threshold} * (n + other_n - least(most, other_most))")
-    found = open_.where("label <> top").drop("top").join(others, "key").where(near & (F.col("label") != F.col("other_label")) & once & both_most)
-    fresh = found.select(F.least("node", "other_node").alias("u"), F.greatest("node", "other_node").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
+    found = open_.where("label <> top").drop("top").join(others, "key").where(unlike & once)
+    fresh = found.select(*pair).distinct().join(pairs.unionByName(second), ["u", "v"], "left_anti")
     more = written(_linked(written(fresh, "dedup-pairs"), sets, threshold), "dedup-links")
     if not more.limit(1).count():
         return labels
-    stars = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
-    return components(stars.unionByName(more))
+    return components(_as_links(labels).unionByName(more))
+
+
+def _as_links(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
 
 
 def _tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
