@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import finance
-from .operators import guard, joins, panel, portfolio
+from .operators import guard, joins, null, panel, portfolio, pricing
 from .plans.declaration import Declaration, read_plan
 from .plans.folds import fold_table, folds
 
@@ -351,3 +351,76 @@ def basis_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "nation").select(F.sha2(F.concat_ws("|", "n_nationkey", "n_name", "n_regionkey"), 256).alias("h"))
     return rows.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("result_hash"))
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _daily(spark, sf_dir).select((F.row_number().over(Window.orderBy("t")) - 1).alias("i"), F.col("gross").alias("r"))
+
+
+REPLICATIONS, BLOCK, SEED = 64, 10, 42
+
+
+@query(f"""WITH {_BOOK}, s AS (SELECT row_number() OVER (ORDER BY t) - 1 AS i, gross AS r FROM daily), n AS (SELECT count(*) AS n, avg(r) AS m, avg(r) / stddev_samp(r) AS sr FROM s),
+k AS (SELECT n, unnest(range({REPLICATIONS} * n)) AS id FROM n),
+a AS (SELECT *, id // n AS replication, id % n AS place, ({SEED} + ((id // n) * CAST(ceil(n / {BLOCK}.0) AS BIGINT) + (id % n) // {BLOCK} + 1) * {null.GOLDEN}) % 4294967296 AS x FROM k),
+b AS (SELECT * REPLACE (((xor(x, x >> 15)::HUGEINT * (x | 1)) % 4294967296)::BIGINT AS x) FROM a),
+c AS (SELECT * REPLACE (xor(x, ((x + (xor(x, x >> 7)::HUGEINT * (x | 61)) % 4294967296) % 4294967296)::BIGINT) AS x) FROM b),
+d AS (SELECT replication, (floor(xor(x, x >> 14) / 4294967296.0 * n)::BIGINT + place % {BLOCK}) % n AS i FROM c),
+e AS (SELECT replication, avg(r - m) / stddev_samp(r - m) AS sharpe FROM d JOIN s USING (i), n GROUP BY replication)
+SELECT count(*) AS replications, count(*) FILTER (sharpe >= sr) AS exceedances, round((count(*) FILTER (sharpe >= sr) + 1) / (count(*) + 1), 6) AS p_value FROM e, n GROUP BY sr""")
+def bootstrap_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = _series(spark, sf_dir)
+    observed = series.agg((F.avg("r") / F.stddev_samp("r")).alias("sr")).first()["sr"]
+    drawn = null.block_bootstrap(spark, series, REPLICATIONS, BLOCK, SEED).groupBy("replication").agg((F.avg("value") / F.stddev_samp("value")).alias("sharpe"))
+    return null.p_value(drawn, "sharpe", observed).withColumn("p_value", F.round("p_value", 6))
+
+
+@query(f"""WITH {_BOOK}{_TRADES.removeprefix(_signal_sql())}, c AS (SELECT t, sum(abs(change)) * {BPS} / 1e4 AS cost FROM trades GROUP BY t)
+SELECT count(*) AS n, round(avg(gross - 2 * coalesce(cost, 0)) / stddev_samp(gross - 2 * coalesce(cost, 0)) * sqrt(252), 5) AS sharpe FROM daily LEFT JOIN c USING (t)""")
+def cost_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Sharpe ratio at twice the costs."""
+    cost = _trades(spark, sf_dir).groupBy("t").agg(F.sum(finance.linear_cost(F.col("change"), BPS)).alias("cost"))
+    net = _daily(spark, sf_dir).join(cost, "t", "left").withColumn("net", F.col("gross") - 2 * F.coalesce("cost", F.lit(0.0)))
+    return net.agg(F.count("*").alias("n"), F.round(finance.sharpe("net"), 5).alias("sharpe"))
+
+
+@query(f"""WITH {_PANEL}, {_FOLDS}, x AS (SELECT t, {', '.join(f"round(price / nullif({_offset_sql(-k)}, 0) - 1, 6) AS m{k}" for k in LOOKBACKS)}, round({_offset_sql(1)} / price - 1, 6) AS y FROM panel),
+s AS ({' UNION ALL '.join(f"SELECT fold, {k} AS lookback, round(sum(m{k} * y) / sqrt(sum(m{k} * m{k}) * sum(y * y)), 6) AS score FROM x JOIN folds ON t BETWEEN train_start AND train_end WHERE m{k} IS NOT NULL AND y IS NOT NULL GROUP BY fold" for k in LOOKBACKS)}),
+o AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score DESC NULLS LAST, lookback) AS place FROM s) SELECT fold, lookback, score FROM o WHERE place = 1""")
+def lookback_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lookback whose momentum goes best with the next return in each fold's training; the first of equals."""
+    x = _panel(spark, sf_dir).select("t", F.round(panel.forward_label(1), 6).alias("y"), *(F.round(panel.momentum(k), 6).alias(str(k)) for k in LOOKBACKS))
+    tall = x.unpivot(["t", "y"], [str(k) for k in LOOKBACKS], "lookback", "m").where("m is not null and y is not null")
+    m, y = F.col("m"), F.col("y")
+    sums = tall.groupBy("lookback", "t").agg(F.sum(m * y).alias("my"), F.sum(m * m).alias("mm"), F.sum(y * y).alias("yy"))
+    rows = sums.join(F.broadcast(fold_table(spark, FOLDS)), F.col("t").between(F.col("train_start"), F.col("train_end")))
+    scores = rows.groupBy("fold", F.col("lookback").cast("int").alias("lookback")).agg(F.round(F.try_divide(F.sum("my"), F.sqrt(F.sum("mm") * F.sum("yy"))), 6).alias("score"))
+    return scores.withColumn("place", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc_nulls_last("score"), "lookback"))).where("place = 1").drop("place")
+
+
+def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fold, t, entity, price, tradable, score by supplier and month. A month without a sale carries the price and isn't tradable."""
+    lines = _table(spark, sf_dir, "lineitem")
+    t = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("t")
+    seen = lines.groupBy(F.col("l_suppkey").alias("entity"), t).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("seen"), F.bool_or(F.col("l_returnflag") != "R").alias("open"))
+    last = seen.agg(F.max("t")).first()[0]
+    if last is None:
+        last = 0
+    grid = seen.groupBy("entity").agg(F.min("t").alias("first")).select("entity", F.explode(F.sequence("first", F.lit(last))).alias("t"))
+    w = Window.partitionBy("entity").orderBy("t")
+    rows = grid.join(seen, ["entity", "t"], "left").withColumn("price", F.last("seen", ignorenulls=True).over(w))
+    rows = rows.select(F.floor((F.lit(last) - F.col("t")) / 24).cast("int").alias("fold"), "t", "entity", "price", (F.col("seen").isNotNull() & F.col("open")).alias("tradable"), (F.col("price") / F.lag("price", 3).over(w) - 1).alias("score"))
+    return rows
+
+
+@query()
+def fold_pricing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gross returns of long-short books with positions carried through months without a sale."""
+    return pricing.fold_returns(_months(spark, sf_dir), 3, 1, QUANTILE)
+
+
+@query()
+def deflated_sharpe_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = deflated_sharpe_inputs(spark, sf_dir)
+    v = finance.sharpe_variance(F.col("sharpe"), F.col("skew"), F.col("kurt"), F.col("n"))
+    return x.select("n", "sharpe", F.round(finance.deflated_sharpe(F.col("sharpe"), v, F.lit(len(LOOKBACKS))), 6).alias("probability"))
