@@ -8,7 +8,8 @@ holds if the intersection of the full sets is at least threshold percent of thei
 Candidates are never all pairs of a bucket. First each class is compared with one class of its bucket; linked
 classes then form components. What is left are pairs of a bucket whose components differ. Of these, only those
 are compared that have enough in common by a bound: shingles that no other class of such a bucket has (an edit
-makes some) can't be in an intersection. The bound drops no pair that is similar enough.
+makes some) can't be in an intersection, and bits in which two sets' parity bitmaps differ are hashes that only one of
+them has. The bounds drop no pair that is similar enough.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ddl, map_batches, mix64, session_defaults, texts, with_columns, written
@@ -32,6 +33,9 @@ MISS = 1e-5
 #: Rows of a table that may be broadcast (8 bytes each); beyond that, it is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
+#: 64-bit words of a set's bitmap: 1024 bits; a power of two of words.
+PARITY = [f"parity_{i}" for i in range(16)]
+
 _XOR = mix64(np.arange(FUNCTIONS) + 7000)
 _ODD = mix64(np.arange(FUNCTIONS) + 9000) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C55
@@ -198,9 +202,11 @@ def link_classes(docs: DataFrame, described: DataFrame, k: int, threshold: int)
     parts = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
     tops = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "label")).alias("top")).where("parts > 1").select("key", F.col("top.label").alias("top"))
     open_ = rows.join(tops, "key")
-    others = open_.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "label", "most")), F.col("top").alias("other_top"))
+    maps = map_batches(sets.join(open_.select("node").distinct(), "node", "left_semi"), _parities, f"node bigint, {', '.join(f'{c} bigint' for c in PARITY)}")
+    open_ = open_.join(maps, "node")
+    others = open_.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "label", "most", "top", *PARITY)))
     once = (F.col("other_label") == F.col("other_top")) | (F.col("node") < F.col("other_node"))
-    found = open_.where("label <> top").drop("top").join(others, "key").where(unlike & once)
+    found = open_.where("label <> top").drop("top").join(others, "key").where(unlike & once & _near_parity(threshold))
     fresh = found.select(*pair).distinct().join(pairs.unionByName(second), ["u", "v"], "left_anti")
     more = written(_linked(written(fresh, "dedup-pairs"), sets, threshold), "dedup-links")
     if not more.limit(1).count():
@@ -218,6 +224,21 @@ def _tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(short, pa.list_(pa.int32()))], names=["node", "token"])
 
 
+def _parities(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Bitmaps of sets: each bit says whether an odd number of the set's hashes begin with the bit's number."""
+    sets = [np.frombuffer(x, np.uint64) for x in batch.column("own").to_pylist()]
+    shift, size = np.uint64(64 - (64 * len(PARITY)).bit_length() + 1), 64 * len(PARITY)
+    odd = np.array([np.bincount((x >> shift).astype(np.int64), minlength=size) & 1 for x in sets], np.uint8)
+    words = np.packbits(odd, axis=1).view(np.int64)
+    return pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(words[:, i]) for i in range(len(PARITY)))], names=["node", *PARITY])
+
+
+def _near_parity(threshold: int) -> Column:
+    """Can sets with these bitmaps be similar enough? Each bit that differs stands for a hash that only one of them has, so that no such pair is lost."""
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"other_{c}"))) for c in PARITY[1:]), F.bit_count(F.col(PARITY[0]).bitwiseXOR(F.col(f"other_{PARITY[0]}"))))
+    return apart * (100 + threshold) <= (F.col("n") + F.col("other_n")) * (100 - threshold)
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document of docs (doc_id, text).
 
