@@ -36,3 +36,14 @@ def overlapping(weights: DataFrame, horizon: int, cadence: int) -> DataFrame:
     slots = -(-horizon // cadence)
     lives = weights.select("entity", F.explode(F.sequence(F.col("t"), F.col("t") + horizon - 1)).alias("t"), (F.col("weight") / slots).alias("weight"))
     return lives.groupBy("entity", "t").agg(F.sum("weight").alias("weight"))
+
+
+#: Fixed value: a position's size is this over its volatility, before books are scaled to a gross exposure of 1.
+TARGET_VOLATILITY = 0.02
+
+
+def sized_by_volatility(rows: DataFrame, volatility: str, target: float = TARGET_VOLATILITY) -> DataFrame:
+    """Rows (t, side, volatility) with weight: sizes in inverse proportion to volatility, gross 1 by session. No volatility above 0, no position."""
+    size = F.lit(target) / F.col(volatility)
+    sized = rows.where(F.col(volatility) > 0).withColumn("weight", F.col("side") * size)
+    return sized.withColumn("weight", F.col("weight") / F.sum(F.abs("weight")).over(Window.partitionBy("t")))
