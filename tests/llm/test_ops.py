@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +232,13 @@ def test_pipeline_stages_keep_their_promises(spark, odd, empty):
 
 def test_shared_folder_is_the_sessions(spark):
     assert fresh_folder(spark, "x").startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:")
+
+
+@pytest.mark.parametrize(("own", "other", "common"), [(0, 0, 300), (5, 7, 300), (400, 90, 20), (5000, 5000, 5000), (1, 1, 0)])
+def test_parity_bitmaps_never_tell_sets_further_apart_than_they_are(own, other, common):
+    draws = np.random.default_rng(own + common).integers(0, 2**64, own + other + common, dtype=np.uint64)
+    a, b = np.unique(draws[: own + common]), np.unique(draws[own:])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([a.tobytes(), b.tobytes()])], names=["node", "own"])
+    maps = minmax_dedup._parities(batch)
+    apart = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in (maps.column(c).to_pylist() for c in minmax_dedup.PARITY))
+    assert apart <= own + other and (apart > 0) == (own + other > 0)
