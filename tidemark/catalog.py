@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import finance
-from .operators import guard, joins, null, panel, portfolio, pricing
+from .operators import gates, guard, joins, null, panel, portfolio, pricing, regression
 from .plans.declaration import Declaration, read_plan
 from .plans.folds import fold_table, folds
 
@@ -424,3 +424,55 @@ def deflated_sharpe_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = deflated_sharpe_inputs(spark, sf_dir)
     v = finance.sharpe_variance(F.col("sharpe"), F.col("skew"), F.col("kurt"), F.col("n"))
     return x.select("n", "sharpe", F.round(finance.deflated_sharpe(F.col("sharpe"), v, F.lit(len(LOOKBACKS))), 6).alias("probability"))
+
+
+@query(f"""WITH {_signal_sql()}, w AS (SELECT entity, t, count(v) OVER f AS n, sum(v) OVER f AS s, sum(v * v) OVER f AS q FROM (SELECT entity, t, price / 1000 AS v FROM panel)
+  WINDOW f AS (PARTITION BY entity ORDER BY t RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)),
+vols AS (SELECT entity, t, round(CASE WHEN t >= 60 AND n >= 20 AND q / n - (s / n) * (s / n) > 0 THEN sqrt(q / n - (s / n) * (s / n)) END, 6) AS vol FROM w),
+sizes AS (SELECT entity, t, sign(weight) * {portfolio.TARGET_VOLATILITY} / vol AS size FROM weights JOIN vols USING (entity, t) WHERE vol > 0)
+SELECT entity, t, round(size / sum(abs(size)) OVER (PARTITION BY t), 7) AS weight FROM sizes""")
+def volatility_sized_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vols = _panel(spark, sf_dir).withColumn("v", F.col("price") / 1000).select("entity", "t", F.round(panel.trailing_volatility("v"), 6).alias("vol"))
+    rows = _weights(spark, sf_dir).select("entity", "t", F.signum("weight").alias("side")).join(vols, ["entity", "t"])
+    return portfolio.sized_by_volatility(rows, "vol").select("entity", "t", F.round("weight", 7).alias("weight"))
+
+
+CAPITAL, MOST_PARTICIPATION = 1e4, 0.05
+
+
+def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    traded = _trades(spark, sf_dir).join(_panel(spark, sf_dir), ["entity", "t"], "left")
+    returns = _by_fold(spark, sf_dir)
+    costs = returns.select("gross", (F.abs("gross") * 0.1).alias("cost"))
+    return gates.report(gates.capacity(traded, CAPITAL, MOST_PARTICIPATION), gates.cost_stress(costs), gates.stability(returns.select("fold", F.col("gross").alias("r"))))
+
+
+_GATES = f"""{_BOOK}{_TRADES.removeprefix(_signal_sql())}, {_FOLDS},
+shares AS (SELECT CASE WHEN price > 0 AND volume > 0 THEN abs(change) * {CAPITAL} / (price * volume) END AS share FROM trades LEFT JOIN panel USING (entity, t)),
+oos AS (SELECT fold, gross FROM daily JOIN folds ON t BETWEEN oos_start AND oos_end),
+stressed AS (SELECT count(*) AS n, coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 0) AS s FROM (SELECT gross - {gates.COST_MULTIPLE} * abs(gross) * 0.1 AS r FROM oos)),
+sums AS (SELECT sum(gross) AS r FROM oos GROUP BY fold),
+stable AS (SELECT count(*) AS n, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS share, coalesce(max(abs(r)) / nullif(sum(abs(r)), 0), 1) AS one FROM sums),
+gates AS (SELECT 'capacity' AS gate, CASE WHEN count(*) = 0 THEN 'unavailable' WHEN count(*) = count(share) AND max(share) <= {MOST_PARTICIPATION} THEN 'passed' ELSE 'failed' END AS status, max(share) AS observed FROM shares
+  UNION ALL SELECT 'cost', CASE WHEN n < {gates.LEAST_RETURNS} THEN 'unavailable' WHEN s > 0 THEN 'passed' ELSE 'failed' END, s FROM stressed
+  UNION ALL SELECT 'stability', CASE WHEN n < {gates.LEAST_FOLDS} THEN 'unavailable' WHEN share >= 2.0 / 3 AND one <= {gates.MOST_OF_ONE_FOLD} THEN 'passed' ELSE 'failed' END, share FROM stable)"""
+
+
+@query(f"WITH {_GATES} SELECT gate, status, round(observed, 6) AS observed FROM gates")
+def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gates(spark, sf_dir).select("gate", "status", F.round("observed", 6).alias("observed"))
+
+
+@query(f"WITH {_GATES} SELECT CASE WHEN bool_or(status = 'failed' OR status = 'unavailable' AND gate <> 'stability') THEN 'rejected' WHEN bool_or(status = 'unavailable') THEN 'degraded' ELSE 'accepted' END AS verdict FROM gates")
+def report_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.verdict(_gates(spark, sf_dir), ("capacity", "cost"))
+
+
+@query(f"""WITH {_PANEL}, x AS (SELECT {_offset_sql(-20)} AS p20, {_offset_sql(5)} AS ahead, price FROM panel),
+f AS (SELECT round(price / p20 - 1, 6) AS b, round(ahead / price - 1, 6) AS y FROM x WHERE p20 > 0 AND ahead IS NOT NULL),
+s AS (SELECT count(*) AS n, sum(b) AS b, sum(y) AS y, sum(b * b) + 1 AS bb, sum(b * y) AS c FROM f)
+SELECT round((y - b * (n * c - b * y) / (n * bb - b * b)) / n, 6) AS intercept, round((n * c - b * y) / (n * bb - b * b), 6) AS slope FROM s""")
+def ridge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _panel(spark, sf_dir).select(F.round(panel.momentum(20), 6).alias("b"), F.round(panel.forward_label(5), 6).alias("y"))
+    intercept, slope = regression.ridge_fit(rows, ["b"], "y", 1.0)
+    return spark.range(1).select(F.round(F.lit(intercept), 6).alias("intercept"), F.round(F.lit(slope), 6).alias("slope"))
