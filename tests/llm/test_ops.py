@@ -155,6 +155,28 @@ def test_pseudo_likelihood_prefers_what_it_knows(spark):
     assert (got[200]["n_words"], got[200]["pseudo_loglik"], got[200]["mean_loglik"]) == (0, 0.0, None)
 
 
+def test_pseudo_likelihood_scores_each_word_by_its_own_count(spark, monkeypatch):
+    rows = [(i, f"{' '.join(WORDS)} word{i % 40}ing other{i}ing") for i in range(300)] + [(1000, "rare7ing " * 7), (1001, "rare1ing")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    run = lambda: {r["doc_id"]: tuple(r) for r in pseudo_likelihood.pseudo_likelihoods(docs).collect()}
+    all_listed = run()
+    monkeypatch.setattr(pseudo_likelihood, "VOCABULARY", 26)
+    few_listed = run()
+    assert few_listed.keys() == all_listed.keys()
+    assert all(few_listed[k][1] == v[1] and np.allclose(few_listed[k][2:], v[2:], atol=0.011) for k, v in all_listed.items())
+    counted = pseudo_likelihood.count_words(docs)
+    lexicon = pseudo_likelihood.fit_lexicon(counted)
+    network = pseudo_likelihood.Network.start(lexicon.n_classes)
+    pair = spark.createDataFrame([(1, "rare7ing"), (2, "rare1ing"), (3, "unseening")], "doc_id int, text string")
+    got = {r["doc_id"]: r["mean_loglik"] for r in pseudo_likelihood.score(pair, counted, lexicon, network).collect()}
+    assert got[1] - got[2] == pytest.approx(np.log(7), abs=2e-4) and got[3] == got[2]
+
+
+def test_pseudo_likelihood_model_grows_with_the_corpus():
+    assert [pseudo_likelihood.n_classes_for(n) for n in (0, 1000, 10**6, 10**8)] == [(24, 24), (24, 24), (32, 32), (100, 100)]
+    assert pseudo_likelihood.Network.start(48).bias.size == 12 and pseudo_likelihood.Network.start(200).bias.size == 50
+
+
 ODD_TEXTS = ["", "a", "it's they're ", "a  b\n\n c\t\td", "日本 語!! 'll 12 3", "  x \x1cy", "<|endoftext|>x<|endof", "ΑΣ İ é ﬁ aaaaaaa", "naïve\r\n  café'v"]
 
 

@@ -3,9 +3,12 @@
 Each word is hidden in turn and predicted from the words on both its sides; a document's score is the sum of the
 log-probabilities. The prediction has two factors: a small network, trained in numpy, gives the probability of the
 word's class from the classes of SIDE words on either side, and the corpus counts give that of the word within
-its class. The most frequent words are classes of their own; the others share classes by their endings.
+its class. The most frequent words are classes of their own; the others share classes by their endings. How many
+classes there are, and how many hidden units, comes from the number of different words of the corpus.
 
-The counts are over all words of all documents. The network is trained on all of them too: each task walks its
+The counts are over all words of all documents, and every word is scored by its own count. Those of the most
+frequent words go to the tasks with the model; those of all others stay in a written table, which the documents'
+words are joined to. The network is trained on all of them too: each task walks its
 documents by gradient descent from the same start, and the tasks' results are averaged with their words as
 weights, in each of PASSES passes. Averages are taken of whole numbers, so that their order doesn't matter.
 """
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import ddl, map_batches, session_defaults, texts, with_columns, written
 
 SIDE, HIDDEN, PASSES = 2, 12, 1
-#: Frequent words with a class of their own, classes that the others share, and words that the model lists.
+#: Frequent words with a class of their own and classes that the others share, at least, and words whose counts go to each task.
 OWN_CLASSES, SHARED_CLASSES, VOCABULARY = 24, 24, 50_000
 RATE, STEP = 0.5, 1024
 #: Words that a worker keeps numbers of.
@@ -38,33 +41,48 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def shared_class(word: bytes) -> int:
+def n_classes_for(kinds: int) -> tuple[int, int]:
+    """Own and shared classes for a corpus of so many different words: the fourth root of it each, so that they grow with the corpus."""
+    root = round(kinds**0.25)
+    return max(OWN_CLASSES, root), max(SHARED_CLASSES, root)
+
+
+def n_hidden_for(n_classes: int) -> int:
+    return HIDDEN * n_classes // (OWN_CLASSES + SHARED_CLASSES)
+
+
+def shared_class(word: bytes, n_own: int, n_shared: int) -> int:
     """The class of a word that has none of its own: by its last three bytes."""
-    return OWN_CLASSES + zlib.crc32(word[-3:]) % SHARED_CLASSES
+    return n_own + zlib.crc32(word[-3:]) % n_shared
 
 
 @dataclass
 class Lexicon:
-    """Classes and log-probabilities within the class of the listed words, and of all others by class."""
+    """Classes and log-probabilities within the class of the listed words; for all others the logarithm of their class's total, with a minus, which that of their count is added to."""
 
     known: dict[bytes, tuple[int, float]]
     other: np.ndarray
+    n_own: int
+    n_shared: int
 
-    n_classes: int = OWN_CLASSES + SHARED_CLASSES
     number: dict[bytes, int] | None = None
     table: list[np.ndarray] | None = None
 
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The words' classes and log-probabilities. Words met before are found by number; the table of them starts anew when it is full."""
+    @property
+    def n_classes(self) -> int:
+        return self.n_own + self.n_shared
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' classes and log-probabilities, and whether they lack their count. Words met before are found by number; the table of them starts anew when it is full."""
         if self.number is None or len(self.number) > SEEN:
             self.number = {w: i for i, w in enumerate(self.known)}
             self.table = [np.array(x) for x in zip(*self.known.values(), strict=True)] if self.known else [np.zeros(0, np.int64), np.zeros(0)]
         new = list(set(words).difference(self.number))
-        classes = np.array([shared_class(w) for w in new], np.int64)
+        classes = np.array([shared_class(w, self.n_own, self.n_shared) for w in new], np.int64)
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
         self.table = [np.concatenate(x) for x in zip(self.table, (classes, self.other[classes]), strict=True)]
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        return self.table[0][at], self.table[1][at]
+        return self.table[0][at], self.table[1][at], at >= len(self.known)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -82,28 +100,21 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit_lexicon(docs: DataFrame) -> Lexicon:
-    """From the counts of all words. The driver gets the VOCABULARY most frequent ones (ties by bytes), and two sums for each shared class."""
-    counted = written(count_words(docs), "lm-words")
-    top = [(bytes(r["word"]), r["n"]) for r in counted.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
-    n_classes = OWN_CLASSES + SHARED_CLASSES
-    spell = F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)")) % SHARED_CLASSES + OWN_CLASSES
-    total, kinds = np.zeros(n_classes), np.zeros(n_classes)
-    for r in counted.groupBy(spell.cast("int").alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
-        total[r["c"]], kinds[r["c"]] = r["n"], r["kinds"]
-    own = top[:OWN_CLASSES]
+def fit_lexicon(counted: DataFrame) -> Lexicon:
+    """From the counts of all words, as count_words() returns them. The driver gets the VOCABULARY most frequent ones (ties by bytes), and one sum for each shared class."""
+    n_own, n_shared = n_classes_for(counted.count())
+    top = [(bytes(r["word"]), r["n"]) for r in counted.orderBy(F.desc("n"), "word").limit(max(n_own, VOCABULARY)).collect()]
+    spell = F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)")) % n_shared + n_own
+    total = np.zeros(n_own + n_shared)
+    for r in counted.groupBy(spell.cast("int").alias("c")).agg(F.sum("n").alias("n")).collect():
+        total[r["c"]] = r["n"]
+    own, listed = top[:n_own], top[n_own:]
     for word, n in own:
-        total[shared_class(word)] -= n
-        kinds[shared_class(word)] -= 1
-    listed = top[OWN_CLASSES:]
-    left, left_kinds = total.copy(), kinds.copy()
-    for word, n in listed:
-        left[shared_class(word)] -= n
-        left_kinds[shared_class(word)] -= 1
+        total[shared_class(word, n_own, n_shared)] -= n
     # a word that no document had counts as one more
-    total, left, left_kinds = total + 1, left + 1, left_kinds + 1
-    known = {w: (i, 0.0) for i, (w, _) in enumerate(own)} | {w: (c := shared_class(w), float(np.log(n / total[c]))) for w, n in listed}
-    return Lexicon(known, np.log(left / left_kinds / total))
+    total += 1
+    known = {w: (i, 0.0) for i, (w, _) in enumerate(own)} | {w: (c := shared_class(w, n_own, n_shared), float(np.log(n / total[c]))) for w, n in listed}
+    return Lexicon(known, -np.log(total), n_own, n_shared)
 
 
 @dataclass
@@ -117,8 +128,8 @@ class Network:
 
     @classmethod
     def start(cls, n_classes: int, seed: int = 1) -> Network:
-        rng = np.random.default_rng(seed)
-        return cls(rng.normal(0, 0.3, (2 * SIDE, n_classes + 1, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, 0.3, (HIDDEN, n_classes)).astype(np.float32), np.zeros(n_classes, np.float32))
+        rng, hidden = np.random.default_rng(seed), n_hidden_for(n_classes)
+        return cls(rng.normal(0, 0.3, (2 * SIDE, n_classes + 1, hidden)).astype(np.float32), np.zeros(hidden, np.float32), rng.normal(0, 0.3, (hidden, n_classes)).astype(np.float32), np.zeros(n_classes, np.float32))
 
     def parts(self) -> tuple[np.ndarray, ...]:
         return self.place, self.bias, self.out, self.out_bias
@@ -179,18 +190,19 @@ def neighbours(classes: np.ndarray, doc: np.ndarray, outside: int) -> np.ndarray
     return out
 
 
-def _rows(docs: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    words = [words_of(x) for x in docs]
-    doc = np.repeat(np.arange(len(docs)), [len(x) for x in words])
-    classes, logs = lexicon.look_up([w for x in words for w in x])
-    return doc, classes, logs, neighbours(classes, doc, lexicon.n_classes)
+def _rows(docs: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Document, class, log-probability and neighbours of each word; then the documents and words, in order, that lack their count."""
+    split = [words_of(x) for x in docs]
+    doc, words = np.repeat(np.arange(len(docs)), [len(x) for x in split]), [w for x in split for w in x]
+    classes, logs, lack = lexicon.look_up(words)
+    return doc, classes, logs, neighbours(classes, doc, lexicon.n_classes), doc[lack], [words[i] for i in np.flatnonzero(lack)]
 
 
 def fit_network(docs: DataFrame, lexicon: Lexicon, passes: int = PASSES) -> Network:
     """A network trained on every word of docs. Each task sends one vector of weights, whatever it has read."""
     spark = docs.sparkSession
     session_defaults(spark)
-    shared = spark.sparkContext.broadcast(lexicon)  # at most VOCABULARY words
+    shared = spark.sparkContext.broadcast(lexicon)  # about VOCABULARY words
     network = Network.start(lexicon.n_classes)
     for number in range(passes):
         start, rate = network.flat(), RATE / (1 + number)
@@ -198,7 +210,7 @@ def fit_network(docs: DataFrame, lexicon: Lexicon, passes: int = PASSES) -> Netw
         def walk(batches, start=start, rate=rate):
             own, n = Network.start(shared.value.n_classes).filled(start.copy()), 0
             for batch in batches:
-                _, classes, _, near = _rows(texts(batch), shared.value)
+                _, classes, _, near, _, _ = _rows(texts(batch), shared.value)
                 for at in range(0, len(classes), STEP):
                     own.train(near[:, at : at + STEP], classes[at : at + STEP], rate)
                 n += len(classes)
@@ -214,33 +226,46 @@ def fit_network(docs: DataFrame, lexicon: Lexicon, passes: int = PASSES) -> Netw
     return network
 
 
-def score_texts(docs: list[str], lexicon: Lexicon, network: Network) -> tuple[np.ndarray, np.ndarray]:
-    """For each text, its words and the sum of their conditional log-probabilities."""
-    doc, classes, logs, near = _rows(docs, lexicon)
+def score_texts(docs: list[str], lexicon: Lexicon, network: Network) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """For each text, its words, the sum of their conditional log-probabilities, and the words whose count that sum lacks."""
+    doc, classes, logs, near, lacking, words = _rows(docs, lexicon)
     for at in range(0, len(classes), 4 * STEP):
         part = slice(at, at + 4 * STEP)
         logs[part] += network.log_probabilities(near[:, part], classes[part])
-    return np.bincount(doc, minlength=len(docs)), np.bincount(doc, logs, minlength=len(docs))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(lacking, minlength=len(docs)))])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.binary()))
+    return np.bincount(doc, minlength=len(docs)), np.bincount(doc, logs, minlength=len(docs)), lists
 
 
-def score(docs: DataFrame, lexicon: Lexicon, network: Network) -> DataFrame:
-    """docs (with a text), with n_words, pseudo_loglik (the sum; 0 without words) and mean_loglik (null without words).
+def score(docs: DataFrame, counted: DataFrame, lexicon: Lexicon, network: Network) -> DataFrame:
+    """docs without their text, with n_words, pseudo_loglik (the sum; 0 without words) and mean_loglik (null without words).
 
-    Null text is empty. Equal texts get equal scores, up to rounding of the last digits, which are cut off.
+    Null text is empty. Equal texts get equal scores, up to rounding of the last digits, which are cut off. Words
+    that the lexicon doesn't list are joined to counted; the most frequent ones, which would make large keys, are
+    listed. What the join adds to a document are whole numbers, so that their order doesn't matter.
     """
     session_defaults(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, network))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, total = score_texts(texts(batch), *shared.value)
-        mean = pa.array(np.round(total / np.maximum(n, 1), 4), pa.float64(), mask=n == 0)
-        return with_columns(batch, n_words=pa.array(n, pa.int64()), pseudo_loglik=pa.array(np.round(total, 2)), mean_loglik=mean)
+        n, total, words = score_texts(texts(batch), *shared.value)
+        return with_columns(batch.drop_columns(["text"]), n_words=pa.array(n, pa.int64()), lm_sum=pa.array(total), lm_words=words)
 
-    return map_batches(docs, step, ddl(docs, "n_words bigint, pseudo_loglik double, mean_loglik double"))
+    numbered = docs.withColumn("lm_row", F.monotonically_increasing_id())
+    parts = written(map_batches(numbered, step, ddl(numbered.drop("text"), "n_words bigint, lm_sum double, lm_words array<binary>")), "lm-parts")
+    lacking = parts.select("lm_row", F.explode("lm_words").alias("word"))
+    # a word that no document had counts as one more
+    logs = F.coalesce(F.round(F.log("n") * SCALE).cast("bigint"), F.lit(0).cast("bigint"))
+    added = lacking.join(counted, "word", "left").groupBy("lm_row").agg(F.sum(logs).alias("lm_added"))
+    total = F.col("lm_sum") + F.coalesce("lm_added", F.lit(0).cast("bigint")) / SCALE
+    found = parts.drop("lm_words").join(added, "lm_row", "left")
+    mean = F.when(F.col("n_words") > 0, F.round(total / F.col("n_words"), 4))
+    return found.select(*(f"`{c}`" for c in docs.columns if c != "text"), "n_words", F.round(total, 2).alias("pseudo_loglik"), mean.alias("mean_loglik"))
 
 
 def pseudo_likelihoods(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, pseudo_loglik and mean_loglik of every document, by a model trained on docs."""
     slim = docs.select("doc_id", "text")
-    lexicon = fit_lexicon(slim)
-    return score(slim, lexicon, fit_network(slim, lexicon)).drop("text")
+    counted = written(count_words(slim), "lm-words")
+    lexicon = fit_lexicon(counted)
+    return score(slim, counted, lexicon, fit_network(slim, lexicon))
