@@ -228,6 +228,32 @@ def test_mix_meets_its_targets(spark, odd):
     assert out.select(F.sum(F.size(F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")))).first()[0] == sum(r["taken"] for r in rows)
 
 
+def test_mix_comes_in_the_order_of_its_schedule(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r for r in docs.collect()}
+    place = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:7], 16)
+    rows = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    assert len(rows) == len(texts)
+    names = sorted({r["source"] for r in texts.values()}, key=lambda x: (x is None, (x or "").encode()))
+    want = {}
+    for k, name in enumerate(names):
+        before, slope = 0, (-0.5, 0.5, 0.0)[k % 3]
+        for i in sorted((i for i, r in texts.items() if r["source"] == name), key=lambda i: (place(i), i)):
+            if rows[i]["taken"] > 0:
+                # halve until the integral of the weight over training so far is what stands before the document
+                low, high = 0.0, 1.0
+                for _ in range(60):
+                    t = (low + high) / 2
+                    low, high = (t, high) if rows[i]["target"] * ((1 - slope) * t + slope * t * t) < before else (low, t)
+                want[i] = low
+            before += rows[i]["size"]
+    assert {i for i, r in rows.items() if r["position"] is not None} == want.keys()
+    assert all(abs(rows[i]["position"] - x) < 1e-9 for i, x in want.items())
+    ids = [r["doc_id"] for r in queries.op9_source_mix(spark, SF).collect()]
+    assert sorted(ids) == sorted(texts)
+    assert ids[: len(want)] == sorted(want, key=lambda i: (rows[i]["position"], place(i), i))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_is_as_its_sql(spark, name):
     con = duckdb.connect()

@@ -101,10 +101,15 @@ def position(copy: str | None = None):
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken and position (of the first copy; null if nothing is taken) of every document."""
+    """doc_id, size, source_size, target, taken and position (of the first copy; null if nothing is taken) of every document.
+
+    Rows come in order of position, over all partitions, as the documents of the mix do; what isn't taken comes last.
+    """
     slim = written(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", "mix_order"), "mix-sizes")
-    found = take(slim, plan(slim))
-    return found.select("doc_id", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, position()).alias("position"))
+    found = take(slim, plan(slim)).withColumn("position", F.when(F.col("taken") > 0, position()))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.asc_nulls_last("position"), "mix_order", "doc_id"]
+    return found.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

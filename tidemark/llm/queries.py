@@ -50,6 +50,7 @@ def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the rows' order is the curriculum; the columns are those of the SQL
     return mixing.mix(table(spark, sf_dir, "documents")).drop("position")
 
 
