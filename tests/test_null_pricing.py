@@ -1,6 +1,8 @@
 import math
 import statistics
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +71,66 @@ def test_a_masked_position_is_carried_and_the_rest_scaled(spark):
     assert [(r["t"], r["entity"], r["change"]) for r in trades] == [(1, 1, 0.5), (1, 4, -0.5)]
     with pytest.raises(pricing.PricingError, match="later"):
         pricing.fold_returns(_market(spark, names), 1, 0, 0.25)
+
+
+def target_book(scores: pd.Series, quantile: float, long_short: bool) -> dict[int, float]:
+    """Weights by entity: best scores first, ties by entity; equal sizes within a side."""
+    order = scores.reset_index().sort_values([scores.name, scores.index.name], ascending=[False, True])[scores.index.name].tolist()
+    k = min(max(1, int(len(order) * quantile)), len(order) // 2 if long_short else len(order))
+    if not k:
+        return {}
+    if not long_short:
+        return dict.fromkeys(order[:k], 1 / k)
+    return dict.fromkeys(order[:k], 0.5 / k) | dict.fromkeys(order[-k:], -0.5 / k)
+
+
+def executable_book(scores: pd.Series, tradable: pd.Series, positions: dict[int, float], quantile: float, long_short: bool) -> dict[int, float]:
+    """The target among what is tradable, scaled to the budget that carried positions leave, and those positions."""
+    may = set(tradable.index[tradable])
+    carried = {e: w for e, w in positions.items() if e not in may}
+    sides = ((1, 0.5 if long_short else 1.0), (-1, 0.5 if long_short else 0.0))
+    scale = {}
+    for sign, budget in sides:
+        used = sum(abs(w) for w in carried.values() if w * sign > 0)
+        if used > budget + 2.0**-52:
+            raise pricing.PricingError("carried positions exceed their side's budget")
+        scale[sign] = max(0.0, budget - used) / budget if budget else 0.0
+    wanted = target_book(scores[scores.index.isin(may)], quantile, long_short)
+    return {e: w * scale[1 if w > 0 else -1] for e, w in wanted.items()} | carried
+
+
+def _walk(fold: int, rows: pd.DataFrame, hold: int, lag: int, quantile: float, long_short: bool) -> tuple[list, list]:
+    sessions = {t: x.set_index("entity") for t, x in rows.groupby("t")}
+    times, positions, trades, returns = sorted(sessions), {}, [], []
+    for offset, t in enumerate(times):
+        now, signal_at = sessions[t], offset - lag
+        if signal_at >= 0 and signal_at % hold == 0:
+            target = executable_book(sessions[times[signal_at]]["score"].dropna(), now["tradable"], positions, quantile, long_short)
+            for e in sorted(positions.keys() | target.keys()):
+                before, after = positions.get(e, 0.0), target.get(e, 0.0)
+                if after != before:
+                    trades.append((fold, t, e, before, after, after - before))
+            positions = target
+        gross = 0.0
+        if positions:
+            past = sessions[times[offset - 1]]["price"] if offset else pd.Series(dtype=float)
+            for e, w in sorted(positions.items()):
+                if e not in past.index or e not in now.index:
+                    raise pricing.PricingError(f"fold {fold}, session {t}: no close for a held position")
+                gross += w * (now.at[e, "price"] / past[e] - 1)
+        returns.append((fold, t, len(positions), gross))
+    return trades, returns
+
+
+@pytest.mark.parametrize("long_short", [True, False])
+def test_steps_for_all_folds_are_as_the_walk_of_each(spark, long_short):
+    rng = np.random.default_rng(3)
+    rows = [(f, t, e, float(rng.uniform(5, 15)), bool(rng.random() > 0.3), float(rng.integers(6)) if rng.random() > 0.1 else None) for f, n in ((0, 11), (1, 8), (2, 1)) for t in range(n) for e in range(23)]
+    df = spark.createDataFrame(rows, "fold int, t int, entity bigint, price double, tradable boolean, score double")
+    walks = [_walk(int(f), x, 2, 1, 0.2, long_short) for f, x in pd.DataFrame(rows, columns=df.columns).groupby("fold")]
+    returns, trades = pricing.fold_returns(df, 2, 1, 0.2, long_short), pricing.fold_trades(df, 2, 1, 0.2, long_short)
+    for got, part, keys in ((returns, 1, 2), (trades, 0, 3)):
+        assert "Pandas" not in got._jdf.queryExecution().toString()
+        found, want = sorted(map(tuple, got.collect())), sorted(y for w in walks for y in w[part])
+        assert [r[:keys] for r in found] == [r[:keys] for r in want]
+        assert np.allclose([r[keys:] for r in found], [r[keys:] for r in want], rtol=0, atol=1e-12)

@@ -1,80 +1,85 @@
 """Prices books fold by fold, with positions that can't be traded carried along.
 
-What a book may buy depends on what it still holds, session after session, so that a fold is one state machine: one
-group of applyInPandas, of the sessions and entities of one fold (a market's size, whatever the number of folds and runs).
+What a book may buy depends on what it still holds, so that the steps from one trading session to the next come in
+turn; each is a few joins for all folds and entities at once, and its positions are written to the shared folder.
+Sessions and folds are few; entities may be many.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+from functools import reduce
 
-TRADES = "fold int, t int, entity bigint, previous double, target double, change double"
-RETURNS = "fold int, t int, held int, gross double"
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 class PricingError(ValueError):
     """A position or trade that can't be priced, or carried positions beyond their side's budget."""
 
 
-def target_book(scores: pd.Series, quantile: float, long_short: bool) -> dict[int, float]:
-    """Weights by entity: best scores first, ties by entity; equal sizes within a side."""
-    order = scores.reset_index().sort_values([scores.name, scores.index.name], ascending=[False, True])[scores.index.name].tolist()
-    k = min(max(1, int(len(order) * quantile)), len(order) // 2 if long_short else len(order))
-    if not k:
-        return {}
-    if not long_short:
-        return dict.fromkeys(order[:k], 1 / k)
-    return dict.fromkeys(order[:k], 0.5 / k) | dict.fromkeys(order[-k:], -0.5 / k)
-
-
-def executable_book(scores: pd.Series, tradable: pd.Series, positions: dict[int, float], quantile: float, long_short: bool) -> dict[int, float]:
-    """The target among what is tradable, scaled to the budget that carried positions leave, and those positions."""
-    may = set(tradable.index[tradable])
-    carried = {e: w for e, w in positions.items() if e not in may}
-    sides = ((1, 0.5 if long_short else 1.0), (-1, 0.5 if long_short else 0.0))
-    scale = {}
-    for sign, budget in sides:
-        used = sum(abs(w) for w in carried.values() if w * sign > 0)
-        if used > budget + 2.0**-52:
-            raise PricingError("carried positions exceed their side's budget")
-        scale[sign] = max(0.0, budget - used) / budget if budget else 0.0
-    wanted = target_book(scores[scores.index.isin(may)], quantile, long_short)
-    return {e: w * scale[1 if w > 0 else -1] for e, w in wanted.items()} | carried
-
-
-def _walk(fold: int, rows: pd.DataFrame, hold: int, lag: int, quantile: float, long_short: bool) -> tuple[list, list]:
-    sessions = {t: x.set_index("entity") for t, x in rows.groupby("t")}
-    times, positions, trades, returns = sorted(sessions), {}, [], []
-    for offset, t in enumerate(times):
-        now, signal_at = sessions[t], offset - lag
-        if signal_at >= 0 and signal_at % hold == 0:
-            target = executable_book(sessions[times[signal_at]]["score"].dropna(), now["tradable"], positions, quantile, long_short)
-            for e in sorted(positions.keys() | target.keys()):
-                before, after = positions.get(e, 0.0), target.get(e, 0.0)
-                if after != before:
-                    trades.append((fold, t, e, before, after, after - before))
-            positions = target
-        gross = 0.0
-        if positions:
-            past = sessions[times[offset - 1]]["price"] if offset else pd.Series(dtype=float)
-            for e, w in sorted(positions.items()):
-                if e not in past.index or e not in now.index:
-                    raise PricingError(f"fold {fold}, session {t}: no close for a held position")
-                gross += w * (now.at[e, "price"] / past[e] - 1)
-        returns.append((fold, t, len(positions), gross))
-    return trades, returns
-
-
-def _priced(rows: DataFrame, part: int, schema: str, hold: int, lag: int, quantile: float, long_short: bool) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the folder that driver and executors share (spark.checkpoint.dir, or one of our own where that is unset) and read again."""
+    context = df.sparkSession.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows (fold, entity, score) with names and place in each fold, from 1: best scores first, ties by entity. Ranges of the order are ranked by themselves and their sizes added up."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.desc("score"), F.asc("entity")]
+    ranged = written(rows.repartitionByRange(n, F.asc("fold"), *order).withColumn("part", F.spark_partition_id()), "pricing-ranks")
+    sizes = ranged.groupBy("fold", "part").agg(F.count("*").alias("size"))
+    all_, before = Window.partitionBy("fold"), Window.partitionBy("fold").orderBy("part")
+    # a row for each fold and range
+    starts = sizes.select("fold", "part", F.sum("size").over(all_).alias("names"), (F.sum("size").over(before) - F.col("size")).alias("start"))
+    place = F.col("start") + F.row_number().over(Window.partitionBy("fold", "part").orderBy(*order))
+    return ranged.join(F.broadcast(starts), ["fold", "part"]).select("fold", "entity", "names", place.alias("place"))
+
+
+def _step(now: DataFrame, signal: DataFrame, positions: DataFrame, quantile: float, long_short: bool) -> DataFrame:
+    """(fold, entity, previous, target): the target among what is tradable, scaled to the budget that carried positions leave, and those positions; target is null where nothing is held any more."""
+    may = now.where("tradable").select("fold", "entity")
+    carried = positions.join(may, ["fold", "entity"], "left_anti")
+    budgets = (0.5, 0.5) if long_short else (1.0, 0.0)
+    # exact sums: those of doubles would go beyond the budget by rounding
+    held = lambda sign: F.greatest(F.lit(0.0), F.col("weight") * sign).cast("decimal(38,30)")
+    used = carried.groupBy("fold").agg(*(F.sum(held(sign)).cast("double").alias(name) for name, sign in (("long", 1), ("short", -1))))
+    if used.where((F.col("long") > budgets[0] + 2.0**-52) | (F.col("short") > budgets[1] + 2.0**-52)).limit(1).count():
+        raise PricingError("carried positions exceed their side's budget")
+    placed = _placed(signal.where("score is not null and not isnan(score)").select("fold", "entity", "score").join(may, ["fold", "entity"]))
+    k = F.least(F.greatest(F.lit(1), F.floor(F.col("names") * quantile)), F.floor(F.col("names") / 2) if long_short else F.col("names"))
+    left = [F.greatest(F.lit(0.0), budget - F.coalesce(name, F.lit(0.0))) / budget if budget else F.lit(0.0) for name, budget in zip(("long", "short"), budgets, strict=True)]
+    long = F.lit(budgets[0]) / k * left[0]
+    short = F.when(F.col("place") > F.col("names") - k, F.lit(-budgets[1]) / k * left[1]) if long_short else F.lit(None).cast("double")
+    # a row for each fold
+    wanted = placed.join(F.broadcast(used), "fold", "left").select("fold", "entity", F.when(F.col("place") <= k, long).otherwise(short).alias("target")).where("target is not null")
+    target = wanted.unionByName(carried.select("fold", "entity", F.col("weight").alias("target")))
+    return positions.withColumnRenamed("weight", "previous").join(target, ["fold", "entity"], "full")
+
+
+def _priced(rows: DataFrame, hold: int, lag: int, quantile: float, long_short: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sessions (fold, t, offset, step), rows with their offset, and every step's (step, fold, entity, previous, target)."""
     if lag < 1 or hold < 1:
         raise PricingError("a signal is traded a session later at the earliest")
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_walk(int(key[0]), group, hold, lag, quantile, long_short)[part], columns=names)
-
-    return rows.select("fold", "t", "entity", "price", "tradable", "score").groupBy("fold").applyInPandas(fold, schema)
+    rows = written(rows.select("fold", "t", F.col("entity").cast("bigint").alias("entity"), "price", "tradable", "score"), "pricing-rows")
+    sessions = rows.select("fold", "t").distinct().withColumn("offset", F.row_number().over(Window.partitionBy("fold").orderBy("t")) - 1)
+    sessions = written(sessions.withColumn("step", F.expr(f"case when offset >= {lag} then cast((offset - {lag}) div {hold} as int) end")), "pricing-sessions")
+    # a row for each fold and session
+    rows = rows.join(F.broadcast(sessions.select("fold", "t", "offset")), ["fold", "t"])
+    last = sessions.agg(F.max("step")).first()[0]
+    empty = rows.sparkSession.createDataFrame([], "step int, fold int, entity bigint, previous double, target double")
+    steps, positions = [], empty.select("fold", "entity", F.col("target").alias("weight"))
+    for k in range(0 if last is None else last + 1):
+        at = lambda offset: rows.where(F.col("offset") == offset)
+        found = _step(at(lag + k * hold), at(k * hold), positions, quantile, long_short)
+        steps.append(written(found.select(F.lit(k).alias("step"), "fold", "entity", "previous", "target"), "pricing-step"))
+        positions = steps[-1].where("target is not null").select("fold", "entity", F.col("target").alias("weight"))
+    return sessions, rows, reduce(DataFrame.unionByName, steps, empty)
 
 
 def fold_returns(rows: DataFrame, hold: int, lag: int, quantile: float, long_short: bool = True) -> DataFrame:
@@ -83,9 +88,21 @@ def fold_returns(rows: DataFrame, hold: int, lag: int, quantile: float, long_sho
     A fold starts flat, trades lag sessions after every hold-th signal, earns from the close before the
     execution session on, and isn't liquidated. A missing close of a held position is an error.
     """
-    return _priced(rows, 1, RETURNS, hold, lag, quantile, long_short)
+    sessions, rows, steps = _priced(rows, hold, lag, quantile, long_short)
+    held = steps.where("target is not null").join(F.broadcast(sessions), ["fold", "step"]).select("fold", "t", "offset", "entity", "target")
+    now = rows.select("fold", "offset", "entity", "price", F.lit(True).alias("is_now"))
+    past = rows.select("fold", (F.col("offset") + 1).alias("offset"), "entity", F.col("price").alias("past"), F.lit(True).alias("is_past"))
+    priced = held.join(now, ["fold", "offset", "entity"], "left").join(past, ["fold", "offset", "entity"], "left")
+    lost = F.count_if(F.col("is_now").isNull() | F.col("is_past").isNull())
+    sums = priced.groupBy("fold", "t").agg(F.count("*").cast("int").alias("held"), F.sum(F.col("target") * (F.col("price") / F.col("past") - 1)).alias("gross"), lost.alias("lost"))
+    gross = F.when(F.col("lost") > 0, F.raise_error(F.format_string("fold %d, session %d: no close for a held position", "fold", "t"))).otherwise(F.col("gross"))
+    return sessions.select("fold", "t").join(sums, ["fold", "t"], "left").select("fold", "t", F.coalesce("held", F.lit(0)).alias("held"), F.when(F.col("held").isNull(), 0.0).otherwise(gross).alias("gross"))
 
 
 def fold_trades(rows: DataFrame, hold: int, lag: int, quantile: float, long_short: bool = True) -> DataFrame:
     """The trades of the same walk."""
-    return _priced(rows, 0, TRADES, hold, lag, quantile, long_short)
+    sessions, _, steps = _priced(rows, hold, lag, quantile, long_short)
+    first = sessions.groupBy("fold", "step").agg(F.min("t").alias("t"))
+    before, after = (F.coalesce(c, F.lit(0.0)) for c in ("previous", "target"))
+    trades = steps.where(before != after).join(F.broadcast(first), ["fold", "step"])
+    return trades.select("fold", "t", "entity", before.alias("previous"), after.alias("target"), (after - before).alias("change"))
