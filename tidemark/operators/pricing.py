@@ -7,27 +7,18 @@ Sessions and folds are few; entities may be many.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 class PricingError(ValueError):
     """A position or trade that can't be priced, or carried positions beyond their side's budget."""
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the folder that driver and executors share (spark.checkpoint.dir, or one of our own where that is unset) and read again."""
-    context = df.sparkSession.sparkContext
-    where = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _placed(rows: DataFrame) -> DataFrame:
     """rows (fold, entity, score) with names and place in each fold, from 1: best scores first, ties by entity. Ranges of the order are ranked by themselves and their sizes added up."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,13 +1,14 @@
-"""The Spark session: defaults of our own, and this package on the executors."""
+"""The Spark session: defaults of our own, this package on the executors, and the folder that all of them share."""
 
 from __future__ import annotations
 
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -32,3 +33,49 @@ def ship_package(spark: SparkSession) -> None:
     folder = tempfile.mkdtemp(prefix="tidemark-")
     context.addPyFile(shutil.make_archive(f"{folder}/{PACKAGE.name}", "zip", PACKAGE.parent, PACKAGE.name))
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session with a local master may do without it."""
+    context = spark.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not where:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder and read again: its lineage ends there and no lost executor takes it along."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Tables of one job: written() as it goes along, and deleted together once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_folder(self.spark, name)
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        while self.paths:
+            delete(self.spark, self.paths.pop())
