@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import Scratch, fresh_folder, shared_dir, ship_package, written
+
+__all__ = ["Scratch", "fresh_folder", "shared_dir", "written"]
 
 #: Words are runs of characters other than these six; fixed by the operators' contracts.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,27 +32,6 @@ def session_defaults(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read again: its lineage ends there and no lost executor takes it along."""
-    path = fresh_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -80,6 +59,27 @@ def ddl(df: DataFrame, more: str = "") -> str:
     return f"{own}, {more}" if more else own
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened by _ until no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without its columns of these names."""
+    low = {x.lower() for x in names}
+    return df.select(*(f"`{c}`" for c in df.columns if c.lower() not in low))
+
+
+def quoted(df: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in df.columns]
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null is empty."""
     return [x or "" for x in batch.column(name).to_pylist()]

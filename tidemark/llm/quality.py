@@ -1,8 +1,9 @@
 """Quality rules by weak supervision.
 
 Each rule looks at one measure of a text and votes good (1) or bad (0), or abstains (2). Which rules to trust is
-not fixed: expectation-maximisation over all documents' votes estimates how often each rule votes what on good
-and on bad documents, and a document is kept if the posterior probability that it is good is at least 0.5.
+not fixed: expectation-maximisation over all documents' votes estimates how often each rule is right on good
+and on bad documents, and a document is kept if the posterior probability that it is good is at least 0.5. So no
+rule decides alone unless the others bear it out; labels are not used.
 The votes of all documents are counted by pattern first; there are at most 3**rules patterns, however many
 documents, so the estimate covers all of them and the driver gets a table of bounded size.
 """
@@ -10,20 +11,33 @@ documents, so the estimate covers all of them and the driver gets a table of bou
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, ddl, map_batches, session_defaults, texts, with_columns
+from .common import WHITESPACE, ddl, free, map_batches, quoted, session_defaults, texts, with_columns, without
 
 #: Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 BAD, GOOD, ABSTAIN = 0, 1, 2
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_loud", "n_kinds")
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_loud", "n_kinds",
+    "n_bytes", "n_letter_bytes", "n_wordless", "n_glued", "n_ended", "n_function",
+)
+#: Frequent function words of English, French, German and Spanish.
+FUNCTION_WORDS = frozenset(
+    (
+        "the of and to in is that it for on with as was be by at this from are or an not but they which you "
+        "de la le les et des un une dans qui que pour pas sur au aux par ne ce est il du se plus son avec sont "
+        "der die das und den von zu mit ist des dem nicht ein eine auf im auch sich als aus bei nach wird sind "
+        "el en los las del con por para una lo su al como es y o si ya"
+    ).encode().split()
+)
 #: Rule: (measure above the line, measure below it, good up to, bad from). Between the two it abstains.
 RATIO_RULES = (
     ("symbols", "n_symbols", "n_words", 0.05, 0.2),
@@ -31,19 +45,33 @@ RATIO_RULES = (
     ("duplicate_lines", "n_dup_lines", "n_lines", 0.15, 0.4),
     ("capitals", "n_upper", "n_letters", 0.2, 0.4),
     ("loud", "n_loud", "n_words", 0.05, 0.2),
+    ("wordless", "n_wordless", "n_words", 0.1, 0.3),
+    ("glued", "n_glued", "n_words", 0.02, 0.1),
 )
-RULES = (*(x[0] for x in RATIO_RULES), "length", "word_length", "variety")
-ROUNDS = 50
-#: The share of the start in each round's estimates.
-ANCHOR = 0.5
-MAX_FALSE = 0.005
+#: The same for shares that should be high: good from, bad up to.
+SHARE_RULES = (("letters", "n_letter_bytes", "n_bytes", 0.9, 0.8), ("function_words", "n_function", "n_words", 0.1, 0.03))
+RULES = (*(x[0] for x in RATIO_RULES), *(x[0] for x in SHARE_RULES), "length", "word_length", "variety", "sentences")
+#: EM starts with these: how often a rule's vote is right on either class, and the share of good documents.
+START_RIGHT, START_GOOD = 0.8, 0.8
+#: The start counts for so many votes or documents in each round's estimates.
+PSEUDO = 4.0
+ROUNDS, SETTLED = 500, 1e-9
+
+_WHITE = WHITESPACE.encode()
+_LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
+_SYMBOL = np.array([chr(b) in SYMBOLS for b in range(256)])
+#: Bits by byte: 1 for a letter (of ASCII, or any byte of another script), 2 for a symbol, 4 for what ends a sentence.
+_FLAGS = (_LETTER + 2 * _SYMBOL + 4 * np.isin(np.arange(256), list(b".!?"))).astype(np.uint8)
+_INSIDE = ~np.isin(np.arange(256), list(_WHITE))
 
 
 def measure(text: str) -> tuple[int, ...]:
     """MEASURES of one text; all are 0 for an empty one.
 
     Words are runs of characters other than the six of ASCII white space. n_lines: lines with a word.
-    n_loud: exclamation marks. n_kinds: different words.
+    n_loud: exclamation marks. n_kinds: different words. n_bytes, n_letter_bytes: in words, and letters of them.
+    n_wordless: words without a letter; n_glued: with a letter and a symbol; n_ended: that end a sentence;
+    n_function: that are a function word.
     """
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
@@ -60,10 +88,23 @@ def measure(text: str) -> tuple[int, ...]:
     upper, lower = _cases(text, raw)
     return (
         len(words), len(text) - sum(map(text.count, WHITESPACE)), sum(map(raw.count, map(str.encode, SYMBOLS))), len(lines) - len(set(lines)), repeated,
-        len(lines), upper, upper + lower, raw.count(b"!"), len(set(words)),
+        len(lines), upper, upper + lower, raw.count(b"!"), len(set(words)), *_words(raw), sum(map(FUNCTION_WORDS.__contains__, raw.lower().split())),
     )
 
 
+def _words(raw: bytes) -> tuple[int, int, int, int, int]:
+    """n_bytes to n_ended of MEASURES, from each byte's flags and those of each word."""
+    data = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(data) + 2, bool)
+    np.take(_INSIDE, data, out=inside[1:-1])
+    flags = np.take(_FLAGS, data)
+    starts, last = np.flatnonzero(inside[1:-1] & ~inside[:-2]), np.flatnonzero(inside[1:-1] & ~inside[2:])
+    if not len(starts):
+        return 0, 0, 0, 0, 0
+    own = np.bincount(np.bitwise_or.reduceat(flags, starts) & 3, minlength=4)
+    return int(np.count_nonzero(inside)), int(np.count_nonzero(flags & 1)), int(own[0] + own[2]), int(own[3]), int(np.count_nonzero(flags[last] & 4))
+
+
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 
 
@@ -79,11 +120,16 @@ def votes(m: np.ndarray) -> np.ndarray:
     for _, above, below, good, bad in RATIO_RULES:
         share = by[above] / np.maximum(by[below], 1)
         out.append(np.where(by[below] == 0, ABSTAIN, np.where(share <= good, GOOD, np.where(share >= bad, BAD, ABSTAIN))))
+    for _, above, below, good, bad in SHARE_RULES:
+        share = by[above] / np.maximum(by[below], 1)
+        out.append(np.where(by[below] == 0, ABSTAIN, np.where(share >= good, GOOD, np.where(share <= bad, BAD, ABSTAIN))))
     length = by["word_chars"] / np.maximum(by["n_words"], 1)
     out.append(np.where(by["n_words"] < MIN_WORDS, BAD, np.where(by["n_words"] >= 2 * MIN_WORDS, GOOD, ABSTAIN)))
     out.append(np.where((length < 2) | (length > 25), BAD, np.where((length >= 3) & (length <= 12), GOOD, ABSTAIN)))
     variety = by["n_kinds"] / np.sqrt(np.maximum(by["n_words"], 1))
     out.append(np.where(variety < 1, BAD, np.where(variety >= 2, GOOD, ABSTAIN)))
+    ended = by["n_ended"] / np.maximum(by["n_words"], 1)
+    out.append(np.where((ended < 0.002) | (ended > 0.6), BAD, np.where((ended >= 0.01) & (ended <= 0.3), GOOD, ABSTAIN)))
     return np.stack(out, axis=1).astype(np.int64)
 
 
@@ -93,47 +139,61 @@ def base_failed(m: np.ndarray) -> np.ndarray:
 
 
 def pattern(v: np.ndarray) -> np.ndarray:
-    """Votes as one number."""
-    return v @ (3 ** np.arange(len(RULES)))
+    """Rows of votes as one number each."""
+    return v @ (3 ** np.arange(v.shape[1]))
+
+
+def votes_of(patterns: np.ndarray, n_rules: int) -> np.ndarray:
+    return patterns[:, None] // 3 ** np.arange(n_rules) % 3
+
 
+@dataclass(frozen=True)
+class Model:
+    """right[c, r]: how often a vote of rule r is right on documents of class c (0 bad, 1 good); good: their share; posterior: of good, by pattern of votes."""
 
-def estimate(patterns: dict[int, int], rounds: int = ROUNDS) -> dict[int, float]:
-    """The posterior probability of good for each pattern of votes, by expectation-maximisation from all counts.
+    right: np.ndarray
+    good: float
+    posterior: dict[int, float]
 
-    The start says what a rule's votes mean: on a good document it almost never votes bad, on a bad one it
-    does so now and then, as most bad documents have one fault only. What a round counts is averaged with that
-    start (by ANCHOR), so that the classes can't swap, and no rule may be thought to vote bad on more than
-    MAX_FALSE of the good documents: a fault that stands alone is then laid to the document, not to the rule.
-    No patterns: an empty table.
+
+def posteriors(v: np.ndarray, right: np.ndarray, good: float) -> np.ndarray:
+    """The probability of good for rows of votes. A rule that abstains says nothing."""
+    for_good = np.where(v == GOOD, np.log(right[GOOD]), np.where(v == BAD, np.log(1 - right[GOOD]), 0)).sum(axis=1) + np.log(good)
+    for_bad = np.where(v == BAD, np.log(right[BAD]), np.where(v == GOOD, np.log(1 - right[BAD]), 0)).sum(axis=1) + np.log(1 - good)
+    return 1 / (1 + np.exp(np.clip(for_bad - for_good, -700, 700)))
+
+
+def estimate(patterns: dict[int, int], n_rules: int = len(RULES), rounds: int = ROUNDS) -> Model:
+    """Expectation-maximisation from the counts of all patterns of votes.
+
+    Each round takes the posteriors by the accuracies so far, and then each rule's accuracies by those posteriors.
+    A rule has two, one for each class, so that one which votes bad on many documents that all others find good
+    turns out to be noisy, and its vote alone rejects nothing. The start counts for PSEUDO votes in every
+    estimate, which keeps the classes from swapping and accuracies from 0 and 1, and no more: on a large corpus
+    it has no weight. Rounds end when no posterior moves. No patterns: the start, and no posteriors.
     """
-    if not patterns:
-        return {}
     keys = np.array(sorted(patterns), np.int64)
     n = np.array([patterns[int(k)] for k in keys], np.float64)
-    v = keys[:, None] // 3 ** np.arange(len(RULES)) % 3
-    # p[c, r, x]: probability that rule r votes x on a document of class c (0 bad, 1 good)
-    start = np.array([[0.2, 0.65, 0.15], [0.004, 0.8, 0.196]])
-    p, prior = np.repeat(start[:, None, :], len(RULES), axis=1), 0.8
-    rule = np.arange(len(RULES))
-    for _ in range(rounds):
-        logs = np.log(p[:, rule, v]).sum(axis=2)  # classes x patterns
-        gap = np.clip(logs[0] + np.log(1 - prior) - logs[1] - np.log(prior), -700, 700)
-        good = 1 / (1 + np.exp(gap))
-        for c, w in ((0, (1 - good) * n), (1, good * n)):
-            for x in range(3):
-                p[c, :, x] = ANCHOR * start[c, x] + (1 - ANCHOR) * np.where(v == x, w[:, None], 0).sum(axis=0) / max(w.sum(), 1e-9)
-        p[GOOD, :, BAD] = np.minimum(p[GOOD, :, BAD], MAX_FALSE)
-        p[GOOD] /= p[GOOD].sum(axis=1, keepdims=True)
-        prior = float(np.clip((good * n).sum() / n.sum(), 0.01, 0.99))
-    return {int(k): float(g) for k, g in zip(keys, good, strict=True)}
+    v = votes_of(keys, n_rules)
+    right, good = np.full((2, n_rules), START_RIGHT), START_GOOD
+    post = posteriors(v, right, good)
+    for _ in range(rounds if len(keys) else 0):
+        for c, w in ((BAD, (1 - post) * n), (GOOD, post * n)):
+            agree, other = (w @ (v == x) for x in (c, 1 - c))
+            right[c] = (agree + PSEUDO * START_RIGHT) / (agree + other + PSEUDO)
+        good = float((post @ n + PSEUDO * START_GOOD) / (n.sum() + PSEUDO))
+        before, post = post, posteriors(v, right, good)
+        if np.abs(post - before).max() < SETTLED:
+            break
+    return Model(right, good, {int(k): float(g) for k, g in zip(keys, post, strict=True)})
 
 
 def _measured(batch: pa.RecordBatch) -> np.ndarray:
     return np.array([measure(x) for x in texts(batch)], np.int64).reshape(-1, len(MEASURES))
 
 
-def fit(docs: DataFrame) -> dict[int, float]:
-    """Posteriors by pattern of votes, from the votes on all documents that pass the base rules."""
+def fit(docs: DataFrame) -> Model:
+    """From the votes on all documents that pass the base rules; their counts by pattern, 3 ** rules at most, come to the driver."""
     session_defaults(docs.sparkSession)
 
     def counts(batches):
@@ -148,21 +208,33 @@ def fit(docs: DataFrame) -> dict[int, float]:
     return estimate({r["pattern"]: r["n"] for r in rows})
 
 
-def judge(docs: DataFrame, posteriors: dict[int, float], names: tuple[str, ...] = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior", "kept"), prefix: str = "") -> DataFrame:
-    """docs with the base measures, base_failed, posterior (0 if base_failed) and kept after its own columns.
+NEW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior", "kept")
+
+
+def judge(docs: DataFrame, model: Model, **names: str) -> DataFrame:
+    """docs with some of NEW after its own columns, each under the name given for it (or all, under their own).
 
-    Null and empty texts have no words and fail. Repeated rows get equal results. prefix goes before each new name.
+    base_failed says that the base rules reject the document; posterior is 0 then; kept: posterior of 0.5 or more,
+    and not base_failed. Null and empty texts have no words and fail. Repeated rows get equal results. Columns of
+    docs that have one of the new names are replaced.
     """
-    kinds = dict.fromkeys(names, "bigint") | {"base_failed": "boolean", "posterior": "double", "kept": "boolean"}
+    names = names or {x: x for x in NEW}
+    kinds = dict.fromkeys(NEW, "bigint") | {"base_failed": "boolean", "posterior": "double", "kept": "boolean"}
+    docs = without(docs, *names.values())
+    posterior, right, good, n_rules = model.posterior, model.right, model.good, len(RULES)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = _measured(batch)
         failed = base_failed(m)
-        good = np.array([posteriors.get(k, 0.5) for k in pattern(votes(m)).tolist()]) * ~failed
-        found = {name: m[:, i] for i, name in enumerate(MEASURES)} | {"base_failed": failed, "posterior": good, "kept": good >= 0.5}
-        return with_columns(batch, **{prefix + x: pa.array(found[x]) for x in names})
+        own = pattern(votes(m)).tolist()
+        # documents that the model wasn't fitted on may have a pattern of their own
+        new = np.array(sorted(set(own) - posterior.keys()), np.int64)
+        posterior.update(zip(new.tolist(), posteriors(votes_of(new, n_rules), right, good).tolist(), strict=True))
+        p = np.array([posterior[k] for k in own]) * ~failed
+        found = {name: m[:, i] for i, name in enumerate(MEASURES)} | {"base_failed": failed, "posterior": p, "kept": (p >= 0.5) & ~failed}
+        return with_columns(batch, **{to: pa.array(found[x]) for x, to in names.items()})
 
-    return map_batches(docs, step, ddl(docs, ", ".join(f"`{prefix}{x}` {kinds[x]}" for x in names)))
+    return map_batches(docs, step, ddl(docs, ", ".join(f"`{to}` {kinds[x]}" for x, to in names.items())))
 
 
 def assess(docs: DataFrame) -> DataFrame:
@@ -172,5 +244,6 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that assess() keeps, with their own columns."""
-    return judge(docs, fit(docs), names=("kept",), prefix="tidemark_quality_").where("tidemark_quality_kept").drop("tidemark_quality_kept")
+    """The documents that assess() keeps, with their own columns, whatever their names."""
+    (kept,) = free(docs, "kept")
+    return judge(docs, fit(docs), kept=kept).where(f"`{kept}`").select(*quoted(docs))
