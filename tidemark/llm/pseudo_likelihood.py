@@ -1,22 +1,27 @@
 """Scores of documents by masked pseudo-likelihood.
 
 Each word is hidden in turn and predicted from the words on both its sides; a document's score is the sum of the
-log-probabilities. The prediction has two factors: a small network, trained in numpy, gives the probability of the
-word's class from the classes of SIDE words on either side, and the corpus counts give that of the word within
-its class. The most frequent words are classes of their own; the others share classes by their endings. How many
-classes there are, and how many hidden units, comes from the number of different words of the corpus.
-
-The counts are over all words of all documents, and every word is scored by its own count. Those of the most
-frequent words go to the tasks with the model; those of all others stay in a written table, which the documents'
-words are joined to. The network is trained on all of them too: each task walks its
-documents by gradient descent from the same start, and the tasks' results are averaged with their words as
-weights, in each of PASSES passes. Averages are taken of whole numbers, so that their order doesn't matter.
+log-probabilities. Every word belongs to a leaf: the most frequent words have one each, the others share leaves by
+their endings. The probability of a word has three factors: a network, trained in numpy, gives those of the leaf's
+group and of the leaf within its group (a hierarchical softmax), and the corpus counts that of the word within its
+leaf. The network sees the SIDE nearest words on either side, each by a table of its own, and the mean of a further
+table over all BAG words on either side.
+
+The counts are over all words of all documents, and every word is scored by its own count: those of the most
+frequent words go to the tasks with the model, those of all others stay in a written table that the documents'
+words are joined to. How many leaves and hidden units there are comes from the number of different words.
+
+The network is trained on all words as well. Documents are dealt to shards of about SHARD_WORDS words by a hash of
+doc_id and words, and ordered by it; so what a shard learns doesn't depend on partitions. The first shard alone
+makes the start; from there each shard walks its own words by gradient descent (AdaGrad), and the shards' results are
+averaged with their words as weights. Averages are taken of whole numbers, so that their order doesn't matter.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,16 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, map_batches, session_defaults, texts, with_columns, written
+from .common import ddl, free, map_batches, quoted, session_defaults, texts, with_columns, without, written
 
-SIDE, HIDDEN, PASSES = 2, 12, 1
-#: Frequent words with a class of their own and classes that the others share, at least, and words whose counts go to each task.
-OWN_CLASSES, SHARED_CLASSES, VOCABULARY = 24, 24, 50_000
-RATE, STEP = 0.5, 1024
-#: Words that a worker keeps numbers of.
-SEEN = 400_000
+SIDE, BAG = 1, 8
+#: Groups of leaves and hidden units at least, and words that are listed for each task at most.
+GROUPS, HIDDEN, VOCABULARY = 24, 16, 50_000
+#: Words of a step, of a shard, and of a task that walks shards, about.
+STEP, SHARD_WORDS, TASK_WORDS = 4096, 1_000_000, 64_000_000
+RATE, SMALL = 0.1, 1e-7
+#: Words, and bytes of them, that a worker keeps numbers of.
+SEEN, SEEN_BYTES = 400_000, 64 << 20
 #: Fixed-point scale of weights that are averaged.
-SCALE = 1 << 24
+SCALE = 1 << 20
 
 
 def words_of(text: str) -> list[bytes]:
@@ -41,46 +48,47 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def n_classes_for(kinds: int) -> tuple[int, int]:
-    """Own and shared classes for a corpus of so many different words: the fourth root of it each, so that they grow with the corpus."""
-    root = round(kinds**0.25)
-    return max(OWN_CLASSES, root), max(SHARED_CLASSES, root)
+def n_groups_for(kinds: int) -> int:
+    """Groups for a corpus of so many different words; there are as many leaves in each. Half of all leaves are frequent words."""
+    return max(GROUPS, round(kinds**0.2))
 
 
-def n_hidden_for(n_classes: int) -> int:
-    return HIDDEN * n_classes // (OWN_CLASSES + SHARED_CLASSES)
+def n_hidden_for(groups: int) -> int:
+    return HIDDEN * groups // GROUPS
 
 
-def shared_class(word: bytes, n_own: int, n_shared: int) -> int:
-    """The class of a word that has none of its own: by its last three bytes."""
-    return n_own + zlib.crc32(word[-3:]) % n_shared
+def shared_leaf(word: bytes, n_own: int, n_leaves: int) -> int:
+    """The leaf of a word that has none of its own: by its last three bytes."""
+    return n_own + zlib.crc32(word[-3:]) % (n_leaves - n_own)
 
 
 @dataclass
 class Lexicon:
-    """Classes and log-probabilities within the class of the listed words; for all others the logarithm of their class's total, with a minus, which that of their count is added to."""
+    """Leaves and log-probabilities within the leaf of the listed words; for all others the logarithm of their leaf's total, with a minus, which that of their count is added to."""
 
     known: dict[bytes, tuple[int, float]]
     other: np.ndarray
     n_own: int
-    n_shared: int
+    groups: int
 
     number: dict[bytes, int] | None = None
     table: list[np.ndarray] | None = None
+    n_bytes: int = 0
 
     @property
-    def n_classes(self) -> int:
-        return self.n_own + self.n_shared
+    def n_leaves(self) -> int:
+        return self.groups * self.groups
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The words' classes and log-probabilities, and whether they lack their count. Words met before are found by number; the table of them starts anew when it is full."""
-        if self.number is None or len(self.number) > SEEN:
-            self.number = {w: i for i, w in enumerate(self.known)}
+        """The words' leaves and log-probabilities, and whether they lack their count. Words met before are found by number; the table of them starts anew when it is full."""
+        if self.number is None or len(self.number) > SEEN or self.n_bytes > SEEN_BYTES:
+            self.number, self.n_bytes = {w: i for i, w in enumerate(self.known)}, 0
             self.table = [np.array(x) for x in zip(*self.known.values(), strict=True)] if self.known else [np.zeros(0, np.int64), np.zeros(0)]
         new = list(set(words).difference(self.number))
-        classes = np.array([shared_class(w, self.n_own, self.n_shared) for w in new], np.int64)
+        self.n_bytes += sum(map(len, new))
+        leaves = np.array([shared_leaf(w, self.n_own, self.n_leaves) for w in new], np.int64)
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-        self.table = [np.concatenate(x) for x in zip(self.table, (classes, self.other[classes]), strict=True)]
+        self.table = [np.concatenate(x) for x in zip(self.table, (leaves, self.other[leaves]), strict=True)]
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         return self.table[0][at], self.table[1][at], at >= len(self.known)
 
@@ -100,39 +108,78 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _least_listed(counted: DataFrame) -> int:
+    """The smallest count with which a word is listed, such that at most VOCABULARY are; from a histogram of the counts, whose bars grow with the count."""
+    bars = counted.groupBy(F.floor(F.log2("n") * 16).alias("bar")).agg(F.count("*").alias("kinds"), F.min("n").alias("least")).collect()
+    bound, listed = (1 << 63) - 1, 0
+    for r in sorted(bars, key=lambda r: -r["bar"]):
+        listed += r["kinds"]
+        if listed > VOCABULARY:
+            break
+        bound = r["least"]
+    return bound
+
+
 def fit_lexicon(counted: DataFrame) -> Lexicon:
-    """From the counts of all words, as count_words() returns them. The driver gets the VOCABULARY most frequent ones (ties by bytes), and one sum for each shared class."""
-    n_own, n_shared = n_classes_for(counted.count())
-    top = [(bytes(r["word"]), r["n"]) for r in counted.orderBy(F.desc("n"), "word").limit(max(n_own, VOCABULARY)).collect()]
-    spell = F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)")) % n_shared + n_own
-    total = np.zeros(n_own + n_shared)
+    """From the counts of all words, as count_words() returns them. The driver gets VOCABULARY words at most, and one sum for each shared leaf."""
+    groups = n_groups_for(counted.count())
+    top = [(bytes(r["word"]), r["n"]) for r in counted.where(F.col("n") >= _least_listed(counted)).collect()]
+    top.sort(key=lambda x: (-x[1], x[0]))
+    own, listed = top[: groups * groups // 2], top[groups * groups // 2 :]
+    n_own, n_leaves = len(own), groups * groups
+    spell = F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)")) % (n_leaves - n_own) + n_own
+    total = np.zeros(n_leaves)
     for r in counted.groupBy(spell.cast("int").alias("c")).agg(F.sum("n").alias("n")).collect():
         total[r["c"]] = r["n"]
-    own, listed = top[:n_own], top[n_own:]
     for word, n in own:
-        total[shared_class(word, n_own, n_shared)] -= n
+        total[shared_leaf(word, n_own, n_leaves)] -= n
     # a word that no document had counts as one more
     total += 1
-    known = {w: (i, 0.0) for i, (w, _) in enumerate(own)} | {w: (c := shared_class(w, n_own, n_shared), float(np.log(n / total[c]))) for w, n in listed}
-    return Lexicon(known, -np.log(total), n_own, n_shared)
+    known = {w: (i, 0.0) for i, (w, _) in enumerate(own)} | {w: (c := shared_leaf(w, n_own, n_leaves), float(np.log(n / total[c]))) for w, n in listed}
+    return Lexicon(known, -np.log(total), n_own, groups)
+
+
+def encoded(docs: DataFrame, lexicon: Lexicon, leaves: str, total: str, lacking: str) -> DataFrame:
+    """docs without their text, with each word's leaf (16 bits each), the sum of the words' log-probabilities within their leaves, and the words whose count that sum lacks."""
+    session_defaults(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # VOCABULARY words at most
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        split = [words_of(x) for x in texts(batch)]
+        ends = np.cumsum([0, *map(len, split)])
+        words = [w for x in split for w in x]
+        at, logs, lack = shared.value.look_up(words)
+        short = at.astype("<u2")
+        sums = np.add.reduceat(np.append(logs, 0.0), ends[:-1]) * (np.diff(ends) > 0)
+        missing = np.concatenate([[0], np.cumsum(lack)])[ends]
+        rest = pa.ListArray.from_arrays(pa.array(missing, pa.int32()), pa.array([words[i] for i in np.flatnonzero(lack)], pa.binary()))
+        cells = [short[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+        return with_columns(batch.drop_columns(["text"]), **{leaves: pa.array(cells, pa.binary()), total: pa.array(sums), lacking: rest})
+
+    return map_batches(docs, step, ddl(docs.drop("text"), f"`{leaves}` binary, `{total}` double, `{lacking}` array<binary>"))
 
 
 @dataclass
 class Network:
-    """Class logits from the classes on both sides: tanh(sum of one embedding per place) times a matrix."""
+    """Logits of the groups, and of the leaves of each group: matrices times tanh(sum of one column per place, and of the mean of the bag)."""
 
-    place: np.ndarray  # places x (classes and one for outside) x hidden
-    bias: np.ndarray
-    out: np.ndarray  # hidden x classes
-    out_bias: np.ndarray
+    place: np.ndarray  # places and the bag x hidden x (leaves and one for outside)
+    bias: np.ndarray  # hidden x 1
+    group: np.ndarray  # groups x hidden
+    group_bias: np.ndarray  # groups x 1
+    leaf: np.ndarray  # groups x leaves of a group x hidden
+    leaf_bias: np.ndarray  # groups x leaves of a group x 1
 
     @classmethod
-    def start(cls, n_classes: int, seed: int = 1) -> Network:
-        rng, hidden = np.random.default_rng(seed), n_hidden_for(n_classes)
-        return cls(rng.normal(0, 0.3, (2 * SIDE, n_classes + 1, hidden)).astype(np.float32), np.zeros(hidden, np.float32), rng.normal(0, 0.3, (hidden, n_classes)).astype(np.float32), np.zeros(n_classes, np.float32))
+    def start(cls, groups: int, seed: int = 1) -> Network:
+        rng, hidden = np.random.default_rng(seed), n_hidden_for(groups)
+        shapes = ((2 * SIDE + 1, hidden, groups * groups + 1), (groups, hidden), (groups, groups, hidden))
+        place, group, leaf = (rng.normal(0, 0.1, x).astype(np.float32) for x in shapes)
+        zeros = lambda *x: np.zeros(x, np.float32)
+        return cls(place, zeros(hidden, 1), group, zeros(groups, 1), leaf, zeros(groups, groups, 1))
 
     def parts(self) -> tuple[np.ndarray, ...]:
-        return self.place, self.bias, self.out, self.out_bias
+        return self.place, self.bias, self.group, self.group_bias, self.leaf, self.leaf_bias
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.parts()])
@@ -141,131 +188,265 @@ class Network:
         ends = np.cumsum([x.size for x in self.parts()])[:-1]
         return Network(*(x.astype(np.float32).reshape(y.shape) for x, y in zip(np.split(flat, ends), self.parts(), strict=True)))
 
-    def forward(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden values and class logits, less the largest of each word; near has a row for each place and a column for each word, as both results do."""
-        hidden = self.place[0].T.take(near[0], axis=1)
-        for p in range(1, 2 * SIDE):
-            hidden += self.place[p].T.take(near[p], axis=1)
-        hidden += self.bias[:, None]
-        np.tanh(hidden, out=hidden)
-        logits = self.out.T @ hidden
-        logits += self.out_bias[:, None]
-        logits -= logits.max(axis=0)
-        return hidden, logits
-
-    def log_probabilities(self, near: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Of each word's class, given its neighbours."""
-        _, logits = self.forward(near)
-        own = logits[classes, np.arange(len(classes))]
-        return own - np.log(np.exp(logits, out=logits).sum(axis=0))
-
-    def train(self, near: np.ndarray, classes: np.ndarray, rate: float) -> None:
-        """One step of gradient descent on the mean negative log-probability of the classes."""
-        hidden, grad = self.forward(near)
-        np.exp(grad, out=grad)
-        grad *= np.float32(rate / len(classes)) / grad.sum(axis=0)
-        grad[classes, np.arange(len(classes))] -= np.float32(rate / len(classes))
-        back = self.out @ grad
-        back *= 1 - hidden * hidden
-        self.out -= hidden @ grad.T
-        self.out_bias -= grad.sum(axis=1)
-        self.bias -= back.sum(axis=1)
-        n = self.place.shape[1]
-        for p in range(2 * SIDE):
-            # the sum of the columns of each class, as a product with their one-hot matrix
-            hot = np.zeros((n, len(classes)), np.float32)
-            hot[near[p], np.arange(len(classes))] = 1
-            self.place[p] -= hot @ back.T
-
-
-def neighbours(classes: np.ndarray, doc: np.ndarray, outside: int) -> np.ndarray:
-    """The classes of the SIDE words before and after each word in its document, a row for each place; outside where there is none."""
-    n = len(classes)
-    out = np.full((2 * SIDE, n), outside, np.int64)
-    for p, shift in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        a, b = max(0, -shift), n - max(0, shift)
-        if b > a:
-            same = doc[a + shift : b + shift] == doc[a:b]
-            out[p, a:b] = np.where(same, classes[a + shift : b + shift], outside)
-    return out
-
-
-def _rows(docs: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Document, class, log-probability and neighbours of each word; then the documents and words, in order, that lack their count."""
-    split = [words_of(x) for x in docs]
-    doc, words = np.repeat(np.arange(len(docs)), [len(x) for x in split]), [w for x in split for w in x]
-    classes, logs, lack = lexicon.look_up(words)
-    return doc, classes, logs, neighbours(classes, doc, lexicon.n_classes), doc[lack], [words[i] for i in np.flatnonzero(lack)]
-
-
-def fit_network(docs: DataFrame, lexicon: Lexicon, passes: int = PASSES) -> Network:
-    """A network trained on every word of docs. Each task sends one vector of weights, whatever it has read."""
-    spark = docs.sparkSession
-    session_defaults(spark)
-    shared = spark.sparkContext.broadcast(lexicon)  # about VOCABULARY words
-    network = Network.start(lexicon.n_classes)
-    for number in range(passes):
-        start, rate = network.flat(), RATE / (1 + number)
+    def hidden(self, leaves: np.ndarray, around: Around) -> np.ndarray:
+        """A column for each word."""
+        bag = self.place[-1].take(leaves, axis=1)
+        out = around.mean_of_others(bag)
+        for p, near in enumerate(around.near):
+            out += self.place[p].take(near, axis=1)
+        out += self.bias
+        return np.tanh(out, out=out)
+
+    def log_probabilities(self, leaves: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Of each word's leaf, given the words around it in its document; doc says where a document ends, and comes in order."""
+        out = np.empty(len(leaves))
+        for a in range(0, len(leaves), 2 * STEP):
+            b = min(len(leaves), a + 2 * STEP)
+            low, high = max(0, a - BAG), min(len(leaves), b + BAG)
+            block = leaves[low:high]
+            hidden = self.hidden(block, Around.of(block, doc[low:high], self.place.shape[2] - 1))
+            out[a:b] = self._softmax(hidden[:, a - low : b - low], leaves[a:b], None)
+        return out
+
+    def _softmax(self, hidden: np.ndarray, leaves: np.ndarray, learner: Learner | None) -> np.ndarray:
+        """The leaves' log-probabilities. A learner gets the gradients of the mean of these, with a minus: of the matrices, and of hidden, which they replace."""
+        size, n, at = self.group.shape[0], len(leaves), np.arange(len(leaves))
+        order = np.argsort((leaves // size).astype(np.int16), kind="stable")
+        group, own = leaves[order] // size, leaves[order] % size
+        sorted_ = hidden.take(order, axis=1)
+        back = np.zeros_like(sorted_) if learner else None
+        logs = _level(self.group, self.group_bias, sorted_, group, n, learner, back, learner and learner.group)
+        ends = np.searchsorted(group, np.arange(size + 1)).tolist()
+        for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+            if b > a:
+                logs[a:b] += _level(self.leaf[k], self.leaf_bias[k], sorted_[:, a:b], own[a:b], n, learner, back[:, a:b] if learner else None, learner and learner.leaf[k])
+        place = np.empty(n, np.int64)
+        place[order] = at
+        if learner:
+            back.take(place, axis=1, out=hidden)
+        return logs[place]
+
+
+def _level(matrix: np.ndarray, bias: np.ndarray, hidden: np.ndarray, own: np.ndarray, n: int, learner: Learner | None, back: np.ndarray | None, sums) -> np.ndarray:
+    """Log-probabilities of one softmax. With a learner, back gets the gradient of hidden on top, and matrix and bias take a step."""
+    at = np.arange(len(own))
+    logits = matrix @ hidden
+    logits += bias
+    logits -= logits.max(axis=0)
+    logs = logits[own, at].astype(np.float64)
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=0)
+    logs -= np.log(total)
+    if learner:
+        logits /= total
+        logits[own, at] -= 1
+        logits /= n
+        back += matrix.T @ logits
+        learner.step(matrix, sums[0], logits @ hidden.T)
+        learner.step(bias, sums[1], logits.sum(axis=1, keepdims=True))
+    return logs
+
+
+@dataclass
+class Around:
+    """What surrounds each word of a block in its document: the nearest words' leaves, a row for each place (outside where there is none), and from where to where its bag reaches."""
 
-        def walk(batches, start=start, rate=rate):
-            own, n = Network.start(shared.value.n_classes).filled(start.copy()), 0
+    near: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @classmethod
+    def of(cls, leaves: np.ndarray, doc: np.ndarray, outside: int) -> Around:
+        n = len(leaves)
+        near = np.full((2 * SIDE, n), outside, np.int64)
+        for p, shift in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
+            a, b = max(0, -shift), n - max(0, shift)
+            if b > a:
+                near[p, a:b] = np.where(doc[a + shift : b + shift] == doc[a:b], leaves[a + shift : b + shift], outside)
+        at, new = np.arange(n), np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if n else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[new, n])
+        first = np.repeat(new, sizes)
+        return cls(near, np.maximum(at - BAG, first), np.minimum(at + BAG + 1, first + np.repeat(sizes, sizes)))
+
+    def _others(self, columns: np.ndarray) -> np.ndarray:
+        """The sum of the bag's columns for each word, without its own."""
+        sums = np.zeros((columns.shape[0], columns.shape[1] + 1))
+        np.cumsum(columns, axis=1, out=sums[:, 1:])
+        out = (sums.take(self.high, axis=1) - sums.take(self.low, axis=1)).astype(np.float32)
+        out -= columns
+        return out
+
+    def _share(self) -> np.ndarray:
+        return (1 / np.maximum(self.high - self.low - 1, 1)).astype(np.float32)
+
+    def mean_of_others(self, columns: np.ndarray) -> np.ndarray:
+        return self._others(columns) * self._share()
+
+    def mean_gradient(self, back: np.ndarray) -> np.ndarray:
+        """The gradient of the columns of mean_of_others() from that of its result: who is in my bag has me in its own."""
+        return self._others(back * self._share())
+
+
+class Learner:
+    """A network that walks words by AdaGrad: each weight's step shrinks with the sum of its squared gradients."""
+
+    def __init__(self, network: Network):
+        self.network = network
+        place, self.bias, *rest = (np.full(x.shape, SMALL, np.float32) for x in network.parts())
+        self.place, self.group, self.leaf = place, (rest[0], rest[1]), list(zip(rest[2], rest[3], strict=True))
+
+    @staticmethod
+    def step(weights: np.ndarray, sums: np.ndarray, gradient: np.ndarray) -> None:
+        sums += gradient * gradient
+        weights -= RATE * gradient / np.sqrt(sums)
+
+    def _scatter(self, p: int, leaves: np.ndarray, back: np.ndarray) -> None:
+        """A step of the columns that leaves name: their gradients are sums over the words that have them."""
+        order = np.argsort(leaves.astype(np.int16), kind="stable")
+        leaves = leaves[order]
+        first = np.flatnonzero(np.r_[True, leaves[1:] != leaves[:-1]])
+        columns, gradient = leaves[first], np.add.reduceat(back.take(order, axis=1), first, axis=1)
+        sums = self.place[p][:, columns] + gradient * gradient
+        self.place[p][:, columns] = sums
+        self.network.place[p][:, columns] -= RATE * gradient / np.sqrt(sums)
+
+    def train(self, leaves: np.ndarray, doc: np.ndarray) -> None:
+        """One step on the mean negative log-probability of the leaves."""
+        around = Around.of(leaves, doc, self.network.place.shape[2] - 1)
+        hidden = self.network.hidden(leaves, around)
+        back = hidden.copy()
+        self.network._softmax(back, leaves, self)
+        back *= 1 - hidden * hidden
+        self.step(self.network.bias, self.bias, back.sum(axis=1, keepdims=True))
+        for p, near in enumerate(around.near):
+            self._scatter(p, near, back)
+        self._scatter(2 * SIDE, leaves, around.mean_gradient(back))
+
+
+def _walk(start: Network, shards: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, Network]]:
+    """Words and resulting network of each shard; rows (shard, leaves) come in order of shard. Steps are of STEP words, whatever documents they are from."""
+    learner, number, n_docs, held, size, words = None, None, 0, [], 0, 0
+
+    def step():
+        leaves, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+        for a in range(0, len(leaves) - STEP + 1, STEP):
+            learner.train(leaves[a : a + STEP], doc[a : a + STEP])
+        rest = len(leaves) // STEP * STEP
+        return leaves[rest:], doc[rest:]
+
+    def end():
+        leaves, doc = step()
+        if len(leaves):
+            learner.train(leaves, doc)
+        return words, learner.network
+
+    for shard, raw in shards:
+        if shard != number:
+            if learner is not None and held:
+                yield end()
+            learner, number, held, size, words = Learner(start.filled(start.flat())), shard, [], 0, 0
+        leaves = np.frombuffer(raw, "<u2").astype(np.int64)
+        if not len(leaves):
+            continue
+        held.append((leaves, np.full(len(leaves), n_docs)))
+        n_docs += 1
+        size += len(leaves)
+        words += len(leaves)
+        if size >= 16 * STEP:
+            held = [step()]
+            size = len(held[0][0])
+    if learner is not None and held:
+        yield end()
+
+
+def _trained(shards: DataFrame, start: Network) -> Network:
+    """The average of what the shards (shard, leaves; all of one in one partition, in order) make of the start, with their words as weights."""
+    spark = shards.sparkSession
+    shared = spark.sparkContext.broadcast(start)
+
+    def walk(batches):
+        def rows():
             for batch in batches:
-                _, classes, _, near, _, _ = _rows(texts(batch), shared.value)
-                for at in range(0, len(classes), STEP):
-                    own.train(near[:, at : at + STEP], classes[at : at + STEP], rate)
-                n += len(classes)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([np.rint(own.flat().astype(np.float64) * SCALE).astype(np.int64)], pa.list_(pa.int64()))], names=["n", "weights"])
-
-        sums = docs.select("text").mapInArrow(walk, "n bigint, weights array<bigint>").select("n", F.posexplode("weights").alias("i", "w")).groupBy("i").agg(F.sum(F.col("w").cast("decimal(38,0)") * F.col("n")).alias("w"), F.sum("n").alias("n")).collect()
-        if sums:
-            found = np.zeros(len(start))
-            for r in sums:
-                found[r["i"]] = float(r["w"] / r["n"]) / SCALE
-            network = network.filled(found)
-    return network
-
-
-def score_texts(docs: list[str], lexicon: Lexicon, network: Network) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """For each text, its words, the sum of their conditional log-probabilities, and the words whose count that sum lacks."""
-    doc, classes, logs, near, lacking, words = _rows(docs, lexicon)
-    for at in range(0, len(classes), 4 * STEP):
-        part = slice(at, at + 4 * STEP)
-        logs[part] += network.log_probabilities(near[:, part], classes[part])
-    ends = np.concatenate([[0], np.cumsum(np.bincount(lacking, minlength=len(docs)))])
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.binary()))
-    return np.bincount(doc, minlength=len(docs)), np.bincount(doc, logs, minlength=len(docs)), lists
+                yield from zip(batch.column("shard").to_pylist(), batch.column("leaves").to_pylist(), strict=True)
+
+        total, n = 0, 0
+        for words, network in _walk(shared.value, rows()):
+            total = total + np.rint(network.flat().astype(np.float64) * SCALE).astype(np.int64) * words
+            n += words
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total], pa.list_(pa.int64()))], names=["n", "weights"])
+
+    parts = shards.mapInArrow(walk, "n bigint, weights array<bigint>").select("n", F.posexplode("weights").alias("i", "w"))
+    sums = parts.groupBy("i").agg(F.sum(F.col("w").cast("decimal(38,0)")).alias("w"), F.sum("n").alias("n")).collect()  # a row for each weight
+    if not sums:
+        return start
+    found = np.zeros(len(sums))
+    for r in sums:
+        found[r["i"]] = float(r["w"] / r["n"]) / SCALE
+    return start.filled(found)
+
+
+def fit_network(rows: DataFrame, groups: int, leaves: str = "leaves") -> Network:
+    """A network trained on every word of rows (doc_id, and leaves as encoded() gives them). The first shard makes the start for all."""
+    spark = rows.sparkSession
+    session_defaults(spark)
+    words = rows.agg(F.sum(F.octet_length(f"`{leaves}`"))).first()[0] or 0
+    words //= 2
+    n_shards = max(1, -(-words // SHARD_WORDS))
+    tasks = min(n_shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // TASK_WORDS)))
+    own = F.xxhash64("doc_id", f"`{leaves}`")
+    dealt = rows.select(F.pmod(own, F.lit(n_shards)).alias("shard"), own.alias("turn"), F.col(f"`{leaves}`").alias("leaves"))
+    ordered = lambda df, n: df.repartition(n, "shard").sortWithinPartitions("shard", "turn").select("shard", "leaves")
+    start = _trained(ordered(dealt.where("shard = 0"), 1), Network.start(groups))
+    return _trained(ordered(dealt, tasks), start)
 
 
 def score(docs: DataFrame, counted: DataFrame, lexicon: Lexicon, network: Network) -> DataFrame:
     """docs without their text, with n_words, pseudo_loglik (the sum; 0 without words) and mean_loglik (null without words).
 
-    Null text is empty. Equal texts get equal scores, up to rounding of the last digits, which are cut off. Words
-    that the lexicon doesn't list are joined to counted; the most frequent ones, which would make large keys, are
-    listed. What the join adds to a document are whole numbers, so that their order doesn't matter.
+    Null text is empty. Equal texts get equal scores, up to rounding of the last digits, which are cut off. Columns of
+    docs with one of the three names are replaced.
     """
-    session_defaults(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, network))
+    docs = without(docs, *NEW)
+    leaves, total, lacking = free(docs, "leaves", "total", "lacking")
+    return _scored(written(encoded(docs, lexicon, leaves, total, lacking), "lm-encoded"), counted, network, leaves, total, lacking)
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, total, words = score_texts(texts(batch), *shared.value)
-        return with_columns(batch.drop_columns(["text"]), n_words=pa.array(n, pa.int64()), lm_sum=pa.array(total), lm_words=words)
 
-    numbered = docs.withColumn("lm_row", F.monotonically_increasing_id())
-    parts = written(map_batches(numbered, step, ddl(numbered.drop("text"), "n_words bigint, lm_sum double, lm_words array<binary>")), "lm-parts")
-    lacking = parts.select("lm_row", F.explode("lm_words").alias("word"))
+NEW = ("n_words", "pseudo_loglik", "mean_loglik")
+
+
+def _scored(rows: DataFrame, counted: DataFrame, network: Network, leaves: str, total: str, lacking: str) -> DataFrame:
+    """Words that the lexicon doesn't list are joined to counted; the most frequent ones, which would make large keys, are listed. What the join adds to a document are whole numbers, so that their order doesn't matter."""
+    shared = rows.sparkSession.sparkContext.broadcast(network)
+    row, n, sum_, word, added = free(rows, "row", "n_words", "sum", "word", "added")
+    own = [f"`{c}`" for c in rows.columns if c not in (leaves, total, lacking)]
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cells = batch.column(leaves).to_pylist()
+        size = np.array([len(x) // 2 for x in cells], np.int64)
+        doc = np.repeat(np.arange(len(cells)), size)
+        logs = shared.value.log_probabilities(np.frombuffer(b"".join(cells), "<u2").astype(np.int64), doc)
+        found = np.bincount(doc, logs, minlength=len(cells)) + np.array(batch.column(total).to_pylist())
+        return with_columns(batch.drop_columns([leaves, total]), **{n: pa.array(size), sum_: pa.array(found)})
+
+    numbered = rows.withColumn(row, F.monotonically_increasing_id())
+    parts = written(map_batches(numbered, step, ddl(numbered.drop(leaves, total), f"`{n}` bigint, `{sum_}` double")), "lm-parts")
     # a word that no document had counts as one more
     logs = F.coalesce(F.round(F.log("n") * SCALE).cast("bigint"), F.lit(0).cast("bigint"))
-    added = lacking.join(counted, "word", "left").groupBy("lm_row").agg(F.sum(logs).alias("lm_added"))
-    total = F.col("lm_sum") + F.coalesce("lm_added", F.lit(0).cast("bigint")) / SCALE
-    found = parts.drop("lm_words").join(added, "lm_row", "left")
-    mean = F.when(F.col("n_words") > 0, F.round(total / F.col("n_words"), 4))
-    return found.select(*(f"`{c}`" for c in docs.columns if c != "text"), "n_words", F.round(total, 2).alias("pseudo_loglik"), mean.alias("mean_loglik"))
+    words = parts.select(F.col(row).alias("row"), F.explode(lacking).alias("word"))
+    sums = words.join(counted, "word", "left").groupBy("row").agg(F.sum(logs).alias("sum")).select(F.col("row").alias(row), F.col("sum").alias(added))
+    found = parts.drop(lacking).join(sums, row, "left")
+    whole = F.col(sum_) + F.coalesce(added, F.lit(0).cast("bigint")) / SCALE
+    return found.select(*own, F.col(n).alias("n_words"), F.round(whole, 2).alias("pseudo_loglik"), F.when(F.col(n) > 0, F.round(whole / F.col(n), 4)).alias("mean_loglik"))
 
 
 def pseudo_likelihoods(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, pseudo_loglik and mean_loglik of every document, by a model trained on docs."""
+    """doc_id, n_words, pseudo_loglik and mean_loglik of every document, by a model trained on docs.
+
+    Rows of equal doc_id and text meet in one shard. An empty table gives no rows.
+    """
     slim = docs.select("doc_id", "text")
     counted = written(count_words(slim), "lm-words")
     lexicon = fit_lexicon(counted)
-    return score(slim, counted, lexicon, fit_network(slim, lexicon))
+    rows = written(encoded(slim, lexicon, "leaves", "total", "lacking"), "lm-encoded")
+    return _scored(rows, counted, fit_network(rows, lexicon.groups), "leaves", "total", "lacking")
