@@ -51,8 +51,10 @@ RATIO_RULES = (
 #: The same for shares that should be high: good from, bad up to.
 SHARE_RULES = (("letters", "n_letter_bytes", "n_bytes", 0.9, 0.8), ("function_words", "n_function", "n_words", 0.1, 0.03))
 RULES = (*(x[0] for x in RATIO_RULES), *(x[0] for x in SHARE_RULES), "length", "word_length", "variety", "sentences")
-#: EM starts with these: how often a rule's vote is right on either class, and the share of good documents.
-START_RIGHT, START_GOOD = 0.8, 0.8
+#: EM starts with these: how often a rule's vote is right on bad documents (most have few faults, so that most rules
+#: find them good) and on good ones, and the share of good documents. By these, one bad vote doesn't make a
+#: document bad, and two do; what the rules' votes are worth from then on is up to the corpus.
+START_RIGHT, START_GOOD = (0.25, 0.98), 0.8
 #: The start counts for so many votes or documents in each round's estimates.
 PSEUDO = 4.0
 ROUNDS, SETTLED = 500, 1e-9
@@ -175,12 +177,12 @@ def estimate(patterns: dict[int, int], n_rules: int = len(RULES), rounds: int =
     keys = np.array(sorted(patterns), np.int64)
     n = np.array([patterns[int(k)] for k in keys], np.float64)
     v = votes_of(keys, n_rules)
-    right, good = np.full((2, n_rules), START_RIGHT), START_GOOD
+    right, good = np.repeat(np.array(START_RIGHT)[:, None], n_rules, axis=1), START_GOOD
     post = posteriors(v, right, good)
     for _ in range(rounds if len(keys) else 0):
         for c, w in ((BAD, (1 - post) * n), (GOOD, post * n)):
             agree, other = (w @ (v == x) for x in (c, 1 - c))
-            right[c] = (agree + PSEUDO * START_RIGHT) / (agree + other + PSEUDO)
+            right[c] = (agree + PSEUDO * START_RIGHT[c]) / (agree + other + PSEUDO)
         good = float((post @ n + PSEUDO * START_GOOD) / (n.sum() + PSEUDO))
         before, post = post, posteriors(v, right, good)
         if np.abs(post - before).max() < SETTLED:
