@@ -5,8 +5,8 @@ own between -1 and 1. The integral of w up to t is what the mix has taken from t
 gives each document, by the words that stand before it in the source's stream, its position in training. Sorting
 by position puts all sources in their order.
 
-A source's stream is its documents in a fixed pseudo-random order, again and again until the target is met; the
-last document is cut there. The words before a document are a sum over its source, which may hold any share of
+A source's stream is its documents in a fixed pseudo-random order, again and again until the target is met; mix()
+counts the words up to there, and mixed_documents() takes the last document whole if half of it or more lies before. The words before a document are a sum over its source, which may hold any share of
 all rows: the source is cut into about sqrt(n) buckets of the pseudo-random order, whose sums are added first.
 """
 
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, id_text, written
+from .common import WORD, id_text, quoted, without, written
 
 #: Fixed values of the contract.
 WEIGHTS, MOST_REPEATS = (5, 2, 1), 3
@@ -50,13 +50,14 @@ def targets(sizes: list[int], weights: list[int], most: int = MOST_REPEATS) -> l
         for i in full:
             out[i] = float(most * sizes[i])
         rest -= sum(most * sizes[i] for i in full)
-        open_ = [i for i in open_ if i not in set(full)]
+        done = set(full)
+        open_ = [i for i in open_ if i not in done]
     return out
 
 
 def sized(docs: DataFrame, size: str = "size", order: str = "mix_order") -> DataFrame:
-    """docs with the number of words of each text (null: 0), and the place in the pseudo-random order (28 bits of a hash of doc_id)."""
-    place = F.conv(F.substring(F.md5(F.encode(id_text(), "UTF-8")), 1, 7), 16, 10).cast("bigint")
+    """docs with the number of words of each text (null: 0), and the place in the pseudo-random order (28 bits of a hash of doc_id, or of the text where that is null)."""
+    place = F.conv(F.substring(F.md5(F.encode(F.coalesce(id_text(), "text"), "UTF-8")), 1, 7), 16, 10).cast("bigint")
     return docs.withColumns({size: F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("bigint"), F.lit(0).cast("bigint")), order: F.coalesce(place, F.lit(0).cast("bigint"))})
 
 
@@ -70,14 +71,19 @@ def plan(docs: DataFrame, size: str = "size") -> list[Share]:
     return [Share(r["source"], r["size"], r["n"], t, SLOPES[i % len(SLOPES)]) for i, (r, t) in enumerate(zip(rows, found, strict=True))]
 
 
+NEW = ("source_size", "target", "taken", "mix_slope", "mix_before")
+
+
 def take(docs: DataFrame, shares: list[Share], size: str = "size", order: str = "mix_order") -> DataFrame:
     """docs (as sized() returns them) with source_size, target, taken, mix_slope and mix_before after their columns.
 
     taken: the words that the mix takes, repeats counted, at most MOST_REPEATS times the size. mix_before: the words
     before the document in one pass over its source. Documents without words take nothing. Rows of equal doc_id
-    come in order of size and text; repeated rows share their words in either order.
+    come in order of size and text; repeated rows share their words in either order. Columns of docs with one of the
+    new names are replaced; other names that begin with mix_ are the operator's own.
     """
     spark = docs.sparkSession
+    docs = without(docs, *NEW)
     rows = [
         (i, x.source, x.size, x.target, x.slope, max(1, math.isqrt(x.n_docs)), int(x.target // x.size) if x.size else 0, round(x.target - x.target // x.size * x.size) if x.size else 0)
         for i, x in enumerate(shares)
@@ -90,7 +96,7 @@ def take(docs: DataFrame, shares: list[Share], size: str = "size", order: str =
     inside = Window.partitionBy("mix_no", "mix_bucket").orderBy(order, "doc_id", size, *(["text"] if "text" in docs.columns else []))
     out = with_share.join(before, ["mix_no", "mix_bucket"]).withColumn("mix_before", F.col("mix_start") + F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size))
     part = F.greatest(F.lit(0).cast("bigint"), F.least(F.col(size), F.col("mix_rest") - F.col("mix_before")))
-    return out.withColumn("taken", F.col(size) * F.col("mix_whole") + part).select(*docs.columns, "source_size", "target", "taken", "mix_slope", "mix_before")
+    return out.withColumn("taken", F.col(size) * F.col("mix_whole") + part).select(*quoted(docs), *NEW)
 
 
 def position(copy: str | None = None):
@@ -104,29 +110,27 @@ def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken and position (of the first copy; null if nothing is taken) of every document.
 
     Rows come in order of position, over all partitions, as the documents of the mix do; what isn't taken comes last.
+    A null source is a source of its own.
     """
     slim = written(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", "mix_order"), "mix-sizes")
-    found = take(slim, plan(slim)).withColumn("position", F.when(F.col("taken") > 0, position()))
+    found = take(slim, plan(slim)).withColumn("at", F.when(F.col("taken") > 0, position()))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.asc_nulls_last("position"), "mix_order", "doc_id"]
-    return found.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "size", "source_size", "target", "taken", "position")
+    order = [F.asc_nulls_last("at"), "mix_order", "doc_id"]
+    ordered = found.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", F.round("at", 9).alias("position"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix in order of position, with their own columns: a row for each copy.
+    """The documents of the mix in order of position, with their own columns, whatever their names: a row for each copy.
 
-    A copy of which the mix takes a part only has its first words, joined by one space, as text, and their length as
-    n_chars where docs has that column. Documents of which nothing is taken are left out.
+    Documents come whole, so that a source's words miss its target by half a document at most. Documents without
+    words, and those of which less than half is taken, are left out.
     """
-    own = docs.columns
-    rows = sized(docs, "mix_size")
-    found = take(rows, plan(rows, "mix_size"), "mix_size").where("taken > 0")
-    copies = found.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.expr("cast((taken - 1) div mix_size as int)"))))
-    words = F.least(F.col("mix_size"), F.col("taken") - F.col("mix_copy") * F.col("mix_size"))
-    cut = words < F.col("mix_size")
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, words.cast("int")), " ")
-    copies = copies.withColumns({"mix_cut": cut, "mix_position": position("mix_copy"), "mix_text": F.when(cut, head).otherwise(F.col("text"))})
+    rows = sized(docs.select("doc_id", "source", "text", F.struct(*quoted(docs)).alias("mix_row")))
+    found = take(rows, plan(rows)).where("size > 0")
+    part = F.col("taken") % F.col("size")
+    times = F.expr("taken div size") + F.when(2 * part >= F.col("size"), F.when(part > 0, 1).otherwise(0)).otherwise(0)
+    copies = found.withColumn("mix_times", times.cast("int")).where("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_times") - 1)))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = copies.repartitionByRange(n, "mix_position", "mix_order").sortWithinPartitions("mix_position", "mix_order", "doc_id")
-    value = {"text": F.col("mix_text"), "n_chars": F.when(F.col("mix_cut"), F.length("mix_text").cast("bigint")).otherwise(F.col("n_chars")) if "n_chars" in own else None}
-    return ordered.select(*(value[c].alias(c) if c in value else F.col(f"`{c}`") for c in own))
+    ordered = copies.withColumn("mix_position", position("mix_copy")).repartitionByRange(n, "mix_position", "mix_order").sortWithinPartitions("mix_position", "mix_order", "doc_id")
+    return ordered.select("mix_row.*")

@@ -50,8 +50,7 @@ def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the rows' order is the curriculum; the columns are those of the SQL
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("position")
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,11 +103,12 @@ FROM f
 _OP9 = """
 WITH RECURSIVE s AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-    coalesce(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 7))::BIGINT, 0) AS place
+    coalesce(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text)), 1, 7))::BIGINT, 0) AS place
   FROM documents),
 per AS (
   SELECT source, sum(size)::BIGINT AS source_size,
-    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN -0.5 WHEN 1 THEN 0.5 ELSE 0 END::DOUBLE AS a
   FROM s GROUP BY source),
 fill(step, capped, rest, weights) AS (
   SELECT 0, CAST([] AS VARCHAR[]), (SELECT sum(source_size) FROM per)::BIGINT, (SELECT sum(weight) FROM per WHERE source_size > 0)::BIGINT
@@ -121,15 +121,15 @@ fill(step, capped, rest, weights) AS (
 settled AS (SELECT * FROM fill ORDER BY step DESC LIMIT 1),
 t AS (
   SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0 WHEN list_contains(capped, coalesce('s' || source, 'null')) THEN (3 * source_size)::DOUBLE
-    ELSE (rest * weight)::DOUBLE / weights END AS target
+    ELSE (rest * weight)::DOUBLE / weights END AS target, a
   FROM per, settled),
 r AS (
-  SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size)::BIGINT END AS whole,
+  SELECT doc_id, size, source_size, target, a, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size)::BIGINT END AS whole,
     sum(size) OVER (PARTITION BY s.source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
-  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (size * whole + greatest(0, least(size, round_even(target - whole * source_size, 0)::BIGINT - before)))::BIGINT AS taken
-FROM r
+  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, (size * whole + greatest(0, least(size, round_even(target - whole * source_size, 0)::BIGINT - before)))::BIGINT AS taken, least(1.0, before / target) AS share FROM r)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(2 * share / ((1 - a) + sqrt((1 - a) * (1 - a) + 4 * a * share)), 9) END AS position
+FROM k
 """
 
 ORACLE_SQL: dict[str, str] = {"op3_minmax_dedup": _OP3, "op8_warc_bundles": _OP8, "op9_source_mix": _OP9}
