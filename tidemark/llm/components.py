@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, written
 
 MOST_ROUNDS = 60
 
@@ -30,18 +30,20 @@ def _small(links: DataFrame) -> DataFrame:
     return others.unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label): for each node of links (u, v: bigint, in either order), the smallest node that it is connected with.
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(node, label): for each node of links (u, v: of a type that has an order, in either order), the smallest node that it is connected with.
 
     Rounds of large and small stars, each of which is written to the shared folder, until all
     links are stars around the smallest node. Repeated links and links of a node with itself do no harm;
     a node with no other link doesn't appear. Many links of one node are added up before they are shuffled.
+    The rounds' tables go to scratch, if given.
     """
-    now = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    keep = scratch.written if scratch else written
+    now = keep(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     for _ in range(MOST_ROUNDS):
         if _stars(now):
             break
-        now = written(_small(_large(now)).distinct(), "links")
+        now = keep(_small(_large(now)).distinct(), "links")
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -10,6 +10,10 @@ classes then form components. What is left are pairs of a bucket whose component
 are compared that have enough in common by a bound: shingles that no other class of such a bucket has (an edit
 makes some) can't be in an intersection, and bits in which two sets' parity bitmaps differ are hashes that only one of
 them has. The bounds drop no pair that is similar enough.
+
+A bucket, a shingle or a class may hold any share of the rows. Wherever rows meet a table by such a key, the rows of
+a frequent key are dealt to slices and the table's row is repeated for each (skew_join); where the rows of a bucket
+meet each other, a large bucket is a grid of slices by slices. No task gets more than a few thousand rows of a key.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, map_batches, mix64, session_defaults, texts, with_columns, written
+from .common import Scratch, ddl, free, map_batches, mix64, quoted, session_defaults, texts, with_columns, written
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 80
@@ -33,6 +37,9 @@ MISS = 1e-5
 #: Rows of a table that may be broadcast (8 bytes each); beyond that, it is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of a key that stay together; and how many keys may have more, at most: with more rows in all, a key has to have its share of them.
+SLICE, HOT_KEYS = 1000, 100_000
+
 #: 64-bit words of a set's bitmap: 1024 bits; a power of two of words.
 PARITY = [f"parity_{i}" for i in range(16)]
 
@@ -102,32 +109,52 @@ def band_keys(own: np.ndarray, rows: int) -> np.ndarray:
 
 
 def set_digest(own: np.ndarray) -> bytes:
+    """A class's name, by which all documents with this set are one."""
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def node_of(digest: bytes) -> int:
-    """A class's number: half of its digest."""
-    return int.from_bytes(digest[:8], "little", signed=True)
-
-
 def _describe(docs: DataFrame, k: int, rows: int) -> DataFrame:
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, nodes, keys = [], [], []
         for text in texts(batch):
             own = shingles(text, k)
             n.append(len(own))
-            nodes.append(node_of(set_digest(own)) if len(own) else None)
+            nodes.append(set_digest(own) if len(own) else None)
             keys.append(band_keys(own, rows) if len(own) else None)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "keys"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "keys"])
 
-    return map_batches(docs.select("doc_id", "text"), step, "doc_id bigint, n bigint, node bigint, keys array<bigint>")
+    return map_batches(docs.select("doc_id", "text"), step, "doc_id bigint, n bigint, node binary, keys array<bigint>")
 
 
 def _few(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if its rows (one or two longs) are few enough."""
+    """df (a written table), to be broadcast if its rows (a long and a digest) are few enough."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def frequent(counts: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(key, slices) of the keys of counts (key, size) that have more than SLICE rows and more than one of HOT_KEYS parts of all rows; so there are fewer than HOT_KEYS. None without any."""
+    most, total = counts.agg(F.max("size"), F.sum("size")).first()
+    bound = max(SLICE, (total or 0) // HOT_KEYS)
+    if (most or 0) <= bound:
+        return None
+    return scratch.written(counts.where(F.col("size") > bound).select("key", F.ceil(F.col("size") / SLICE).cast("int").alias("slices")), "dedup-frequent")
+
+
+def skew_join(rows: DataFrame, table: DataFrame, key: str, spread: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with table (one row for each key) by key. Rows of a key in hot, as frequent() gives them, are dealt to its slices by spread, and the table's row is there for each slice."""
+    if hot is None:
+        return rows.join(table, key, how)
+    hot = F.broadcast(hot.withColumnRenamed("key", key))  # fewer than HOT_KEYS rows
+    one = F.coalesce("slices", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("slice", F.pmod(F.xxhash64(spread), one).cast("int")).drop("slices")
+    spread_out = table.join(hot, key, "left").withColumn("slice", F.explode(F.sequence(F.lit(0), one - 1))).drop("slices")
+    return dealt.join(spread_out, [key, "slice"], how).drop("slice")
+
+
+def _counted(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("size"))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, own) for the wanted classes (node, doc_id): the full set of each, made again from a document's text."""
 
@@ -136,18 +163,23 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         for node, text in zip(batch.column("node").to_pylist(), texts(batch), strict=True):
             own = shingles(text, k)
             # another document may have the same doc_id
-            if len(own) and node_of(set_digest(own)) == node:
-                nodes.append(node)
+            if len(own) and (digest := set_digest(own)) == (node or digest):
+                nodes.append(digest)
                 sets.append(own.tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "own"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "own"])
 
-    rows = docs.select("doc_id", "text").join(_few(wanted), "doc_id")
-    return map_batches(rows.select("node", "text"), step, "node bigint, own binary").dropDuplicates(["node"])
+    rows = docs.select("doc_id", "text").join(_few(wanted.where("doc_id is not null")), "doc_id").select("node", "text")
+    # of classes without any doc_id, the sets of all documents without one
+    lost = docs.where("doc_id is null").select(F.lit(None).cast("binary").alias("node"), "text")
+    nameless = map_batches(lost, step, "node binary, own binary").join(wanted.where("doc_id is null").select("node"), "node", "left_semi")
+    return map_batches(rows, step, "node binary, own binary").unionByName(nameless).dropDuplicates(["node"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Those pairs (u, v) whose full sets are similar enough."""
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v").select("u", "v", "a", "b")
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """Those pairs (u, v) whose full sets are similar enough. A class that is in many pairs has its set in each slice of them."""
+    first, second = (frequent(_counted(pairs, c), scratch) for c in ("u", "v"))
+    both = skew_join(pairs, sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u", "v", first)
+    both = skew_join(both, sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v", "u", second).select("u", "v", "a", "b")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -157,61 +189,66 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
             keep.append(100 * common >= threshold * (len(x) + len(y) - common))
         return batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
-    return map_batches(both, step, "u bigint, v bigint")
+    return scratch.written(map_batches(both, step, "u binary, v binary"), "dedup-links")
 
 
-def link_classes(docs: DataFrame, described: DataFrame, k: int, threshold: int) -> DataFrame:
+def link_classes(docs: DataFrame, described: DataFrame, k: int, threshold: int, scratch: Scratch) -> DataFrame:
     """(node, label) for all classes that are linked with another one; described is what _describe() gives for docs."""
+    keep = scratch.written
     classes = described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    classes = written(classes, "dedup-classes")
+    classes = keep(classes, "dedup-classes")
     bands = classes.select(F.explode("keys").alias("key"), "node", "n")
     # of each bucket, one class that all others are compared with; buckets of one class end here
-    anchors = bands.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node").alias("turn"), "node", "n")).alias("anchor")).where("size > 1").select("key", "anchor")
+    anchors = bands.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node").alias("turn"), "node", "n")).alias("anchor")).where("size > 1")
+    anchors = keep(anchors.select("key", "size", F.col("anchor.node").alias("other"), F.col("anchor.n").alias("other_n")), "dedup-anchors")
+    hot = frequent(anchors.select("key", "size"), scratch)
     near = F.expr(f"100 * least(n, other_n) >= {threshold} * greatest(n, other_n)")
-    shared = written(bands.join(anchors, "key").select("key", "node", "n", F.col("anchor.node").alias("other"), F.col("anchor.n").alias("other_n")), "dedup-buckets")
+    shared = keep(skew_join(bands, anchors.drop("size"), "key", "node", hot), "dedup-buckets")
     ordered = [F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")]
-    pairs = written(shared.where(near & (F.col("node") != F.col("other"))).select(*ordered).distinct(), "dedup-pairs")
+    pairs = keep(shared.where(near & (F.col("node") != F.col("other"))).select(*ordered).distinct(), "dedup-pairs")
     buckets = shared.select("key", "node", "n")
-    members = buckets.select("node").distinct().join(classes.select("node", "doc_id"), "node")
-    sets = written(_sets(docs, members, k), "dedup-sets")
-    links = written(_linked(pairs, sets, threshold), "dedup-links")
-    labels = written(components(links), "dedup-stars")
-    rows = written(buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")), "dedup-rows")
+    members = keep(buckets.select("node").distinct().join(classes.select("node", "doc_id"), "node"), "dedup-members")
+    sets = keep(_sets(docs, members, k), "dedup-sets")
+    labels = keep(components(_linked(pairs, sets, threshold, scratch), scratch), "dedup-stars")
+    rows = keep(buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")), "dedup-rows")
     apart = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    rows = rows.join(apart, "key", "left_semi")
+    rows = keep(skew_join(rows, apart, "key", "node", hot), "dedup-apart")
     # what a class may have in common with any other one here: its shingles that another class here has too
     there = sets.join(rows.select("node").distinct(), "node", "left_semi")
-    tokens = map_batches(there, _tokens, "node bigint, token array<int>").select("node", F.explode("token").alias("token"))
-    common = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    most = tokens.join(common, "token", "left_semi").groupBy("node").agg(F.count("*").alias("most"))
+    tokens = keep(map_batches(there, _tokens, "node binary, token array<int>"), "dedup-tokens").select("node", F.explode("token").alias("token"))
+    common = keep(_counted(tokens, "token").where("size > 1"), "dedup-common")
+    most = skew_join(tokens, common.select(F.col("key").alias("token")), "token", "node", frequent(common, scratch)).groupBy("node").agg(F.count("*").alias("most"))
     rows = rows.join(most, "node").select("key", "node", "n", "label", F.least("most", "n").alias("most"))
     # a class that can't be similar enough to one of the shortest of its bucket, or of the best length, is done there
     bounds = rows.groupBy("key").agg(F.min("n").alias("shortest"))
-    rows = rows.join(bounds, "key").withColumn("best", F.greatest("most", "shortest")).where(f"100 * most >= {threshold} * (n + best - most)").select("key", "node", "n", "label", "most")
-    rows = written(rows, "dedup-open")
+    rows = skew_join(rows, bounds, "key", "node", hot).withColumn("best", F.greatest("most", "shortest")).where(f"100 * most >= {threshold} * (n + best - most)").select("key", "node", "n", "label", "most")
+    rows = keep(rows, "dedup-open")
     # then with the class of the bucket that has the least of its own, as the middle of a group does
     middle = rows.groupBy("key").agg(F.max(F.struct((F.col("most") / F.col("n")).alias("share"), "node", "n", "most", "label")).alias("m")).select("key", *(F.col(f"m.{c}").alias(f"other_{c}") for c in ("node", "n", "label", "most")))
     both_most = F.expr(f"100 * least(most, other_most) >= {threshold} * (n + other_n - least(most, other_most))")
     unlike = near & (F.col("label") != F.col("other_label")) & both_most
     pair = [F.least("node", "other_node").alias("u"), F.greatest("node", "other_node").alias("v")]
-    second = written(rows.join(middle, "key").where(unlike).select(*pair).distinct().join(pairs, ["u", "v"], "left_anti"), "dedup-pairs")
-    more = written(_linked(second, sets, threshold), "dedup-links")
+    second = keep(skew_join(rows, middle, "key", "node", hot).where(unlike).select(*pair).distinct().join(pairs, ["u", "v"], "left_anti"), "dedup-pairs")
+    more = _linked(second, sets, threshold, scratch)
     if more.limit(1).count():
-        labels = written(components(_as_links(labels).unionByName(more)), "dedup-stars")
-        rows = rows.drop("label").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"), "most")
+        labels = keep(components(_as_links(labels).unionByName(more), scratch), "dedup-stars")
+        rows = keep(rows.drop("label").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"), "most"), "dedup-open")
     parts = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
-    tops = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "label")).alias("top")).where("parts > 1").select("key", F.col("top.label").alias("top"))
-    open_ = rows.join(tops, "key")
-    maps = map_batches(sets.join(open_.select("node").distinct(), "node", "left_semi"), _parities, f"node bigint, {', '.join(f'{c} bigint' for c in PARITY)}")
-    open_ = open_.join(maps, "node")
-    others = open_.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "label", "most", "top", *PARITY)))
+    tops = keep(parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top")).where("parts > 1").select("key", "size", F.col("top.label").alias("top")), "dedup-tops")
+    maps = map_batches(sets.join(rows.select("node").distinct(), "node", "left_semi"), _parities, f"node binary, {', '.join(f'{c} bigint' for c in PARITY)}")
+    open_ = keep(skew_join(rows, tops, "key", "node", hot).join(maps, "node"), "dedup-open")
+    # a large bucket is a grid: each class is in one row of it and all columns on one side, and the other way round on the other side
+    slices = F.ceil(F.col("size") / SLICE).cast("int")
+    own, all_ = F.pmod(F.xxhash64("node"), slices).cast("int"), F.explode(F.sequence(F.lit(0), slices - 1))
+    left = open_.where("label <> top").withColumn("row", own).withColumn("column", all_).drop("top", "size")
+    others = open_.withColumn("column", own).withColumn("row", all_).select("key", "row", "column", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "label", "most", "top", *PARITY)))
     once = (F.col("other_label") == F.col("other_top")) | (F.col("node") < F.col("other_node"))
-    found = open_.where("label <> top").drop("top").join(others, "key").where(unlike & once & _near_parity(threshold))
+    found = left.join(others, ["key", "row", "column"]).where(unlike & once & _near_parity(threshold))
     fresh = found.select(*pair).distinct().join(pairs.unionByName(second), ["u", "v"], "left_anti")
-    more = written(_linked(written(fresh, "dedup-pairs"), sets, threshold), "dedup-links")
+    more = _linked(keep(fresh, "dedup-pairs"), sets, threshold, scratch)
     if not more.limit(1).count():
         return labels
-    return components(_as_links(labels).unionByName(more))
+    return components(_as_links(labels).unionByName(more), scratch)
 
 
 def _as_links(labels: DataFrame) -> DataFrame:
@@ -252,39 +289,46 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
 
 
 def _components(docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """doc_id, n, node, component_id and rep_node of every document, written; the tables on the way to it are deleted."""
     session_defaults(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    described = written(_describe(docs, k, rows_per_band(threshold)), "dedup-documents")
-    labels = written(link_classes(docs, described, k, threshold), "dedup-labels")
+    described = scratch.written(_describe(docs, k, rows_per_band(threshold)), "dedup-documents")
+    labels = scratch.written(link_classes(docs, described, k, threshold, scratch), "dedup-labels")
     slim = described.select("doc_id", "n", "node")
-    named = slim.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
+    classes = scratch.written(slim.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")), "dedup-classes")
+    named = classes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("rep"))
     by_node = named.join(least, "label").select("node", F.col("rep.first").alias("component_id"), F.col("rep.node").alias("rep_node"))
-    # a class may hold any share of the rows: they meet one row of by_node, and Spark splits such a partition
-    out = slim.where("node is not null").join(by_node, "node").select("doc_id", "n", "node", "component_id", "rep_node")
+    # a class may hold any share of the rows
+    hot = frequent(classes.select(F.col("node").alias("key"), "size"), scratch)
+    numbered = slim.where("node is not null").withColumn("turn", F.monotonically_increasing_id())
+    out = skew_join(numbered, by_node, "node", "turn", hot).select("doc_id", "n", "node", "component_id", "rep_node")
     empty = slim.where("node is null").select("doc_id", "n", "node", F.col("doc_id").alias("component_id"), F.col("node").alias("rep_node"))
-    return out.unionByName(empty)
+    found = written(out.unionByName(empty), "dedup-found")
+    scratch.clear()
+    return found
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """One document of each component of docs, with its own columns: one with the smallest doc_id.
+    """One document of each component of docs, with its own columns, whatever their names: one with the smallest doc_id.
 
     Of repeated rows, one stays. Documents without words all stay.
     """
-    found = written(_components(docs, k, threshold), "dedup-found")
+    found = _components(docs, k, threshold)
+    (own_node,) = free(docs, "dedup_node")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("node").eqNullSafe(F.col("rep_node"))
-    repeated = found.where(stays & F.col("node").isNotNull()).groupBy("doc_id", "node").agg(F.count("*").alias("n_rows")).where("n_rows > 1").select(F.col("doc_id").alias("twice_id"), F.col("node").alias("twice_node"))
-    gone = _few(found.where(~stays).select(F.col("doc_id").alias("gone_id"), F.col("node").alias("gone_node")).distinct())
+    repeated = written(found.where(stays & F.col("node").isNotNull()).groupBy("doc_id", "node").agg(F.count("*").alias("n_rows")).where("n_rows > 1").select("doc_id", "node"), "dedup-repeated")
+    gone = _few(written(found.where(~stays).select("doc_id", "node").distinct(), "dedup-gone"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(x, k) for x in texts(batch)]
-        return with_columns(batch, dedup_node=pa.array([node_of(set_digest(x)) if len(x) else None for x in sets], pa.int64()))
+        return with_columns(batch, **{own_node: pa.array([set_digest(x) if len(x) else None for x in sets], pa.binary())})
 
-    own = map_batches(docs, step, ddl(docs, "dedup_node bigint"))
-    left = own.join(gone, own["doc_id"].eqNullSafe(gone["gone_id"]) & own["dedup_node"].eqNullSafe(gone["gone_node"]), "left_anti")
+    own = map_batches(docs, step, ddl(docs, f"`{own_node}` binary"))
+    meets = lambda other: own["doc_id"].eqNullSafe(other["doc_id"]) & own[own_node].eqNullSafe(other["node"])
+    left = own.join(gone, meets(gone), "left_anti")
     if repeated.limit(1).count():
-        meets = left["doc_id"].eqNullSafe(repeated["twice_id"]) & left["dedup_node"].eqNullSafe(repeated["twice_node"])
-        again = left.join(repeated, meets, "left_semi").dropDuplicates(["doc_id", "dedup_node"])
-        left = left.join(repeated, meets, "left_anti").unionByName(again)
-    return left.select(*docs.columns)
-
+        again = left.join(repeated, meets(repeated), "left_semi").dropDuplicates(["doc_id", own_node])
+        left = left.join(repeated, meets(repeated), "left_anti").unionByName(again)
+    return left.select(*quoted(docs))
