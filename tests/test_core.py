@@ -1,13 +1,15 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions import finance
 from tidemark.operators import guard, joins, panel, portfolio
 from tidemark.plans.declaration import Declaration, PlanError, read_plan
-from tidemark.plans.folds import folds
+from tidemark.plans.folds import check_fits, fitted_folds, folds
 from tidemark.sources import files
+from tidemark.streaming.guard import guarded_stream
 
 
 def test_as_of_keeps_the_boundary(spark):
@@ -74,3 +76,65 @@ def test_locator_and_manifest(spark, tmp_path):
     (tmp_path / "a.csv").write_text("k,v\nx,1\n")
     assert [tuple(r)[:2] for r in files.manifest(spark, str(tmp_path)).collect()] == [("a.csv", 8)]
     assert files.read(spark, "csv", [str(tmp_path / "a.csv")]).collect()[0]["v"] == 1
+
+
+@pytest.mark.parametrize("zone", ["America/Los_Angeles", "Asia/Tokyo", "UTC"])
+@pytest.mark.parametrize("kind", ["TIMESTAMP", "TIMESTAMP_NTZ", "TEXT"])
+def test_guard_compares_instants_in_any_session(spark, zone, kind):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        # instants of 11:59, 12:00 and 20:00 in UTC
+        values = {"TIMESTAMP": "TIMESTAMP '2026-08-12 {} UTC'", "TIMESTAMP_NTZ": "TIMESTAMP_NTZ '2026-08-12 {}'", "TEXT": "'2026-08-12T{}Z'"}[kind]
+        df = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, {values.format(x)})" for i, x in enumerate(("11:59:00", "12:00:00", "20:00:00"))) + " AS t(e, known)")
+        plan = read_plan(Declaration("t", "e", "known", "known"), "2026-08-12T12:00:00Z")
+        seen = Observation()
+        assert sorted(r["e"] for r in guard.guarded(df, plan, seen).collect()) == [0, 1]
+        assert seen.get == {"input_rows": 3, "output_rows": 2, "dropped_rows": 1}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+@pytest.mark.parametrize("clock", ["CAST(NULL AS TIMESTAMP_NTZ)", "CAST(NULL AS TIMESTAMP)", "'soon'", "'2026-08-12T12:00:00'", "CAST(NULL AS STRING)"])
+def test_null_or_unreadable_clock_breaks_c1(spark, tmp_path, clock):
+    spark.sql(f"SELECT 1 AS e, {clock} AS known").write.parquet(str(tmp_path / "t"))
+    df, plan = spark.read.parquet(str(tmp_path / "t")), read_plan(Declaration("t", "e", "known", "known"), "2026-08-12")
+    with pytest.raises(Exception, match="C1"):
+        guard.guarded(df, plan).collect()
+    assert tuple(guard.audit(df, "known", "2026-08-12 00:00:00").first()) == (1, 0, 1, 1)
+
+
+def test_number_is_no_clock(spark):
+    with pytest.raises(PlanError, match="C1"):
+        guard.guarded(spark.range(1).withColumn("known", F.lit(5)), read_plan(Declaration("t", "id", "known", "known"), "2026-08-12"))
+
+
+def test_guarded_stream(spark, tmp_path):
+    spark.sql("SELECT * FROM VALUES (1, TIMESTAMP '2026-08-11 00:00:00 UTC'), (2, TIMESTAMP '2026-08-13 00:00:00 UTC') AS t(e, known)").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("e int, known timestamp").parquet(str(tmp_path / "in"))
+    counts = guarded_stream(stream, "known", "2026-08-12 00:00:00").groupBy(F.window("known", "1 day")).agg(F.sum("e").alias("s"))
+    run = counts.writeStream.format("memory").queryName("guarded").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert [r["s"] for r in spark.table("guarded").collect()] == [1]
+
+
+def test_composite_fails_closed(spark):
+    primary = spark.createDataFrame([("a", 1, True), ("b", 2, True)], "k string, available int, tradable boolean")
+    member = lambda rows: spark.createDataFrame(rows, "k string, member_available int, member boolean")
+    got = joins.composite(primary, member([("a", 3, True), ("b", 1, False), ("c", 1, None)]), ["k"]).collect()
+    assert sorted((r["k"], r["available"], r["eligible"]) for r in got) == [("a", 3, True), ("b", 2, False)]
+    for bad in ([("a", 1, True)], [("a", 1, True), ("b", 1, True), ("b", 2, True)], [("a", 1, True), ("b", 1, None)]):
+        with pytest.raises(Exception, match="C4"):
+            joins.composite(primary, member(bad), ["k"]).collect()
+
+
+def test_folds_fit_the_schedule(spark):
+    for sessions in (0, 18, 19, 23, 24, 100):
+        got = [tuple(r) for r in fitted_folds(spark.range(1).select(F.lit(sessions).alias("n")), 10, 5, 3, 1, 3).orderBy("fold").collect()]
+        room = max(0, (sessions - 14) // 5)
+        assert got == [(f.fold, f.train_start, f.train_end, f.oos_start, f.oos_end) for f in folds(room, 10, 5, 3, 1, 3)]
+        if room:
+            check_fits(folds(room, 10, 5, 3, 1, 3), sessions)
+            for bad in (room + 1, room - 1):
+                with pytest.raises(PlanError, match="C2"):
+                    check_fits(folds(bad, 10, 5, 3, 1, 3), sessions)

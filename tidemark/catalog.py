@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from .functions import finance
 from .operators import gates, guard, joins, null, panel, portfolio, pricing, regression
 from .plans.declaration import Declaration, read_plan
-from .plans.folds import fold_table, folds
+from .plans.folds import fitted_folds
 
 AS_OF = "1998-06-30 00:00:00"
 EVENTS_AS_OF = "2024-01-15 00:00:00"
 ORDERS = Declaration("orders", "o_custkey", "event_time", "available_time", "tradable")
 EVENTS = Declaration("events", "user_id", "ts")
 LOOKBACKS, CADENCE, HORIZON, QUANTILE, BPS = (3, 5, 10, 20), 5, 10, 0.2, 10.0
-FOLDS = folds(4, 500, 250, 10, 5, 10)
+#: Sessions to train on, out of sample, and between the two; as many folds as the calendar has room for.
+TRAIN, OOS, PURGE, EMBARGO = 500, 250, 10, 5
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,10 +38,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines: known when ordered and shipped."""
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("event_time"))
-    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", (F.col("l_returnflag") != "R").alias("tradable"))
+def _facts(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
+    """Order lines: known when ordered and shipped. Of both dates, the scans leave out those after until; the guard stays on top."""
+    orders, lines = (_table(spark, sf_dir, name) for name in ("orders", "lineitem"))
+    if until:
+        early = lambda c: F.col(c).isNull() | (F.col(c) <= F.lit(until).cast("timestamp_ntz"))
+        orders, lines = orders.where(early("o_orderdate")), lines.where(early("l_shipdate"))
+    orders = orders.select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("event_time"))
+    lines = lines.select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", (F.col("l_returnflag") != "R").alias("tradable"))
     rows = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"])
     return rows.select("o_orderkey", "l_linenumber", "o_custkey", "event_time", F.greatest("event_time", "l_shipdate").alias("available_time"), "tradable", F.col("l_extendedprice").alias("value"))
 
@@ -90,7 +95,7 @@ def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_FACTS} SELECT o_orderkey, l_linenumber, o_custkey, available_time, value FROM facts WHERE available_time <= TIMESTAMP '{AS_OF}'")
 def point_view_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = read_plan(ORDERS, AS_OF.replace(" ", "T") + "Z", ["o_orderkey", "l_linenumber", "o_custkey", "available_time", "value"])
-    return guard.guarded(_facts(spark, sf_dir), plan)
+    return guard.guarded(_facts(spark, sf_dir, AS_OF), plan)
 
 
 @query(f"SELECT event_id, user_id, ts, value FROM events WHERE ts <= TIMESTAMP '{EVENTS_AS_OF}'")
@@ -101,7 +106,8 @@ def event_time_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT user_id, arg_max(value, (ts, event_id)) AS latest, count(*) AS n FROM events WHERE ts <= TIMESTAMP '{EVENTS_AS_OF}' AND event_type <> 'error' GROUP BY user_id")
 def latest_value_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "events").where(guard.as_of(F.col("ts"), EVENTS_AS_OF) & (F.col("event_type") != "error"))
+    rows = _table(spark, sf_dir, "events")
+    rows = rows.where(guard.as_of(rows, "ts", EVENTS_AS_OF) & (F.col("event_type") != "error"))
     return rows.groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("latest"), F.count("*").alias("n"))
 
 
@@ -111,10 +117,22 @@ def guard_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.audit(_facts(spark, sf_dir), "available_time", AS_OF)
 
 
+@query(f"""WITH c AS (SELECT CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderkey % 89 = 0 THEN 'soon' WHEN o_orderkey % 83 = 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
+    WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+02:00' END AS clock,
+  CASE WHEN o_orderkey % 97 <> 0 AND o_orderkey % 89 <> 0 AND o_orderkey % 83 <> 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN date_trunc('day', o_orderdate) ELSE o_orderdate - INTERVAL 2 HOUR END END AS moment FROM orders)
+SELECT count(*) AS input_rows, count(*) FILTER (moment <= TIMESTAMP '{AS_OF}') AS output_rows, count(*) FILTER (moment > TIMESTAMP '{AS_OF}' OR moment IS NULL) AS dropped_rows, count(*) FILTER (moment IS NULL) AS invalid_rows FROM c""")
+def guard_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clocks as text: dates, instants with a zone, and three kinds that are no instants."""
+    key, date = F.col("o_orderkey"), F.col("o_orderdate")
+    clock = F.when(key % 97 == 0, None).when(key % 89 == 0, "soon").when(key % 83 == 0, F.date_format(date, "yyyy-MM-dd HH:mm:ss"))
+    clock = clock.when(key % 2 == 0, F.date_format(date, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(date, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
+    return guard.audit(_table(spark, sf_dir, "orders").select(clock.alias("clock")), "clock", AS_OF)
+
+
 @query(f"WITH {_FACTS} SELECT o_custkey, event_time, available_time, tradable, value FROM facts WHERE available_time <= TIMESTAMP '{AS_OF}'")
 def panel_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = read_plan(ORDERS, AS_OF.replace(" ", "T") + "Z", ["o_custkey", "event_time", "available_time", "tradable", "value"])
-    return guard.guarded(_facts(spark, sf_dir), plan)
+    return guard.guarded(_facts(spark, sf_dir, AS_OF), plan)
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -130,13 +148,19 @@ _SIDES = f"""{_PANEL}, m AS (SELECT entity, t, t + CASE WHEN entity % 5 = 0 THEN
 @query(f"""WITH {_SIDES} SELECT entity, p.t, greatest(p.t, member_available) AS available, tradable AND member AS eligible FROM panel p JOIN m USING (entity, t)""")
 def composite_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     primary, members = _sides(spark, sf_dir)
-    return joins.composite(primary, members, ["entity", "t"]).where("matched").select("entity", "t", "available", "eligible")
+    return joins.composite(primary.where("entity % 7 <> 0"), members, ["entity", "t"]).select("entity", "t", "available", "eligible")
 
 
-@query(f"""WITH {_SIDES} SELECT (SELECT count(*) FROM panel)::BIGINT AS primary_rows, (SELECT count(*) FROM m)::BIGINT AS membership_rows,
-  (SELECT count(*) FROM panel JOIN m USING (entity, t))::BIGINT AS matched_rows, 0::BIGINT AS unused_rows, 0::BIGINT AS repeated_keys""")
+@query(f"""WITH {_SIDES}, u AS (SELECT entity, t FROM m UNION ALL SELECT entity, t FROM m WHERE entity % 11 = 0 UNION ALL SELECT entity, t + 100000 FROM m WHERE entity % 13 = 0),
+keys AS (SELECT entity, t, count(*) AS n FROM u GROUP BY ALL)
+SELECT (SELECT count(*) FROM panel)::BIGINT AS primary_rows, (SELECT count(*) FROM u)::BIGINT AS membership_rows, (SELECT count(*) FROM panel SEMI JOIN keys USING (entity, t))::BIGINT AS matched_rows,
+  (SELECT coalesce(sum(n), 0) FROM keys ANTI JOIN panel USING (entity, t))::BIGINT AS unused_rows, (SELECT count(*) FROM keys WHERE n > 1)::BIGINT AS repeated_keys""")
 def composite_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.coverage(*_sides(spark, sf_dir), ["entity", "t"])
+    """Membership with repeated keys, and with keys that no primary row has."""
+    primary, members = _sides(spark, sf_dir)
+    keys = members.select("entity", "t")
+    unused = keys.where("entity % 13 = 0").withColumn("t", F.col("t") + 100000)
+    return joins.coverage(primary, keys.unionByName(keys.where("entity % 11 = 0")).unionByName(unused), ["entity", "t"])
 
 
 @query("""WITH o AS (SELECT user_id, event_type, count(*) AS n_output FROM events GROUP BY ALL),
@@ -245,18 +269,24 @@ def overlapping_books_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily(spark, sf_dir).withColumn("gross", F.round("gross", 7))
 
 
-_FOLDS = "folds(fold, train_start, train_end, oos_start, oos_end) AS (VALUES " + ", ".join(f"({f.fold}, {f.train_start}, {f.train_end}, {f.oos_start}, {f.oos_end})" for f in FOLDS) + ")"
+def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few rows: one for each OOS sessions of the calendar."""
+    return fitted_folds(_table(spark, sf_dir, "lineitem").agg(F.count_distinct("l_shipdate").cast("int").alias("n")), TRAIN, OOS, PURGE, EMBARGO, HORIZON)
+
+
+_FOLDS = f"""folds AS (SELECT k::INT AS fold, 0 AS train_start, ({TRAIN} + k * {OOS} - 1)::INT AS train_end, ({TRAIN + PURGE + EMBARGO} + k * {OOS})::INT AS oos_start, ({TRAIN + PURGE + EMBARGO} + (k + 1) * {OOS} - 1)::INT AS oos_end
+  FROM (SELECT unnest(range(n // {OOS} + 1)) AS k, n FROM (SELECT count(DISTINCT l_shipdate) AS n FROM lineitem)) WHERE {TRAIN + PURGE + EMBARGO} + (k + 1) * {OOS} <= n)"""
 
 
 @query(f"WITH {_FOLDS} SELECT * FROM folds")
 def fold_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold_table(spark, FOLDS)
+    return _folds(spark, sf_dir)
 
 
 @query(f"""WITH {_PANEL}, {_FOLDS} SELECT fold, count(*) FILTER (t BETWEEN train_start AND train_end) AS train_rows, count(*) FILTER (t BETWEEN oos_start AND oos_end) AS oos_rows,
   count(*) FILTER (t > train_end AND t < oos_start) AS gap_rows FROM folds JOIN panel ON t BETWEEN train_start AND oos_end GROUP BY fold""")
 def fold_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, rows = fold_table(spark, FOLDS), _panel(spark, sf_dir).groupBy("t").agg(F.count("*").alias("n"))
+    table, rows = _folds(spark, sf_dir), _panel(spark, sf_dir).groupBy("t").agg(F.count("*").alias("n"))
     both = rows.join(F.broadcast(table), F.col("t").between(F.col("train_start"), F.col("oos_end")))
     n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     return both.groupBy("fold").agg(n(F.col("t").between(F.col("train_start"), F.col("train_end"))).alias("train_rows"), n(F.col("t").between(F.col("oos_start"), F.col("oos_end"))).alias("oos_rows"), n((F.col("t") > F.col("train_end")) & (F.col("t") < F.col("oos_start"))).alias("gap_rows"))
@@ -266,7 +296,7 @@ def fold_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT fold, decision::INT AS decision, count(*) AS history_rows, count(*) FILTER (NOT tradable) AS masked_rows, count(*) FILTER (tradable) AS output_rows, count(*) FILTER (tradable AND t = decision) AS decision_rows
 FROM d JOIN panel ON t BETWEEN hist_start AND decision GROUP BY fold, decision""")
 def verification_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decisions = fold_table(spark, FOLDS).select("fold", F.col("train_start").alias("hist_start"), F.explode(F.sequence("oos_start", "oos_end", F.lit(HORIZON))).alias("decision"))
+    decisions = _folds(spark, sf_dir).select("fold", F.col("train_start").alias("hist_start"), F.explode(F.sequence("oos_start", "oos_end", F.lit(HORIZON))).alias("decision"))
     # the audit needs counts only: sessions are added up first, so that decisions meet sessions, not rows
     rows = _panel(spark, sf_dir).groupBy("t").agg(F.count("*").alias("n"), F.count_if("tradable").alias("ok"))
     both = rows.join(F.broadcast(decisions), F.col("t").between(F.col("hist_start"), F.col("decision")))
@@ -281,7 +311,7 @@ def _metrics() -> list:
 
 
 def _by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _daily(spark, sf_dir).join(F.broadcast(fold_table(spark, FOLDS)), F.col("t").between(F.col("oos_start"), F.col("oos_end")))
+    return _daily(spark, sf_dir).join(F.broadcast(_folds(spark, sf_dir)), F.col("t").between(F.col("oos_start"), F.col("oos_end")))
 
 
 @query(f"WITH {_BOOK}, {_FOLDS} SELECT fold, count(*) AS n, {_METRICS} FROM daily JOIN folds ON t BETWEEN oos_start AND oos_end GROUP BY fold")
@@ -347,10 +377,17 @@ def basis_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", basis.alias("basis"), "o_orderkey")
 
 
-@query("""SELECT count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS result_hash FROM (SELECT sha256(concat_ws('|', n_nationkey, n_name, n_regionkey)) AS h FROM nation)""")
+_PARTS = range(1, 61, 15)
+
+
+@query(f"""SELECT count(*) AS n, {', '.join(f"sum(('0x' || substr(h, {i}, 15))::BIGINT)::HUGEINT::VARCHAR AS part_{i}" for i in _PARTS)}
+FROM (SELECT sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'))) AS h FROM orders)""")
 def row_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "nation").select(F.sha2(F.concat_ws("|", "n_nationkey", "n_name", "n_regionkey"), 256).alias("h"))
-    return rows.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("result_hash"))
+    """A hash of a table's rows whatever their order: parts of each row's hash are added up, so that no list of hashes meets in one place."""
+    cells = F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    rows = _table(spark, sf_dir, "orders").select(F.sha2(cells, 256).alias("h"))
+    parts = [F.sum(F.conv(F.substring("h", i, 15), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"part_{i}") for i in _PARTS]
+    return rows.agg(F.count("*").alias("n"), *parts)
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,7 +430,7 @@ def lookback_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     tall = x.unpivot(["t", "y"], [str(k) for k in LOOKBACKS], "lookback", "m").where("m is not null and y is not null")
     m, y = F.col("m"), F.col("y")
     sums = tall.groupBy("lookback", "t").agg(F.sum(m * y).alias("my"), F.sum(m * m).alias("mm"), F.sum(y * y).alias("yy"))
-    rows = sums.join(F.broadcast(fold_table(spark, FOLDS)), F.col("t").between(F.col("train_start"), F.col("train_end")))
+    rows = sums.join(F.broadcast(_folds(spark, sf_dir)), F.col("t").between(F.col("train_start"), F.col("train_end")))
     scores = rows.groupBy("fold", F.col("lookback").cast("int").alias("lookback")).agg(F.round(F.try_divide(F.sum("my"), F.sqrt(F.sum("mm") * F.sum("yy"))), 6).alias("score"))
     return scores.withColumn("place", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc_nulls_last("score"), "lookback"))).where("place = 1").drop("place")
 
@@ -443,14 +480,16 @@ CAPITAL, MOST_PARTICIPATION = 1e4, 0.05
 def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     traded = _trades(spark, sf_dir).join(_panel(spark, sf_dir), ["entity", "t"], "left")
     returns = _by_fold(spark, sf_dir)
-    costs = returns.select("gross", (F.abs("gross") * 0.1).alias("cost"))
+    cost = _trades(spark, sf_dir).groupBy("t").agg(F.sum(finance.linear_cost(F.col("change"), BPS)).alias("cost"))
+    costs = returns.join(cost, "t", "left").select("gross", F.coalesce("cost", F.lit(0.0)).alias("cost"))
     return gates.report(gates.capacity(traded, CAPITAL, MOST_PARTICIPATION), gates.cost_stress(costs), gates.stability(returns.select("fold", F.col("gross").alias("r"))))
 
 
 _GATES = f"""{_BOOK}{_TRADES.removeprefix(_signal_sql())}, {_FOLDS},
 shares AS (SELECT CASE WHEN price > 0 AND volume > 0 THEN abs(change) * {CAPITAL} / (price * volume) END AS share FROM trades LEFT JOIN panel USING (entity, t)),
-oos AS (SELECT fold, gross FROM daily JOIN folds ON t BETWEEN oos_start AND oos_end),
-stressed AS (SELECT count(*) AS n, coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 0) AS s FROM (SELECT gross - {gates.COST_MULTIPLE} * abs(gross) * 0.1 AS r FROM oos)),
+oos AS (SELECT fold, t, gross FROM daily JOIN folds ON t BETWEEN oos_start AND oos_end),
+c AS (SELECT t, sum(abs(change)) * {BPS} / 1e4 AS cost FROM trades GROUP BY t),
+stressed AS (SELECT count(*) AS n, coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 0) AS s FROM (SELECT gross - {gates.COST_MULTIPLE} * coalesce(cost, 0) AS r FROM oos LEFT JOIN c USING (t))),
 sums AS (SELECT sum(gross) AS r FROM oos GROUP BY fold),
 stable AS (SELECT count(*) AS n, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS share, coalesce(max(abs(r)) / nullif(sum(abs(r)), 0), 1) AS one FROM sums),
 gates AS (SELECT 'capacity' AS gate, CASE WHEN count(*) = 0 THEN 'unavailable' WHEN count(*) = count(share) AND max(share) <= {MOST_PARTICIPATION} THEN 'passed' ELSE 'failed' END AS status, max(share) AS observed FROM shares

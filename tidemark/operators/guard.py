@@ -8,10 +8,38 @@ from pyspark.sql import functions as F
 from ..plans.declaration import PlanError, ReadPlan
 
 
-def as_of(clock: Column, when: str) -> Column:
-    """clock <= when, twice: plainly, for the scan to push down, and in a form that no source may take over."""
-    plain = clock <= F.lit(when).cast("timestamp_ntz")
-    return plain & F.coalesce(plain, F.lit(False))
+#: A text clock is a date, or a time with a zone.
+DATE_TEXT, INSTANT_TEXT = r"^\d{4}-\d{2}-\d{2}$", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})$"
+
+
+def clock_and_cutoff(df: DataFrame, clock: str, when: str) -> tuple[Column, Column]:
+    """The clock column as an instant, null where it can't be read as one, and the cutoff (UTC) in the same type, whatever the session's zone.
+
+    TIMESTAMP columns are instants; TIMESTAMP_NTZ and DATE columns are in UTC; a text is a date in UTC or a time with
+    its zone, and anything else is no instant. A column of another type breaks C1.
+    """
+    kind, col = df.schema[clock].dataType.typeName(), F.col(f"`{clock}`")
+    instant = F.expr(f"TIMESTAMP '{when} UTC'")
+    if kind == "timestamp":
+        return col, instant
+    if kind in ("timestamp_ntz", "date"):
+        return col.cast("timestamp_ntz"), F.lit(when).cast("timestamp_ntz")
+    if kind == "string":
+        text = F.trim(col)
+        midnight = F.concat(text, F.lit("T00:00:00Z")).try_cast("timestamp")
+        return F.when(text.rlike(DATE_TEXT), midnight).when(text.rlike(INSTANT_TEXT), text.try_cast("timestamp")), instant
+    raise PlanError("C1", f"{clock} is a {kind}, not a clock")
+
+
+def as_of(df: DataFrame, clock: str, when: str) -> Column:
+    """clock <= when, and an error (C1) on a row whose clock is null or unreadable.
+
+    It is said twice: plainly, for the scan to push down (with the nulls, so that none is dropped unseen), and in a
+    form that no source may take over.
+    """
+    col, cutoff = clock_and_cutoff(df, clock, when)
+    broken = F.raise_error(F.lit(f"C1: a row's {clock} is null or no instant")).cast("boolean")
+    return ((col <= cutoff) | col.isNull()) & F.when(col.isNull(), broken).otherwise(col <= cutoff)
 
 
 def require(df: DataFrame, plan: ReadPlan) -> None:
@@ -25,21 +53,22 @@ def require(df: DataFrame, plan: ReadPlan) -> None:
 
 
 def guarded(df: DataFrame, plan: ReadPlan, observation: Observation | None = None) -> DataFrame:
-    """The rows of df that were available, with the plan's columns. A null clock is an error (C1), raised when rows are read.
+    """The rows of df that were available, with the plan's columns. A null or unreadable clock is an error (C1), raised when rows are read.
 
     The observation, if given, gets input_rows, output_rows and dropped_rows as the result is computed.
     """
     require(df, plan)
-    clock = F.col(plan.declaration.clock).cast("timestamp_ntz")
-    when = plan.as_of.strftime("%Y-%m-%d %H:%M:%S.%f")
+    clock, when = plan.declaration.clock, plan.as_of.strftime("%Y-%m-%d %H:%M:%S.%f")
     checked = df.select(*(plan.scanned or df.columns))
     if observation is not None:
-        ok = clock <= F.lit(when).cast("timestamp_ntz")
+        col, cutoff = clock_and_cutoff(checked, clock, when)
+        ok = F.coalesce(col <= cutoff, F.lit(False))
         checked = checked.observe(observation, F.count("*").alias("input_rows"), F.count_if(ok).alias("output_rows"), F.count_if(~ok).alias("dropped_rows"))
-    return checked.where(as_of(clock, when)).select(*(plan.columns or df.columns))
+    return checked.where(as_of(checked, clock, when)).select(*(plan.columns or df.columns))
 
 
 def audit(df: DataFrame, clock: str, when: str) -> DataFrame:
-    """One row: input, output and dropped rows, and rows whose clock is null."""
-    ok = F.coalesce(F.col(clock) <= F.lit(when).cast("timestamp_ntz"), F.lit(False))
-    return df.agg(F.count("*").alias("input_rows"), F.count_if(ok).alias("output_rows"), F.count_if(~ok).alias("dropped_rows"), F.count_if(F.col(clock).isNull()).alias("invalid_rows"))
+    """One row: input, output and dropped rows, and among the dropped ones those whose clock is null or unreadable."""
+    col, cutoff = clock_and_cutoff(df, clock, when)
+    ok = F.coalesce(col <= cutoff, F.lit(False))
+    return df.agg(F.count("*").alias("input_rows"), F.count_if(ok).alias("output_rows"), F.count_if(~ok).alias("dropped_rows"), F.count_if(col.isNull()).alias("invalid_rows"))

@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 def composite(primary: DataFrame, membership: DataFrame, keys: list[str]) -> DataFrame:
     """primary (keys, available, tradable) with membership (keys, member_available, member): the later availability, and tradable and member.
 
-    A primary row without membership has a null `matched`; coverage() says whether there is one.
+    Every primary row needs one membership row: a missing or repeated one, or one that doesn't say true or false, is
+    an error (C4) when the row is read. Membership that no primary row has is let be; coverage() counts it.
     """
-    rows = primary.join(membership.withColumn("matched", F.lit(True)), keys, "left")
-    return rows.withColumns({"available": F.greatest("available", "member_available"), "eligible": F.col("tradable") & F.col("member")})
+    one = membership.groupBy(*keys).agg(F.count("*").alias("member_rows"), F.max("member_available").alias("member_available"), F.bool_and("member").alias("member"))
+    broken = lambda text: F.raise_error(F.lit(f"C4: {text}")).cast("boolean")
+    member = F.when(F.col("member_rows").isNull(), broken("a row has no membership")).when(F.col("member_rows") > 1, broken("a membership key repeats"))
+    member = member.when(F.col("member").isNull() | F.col("tradable").isNull(), broken("a mask is null")).otherwise(F.col("member"))
+    rows = primary.join(one, keys, "left")
+    return rows.withColumns({"available": F.greatest("available", "member_available"), "eligible": member & F.col("tradable")}).drop("member_rows")
 
 
 def coverage(primary: DataFrame, membership: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import astuple, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .declaration import PlanError
 
@@ -34,3 +35,24 @@ def folds(n_folds: int, train: int, oos: int, purge: int, embargo: int, hold: in
 
 def fold_table(spark: SparkSession, plan: list[Fold]) -> DataFrame:
     return spark.createDataFrame([astuple(f) for f in plan], FOLD_SCHEMA)
+
+
+def check_fits(plan: list[Fold], sessions: int) -> None:
+    """A declared plan ends with the schedule's last session or before, and leaves no whole further window."""
+    if not plan:
+        raise PlanError("C2", "a plan without folds")
+    last, size = max(f.oos_end for f in plan), plan[0].oos_end - plan[0].oos_start + 1
+    if last >= sessions:
+        raise PlanError("C2", f"the plan needs {last + 1} sessions, the schedule has {sessions}")
+    if sessions - 1 - last >= size:
+        raise PlanError("C2", f"the plan ends {sessions - 1 - last} sessions before the schedule")
+
+
+def fitted_folds(sessions: DataFrame, train: int, oos: int, purge: int, embargo: int, hold: int) -> DataFrame:
+    """The folds (expanding) that a schedule has room for, from the number of its sessions, the only column `n` of one row."""
+    folds(1, train, oos, purge, embargo, hold)  # the parameters' own checks
+    gap = purge + embargo
+    k = F.col("fold")
+    rows = sessions.select(F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n") - train - gap) / oos).cast("int")))).alias("fold"), "n").where(train + gap + (k + 1) * oos <= F.col("n"))
+    end = train + k * oos - 1
+    return rows.select("fold", F.lit(0).alias("train_start"), end.alias("train_end"), (end + 1 + gap).alias("oos_start"), (end + gap + oos).alias("oos_end"))
