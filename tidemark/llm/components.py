@@ -5,28 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, written
+from .common import Scratch, counted, frequent, skew_join
 
 MOST_ROUNDS = 60
 
 
-def _stars(links: DataFrame) -> bool:
+def _stars(links: DataFrame, hot: DataFrame | None) -> bool:
     """Has every left node one right node, and is none of those a left node?"""
     one = links.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0
-    return one and links.join(links.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count() == 0
+    return one and skew_join(links, links.select(F.col("v").alias("u")).distinct(), "u", "v", hot).limit(1).count() == 0
 
 
-def _large(links: DataFrame) -> DataFrame:
+def _large(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Links every larger neighbour of a node to the smallest of its neighbourhood."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    hot = frequent(counted(both, "u"), scratch)
+    return skew_join(both, least, "u", "v", hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small(links: DataFrame) -> DataFrame:
+def _small(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them."""
     least = links.groupBy("u").agg(F.min("v").alias("m"))
-    others = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    hot = frequent(counted(links, "u"), scratch)
+    others = skew_join(links, least, "u", "v", hot).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -36,14 +38,15 @@ def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     Rounds of large and small stars, each of which is written to the shared folder, until all
     links are stars around the smallest node. Repeated links and links of a node with itself do no harm;
     a node with no other link doesn't appear. Many links of one node are added up before they are shuffled.
-    The rounds' tables go to scratch, if given.
+    The rounds' tables go to scratch, if given; whoever gives it deletes them.
     """
-    keep = scratch.written if scratch else written
-    now = keep(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    scratch = scratch or Scratch(links.sparkSession)
+    now = scratch.written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     for _ in range(MOST_ROUNDS):
-        if _stars(now):
+        if _stars(now, frequent(counted(now, "u"), scratch)):
             break
-        now = keep(_small(_large(now)).distinct(), "links")
+        large = scratch.written(_large(now, scratch).distinct(), "links")
+        now = scratch.written(_small(large, scratch).distinct(), "links")
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ddl, free, map_batches, mix64, quoted, session_defaults, texts, with_columns, written
+from .common import SLICE, Scratch, counted, ddl, free, frequent, map_batches, mix64, quoted, session_defaults, skew_join, texts, with_columns, written
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 80
@@ -37,9 +37,6 @@ MISS = 1e-5
 #: Rows of a table that may be broadcast (8 bytes each); beyond that, it is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
-#: Rows of a key that stay together; and how many keys may have more, at most: with more rows in all, a key has to have its share of them.
-SLICE, HOT_KEYS = 1000, 100_000
-
 #: 64-bit words of a set's bitmap: 1024 bits; a power of two of words.
 PARITY = [f"parity_{i}" for i in range(16)]
 
@@ -131,30 +128,6 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def frequent(counts: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """(key, slices) of the keys of counts (key, size) that have more than SLICE rows and more than one of HOT_KEYS parts of all rows; so there are fewer than HOT_KEYS. None without any."""
-    most, total = counts.agg(F.max("size"), F.sum("size")).first()
-    bound = max(SLICE, (total or 0) // HOT_KEYS)
-    if (most or 0) <= bound:
-        return None
-    return scratch.written(counts.where(F.col("size") > bound).select("key", F.ceil(F.col("size") / SLICE).cast("int").alias("slices")), "dedup-frequent")
-
-
-def skew_join(rows: DataFrame, table: DataFrame, key: str, spread: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
-    """rows joined with table (one row for each key) by key. Rows of a key in hot, as frequent() gives them, are dealt to its slices by spread, and the table's row is there for each slice."""
-    if hot is None:
-        return rows.join(table, key, how)
-    hot = F.broadcast(hot.withColumnRenamed("key", key))  # fewer than HOT_KEYS rows
-    one = F.coalesce("slices", F.lit(1))
-    dealt = rows.join(hot, key, "left").withColumn("slice", F.pmod(F.xxhash64(spread), one).cast("int")).drop("slices")
-    spread_out = table.join(hot, key, "left").withColumn("slice", F.explode(F.sequence(F.lit(0), one - 1))).drop("slices")
-    return dealt.join(spread_out, [key, "slice"], how).drop("slice")
-
-
-def _counted(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("size"))
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, own) for the wanted classes (node, doc_id): the full set of each, made again from a document's text."""
 
@@ -177,7 +150,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
     """Those pairs (u, v) whose full sets are similar enough. A class that is in many pairs has its set in each slice of them."""
-    first, second = (frequent(_counted(pairs, c), scratch) for c in ("u", "v"))
+    first, second = (frequent(counted(pairs, c), scratch) for c in ("u", "v"))
     both = skew_join(pairs, sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u", "v", first)
     both = skew_join(both, sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v", "u", second).select("u", "v", "a", "b")
 
@@ -216,7 +189,7 @@ def link_classes(docs: DataFrame, described: DataFrame, k: int, threshold: int,
     # what a class may have in common with any other one here: its shingles that another class here has too
     there = sets.join(rows.select("node").distinct(), "node", "left_semi")
     tokens = keep(map_batches(there, _tokens, "node binary, token array<int>"), "dedup-tokens").select("node", F.explode("token").alias("token"))
-    common = keep(_counted(tokens, "token").where("size > 1"), "dedup-common")
+    common = keep(counted(tokens, "token").where("size > 1"), "dedup-common")
     most = skew_join(tokens, common.select(F.col("key").alias("token")), "token", "node", frequent(common, scratch)).groupBy("node").agg(F.count("*").alias("most"))
     rows = rows.join(most, "node").select("key", "node", "n", "label", F.least("most", "n").alias("most"))
     # a class that can't be similar enough to one of the shortest of its bucket, or of the best length, is done there
