@@ -18,15 +18,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import ddl, map_batches, texts, with_columns
+from .common import ddl, map_batches, texts, with_columns, without
 from .prefix_counts import byte_letters
 
 TOKENIZER = "word_bpe_49k.json"
 #: How the tokenizer cuts normalised text into words, and its word end (fixed values).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 WORD_END = "</w>"
-#: White-space runs that a worker's table may hold; it starts anew beyond that.
-TABLE = 350_000
+#: White-space runs that a worker's table may hold, and characters in them; it starts anew beyond that.
+TABLE, TABLE_CHARS = 350_000, 16 << 20
 #: These count as white space for Python's split(), but not for the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -57,7 +57,10 @@ class WordBpe:
         self.keys, self.ranks = keys[order], order
         self.into = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.known: dict[str, tuple[str, str]] = {}
+        #: The decimal ids of white-space-free runs of text, joined by spaces.
+        self.known: dict[str, str] = {}
+        self.held = 0
+        self.token_of = {str(i): x for i, x in enumerate(self.tokens)}
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and where each word's begin (with the end of the last)."""
@@ -100,23 +103,23 @@ class WordBpe:
         return symbols[order], np.r_[0, np.cumsum(np.bincount(word, minlength=len(words)))]
 
     def _learn(self, runs: list[str]) -> None:
-        """Puts the ids and tokens of white-space-free runs of text into the table, as text joined by spaces."""
+        """Puts the ids of white-space-free runs of text into the table."""
         words = [PATTERN.findall(x) for x in runs]
         kinds = list({w for x in words for w in x})
         ids, at = self.encode_words(kinds)
         ids, at = ids.tolist(), at.tolist()
         own = {w: ids[at[k] : at[k + 1]] for k, w in enumerate(kinds)}
-        tokens = self.tokens
         for run, parts in zip(runs, words, strict=True):
-            found = [i for w in parts for i in own[w]]
-            self.known[run] = (" ".join(map(str, found)), " ".join([tokens[i] for i in found]))
+            self.known[run] = " ".join([str(i) for w in parts for i in own[w]])
+            self.held += len(run)
 
-    def encode(self, docs: list[str]) -> list[tuple[str, str]]:
-        """For each text, its decimal ids and its tokens, each joined by one space; the tokens so joined are the decoded text."""
+    def encode(self, docs: list[str]) -> list[str]:
+        """For each text, its decimal ids, joined by one space."""
         parts = [[x] if not any(s in x for s in self.special) else self.split_special.split(x) for x in docs]
         runs = [[p if k % 2 else self._runs(p) for k, p in enumerate(x)] for x in parts]
-        if len(self.known) > TABLE:
+        if len(self.known) > TABLE or self.held > TABLE_CHARS:
             self.known.clear()
+            self.held = 0
         new = set().union(*(r for x in runs for r in x[::2])).difference(self.known)
         if new:
             self._learn(list(new))
@@ -125,11 +128,10 @@ class WordBpe:
             found = []
             for k, r in enumerate(x):
                 if k % 2:
-                    found.append((str(self.special[r]), r))
+                    found.append(str(self.special[r]))
                 else:
                     found += map(get, r)
-            ids, tokens = zip(*found, strict=True) if found else ((), ())
-            out.append((" ".join(ids), " ".join(tokens)))
+            out.append(" ".join(found))
         return out
 
     @staticmethod
@@ -143,6 +145,10 @@ class WordBpe:
         """The library's decode(ids, skip_special_tokens=False): this vocabulary has no decoder, so tokens are joined by a space."""
         return " ".join([self.tokens[i] for i in ids])
 
+    def decode_joined(self, ids: str) -> str:
+        """The same of decimal ids joined by one space."""
+        return " ".join(map(self.token_of.__getitem__, ids.split(" "))) if ids else ""
+
 
 @cache
 def word_bpe(path: str) -> WordBpe:
@@ -157,17 +163,22 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, digests: bool = True, ou
     """docs (with a text), with n_tokens; digests adds ids_sha256 and decoded_sha256, outputs adds ids and decoded.
 
     Null text is empty: no tokens, digests of the empty text. Rows with equal texts get equal results. The decoded
-    text is made from the ids that were encoded.
+    text is decoded from the ids that the text was encoded to. Columns of docs with one of the new names are replaced.
     """
+    new = ("n_tokens", *("ids_sha256", "decoded_sha256") * digests, *("ids", "decoded") * outputs)
+    kinds = {"n_tokens": "bigint", "ids": "array<int>"}
+    docs = without(docs, *new)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = word_bpe(public_tokenizers.path(tokenizer)).encode(texts(batch))
-        more = {"n_tokens": pa.array([x.count(" ") + 1 if x else 0 for x, _ in found], pa.int64())}
+        bpe = word_bpe(public_tokenizers.path(tokenizer))
+        ids = bpe.encode(texts(batch))
+        decoded = [bpe.decode_joined(x) for x in ids]
+        more = {"n_tokens": pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64())}
         if digests:
-            for k, name in enumerate(("ids_sha256", "decoded_sha256")):
-                more[name] = pa.array([hashlib.sha256(x[k].encode("utf-8", "surrogatepass")).hexdigest() for x in found], pa.string())
+            for name, column in (("ids_sha256", ids), ("decoded_sha256", decoded)):
+                more[name] = pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in column], pa.string())
         if outputs:
-            more |= {"ids": pa.array([ids_of(x) for x, _ in found], pa.list_(pa.int32())), "decoded": pa.array([x for _, x in found], pa.string())}
+            more |= {"ids": pa.array([ids_of(x) for x in ids], pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
         return with_columns(batch, **more)
 
-    return map_batches(docs, step, ddl(docs, "n_tokens bigint" + ", ids_sha256 string, decoded_sha256 string" * digests + ", ids array<int>, decoded string" * outputs))
+    return map_batches(docs, step, ddl(docs, ", ".join(f"{x} {kinds.get(x, 'string')}" for x in new)))
