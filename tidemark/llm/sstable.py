@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,7 +188,8 @@ class Shard:
 def write_shards(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
     """Encodes every text (null: empty) of docs (doc_id, text), appends end, and writes shards; returns their manifest.
 
-    The manifest (path, first_id, last_id, n_docs, n_ids, first_hash) has a row per shard. Documents are dealt out by ranges of
+    The manifest (path, first_id, last_id, n_docs, n_ids, part, number) has a row per shard: the task that wrote it, and its number
+    there, which are the order of the shards. Documents are dealt out by ranges of
     doc_id and, among rows of equal doc_id, of the texts' hashes, so that no identifier (or its absence) fills a
     task; repeated rows are all kept. An empty table has no shard.
     """
@@ -201,29 +203,29 @@ def write_shards(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END) ->
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = unit_encoder(tokenizer)
         tail = np.array([end], encoder.dtype).tobytes()
-        shard, first_hash, done = None, None, []
+        shard, part, done = None, TaskContext.get().partitionId(), []
         for batch in batches:
-            for doc_id, own_hash, ids in zip(batch.column("doc_id").to_pylist(), batch.column("hash").to_pylist(), encoder.encode(texts(batch)), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts(batch)), strict=True):
                 if shard is not None and shard.at >= SHARD_BYTES:
-                    done.append((*shard.close(), first_hash))
+                    done.append((*shard.close(), part, len(done)))
                     shard = None
                 if shard is None:
-                    shard, first_hash = ShardWriter(new_file(folder, ".sst"), encoder.dtype.itemsize), own_hash
+                    shard = ShardWriter(new_file(folder, ".sst"), encoder.dtype.itemsize)
                 shard.add(doc_id, ids + tail)
         if shard is not None:
-            done.append((*shard.close(), first_hash))
+            done.append((*shard.close(), part, len(done)))
         if done:
             columns = zip(*done, strict=True)
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "first_id", "last_id", "n_docs", "n_ids", "first_hash"])
+            kinds = (pa.string(), *(pa.int64(),) * 6)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "first_id", "last_id", "n_docs", "n_ids", "part", "number"])
 
-    dealt = docs.repartitionByRange(tasks, "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
-    return written(dealt.mapInArrow(write, "path string, first_id bigint, last_id bigint, n_docs bigint, n_ids bigint, first_hash bigint"), "sstable-manifest")
+    dealt = docs.repartitionByRange(tasks, "doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
+    return written(dealt.mapInArrow(write, "path string, first_id bigint, last_id bigint, n_docs bigint, n_ids bigint, part bigint, number bigint"), "sstable-manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of each document, read from its shard."""
-    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_hash").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     # a row per shard, not per document
     shards = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
     n = max(1, manifest.count())
