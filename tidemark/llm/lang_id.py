@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, ddl, held_out, map_batches, mix64, session_defaults, texts, with_columns
+from .common import code_points, ddl, held_out, map_batches, mix64, session_defaults, texts, with_columns, without
 
 DIMENSIONS = 1024
 UNKNOWN = "und"
+MAX_LANGUAGES = 10_000
 #: Documents of one matrix product, and trigrams of one block of it.
 DOCS, TRIGRAMS = 128, 4096
 
@@ -102,7 +103,8 @@ def fit(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
 
     It learns from every document with a text and a lang, but for those that held_out() names. Sums are of
     integers, so that the order of rows doesn't matter. One vector per language comes to the driver; languages
-    are a closed set, however many documents there are. No rows to learn from: no prototypes.
+    are a closed set, however many documents there are: more than MAX_LANGUAGES are an error. No rows to learn from:
+    no prototypes.
     """
     spark = docs.sparkSession
     session_defaults(spark)
@@ -120,7 +122,9 @@ def fit(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([np.rint(x).astype(np.int64).tolist() for x in total.values()], pa.list_(pa.int64()))], names=["lang", "v"])
 
     part = docs.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang").mapInArrow(sums, "lang string, v array<bigint>")
-    rows = part.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).collect()
+    rows = part.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).limit(MAX_LANGUAGES + 1).collect()
+    if len(rows) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return {r["lang"]: np.array([x["x"] for x in r["v"]], np.float64) for r in sorted(rows, key=lambda r: r["lang"])}
 
 
@@ -150,9 +154,10 @@ def predict_texts(docs: list[str], prototypes: dict[str, np.ndarray]) -> tuple[l
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs, with the predicted language and its score after its own columns; only `text` is read for it.
 
-    Null text: `und`, score 0. Repeated rows get equal results.
+    Null text: `und`, score 0. Repeated rows get equal results. Columns of docs with one of the two names are replaced.
     """
     session_defaults(docs.sparkSession)
+    docs = without(docs, lang, score)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, scores = predict_texts(texts(batch), prototypes)

@@ -17,8 +17,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import ddl, map_batches, texts, with_columns
-from .vocab import TABLE, is_odd, special_tokens, split_units
+from .common import ddl, map_batches, texts, with_columns, without
+from .vocab import TABLE, TABLE_CHARS, is_odd, special_tokens, split_units
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -56,6 +56,8 @@ class PrefixCounter:
         self.n_pairs = 0
         self.words: dict[str, list[int]] = {}
         self.units: dict[str, bytes | None] = {}
+        #: Characters in the keys of either table.
+        self.word_chars = self.unit_chars = 0
 
     def merged(self, raw: bytes) -> list[bytes]:
         """The tokens of a word, by merging the neighbours of lowest rank until none can be merged."""
@@ -110,9 +112,11 @@ class PrefixCounter:
             counts = [c for c, b in zip(counts[1:], [*raw[1:], 0], strict=True) if b & 0xC0 != 0x80]
         if word in ("'re", "'ve", "'ll"):  # its first two characters alone are two words
             counts[1] = 2
-        if len(self.words) > TABLE:
+        if len(self.words) > TABLE or self.word_chars > TABLE_CHARS // 4:
             self.words.clear()
+            self.word_chars = 0
         self.words[word] = counts
+        self.word_chars += len(word)
         return counts
 
     def text_counts(self, text: str) -> np.ndarray:
@@ -157,9 +161,11 @@ class PrefixCounter:
         known = self.units
         new = set(units).difference(known)
         if new:
-            if len(known) > TABLE:
+            if len(known) > TABLE or self.unit_chars > TABLE_CHARS:
                 known.clear()
+                self.unit_chars = 0
                 new = set(units)
+            self.unit_chars += sum(map(len, new))
             for u in new:
                 known[u] = None if is_odd(u) else self.unit_steps(u)
         try:
@@ -215,8 +221,9 @@ def count_tokens(docs: DataFrame, limit: int = LIMIT, tokenizer: str = TOKENIZER
 
     n_tokens is what the library gives for the whole text (null: empty, 0 tokens), over_limit says that it exceeds
     limit, fitting_chars is the length of the longest prefix within it, and prefix_tokens has the count at every
-    prefix. Rows with equal texts get equal results.
+    prefix. Rows with equal texts get equal results. Columns of docs with one of the new names are replaced.
     """
+    docs = without(docs, "n_bytes", "n_tokens", "over_limit", "fitting_chars", *["prefix_tokens"] * prefixes)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = texts(batch)

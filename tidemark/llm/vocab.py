@@ -14,8 +14,8 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 
-#: Units that a worker's table may hold; it starts anew beyond that.
-TABLE = 700_000
+#: Units that a worker's table may hold, and characters in them; it starts anew beyond that.
+TABLE, TABLE_CHARS = 700_000, 16 << 20
 #: Units of one call of the library.
 UNITS = 2000
 TWO = ("  ", "\n\n", " \n", "\n ", "\0")
@@ -62,6 +62,7 @@ class UnitEncoder:
         for token, i in self.library.get_vocab().items():
             self.lengths[i] = len(token)
         self.known: dict[str, bytes | None] = {"": b""}
+        self.held = 0
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -82,9 +83,10 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if any(s in x for s in self.special) else split_units(x) for x in texts]
-        if len(self.known) > TABLE:
-            self.known = {"": b""}
+        if len(self.known) > TABLE or self.held > TABLE_CHARS:
+            self.known, self.held = {"": b""}, 0
         new = set().union(*(x for x in split if x)).difference(self.known)
+        self.held += sum(map(len, new))
         self.known.update((u, None) for u in new if is_odd(u))
         self._learn([u for u in new if u not in self.known])
         get, out = self.known.__getitem__, []
