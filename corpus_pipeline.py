@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import lang_id, minmax_dedup, mixing, quality, word_bpe
-from tidemark.llm.common import table, written
+from tidemark.llm.common import free, table, written
 
 #: Documents whose language is predicted with a smaller cosine, or not at all, are rejected.
 MIN_LANGUAGE_SCORE = 0.2
@@ -18,8 +18,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in a language that is recognised."""
-    found = lang_id.predict(docs, lang_id.fit(docs), "pipeline_lang", "pipeline_score")
-    return found.where((found["pipeline_lang"] != lang_id.UNKNOWN) & (found["pipeline_score"] >= MIN_LANGUAGE_SCORE)).drop("pipeline_lang", "pipeline_score")
+    lang, score = free(docs, "lang_pred", "score")
+    found = lang_id.predict(docs, lang_id.fit(docs), lang, score)
+    return found.where((found[lang] != lang_id.UNKNOWN) & (found[score] >= MIN_LANGUAGE_SCORE)).drop(lang, score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
