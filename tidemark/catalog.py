@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from .functions import finance
 from .operators import gates, guard, joins, null, panel, portfolio, pricing, regression
 from .plans.declaration import Declaration, read_plan
 from .plans.folds import fitted_folds
+from .session import written
 
 AS_OF = "1998-06-30 00:00:00"
 EVENTS_AS_OF = "2024-01-15 00:00:00"
@@ -64,9 +67,9 @@ calendar AS (SELECT d, (row_number() OVER (ORDER BY d) - 1)::INT AS t FROM (SELE
 panel AS (SELECT entity, t, price, volume, tradable FROM raw JOIN calendar USING (d))"""
 
 
-def _signals(spark: SparkSession, sf_dir: str, lookback: int = 20) -> DataFrame:
-    """Momentum of the rows that are tradable, at the sessions on which books are made."""
-    rows = _panel(spark, sf_dir).withColumn("signal", F.round(panel.momentum(lookback), 9))
+def _signals(spark: SparkSession, sf_dir: str, lookback: int = 20, rows: DataFrame | None = None) -> DataFrame:
+    """Momentum of the rows that are tradable, at the sessions on which books are made. Here and below, rows is the panel if it is at hand already."""
+    rows = (rows or _panel(spark, sf_dir)).withColumn("signal", F.round(panel.momentum(lookback), 9))
     return rows.where((F.col("t") % CADENCE == 0) & F.col("tradable"))
 
 
@@ -79,8 +82,8 @@ sized AS (SELECT *, least(greatest(1, floor(names * {QUANTILE})::INT), names //
 weights AS (SELECT entity, t, CASE WHEN place <= k THEN 0.5 / k ELSE -0.5 / k END::DOUBLE AS weight FROM sized WHERE place <= k OR place > names - k)"""
 
 
-def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.books(portfolio.ranked(_signals(spark, sf_dir)), QUANTILE).select("entity", "t", "weight")
+def _weights(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    return portfolio.books(portfolio.ranked(_signals(spark, sf_dir, rows=rows)), QUANTILE).select("entity", "t", "weight")
 
 
 _TRADES = f"""{_signal_sql()},
@@ -88,8 +91,8 @@ trades AS (SELECT entity, t, coalesce(a.weight, 0) - coalesce(b.weight, 0) AS ch
   FROM weights a FULL JOIN (SELECT entity, t + {CADENCE} AS t, weight FROM weights) b USING (entity, t) WHERE coalesce(a.weight, 0) <> coalesce(b.weight, 0))"""
 
 
-def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.trades(_weights(spark, sf_dir), CADENCE)
+def _trades(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    return portfolio.trades(_weights(spark, sf_dir, rows), CADENCE)
 
 
 @query(f"WITH {_FACTS} SELECT o_orderkey, l_linenumber, o_custkey, available_time, value FROM facts WHERE available_time <= TIMESTAMP '{AS_OF}'")
@@ -257,10 +260,10 @@ earned AS (SELECT entity, t, round({_offset_sql(1)} / price - 1, 9) AS r FROM pa
 daily AS (SELECT t, round(sum(weight * coalesce(r, 0)), 9) AS gross FROM alive LEFT JOIN earned USING (entity, t) GROUP BY t)"""
 
 
-def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _daily(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """The books' return by session, from each close to the next one; no price, no return."""
-    alive = portfolio.overlapping(_weights(spark, sf_dir), HORIZON, CADENCE)
-    earned = _panel(spark, sf_dir).select("entity", "t", F.round(panel.forward_label(1), 9).alias("r"))
+    alive = portfolio.overlapping(_weights(spark, sf_dir, rows), HORIZON, CADENCE)
+    earned = (rows or _panel(spark, sf_dir)).select("entity", "t", F.round(panel.forward_label(1), 9).alias("r"))
     return alive.join(earned, ["entity", "t"], "left").groupBy("t").agg(F.round(F.sum(F.col("weight") * F.coalesce("r", F.lit(0.0))), 9).alias("gross"))
 
 
@@ -310,8 +313,8 @@ def _metrics() -> list:
     return [F.round(finance.sharpe("gross"), 6).alias("sharpe"), F.round(F.avg("gross") * 252, 6).alias("annual_return"), F.round(finance.sample_sd("gross") * F.sqrt(F.lit(252.0)), 6).alias("annual_vol")]
 
 
-def _by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _daily(spark, sf_dir).join(F.broadcast(_folds(spark, sf_dir)), F.col("t").between(F.col("oos_start"), F.col("oos_end")))
+def _by_fold(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    return _daily(spark, sf_dir, rows).join(F.broadcast(_folds(spark, sf_dir)), F.col("t").between(F.col("oos_start"), F.col("oos_end")))
 
 
 @query(f"WITH {_BOOK}, {_FOLDS} SELECT fold, count(*) AS n, {_METRICS} FROM daily JOIN folds ON t BETWEEN oos_start AND oos_end GROUP BY fold")
@@ -456,11 +459,18 @@ def fold_pricing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pricing.fold_returns(_months(spark, sf_dir), 3, 1, QUANTILE)
 
 
-@query()
+_TRIALS = len(LOOKBACKS)
+_LUCK = (1 - finance.EULER_GAMMA) * NormalDist().inv_cdf(1 - 1 / _TRIALS) + finance.EULER_GAMMA * NormalDist().inv_cdf(1 - 1 / (_TRIALS * math.e))
+_ERF = "({1} + k * ({2} + k * ({3} + k * ({4} + k * {5}))))".format(*finance.ERF)
+
+
+@query(f"""WITH x AS ({SQL['deflated_sharpe_inputs']}), v AS (SELECT n, sharpe, sqrt((1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) / (n - 1)) AS sd FROM x),
+y AS (SELECT n, sharpe, (sharpe - sd * {_LUCK}) / sd / sqrt(2.0) AS y FROM v), k AS (SELECT *, 1 / (1 + {finance.ERF[0]} * abs(y)) AS k FROM y)
+SELECT n, sharpe, round((1 + sign(y) * (1 - k * {_ERF} * exp(-y * y))) / 2, 6) AS probability FROM k""")
 def deflated_sharpe_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = deflated_sharpe_inputs(spark, sf_dir)
     v = finance.sharpe_variance(F.col("sharpe"), F.col("skew"), F.col("kurt"), F.col("n"))
-    return x.select("n", "sharpe", F.round(finance.deflated_sharpe(F.col("sharpe"), v, F.lit(len(LOOKBACKS))), 6).alias("probability"))
+    return x.select("n", "sharpe", F.round(finance.deflated_sharpe(F.col("sharpe"), v, F.lit(_TRIALS)), 6).alias("probability"))
 
 
 @query(f"""WITH {_signal_sql()}, w AS (SELECT entity, t, count(v) OVER f AS n, sum(v) OVER f AS s, sum(v * v) OVER f AS q FROM (SELECT entity, t, price / 1000 AS v FROM panel)
@@ -478,9 +488,11 @@ CAPITAL, MOST_PARTICIPATION = 1e4, 0.05
 
 
 def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    traded = _trades(spark, sf_dir).join(_panel(spark, sf_dir), ["entity", "t"], "left")
-    returns = _by_fold(spark, sf_dir)
-    cost = _trades(spark, sf_dir).groupBy("t").agg(F.sum(finance.linear_cost(F.col("change"), BPS)).alias("cost"))
+    """The panel, its trades and its returns are used more than once: each is written and read again."""
+    rows = written(_panel(spark, sf_dir), "gates-panel")
+    trades, returns = written(_trades(spark, sf_dir, rows), "gates-trades"), written(_by_fold(spark, sf_dir, rows), "gates-returns")
+    traded = trades.join(rows, ["entity", "t"], "left")
+    cost = trades.groupBy("t").agg(F.sum(finance.linear_cost(F.col("change"), BPS)).alias("cost"))
     costs = returns.join(cost, "t", "left").select("gross", F.coalesce("cost", F.lit(0.0)).alias("cost"))
     return gates.report(gates.capacity(traded, CAPITAL, MOST_PARTICIPATION), gates.cost_stress(costs), gates.stability(returns.select("fold", F.col("gross").alias("r"))))
 

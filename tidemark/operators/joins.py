@@ -44,3 +44,14 @@ def revision_as_of(revisions: DataFrame, entity: str, period: str, effective: st
     """
     w = Window.partitionBy(entity).orderBy(effective).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return revisions.withColumn("in_force", F.max_by(value, F.struct(period, effective)).over(w))
+
+
+def revision_at(asks: DataFrame, revisions: DataFrame, entity: str, at: str, period: str, effective: str, value: str) -> DataFrame:
+    """asks (entity, at) with in_force: of the latest period known at that time, its latest revision; null if nothing was known.
+
+    Both sides go through one window by entity, so that no pair of an ask and a revision is made.
+    """
+    known = revisions.select(entity, F.col(effective).alias(at), F.struct(period, effective).alias("version"), F.col(value).alias("known"), F.lit(False).alias("ask"))
+    both = known.unionByName(asks.select(entity, at, F.lit(True).alias("ask")), allowMissingColumns=True)
+    w = Window.partitionBy(entity).orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("in_force", F.max_by("known", "version").over(w)).where("ask").select(entity, at, "in_force")

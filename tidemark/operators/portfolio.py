@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranked(signals: DataFrame, signal: str = "signal") -> DataFrame:
-    """Rows with a signal, with their place (from 1, best first, ties by entity) and the number of names of the session."""
-    w = Window.partitionBy("t").orderBy(F.desc(signal), F.asc("entity"))
-    return signals.where(F.col(signal).isNotNull() & ~F.isnan(signal)).withColumns({"place": F.row_number().over(w), "names": F.count("*").over(Window.partitionBy("t"))})
+def ranked(signals: DataFrame, signal: str = "signal", by: tuple[str, ...] = ("t",)) -> DataFrame:
+    """Rows with a signal, with their place (from 1, best first, ties by entity) and the number of names of the session. Several strategies are ranked at once if by names them too."""
+    w = Window.partitionBy(*by).orderBy(F.desc(signal), F.asc("entity"))
+    return signals.where(F.col(signal).isNotNull() & ~F.isnan(signal)).withColumns({"place": F.row_number().over(w), "names": F.count("*").over(Window.partitionBy(*by))})
 
 
 def books(rows: DataFrame, quantile: float, long_short: bool = True) -> DataFrame:
@@ -23,12 +23,13 @@ def books(rows: DataFrame, quantile: float, long_short: bool = True) -> DataFram
     return rows.withColumn("side", side).where("side is not null").withColumn("weight", F.col("side") * 0.5 / k)
 
 
-def trades(weights: DataFrame, cadence: int) -> DataFrame:
-    """entity, t, change: the difference of each book (t, entity, weight) from the one cadence sessions before; names that left are sold."""
-    now = weights.select("entity", "t", F.col("weight").alias("new"))
-    before = weights.select("entity", (F.col("t") + cadence).alias("t"), F.col("weight").alias("old"))
-    both = now.join(before, ["entity", "t"], "full")
-    return both.select("entity", "t", (F.coalesce("new", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))).alias("change")).where("change <> 0")
+def trades(weights: DataFrame, cadence: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """entity, t, change: the difference of each book (t, entity, weight) from the one cadence sessions before; names that left are sold. by names the strategies, if there are several."""
+    keys = [*by, "entity", "t"]
+    now = weights.select(*keys, F.col("weight").alias("new"))
+    before = weights.select(*by, "entity", (F.col("t") + cadence).alias("t"), F.col("weight").alias("old"))
+    both = now.join(before, keys, "full")
+    return both.select(*keys, (F.coalesce("new", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))).alias("change")).where("change <> 0")
 
 
 def overlapping(weights: DataFrame, horizon: int, cadence: int) -> DataFrame:
