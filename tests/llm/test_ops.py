@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 from collections import Counter
 
@@ -340,10 +341,35 @@ def test_bundles(spark):
     want = [(5, 160, digest(big), "revisit", 3), (3, 160, digest(big), "response", None), (9, 5, digest("small"), "response", None), (2, 5, digest("small"), "response", None), (7, 0, digest(""), "response", None), (3, 160, digest(big), "response", None), (None, 160, digest(big), "revisit", 3)]
     assert got == sorted(want, key=repr)
     found = [x for x in (warc.Bundle(m["path"]).get(9) for m in manifest.collect()) if x]
-    assert found[0][1] == b"small"
+    headers, block = found[0]
+    assert warc.payload(block) == b"small" and block.startswith(b"HTTP/1.1 200 OK\r\n") and headers["Content-Type"] == "application/http;msgtype=response"
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", headers["WARC-Date"]) and re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", headers["WARC-Record-ID"])
     assert warc.read_bundles(warc.write_bundles(pages.limit(0))).count() == 0
 
 
+def test_bundles_with_a_frequent_payload_and_look_up(spark):
+    """One payload in half of the rows, pairs of equal ones, short ones and single ones; every record is found by its identifier."""
+    text = lambda i: "x" * 200 if i % 2 else f"pair {i // 8} " * 30 if i % 8 < 4 else f"s{i}" if i % 3 else f"single {i} " * 20
+    pages = spark.createDataFrame([(7 * i - 900, "u", text(i)) for i in range(4000)], "page_id bigint, url string, html string").repartition(5)
+    manifest = warc.write_bundles(pages)
+    first: dict[str, int] = {}
+    for i in range(4000):
+        first.setdefault(text(i), 7 * i - 900)
+    want = {}
+    for i in range(4000):
+        page, t = 7 * i - 900, text(i)
+        revisit = len(t) >= 100 and first[t] != page
+        want[page] = ("revisit" if revisit else "response", first[t] if revisit else None)
+    assert {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.read_bundles(manifest).collect()} == want
+    bundles = [warc.Bundle(m["path"]) for m in manifest.collect()]
+    for i in range(0, 4000, 37):
+        page, t = 7 * i - 900, text(i)
+        found = [x for x in (b.get(page) for b in bundles) if x]
+        assert len(found) == 1 and found[0][0]["X-Page-ID"] == str(page)
+        assert warc.payload(found[0][1]).decode() == ("" if want[page][0] == "revisit" else t)
+    assert not any(b.get(p) for b in bundles for p in (-901, 1, 10**12, None))
+
+
 def test_mix_meets_its_targets(spark, odd):
     assert mixing.targets([10, 10, 0, 1000], [5, 2, 1, 5]) == [30.0, 30.0, 0.0, 960.0]
     docs = spark.read.parquet(f"{SF}/documents.parquet")

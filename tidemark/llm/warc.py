@@ -2,17 +2,21 @@
 
 A bundle is a row of independent Zstandard frames with some records each, then two frames that decompressors skip:
 an index that maps record identifiers to a frame and an offset in it, and the seek table of the seekable format
-(compressed and decompressed size of each frame). To read one record, one frame is decompressed.
+(compressed and decompressed size of each frame). To read one record, one frame is decompressed; its place is found
+by binary search in the index, which is sorted by identifier.
 
-A record whose payload is equal to an earlier one's is a revisit: it carries the digest and the length, not the
-payload.
+A response holds an HTTP message with the payload as its body. A record whose payload is equal to an earlier one's is
+a revisit: it carries the message's head, the digest and the length, not the payload. Pages have no time of capture;
+WARC-Date is when the job began to write, the same in all of its records.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -20,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_folder, session_defaults, written
+from .common import Scratch, fresh_folder, session_defaults, written
 from .files import new_file, open_input, open_output
 
 #: Fixed values of the seekable format: magic of skippable frames (the first of 16 kinds and the seek table's), of its footer.
@@ -29,6 +33,10 @@ SKIPPABLE, SEEK_FRAME, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 MIN_REVISIT = 100
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 128 << 20
 INDEX_ENTRY = struct.Struct("<BqII")
+#: So many entries of the index are read at once when a search has come down to them.
+INDEX_RUN = 256
+#: A payload is frequent if more than one in so many of all repeated rows have it: fewer than so many payloads are.
+FREQUENT = 1000
 EOL = b"\r\n"
 
 
@@ -37,28 +45,37 @@ def _line(name: str, value: object) -> bytes:
 
 
 def record_id(page_id: int | None) -> str:
-    return "<urn:page:>" if page_id is None else f"<urn:page:{page_id}>"
+    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{"" if page_id is None else page_id}').urn}>"
 
 
-def parse_id(text: str) -> int | None:
-    own = text.removeprefix("<urn:page:").removesuffix(">")
-    return int(own) if own else None
+def _id(text: str) -> int | None:
+    return int(text) if text else None
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One record: a response, or with refers_to a revisit."""
-    body = b"" if refers_to is not None else payload
-    out = b"WARC/1.1" + EOL + _line("WARC-Type", "response" if refers_to is None else "revisit") + _line("WARC-Record-ID", record_id(page_id))
+def _page(page_id: int | None) -> str:
+    return "" if page_id is None else str(page_id)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
+    """One record: a response, or with refers_to a revisit. X-Page-ID and X-Refers-To-Page-ID have the table's identifiers."""
+    head = b"HTTP/1.1 200 OK" + EOL + _line("Content-Type", "text/html; charset=utf-8") + _line("Content-Length", len(payload)) + EOL
+    body = head if refers_to is not None else head + payload
+    out = b"WARC/1.1" + EOL + _line("WARC-Type", "response" if refers_to is None else "revisit") + _line("WARC-Record-ID", record_id(page_id)) + _line("WARC-Date", date) + _line("X-Page-ID", _page(page_id))
     if url is not None:
         out += _line("WARC-Target-URI", quote(url, safe=":/?#[]@!$&'()*+,;=%~-._"))
     out += _line("WARC-Payload-Digest", "sha256:" + hashlib.sha256(payload).hexdigest()) + _line("X-Payload-Length", len(payload))
     if refers_to is not None:
-        out += _line("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest") + _line("WARC-Refers-To", record_id(refers_to))
-    return out + _line("Content-Type", "text/html") + _line("Content-Length", len(body)) + EOL + body + EOL + EOL
+        out += _line("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest") + _line("WARC-Refers-To", record_id(refers_to)) + _line("X-Refers-To-Page-ID", _page(refers_to))
+    return out + _line("Content-Type", "application/http;msgtype=response") + _line("Content-Length", len(body)) + EOL + body + EOL + EOL
+
+
+def payload(block: bytes) -> bytes:
+    """The body of the HTTP message in a record's block."""
+    return block[block.index(EOL + EOL) + 4 :]
 
 
 def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """The headers and body of the record at a place, and the place after it."""
+    """The headers and block of the record at a place, and the place after it."""
     end = raw.index(EOL + EOL, at)
     first, *lines = raw[at:end].decode().split("\r\n")
     if not first.startswith("WARC/"):
@@ -75,11 +92,11 @@ class BundleWriter:
         self.zstd = zstandard.ZstdCompressor(level=3)
         self.frame, self.frame_size = [], 0
         self.frames: list[tuple[int, int]] = []
-        self.index: list[bytes] = []
+        self.index: list[tuple[bool, int, int, int]] = []
         self.size = self.n = 0
 
     def add(self, page_id: int | None, raw: bytes) -> None:
-        self.index.append(INDEX_ENTRY.pack(page_id is not None, page_id or 0, len(self.frames), self.frame_size))
+        self.index.append((page_id is not None, page_id or 0, len(self.frames), self.frame_size))
         self.frame.append(raw)
         self.frame_size += len(raw)
         self.n += 1
@@ -96,7 +113,8 @@ class BundleWriter:
     def close(self) -> tuple[str, int]:
         if self.frame:
             self._end_frame()
-        index = b"".join(self.index)
+        # by identifier, null first; of equal ones in the order written
+        index = b"".join(INDEX_ENTRY.pack(*x) for x in sorted(self.index))
         self.out.write(struct.pack("<II", SKIPPABLE, len(index)) + index)
         entries = [*self.frames, (len(index) + 8, 0)]
         table = b"".join(struct.pack("<II", *x) for x in entries) + struct.pack("<IBI", len(entries), 0, SEEK_MAGIC)
@@ -134,17 +152,24 @@ class Bundle:
                 headers, body, at = parse(raw, at)
                 yield headers, body
 
-    def index(self) -> dict[int | None, tuple[int, int]]:
-        """Where each record lies: frame and offset in it. Of rows with equal identifiers, the first."""
-        at, packed, _ = self.index_place
-        self.file.seek(at + 8)
-        found: dict[int | None, tuple[int, int]] = {}
-        for there, page_id, frame, offset in INDEX_ENTRY.iter_unpack(self.file.read(packed - 8)):
-            found.setdefault(page_id if there else None, (frame, offset))
-        return found
+    def _entries(self, first: int, n: int) -> list[tuple[int, int, int, int]]:
+        n = min(n, (self.index_place[1] - 8) // INDEX_ENTRY.size - first)
+        self.file.seek(self.index_place[0] + 8 + first * INDEX_ENTRY.size)
+        return list(INDEX_ENTRY.iter_unpack(self.file.read(n * INDEX_ENTRY.size)))
+
+    def place(self, page_id: int | None) -> tuple[int, int] | None:
+        """Where a record lies: frame and offset in it. Of rows with equal identifiers, the first."""
+        asked, low, high = (page_id is not None, page_id or 0), 0, (self.index_place[1] - 8) // INDEX_ENTRY.size
+        while high - low > INDEX_RUN:  # the first entry not below what is asked is in low..high
+            middle = (low + high) // 2
+            if self._entries(middle, 1)[0][:2] < asked:
+                low = middle + 1
+            else:
+                high = middle
+        return next((x[2:] for x in self._entries(low, high - low + 1) if x[:2] == asked), None)
 
     def get(self, page_id: int | None) -> tuple[dict[str, str], bytes] | None:
-        where = self.index().get(page_id)
+        where = self.place(page_id)
         return parse(self.frame(where[0]), where[1])[:2] if where else None
 
 
@@ -158,11 +183,21 @@ def write_bundles(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     session_defaults(spark)
-    html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html")).withColumn("digest", F.when(F.octet_length("html") >= MIN_REVISIT, F.unhex(F.sha2(F.encode("html", "UTF-8"), 256))))
-    first = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    # many rows of one digest meet one row of `first`: Spark splits such a partition; the rest have digests of their own
-    joined = rows.join(first, "digest", "left").select("page_id", "url", "html", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    long = F.octet_length("html") >= MIN_REVISIT
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.when(long, F.unhex(F.sha2(F.encode("html", "UTF-8"), 256))))
+    groups = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    scratch = Scratch(spark)
+    firsts = scratch.written(groups.where("n > 1"), "warc-firsts")
+    # fewer than FREQUENT rows, whatever the input: these are broadcast, so that the rows of a frequent payload stay where they are
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    frequent = firsts.where(F.col("n") * FREQUENT > total).select("digest", F.col("first").alias("frequent_first"), F.lit(True).alias("frequent"))
+    rest = firsts.where(F.col("n") * FREQUENT <= total).select(F.col("digest").alias("key"), "first")
+    # rows that have no partner go by a key of 8 bytes, which no digest is, and so don't meet in one task
+    own = F.unhex(F.lpad(F.hex(F.xxhash64("page_id", "url")), 16, "0"))
+    keyed = rows.join(F.broadcast(frequent), "digest", "left").withColumn("key", F.when(F.col("digest").isNotNull() & F.col("frequent").isNull(), F.col("digest")).otherwise(own))
+    first = F.coalesce("frequent_first", "first")
+    joined = keyed.join(rest, "key", "left").select("page_id", "url", "html", F.when(first.isNotNull() & ~F.col("page_id").eqNullSafe(first), first).alias("refers_to"))
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     folder = fresh_folder(spark, "warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +205,7 @@ def write_bundles(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for page_id, url, text, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 bundle = bundle or BundleWriter(new_file(folder, ".warc.zst"))
-                bundle.add(page_id, record(page_id, url, text.encode("utf-8", "surrogatepass"), refers_to))
+                bundle.add(page_id, record(page_id, url, text.encode("utf-8", "surrogatepass"), refers_to, date))
                 if bundle.size >= BUNDLE_BYTES:
                     done.append(bundle.close())
                     bundle = None
@@ -180,7 +215,9 @@ def write_bundles(pages: DataFrame) -> DataFrame:
             paths, counts = zip(*done, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64())], names=["path", "n_records"])
 
-    return written(joined.mapInArrow(write, "path string, n_records bigint"), "warc-manifest")
+    manifest = written(joined.mapInArrow(write, "path string, n_records bigint"), "warc-manifest")
+    scratch.clear()
+    return manifest
 
 
 def read_bundles(manifest: DataFrame) -> DataFrame:
@@ -198,12 +235,12 @@ def read_bundles(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 rows = []
-                for headers, body in Bundle(path):
+                for headers, block in Bundle(path):
+                    body = payload(block)
                     digest, length = headers["WARC-Payload-Digest"].removeprefix("sha256:"), int(headers["X-Payload-Length"])
                     if headers["WARC-Type"] == "response" and (hashlib.sha256(body).hexdigest(), len(body)) != (digest, length):
                         raise ValueError(f"{path}: {headers['WARC-Record-ID']} is damaged")
-                    refers_to = headers.get("WARC-Refers-To")
-                    rows.append((parse_id(headers["WARC-Record-ID"]), length, digest, headers["WARC-Type"], parse_id(refers_to) if refers_to else None))
+                    rows.append((_id(headers["X-Page-ID"]), length, digest, headers["WARC-Type"], _id(headers.get("X-Refers-To-Page-ID", ""))))
                     if len(rows) == 10_000:
                         yield out(rows)
                         rows = []
