@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.declaration import PlanError
+
 
 def read(spark: SparkSession, kind: str, paths: list[str], schema: str | None = None) -> DataFrame:
     """CSV (with header, strict) or Parquet from a list of paths in order."""
@@ -26,7 +29,52 @@ def locator(text: str) -> list[str]:
     return parts
 
 
+def _pattern(parts: list[str]) -> re.Pattern[str]:
+    """What a path under the root looks like, segment by segment; ** stands for any number of them."""
+    out = ""
+    for k, p in enumerate(parts):
+        last = k == len(parts) - 1
+        if p == "**":
+            out += ".*" if last else "(?:[^/]+/)*"
+        else:
+            out += "".join({"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)) for c in p) + ("" if last else "/")
+    return re.compile(out)
+
+
+def found(spark: SparkSession, root: str, text: str) -> list[str]:
+    """The files under root that a locator means, in order of their names; none is an error (SOURCE).
+
+    Only the folder before the first wildcard is listed. On a local file system links must not lead out of root.
+    """
+    parts = locator(text)
+    wild = next((k for k, p in enumerate(parts) if re.search(r"[*?]", p)), len(parts) - 1)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(root)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = system.makeQualified(top)
+    base = hadoop.Path(top, "/".join(parts[:wild])) if wild else top
+    if not system.exists(base):
+        raise PlanError("SOURCE", f"{text!r} is not there")
+    prefix, form, names = top.toUri().getPath().rstrip("/") + "/", _pattern(parts), []
+    listed = system.listFiles(base, True)
+    while listed.hasNext():
+        path = listed.next().getPath().toUri().getPath()
+        if path.startswith(prefix) and form.fullmatch(path.removeprefix(prefix)):
+            names.append(path.removeprefix(prefix))
+    if not names:
+        raise PlanError("SOURCE", f"{text!r} matches no file")
+    if top.toUri().getScheme() == "file":
+        real = os.path.realpath(prefix)
+        if away := [n for n in names if os.path.commonpath([real, os.path.realpath(prefix + n)]) != real]:
+            raise PlanError("SOURCE", f"{away[0]!r} leads out of its root")
+    return [hadoop.Path(top, n).toString() for n in sorted(names)]
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """name, bytes and sha256 of each file under a path, hashed where it lies."""
+    """name (from the folder's path on), bytes and sha256 of each file under a path, hashed where it lies. A file is one cell: 2 GB at most."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    top = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri().getPath().rstrip("/") + "/"
+    place = F.regexp_replace("path", "^[a-z0-9+.-]+:(//[^/]*)?/", "/")
+    name = F.when(F.startswith(place, F.lit(top)), F.substring(place, F.lit(len(top) + 1), F.length(place))).otherwise(F.element_at(F.split("path", "/"), -1))
+    return files.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -19,10 +20,12 @@ Connector = Callable[[SparkSession, Declaration], DataFrame]
 
 
 class Registry:
-    def __init__(self) -> None:
+    """Connectors by kind. With a root, locators of files are portable ones under it; without, they are paths as Spark takes them."""
+
+    def __init__(self, root: str | None = None) -> None:
         self._connectors: dict[str, Connector] = {}
         for kind in ("csv", "parquet"):
-            self.register(kind, lambda spark, d: files.read(spark, d.kind, [d.locator]))
+            self.register(kind, lambda spark, d: files.read(spark, d.kind, files.found(spark, root, d.locator) if root else [d.locator]))
 
     def register(self, kind: str, connector: Connector) -> None:
         if kind in self._connectors:
@@ -39,6 +42,8 @@ class Registry:
             raise PlanError("CONFIG", f"no connector for {d.kind}")
         try:
             rows = self._connectors[d.kind](spark, d)
+        except PlanError:
+            raise
         except Exception as e:
             raise PlanError("SOURCE", redacted(str(e))) from None
         return guard.guarded(rows, plan)
@@ -92,9 +97,17 @@ def rows_digest(df: DataFrame) -> str:
 
 
 def save_snapshot(df: DataFrame, store: str) -> str:
-    """Writes df as Parquet to a folder named by its digest, unless it is there already; gives the digest."""
-    digest = rows_digest(df)
-    df.write.mode("ignore").parquet(f"{store}/{digest}")
+    """Writes df as Parquet to a folder named by its digest, unless it is there already; gives the digest.
+
+    It is written aside and renamed when whole, so that an interrupted write is never taken for a snapshot.
+    """
+    digest, hadoop = rows_digest(df), df.sparkSession._jvm.org.apache.hadoop.fs
+    whole, aside = hadoop.Path(f"{store}/{digest}"), hadoop.Path(f"{store}/_{digest}-{uuid.uuid4().hex}")
+    system = whole.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    if not system.exists(whole):
+        df.write.parquet(aside.toString())
+        if system.exists(whole) or not system.rename(aside, whole):  # another writer was first
+            system.delete(aside, True)
     return digest
 
 
