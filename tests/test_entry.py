@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 from tidemark import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("nation", "orders", "lineitem", "events", "part", "documents")
+TABLES = ("nation", "orders", "lineitem", "events", "part", "documents", "labels")
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))

@@ -134,3 +134,68 @@ def test_steps_for_all_folds_are_as_the_walk_of_each(spark, long_short):
         found, want = sorted(map(tuple, got.collect())), sorted(y for w in walks for y in w[part])
         assert [r[:keys] for r in found] == [r[:keys] for r in want]
         assert np.allclose([r[keys:] for r in found], [r[keys:] for r in want], rtol=0, atol=1e-12)
+
+
+def _sized_walk(rows: pd.DataFrame, hold: int, lag: int, quantile: float) -> list:
+    """Net returns of long-short books by size, session after session; half a spread of 7 % entity and 2 basis points."""
+    times, positions, out = sorted(rows["t"].unique()), {}, []
+    at = {t: rows[rows["t"] == t].set_index("entity") for t in times}
+    for i, t in enumerate(times):
+        change = {}
+        if i >= lag and (i - lag) % hold == 0:
+            signal, may = at[times[i - lag]], set(at[t].index[at[t]["tradable"]])
+            names = sorted((e for e in signal.index if e in may and not np.isnan(signal.at[e, "score"])), key=lambda e: (-signal.at[e, "score"], e))
+            k, kept = min(max(1, int(len(names) * quantile)), len(names) // 2), {e: w for e, w in positions.items() if e not in may}
+            target = dict(kept)
+            for sign, part in ((1, names[:k]), (-1, names[len(names) - k :])):
+                left, total = 0.5 - sum(abs(w) for w in kept.values() if w * sign > 0), sum(signal.at[e, "size"] for e in part)
+                target |= {e: sign * max(0.0, left) * signal.at[e, "size"] / total for e in part}
+            change = {e: target.get(e, 0.0) - positions.get(e, 0.0) for e in target.keys() | positions.keys()}
+            positions = target
+        gross = sum(w * (at[t].at[e, "price"] / at[times[i - 1]].at[e, "price"] - 1) for e, w in positions.items())
+        cost = sum(abs(d) * (e % 7 / 2 + 2) / 1e4 for e, d in change.items())
+        out.append((t, len(positions), gross, sum(map(abs, change.values())), cost, gross - cost))
+    return out
+
+
+def test_net_returns_are_as_a_walk_with_sizes_and_costs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(0, t, e, float(rng.uniform(5, 15)), bool(rng.random() > 0.3), float(rng.integers(6)), float(rng.uniform(1, 3)), float(e % 7)) for t in range(10) for e in range(19)]
+    df = spark.createDataFrame(rows, "fold int, t int, entity bigint, price double, tradable boolean, score double, size double, spread double")
+    got = pricing.net_returns(df, 2, 1, 0.2, pricing.spread_and_impact("spread", 2.0), market=("spread",)).orderBy("t").drop("fold").collect()
+    assert np.allclose([tuple(r) for r in got], _sized_walk(pd.DataFrame(rows, columns=df.columns), 2, 1, 0.2), rtol=0, atol=1e-12)
+    for bad, message in ((df.withColumn("size", F.when(F.col("entity") == 4, 0.0).otherwise(1.0)).withColumn("score", F.col("entity").cast("double") * -1).withColumn("tradable", F.lit(True)).where("entity >= 4"), "size"), (df.withColumn("price", F.when((F.col("entity") == 3) & (F.col("t") == 5), 0.0).otherwise(F.col("price"))), "price")):
+        with pytest.raises(Exception, match=f"a {message} is not a number above 0"):
+            pricing.net_returns(bad, 2, 1, 0.2, pricing.by_trade(lambda c: finance.linear_cost(c, 10.0))).collect()
+
+
+def test_each_trade_has_one_charge(spark):
+    trades = spark.createDataFrame([(0, 1, 1, 0.0, 0.5, 0.5), (0, 1, 2, 0.0, -0.5, -0.5)], "fold int, t int, entity bigint, previous double, target double, change double")
+    model = pricing.by_trade(lambda c: finance.linear_cost(c, 10.0))
+    assert sorted(r["charge"] for r in pricing.charged(trades, model).collect()) == [0.0005, 0.0005]
+    for cost, message in (
+        (lambda t: model(t.where("entity = 1")), "needs one charge"),
+        (lambda t: model(t).unionByName(model(t)), "needs one charge"),
+        (lambda t: model(t).unionByName(model(t).withColumn("entity", F.col("entity") + 9)), "without a trade"),
+        (lambda t: t.select(*pricing.TRADE, F.col("change").alias("charge")), "number from 0"),
+        (lambda t: t.select(*pricing.TRADE, F.lit(None).cast("double").alias("charge")), "number from 0"),
+        (lambda t: t.select(*pricing.TRADE, F.lit(float("nan")).alias("charge")), "number from 0"),
+    ):
+        with pytest.raises(Exception, match=message):
+            pricing.charged(trades, cost).collect()
+
+
+def test_generated_null_series_are_checked(spark):
+    series = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, -1.0)], "i int, r double")
+    flips = lambda n: lambda s: null.sign_flips(spark, s, n)
+    assert null.generated(series, flips(32)).count() == 96
+    whole = null.sign_flips(spark, series, 32)
+    for generate, message in (
+        (flips(31), "31 replications"),
+        (lambda s: whole.where("replication < 31 or place > 0"), "finite number"),
+        (lambda s: whole.unionByName(whole.where("replication = 3 and place = 1")), "finite number"),
+        (lambda s: whole.withColumn("value", F.when(F.col("place") == 1, float("nan")).otherwise(1.0)), "finite number"),
+        (lambda s: whole.withColumn("value", F.lit(None)), "finite number"),
+    ):
+        with pytest.raises(ValueError, match=message):
+            null.generated(series, generate)

@@ -33,3 +33,41 @@ def metric_tokens(name: Column) -> Column:
 def seed(text: Column, size: int) -> Column:
     """A number from 0 to less than size: the first four bytes of the text's SHA-256, modulo size."""
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint") % size
+
+
+def canonical_number(x: Column) -> Column:
+    """A double as JSON in its canonical form: whole numbers without a point, powers of ten only from 1e21 on and below 1e-6, and no negative zero. The digits are Java's, the shortest that give the number from Java 19 on."""
+    raw = F.abs(x).cast("string")
+    mantissa, power = F.split_part(raw, F.lit("E"), F.lit(1)), F.coalesce(F.try_element_at(F.split(raw, "E"), F.lit(2)).cast("int"), F.lit(0))
+    whole, part = F.split_part(mantissa, F.lit("."), F.lit(1)), F.regexp_replace(F.split_part(mantissa, F.lit("."), F.lit(2)), "0+$", "")
+    # the digits, and how many of them are before the point
+    zeros = F.length(F.regexp_extract(F.concat(whole, part), "^(0*)", 1))
+    digits = F.regexp_replace(F.regexp_replace(F.concat(whole, part), "^0+", ""), "0+$", "")
+    before = F.length(whole) + power - zeros
+    n = F.length(digits)
+    tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, 2, 400))).otherwise("")
+    exponent = F.concat(F.when(before > 0, "e+").otherwise("e-"), F.abs(before - 1))
+    form = F.when((before > 21) | (before < -5), F.concat(F.substring(digits, 1, 1), tail, exponent))
+    form = form.when(before <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -before), digits)).when(before >= n, F.concat(digits, F.repeat(F.lit("0"), before - n)))
+    form = form.otherwise(F.concat(F.substr(digits, F.lit(1), before), F.lit("."), F.substr(digits, before + 1)))
+    return F.when(x == 0, "0").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), form))
+
+
+def quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+
+
+def canonical_json(**fields: Column) -> Column:
+    """An object with its keys in order and no blanks; values are texts and whole numbers, null if they are null."""
+    return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})
+
+
+def domain_hash(domain: str, json: Column) -> Column:
+    """SHA-256 of a domain's name, a zero byte and a JSON text: equal texts of different domains differ."""
+    return F.sha2(F.concat(F.lit(domain + "\0"), json), 256)
+
+
+def identity(value: Column, kind: str) -> Column:
+    """An entity's identity with its kind in front, so that the text "1" and the number 1 are two."""
+    return F.concat(F.lit(f"{kind}:"), quoted(value) if kind == "string" else value.cast("string"))

@@ -55,3 +55,22 @@ def revision_at(asks: DataFrame, revisions: DataFrame, entity: str, at: str, per
     both = known.unionByName(asks.select(entity, at, F.lit(True).alias("ask")), allowMissingColumns=True)
     w = Window.partitionBy(entity).orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("in_force", F.max_by("known", "version").over(w)).where("ask").select(entity, at, "in_force")
+
+
+def survivors(panel: DataFrame, sessions: int) -> DataFrame:
+    """The entities with a row in the last so many sessions: what a list of today's members would hold."""
+    last = panel.groupBy("entity").agg(F.max("t").alias("last"))
+    return last.join(F.broadcast(last.agg(F.max("last").alias("end"))), F.col("last") > F.col("end") - sessions, "left_semi").select("entity")
+
+
+def in_universe(panel: DataFrame, members: DataFrame, survivors_: DataFrame) -> DataFrame:
+    """panel with `member` (a span since <= t < until of members holds t; an open end is null) and `survivor`.
+
+    Ends of spans and rows go through one window by entity that adds up what is open, so that no row meets a span.
+    """
+    opened = members.select("entity", F.col("since").alias("t"), F.lit(1).alias("step"))
+    closed = members.where("until is not null").select("entity", F.col("until").alias("t"), F.lit(-1).alias("step"))
+    rows = panel.join(survivors_.select("entity", F.lit(True).alias("survivor")).distinct(), "entity", "left").withColumn("survivor", F.coalesce("survivor", F.lit(False)))
+    both = rows.withColumn("step", F.lit(0)).unionByName(opened.unionByName(closed), allowMissingColumns=True)
+    w = Window.partitionBy("entity").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("member", F.sum("step").over(w) > 0).where("step = 0").drop("step")

@@ -5,9 +5,13 @@ The generator's n-th draw depends on seed and n only, so that Spark makes the dr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Returns of one series at most; so it can be broadcast.
 MAX_RETURNS = 1_000_000
 WORD = 0xFFFFFFFF
@@ -52,6 +56,28 @@ def sign_flips(spark: SparkSession, series: DataFrame, replications: int) -> Dat
     return rows.select("replication", "place", F.when((F.col("replication") + F.col("place")) % 2 == 0, F.col("r")).otherwise(-F.col("r")).alias("value"))
 
 
+def generated(series: DataFrame, generate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The null series (replication, place, value) that a function makes of the observed one (i from 0, r).
+
+    There are 32 to 10,000 replications, each with the places of the series, once each, and finite values; anything
+    else is an error. Replications are counted by themselves, and only their number comes to the driver.
+    """
+    total = series.agg(F.count("*").alias("n"), F.max("i").alias("last")).first()
+    n = total["n"]
+    if not 0 < n <= MAX_RETURNS or total["last"] != n - 1:
+        raise ValueError(f"{n} returns")
+    made = written(generate(series).select("replication", "place", F.col("value").cast("double").alias("value")), "null-series")
+    finite = F.coalesce(F.abs("value") < float("inf"), F.lit(False))
+    places = made.groupBy("replication", "place").agg(F.count("*").alias("rows"), F.bool_and(finite).alias("finite"))
+    whole = (F.count("*") == n) & (F.min("place") == 0) & (F.max("place") == n - 1) & (F.max("rows") == 1) & F.bool_and("finite")
+    found = places.groupBy("replication").agg(F.coalesce(whole, F.lit(False)).alias("whole")).agg(F.count("*").alias("n"), F.coalesce(F.bool_and("whole"), F.lit(False)).alias("whole")).first()
+    if not 32 <= found["n"] <= 10_000:
+        raise ValueError(f"{found['n']} replications, not 32 to 10,000")
+    if not found["whole"]:
+        raise ValueError("a replication isn't as long as the series, or has a value that is no finite number")
+    return made
+
+
 def p_value(null: DataFrame, value: str, observed: float) -> DataFrame:
     """One row: replications, exceedances and (exceedances + 1) / (replications + 1)."""
     n = null.agg(F.count("*").alias("replications"), F.count_if(F.col(value) >= observed).alias("exceedances"))

@@ -7,18 +7,40 @@ Sessions and folds are few; entities may be many.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
 
 
+#: What names a trade.
+TRADE = ("fold", "t", "entity")
+#: A cost model: from trades (TRADE, previous, target, change, price and the market columns asked for) to one `charge` for each TRADE.
+CostModel = Callable[[DataFrame], DataFrame]
+
+
 class PricingError(ValueError):
     """A position or trade that can't be priced, or carried positions beyond their side's budget."""
 
 
+def _broken(text: str) -> Column:
+    return F.raise_error(F.lit(f"PRICING: {text}"))
+
+
+def by_trade(charge: Callable[[Column], Column]) -> CostModel:
+    """The cost model of a charge that depends on the trade's change alone, such as finance.linear_cost."""
+    return lambda trades: trades.select(*TRADE, charge(F.col("change")).alias("charge"))
+
+
+def spread_and_impact(spread: str, impact_bps: float) -> CostModel:
+    """Half the spread (a market column in basis points, not below 0) and a fixed impact on what is traded."""
+    bps = F.when(F.col(spread) >= 0, F.col(spread)).otherwise(_broken(f"{spread} is not a number from 0").cast("double"))
+    return lambda trades: trades.select(*TRADE, (F.abs("change") * (bps / 2 + impact_bps) / 1e4).alias("charge"))
+
+
 def _placed(rows: DataFrame) -> DataFrame:
     """rows (fold, entity, score) with names and place in each fold, from 1: best scores first, ties by entity. Ranges of the order are ranked by themselves and their sizes added up."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -32,7 +54,7 @@ def _placed(rows: DataFrame) -> DataFrame:
     return ranged.join(F.broadcast(starts), ["fold", "part"]).select("fold", "entity", "names", place.alias("place"))
 
 
-def _step(now: DataFrame, signal: DataFrame, positions: DataFrame, quantile: float, long_short: bool) -> DataFrame:
+def _step(now: DataFrame, signal: DataFrame, positions: DataFrame, quantile: float, long_short: bool, sized: bool) -> DataFrame:
     """(fold, entity, previous, target): the target among what is tradable, scaled to the budget that carried positions leave, and those positions; target is null where nothing is held any more."""
     may = now.where("tradable").select("fold", "entity")
     carried = positions.join(may, ["fold", "entity"], "left_anti")
@@ -45,19 +67,27 @@ def _step(now: DataFrame, signal: DataFrame, positions: DataFrame, quantile: flo
     placed = _placed(signal.where("score is not null and not isnan(score)").select("fold", "entity", "score").join(may, ["fold", "entity"]))
     k = F.least(F.greatest(F.lit(1), F.floor(F.col("names") * quantile)), F.floor(F.col("names") / 2) if long_short else F.col("names"))
     left = [F.greatest(F.lit(0.0), budget - F.coalesce(name, F.lit(0.0))) / budget if budget else F.lit(0.0) for name, budget in zip(("long", "short"), budgets, strict=True)]
-    long = F.lit(budgets[0]) / k * left[0]
-    short = F.when(F.col("place") > F.col("names") - k, F.lit(-budgets[1]) / k * left[1]) if long_short else F.lit(None).cast("double")
+    side = F.when(F.col("place") <= k, 1).when(F.lit(long_short) & (F.col("place") > F.col("names") - k), -1)
+    chosen = placed.withColumns({"side": side, "k": k}).where("side is not null")
+    if sized:
+        size = F.when((F.col("size") > 0) & (F.col("size") < float("inf")), F.col("size")).otherwise(_broken("a size is not a number above 0").cast("double"))
+        chosen = chosen.join(signal.select("fold", "entity", "size"), ["fold", "entity"]).withColumn("size", size)
+        # two rows for each fold
+        chosen = chosen.join(F.broadcast(chosen.groupBy("fold", "side").agg(F.sum("size").alias("total"))), ["fold", "side"])
+    part = lambda budget: F.lit(budget) * F.col("size") / F.col("total") if sized else F.lit(budget) / F.col("k")
+    target = F.when(F.col("side") == 1, part(budgets[0]) * left[0]).otherwise(part(-budgets[1]) * left[1])
     # a row for each fold
-    wanted = placed.join(F.broadcast(used), "fold", "left").select("fold", "entity", F.when(F.col("place") <= k, long).otherwise(short).alias("target")).where("target is not null")
+    wanted = chosen.join(F.broadcast(used), "fold", "left").select("fold", "entity", target.alias("target"))
     target = wanted.unionByName(carried.select("fold", "entity", F.col("weight").alias("target")))
     return positions.withColumnRenamed("weight", "previous").join(target, ["fold", "entity"], "full")
 
 
-def _priced(rows: DataFrame, hold: int, lag: int, quantile: float, long_short: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _priced(rows: DataFrame, hold: int, lag: int, quantile: float, long_short: bool, market: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sessions (fold, t, offset, step), rows with their offset, and every step's (step, fold, entity, previous, target)."""
     if lag < 1 or hold < 1:
         raise PricingError("a signal is traded a session later at the earliest")
-    rows = written(rows.select("fold", "t", F.col("entity").cast("bigint").alias("entity"), "price", "tradable", "score"), "pricing-rows")
+    sized = "size" in rows.columns
+    rows = written(rows.select("fold", "t", F.col("entity").cast("bigint").alias("entity"), "price", "tradable", "score", *(["size"] if sized else []), *market), "pricing-rows")
     sessions = rows.select("fold", "t").distinct().withColumn("offset", F.row_number().over(Window.partitionBy("fold").orderBy("t")) - 1)
     sessions = written(sessions.withColumn("step", F.expr(f"case when offset >= {lag} then cast((offset - {lag}) div {hold} as int) end")), "pricing-sessions")
     # a row for each fold and session
@@ -67,19 +97,13 @@ def _priced(rows: DataFrame, hold: int, lag: int, quantile: float, long_short: b
     steps, positions = [], empty.select("fold", "entity", F.col("target").alias("weight"))
     for k in range(0 if last is None else last + 1):
         at = lambda offset: rows.where(F.col("offset") == offset)
-        found = _step(at(lag + k * hold), at(k * hold), positions, quantile, long_short)
+        found = _step(at(lag + k * hold), at(k * hold), positions, quantile, long_short, sized)
         steps.append(written(found.select(F.lit(k).alias("step"), "fold", "entity", "previous", "target"), "pricing-step"))
         positions = steps[-1].where("target is not null").select("fold", "entity", F.col("target").alias("weight"))
     return sessions, rows, reduce(DataFrame.unionByName, steps, empty)
 
 
-def fold_returns(rows: DataFrame, hold: int, lag: int, quantile: float, long_short: bool = True) -> DataFrame:
-    """Gross return and number of positions of every session; rows (fold, t, entity, price, tradable, score) are one each per fold, session and entity.
-
-    A fold starts flat, trades lag sessions after every hold-th signal, earns from the close before the
-    execution session on, and isn't liquidated. A missing close of a held position is an error.
-    """
-    sessions, rows, steps = _priced(rows, hold, lag, quantile, long_short)
+def _gross(sessions: DataFrame, rows: DataFrame, steps: DataFrame) -> DataFrame:
     held = steps.where("target is not null").join(F.broadcast(sessions), ["fold", "step"]).select("fold", "t", "offset", "entity", "target")
     now = rows.select("fold", "offset", "entity", "price", F.lit(True).alias("is_now"))
     past = rows.select("fold", (F.col("offset") + 1).alias("offset"), "entity", F.col("price").alias("past"), F.lit(True).alias("is_past"))
@@ -90,10 +114,48 @@ def fold_returns(rows: DataFrame, hold: int, lag: int, quantile: float, long_sho
     return sessions.select("fold", "t").join(sums, ["fold", "t"], "left").select("fold", "t", F.coalesce("held", F.lit(0)).alias("held"), F.when(F.col("held").isNull(), 0.0).otherwise(gross).alias("gross"))
 
 
-def fold_trades(rows: DataFrame, hold: int, lag: int, quantile: float, long_short: bool = True) -> DataFrame:
-    """The trades of the same walk."""
-    sessions, _, steps = _priced(rows, hold, lag, quantile, long_short)
+def _trades(sessions: DataFrame, steps: DataFrame) -> DataFrame:
     first = sessions.groupBy("fold", "step").agg(F.min("t").alias("t"))
     before, after = (F.coalesce(c, F.lit(0.0)) for c in ("previous", "target"))
     trades = steps.where(before != after).join(F.broadcast(first), ["fold", "step"])
-    return trades.select("fold", "t", "entity", before.alias("previous"), after.alias("target"), (after - before).alias("change"))
+    return trades.select(*TRADE, before.alias("previous"), after.alias("target"), (after - before).alias("change"))
+
+
+def fold_returns(rows: DataFrame, hold: int, lag: int, quantile: float, long_short: bool = True) -> DataFrame:
+    """Gross return and number of positions of every session; rows (fold, t, entity, price, tradable, score) are one each per fold, session and entity.
+
+    A fold starts flat, trades lag sessions after every hold-th signal, earns from the close before the
+    execution session on, and isn't liquidated. A missing close of a held position is an error. A column `size`
+    (above 0) divides each side's budget in proportion; without it, a side's positions are equal.
+    """
+    return _gross(*_priced(rows, hold, lag, quantile, long_short))
+
+
+def fold_trades(rows: DataFrame, hold: int, lag: int, quantile: float, long_short: bool = True) -> DataFrame:
+    """The trades of the same walk."""
+    sessions, _, steps = _priced(rows, hold, lag, quantile, long_short)
+    return _trades(sessions, steps)
+
+
+def charged(trades: DataFrame, cost: CostModel) -> DataFrame:
+    """The trades with their charge. A trade without a charge or with more than one, a charge without its trade, and one that is no number from 0 are errors when read."""
+    charge = F.col("charge")
+    charges = cost(trades).groupBy(*TRADE).agg(F.count("*").alias("charges"), F.max("charge").cast("double").alias("charge"))
+    ok = (charge >= 0) & (charge < float("inf"))
+    checked = F.when(F.col("is_trade").isNull(), _broken("a charge without a trade").cast("double")).when(F.coalesce("charges", F.lit(0)) != 1, _broken("a trade needs one charge").cast("double"))
+    checked = checked.when(F.coalesce(ok, F.lit(False)), charge).otherwise(_broken("a charge is not a number from 0").cast("double"))
+    return trades.withColumn("is_trade", F.lit(True)).join(charges, list(TRADE), "full").withColumn("charge", checked).drop("charges", "is_trade")
+
+
+def net_returns(rows: DataFrame, hold: int, lag: int, quantile: float, cost: CostModel, long_short: bool = True, market: tuple[str, ...] = ()) -> DataFrame:
+    """fold_returns() with turnover, cost and net return of every session; costs fall on the session that trades.
+
+    The cost model is given each trade's price at its execution session, and the columns of the rows that market names.
+    A price that isn't above 0 is an error for every row, traded or not.
+    """
+    price = F.when((F.col("price") > 0) & (F.col("price") < float("inf")), F.col("price")).otherwise(_broken("a price is not a number above 0").cast("double"))
+    sessions, rows, steps = _priced(rows.withColumn("price", price), hold, lag, quantile, long_short, market)
+    traded = written(_trades(sessions, steps).join(rows.select(*TRADE, "price", *market), list(TRADE), "left"), "pricing-trades")
+    costs = charged(traded, cost).groupBy("fold", "t").agg(F.sum(F.abs("change")).alias("turnover"), F.sum("charge").alias("cost"))
+    days = _gross(sessions, rows, steps).join(costs, ["fold", "t"], "left").fillna(0.0, ["turnover", "cost"])
+    return days.withColumn("net", F.col("gross") - F.col("cost"))
