@@ -47,7 +47,7 @@ def require(df: DataFrame, plan: ReadPlan) -> None:
     d = plan.declaration
     if len(set(df.columns)) < len(df.columns):
         raise PlanError("CONFIG", "a column name repeats")
-    for code, name in (("C1", d.clock), ("C1", d.event_time), ("C4", d.mask), ("CONFIG", d.entity), *(("CONFIG", c) for c in plan.columns)):
+    for code, name in (("C1", d.clock), ("C1", d.event_time), ("C4", d.mask), ("CONFIG", d.entity), *(("CONFIG", c) for c in (*d.payload, *plan.columns))):
         if name and name not in df.columns:
             raise PlanError(code, f"{d.name} has no column {name}")
 

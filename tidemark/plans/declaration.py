@@ -25,6 +25,8 @@ class Declaration:
     locator: str = ""
     #: (from, until, basis): contiguous segments of event time, basis observed, reconstructed or assumed.
     segments: tuple[tuple[datetime, datetime | None, str], ...] = field(default=())
+    #: Columns that the source must have besides.
+    payload: tuple[str, ...] = ()
 
     @property
     def clock(self) -> str:

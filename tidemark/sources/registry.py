@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import guard
+from ..operators import guard, joins
 from ..plans.declaration import Declaration, PlanError, ReadPlan, read_plan
 from . import files
 
@@ -37,16 +37,37 @@ class Registry:
 
     def read(self, spark: SparkSession, plan: ReadPlan) -> DataFrame:
         """The plan's rows, by the connector of its declaration's kind and always through the guard."""
-        d = plan.declaration
+        return guard.guarded(self.source(spark, plan.declaration), plan)
+
+    def source(self, spark: SparkSession, d: Declaration) -> DataFrame:
+        """All rows of a declared source, for connectors that are made of others."""
         if d.kind not in self._connectors:
             raise PlanError("CONFIG", f"no connector for {d.kind}")
         try:
-            rows = self._connectors[d.kind](spark, d)
+            return self._connectors[d.kind](spark, d)
         except PlanError:
             raise
         except Exception as e:
             raise PlanError("SOURCE", redacted(str(e))) from None
-        return guard.guarded(rows, plan)
+
+
+def composite_connector(registry: Registry, primary: Declaration, membership: Declaration, member: str, keys: list[str]) -> Connector:
+    """A connector of primary's rows with the point-in-time membership of another source, on shared keys.
+
+    It gives primary's columns with `available`, the later availability of both sides, and `eligible`, tradable and a
+    member; the declaration of the composite has these as its clock and mask. It goes through the registry's guard
+    like any source, at whatever time is asked, and is an error on missing or repeated membership when rows are read.
+    """
+    if not primary.available_time or not primary.mask or not membership.available_time:
+        raise PlanError("CONFIG", "a composite needs an available_time on both sides, and a mask")
+
+    def connect(spark: SparkSession, d: Declaration) -> DataFrame:
+        a, b = registry.source(spark, primary), registry.source(spark, membership)
+        a = a.withColumns({"available": F.col(primary.available_time), "tradable": F.col(primary.mask)})
+        b = b.select(*keys, F.col(membership.available_time).alias("member_available"), F.col(member).alias("member"))
+        return joins.composite(a, b, keys).drop("member", "member_available")
+
+    return connect
 
 
 def redacted(message: str) -> str:
