@@ -58,7 +58,8 @@ _FACTS = """facts AS (SELECT o_orderkey, l_linenumber, o_custkey, o_orderdate AS
 
 
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.numbered(panel.supplier_panel(_table(spark, sf_dir, "lineitem"))).drop("session_date")
+    lines = _table(spark, sf_dir, "lineitem")
+    return panel.numbered(panel.supplier_panel(lines), dates=lines.select(F.col("l_shipdate").alias("session_date"))).drop("session_date")
 
 
 _PANEL = """raw AS (SELECT l_suppkey AS entity, l_shipdate AS d, round(avg(l_extendedprice / l_quantity), 9) AS price, sum(l_quantity) AS volume, bool_and(l_returnflag <> 'R') AS tradable
@@ -261,9 +262,10 @@ daily AS (SELECT t, round(sum(weight * coalesce(r, 0)), 9) AS gross FROM alive L
 
 
 def _daily(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
-    """The books' return by session, from each close to the next one; no price, no return."""
+    """The books' return by session, from each close to the next one; no price, no return. The panel serves books and returns: it is written once."""
+    rows = rows or written(_panel(spark, sf_dir), "daily-panel")
     alive = portfolio.overlapping(_weights(spark, sf_dir, rows), HORIZON, CADENCE)
-    earned = (rows or _panel(spark, sf_dir)).select("entity", "t", F.round(panel.forward_label(1), 9).alias("r"))
+    earned = rows.select("entity", "t", F.round(panel.forward_label(1), 9).alias("r"))
     return alive.join(earned, ["entity", "t"], "left").groupBy("t").agg(F.round(F.sum(F.col("weight") * F.coalesce("r", F.lit(0.0))), 9).alias("gross"))
 
 
@@ -340,7 +342,8 @@ def fold_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_TRADES} SELECT t, round(max(abs(change) * 1e6 / (price * volume)), 6) AS participation, count(*) FILTER (volume IS NULL OR volume <= 0) AS unknown FROM trades LEFT JOIN panel USING (entity, t) GROUP BY t""")
 def capacity_participation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _trades(spark, sf_dir).join(_panel(spark, sf_dir), ["entity", "t"], "left")
+    market = written(_panel(spark, sf_dir), "capacity-panel")
+    rows = _trades(spark, sf_dir, market).join(market, ["entity", "t"], "left")
     return rows.groupBy("t").agg(F.round(F.max(F.abs("change") * 1e6 / (F.col("price") * F.col("volume"))), 6).alias("participation"), F.count_if(F.col("volume").isNull() | (F.col("volume") <= 0)).alias("unknown"))
 
 
@@ -348,7 +351,7 @@ def capacity_participation(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT n, m / sd AS sr, sum(pow((r - m) / sd, 3)) / n AS g3, sum(pow((r - m) / sd, 4)) / n AS g4 FROM x, s GROUP BY n, m, sd)
 SELECT n, round(sr, 6) AS sharpe, round(g3, 5) AS skew, round(g4, 4) AS kurt, round(sr * sqrt(n - 1.0) / sqrt(1 - g3 * sr + (g4 - 1) / 4 * sr * sr), 5) AS z FROM k""")
 def deflated_sharpe_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _daily(spark, sf_dir)
+    rows = written(_daily(spark, sf_dir), "daily-returns")
     s = rows.agg(F.count("*").alias("n"), F.avg("gross").alias("m"), F.stddev_samp("gross").alias("sd"))
     z = (F.col("gross") - F.col("m")) / F.col("sd")
     k = rows.join(F.broadcast(s)).groupBy("n", "m", "sd").agg((F.sum(F.pow(z, 3)) / F.first("n")).alias("g3"), (F.sum(F.pow(z, 4)) / F.first("n")).alias("g4")).withColumn("sr", F.col("m") / F.col("sd"))
@@ -409,7 +412,7 @@ d AS (SELECT replication, (floor(xor(x, x >> 14) / 4294967296.0 * n)::BIGINT + p
 e AS (SELECT replication, avg(r - m) / stddev_samp(r - m) AS sharpe FROM d JOIN s USING (i), n GROUP BY replication)
 SELECT count(*) AS replications, count(*) FILTER (sharpe >= sr) AS exceedances, round((count(*) FILTER (sharpe >= sr) + 1) / (count(*) + 1), 6) AS p_value FROM e, n GROUP BY sr""")
 def bootstrap_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = _series(spark, sf_dir)
+    series = written(_series(spark, sf_dir), "bootstrap-series")
     observed = series.agg((F.avg("r") / F.stddev_samp("r")).alias("sr")).first()["sr"]
     drawn = null.block_bootstrap(spark, series, REPLICATIONS, BLOCK, SEED).groupBy("replication").agg((F.avg("value") / F.stddev_samp("value")).alias("sharpe"))
     return null.p_value(drawn, "sharpe", observed).withColumn("p_value", F.round("p_value", 6))
@@ -419,8 +422,9 @@ def bootstrap_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) AS n, round(avg(gross - 2 * coalesce(cost, 0)) / stddev_samp(gross - 2 * coalesce(cost, 0)) * sqrt(252), 5) AS sharpe FROM daily LEFT JOIN c USING (t)""")
 def cost_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Sharpe ratio at twice the costs."""
-    cost = _trades(spark, sf_dir).groupBy("t").agg(F.sum(finance.linear_cost(F.col("change"), BPS)).alias("cost"))
-    net = _daily(spark, sf_dir).join(cost, "t", "left").withColumn("net", F.col("gross") - 2 * F.coalesce("cost", F.lit(0.0)))
+    rows = written(_panel(spark, sf_dir), "stress-panel")
+    cost = _trades(spark, sf_dir, rows).groupBy("t").agg(F.sum(finance.linear_cost(F.col("change"), BPS)).alias("cost"))
+    net = _daily(spark, sf_dir, rows).join(cost, "t", "left").withColumn("net", F.col("gross") - 2 * F.coalesce("cost", F.lit(0.0)))
     return net.agg(F.count("*").alias("n"), F.round(finance.sharpe("net"), 5).alias("sharpe"))
 
 

@@ -20,9 +20,12 @@ def supplier_panel(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def numbered(panel: DataFrame, date: str = "session_date", to: str = "t") -> DataFrame:
-    """panel with the number of each row's session, from 0. The dates are few: one small table, which is broadcast."""
-    dates = panel.select(date).distinct()
+def numbered(panel: DataFrame, date: str = "session_date", to: str = "t", dates: DataFrame | None = None) -> DataFrame:
+    """panel with the number of each row's session, from 0. The dates are few: one small table, which is broadcast.
+
+    dates, if given, has the panel's dates at less cost than the panel itself, such as one column of what it is made of.
+    """
+    dates = (panel if dates is None else dates).select(date).distinct()
     if (n := dates.count()) > MAX_SESSIONS:
         raise ValueError(f"{n} sessions")
     calendar = dates.withColumn(to, (F.row_number().over(Window.orderBy(date)) - 1).cast("int"))
