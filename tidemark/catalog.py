@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -87,13 +88,38 @@ def _weights(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) ->
     return portfolio.books(portfolio.ranked(_signals(spark, sf_dir, rows=rows)), QUANTILE).select("entity", "t", "weight")
 
 
-_TRADES = f"""{_signal_sql()},
-trades AS (SELECT entity, t, coalesce(a.weight, 0) - coalesce(b.weight, 0) AS change
-  FROM weights a FULL JOIN (SELECT entity, t + {CADENCE} AS t, weight FROM weights) b USING (entity, t) WHERE coalesce(a.weight, 0) <> coalesce(b.weight, 0))"""
+def _offset_sql(k: int) -> str:
+    frame = f"{-k} PRECEDING AND {-k} PRECEDING" if k < 0 else f"{k} FOLLOWING AND {k} FOLLOWING"
+    return f"max(price) OVER (PARTITION BY entity ORDER BY t RANGE BETWEEN {frame})"
+
+
+_SLOTS = -(-HORIZON // CADENCE)
+#: The book held: what all books that are alive wish, in the tradable rows; in between it is carried.
+_BOOK = f"""{_signal_sql()},
+wished AS (SELECT p.entity, p.t, round(coalesce(sum(w.weight / {_SLOTS}), 0), 12) AS wish FROM panel p LEFT JOIN weights w ON w.entity = p.entity AND w.t BETWEEN p.t - {HORIZON - 1} AND p.t WHERE p.tradable GROUP BY p.entity, p.t),
+moved AS (SELECT entity, t, wish, round(wish - coalesce(lag(wish) OVER (PARTITION BY entity ORDER BY t), 0), 12) AS change FROM wished),
+trades AS (SELECT entity, t, price, volume, change FROM moved JOIN panel USING (entity, t) WHERE change <> 0),
+earned AS (SELECT p.entity, p.t, coalesce(last_value(wish IGNORE NULLS) OVER (PARTITION BY p.entity ORDER BY p.t), 0) AS position,
+  round(CASE WHEN price > 0 THEN max(price) OVER (PARTITION BY p.entity ORDER BY p.t RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) / price - 1 END, 9) AS r,
+  round(price / nullif(max(price) OVER (PARTITION BY p.entity ORDER BY p.t RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING), 0) - 1, 9) AS r_same
+  FROM panel p LEFT JOIN moved m ON p.entity = m.entity AND p.t = m.t),
+span AS (SELECT (SELECT min(t) FROM weights) AS first_book, (SELECT max(t) FROM panel) AS last_session),
+costs AS (SELECT t, round(sum(abs(change)), 9) AS turnover, count(*) AS n_trades FROM trades GROUP BY t),
+daily AS (SELECT t, round(sum(position * coalesce(r, 0)), 9) AS gross FROM earned, span WHERE t >= first_book AND t < last_session GROUP BY t)"""
+
 
+def _held(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """The panel with the book held and its trades, written once: returns, costs and gates all read it."""
+    rows = rows or written(_panel(spark, sf_dir), "book-panel")
+    return written(portfolio.netted(rows, _weights(spark, sf_dir, rows), HORIZON, CADENCE), "book-held")
 
-def _trades(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
-    return portfolio.trades(_weights(spark, sf_dir, rows), CADENCE)
+
+def _trades(held: DataFrame) -> DataFrame:
+    return held.where("change is not null").select("entity", "t", "price", "volume", "change")
+
+
+def _daily(held: DataFrame) -> DataFrame:
+    return portfolio.book_days(held, BPS / 1e4)
 
 
 @query(f"WITH {_FACTS} SELECT o_orderkey, l_linenumber, o_custkey, available_time, value FROM facts WHERE available_time <= TIMESTAMP '{AS_OF}'")
@@ -185,11 +211,6 @@ def asof_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.revision_as_of(rev, "o_custkey", "event_time", "available_time", "value").drop("value")
 
 
-def _offset_sql(k: int) -> str:
-    frame = f"{-k} PRECEDING AND {-k} PRECEDING" if k < 0 else f"{k} FOLLOWING AND {k} FOLLOWING"
-    return f"max(price) OVER (PARTITION BY entity ORDER BY t RANGE BETWEEN {frame})"
-
-
 @query(f"WITH {_PANEL} SELECT entity, t, round(price / nullif({_offset_sql(-1)}, 0) - 1, 9) AS r FROM panel")
 def lag_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _panel(spark, sf_dir).select("entity", "t", F.round(panel.momentum(1), 9).alias("r"))
@@ -243,35 +264,34 @@ def longshort_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weights(spark, sf_dir).withColumn("weight", F.round("weight", 9))
 
 
-@query(f"WITH {_TRADES} SELECT t, count(*) AS n, round(sum(abs(change)), 9) AS turnover FROM trades GROUP BY t")
+@query(f"WITH {_BOOK} SELECT t, count(*) AS n, round(sum(abs(change)), 9) AS turnover FROM trades GROUP BY t")
 def rebalance_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trades(spark, sf_dir).groupBy("t").agg(F.count("*").alias("n"), F.round(F.sum(F.abs("change")), 9).alias("turnover"))
+    return _trades(_held(spark, sf_dir)).groupBy("t").agg(F.count("*").alias("n"), F.round(F.sum(F.abs("change")), 9).alias("turnover"))
 
 
-@query(f"""WITH {_TRADES} SELECT entity, t, round(abs(change) * {BPS} / 1e4, 9) AS linear, round(abs(change) * (3 + 0.27) / 1e4 + greatest(change, 0) * 10 / 1e4, 9) AS equity,
+@query(f"""WITH {_BOOK} SELECT entity, t, round(abs(change) * {BPS} / 1e4, 9) AS linear, round(abs(change) * (3 + 0.27) / 1e4 + greatest(change, 0) * 10 / 1e4, 9) AS equity,
   round(abs(change) * (4 + 2) / 1e4, 9) AS futures FROM trades""")
 def trade_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("change")
-    return _trades(spark, sf_dir).select("entity", "t", F.round(finance.linear_cost(c, BPS), 9).alias("linear"), F.round(finance.equity_cost(c, 3, 0.27, 10), 9).alias("equity"), F.round(finance.futures_cost(c, 4, 2), 9).alias("futures"))
+    return _trades(_held(spark, sf_dir)).select("entity", "t", F.round(finance.linear_cost(c, BPS), 9).alias("linear"), F.round(finance.equity_cost(c, 3, 0.27, 10), 9).alias("equity"), F.round(finance.futures_cost(c, 4, 2), 9).alias("futures"))
 
 
-_BOOK = f"""{_signal_sql()},
-alive AS (SELECT entity, t + i AS t, sum(weight / {-(-HORIZON // CADENCE)}) AS weight FROM weights, range({HORIZON}) r(i) GROUP BY 1, 2),
-earned AS (SELECT entity, t, round({_offset_sql(1)} / price - 1, 9) AS r FROM panel),
-daily AS (SELECT t, round(sum(weight * coalesce(r, 0)), 9) AS gross FROM alive LEFT JOIN earned USING (entity, t) GROUP BY t)"""
+@query(f"WITH {_BOOK} SELECT t, round(gross, 7) AS gross FROM daily")
+def overlapping_books_return(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _daily(_held(spark, sf_dir)).select("t", F.round("gross", 7).alias("gross"))
 
 
-def _daily(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
-    """The books' return by session, from each close to the next one; no price, no return. The panel serves books and returns: it is written once."""
-    rows = rows or written(_panel(spark, sf_dir), "daily-panel")
-    alive = portfolio.overlapping(_weights(spark, sf_dir, rows), HORIZON, CADENCE)
-    earned = rows.select("entity", "t", F.round(panel.forward_label(1), 9).alias("r"))
-    return alive.join(earned, ["entity", "t"], "left").groupBy("t").agg(F.round(F.sum(F.col("weight") * F.coalesce("r", F.lit(0.0))), 9).alias("gross"))
+def _costs_sql(execution: str, r: str, until: str) -> str:
+    return f"""SELECT '{execution}' AS execution, t, round(round(gross, 9), 7) AS gross, round(coalesce(turnover, 0), 7) AS turnover, round(round(gross, 9) - round(coalesce(turnover, 0) * {BPS} / 1e4, 12), 7) AS net, coalesce(n_trades, 0) AS n_trades
+  FROM (SELECT t, sum(position * coalesce({r}, 0)) AS gross FROM earned, span WHERE t >= first_book AND t {until} last_session GROUP BY t) LEFT JOIN costs USING (t)"""
 
 
-@query(f"WITH {_BOOK} SELECT t, round(gross, 7) AS gross FROM daily")
-def overlapping_books_return(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _daily(spark, sf_dir).withColumn("gross", F.round("gross", 7))
+@query(f"WITH {_BOOK} {_costs_sql('next-bar', 'r', '<')} UNION ALL {_costs_sql('same-bar', 'r_same', '<=')}")
+def overlapping_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turnover and returns net of costs of the book held, for both kinds of execution: the second one shows what it is worth to earn before one trades."""
+    held = _held(spark, sf_dir)
+    both = (portfolio.book_days(held, BPS / 1e4, execution).withColumn("execution", F.lit(execution)) for execution in (portfolio.NEXT_BAR, portfolio.SAME_BAR))
+    return reduce(DataFrame.unionByName, both).select("execution", "t", *(F.round(c, 7).alias(c) for c in ("gross", "turnover", "net")), "n_trades")
 
 
 def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,8 +335,8 @@ def _metrics() -> list:
     return [F.round(finance.sharpe("gross"), 6).alias("sharpe"), F.round(F.avg("gross") * 252, 6).alias("annual_return"), F.round(finance.sample_sd("gross") * F.sqrt(F.lit(252.0)), 6).alias("annual_vol")]
 
 
-def _by_fold(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
-    return _daily(spark, sf_dir, rows).join(F.broadcast(_folds(spark, sf_dir)), F.col("t").between(F.col("oos_start"), F.col("oos_end")))
+def _by_fold(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
+    return _daily(held or _held(spark, sf_dir)).join(F.broadcast(_folds(spark, sf_dir)), F.col("t").between(F.col("oos_start"), F.col("oos_end")))
 
 
 @query(f"WITH {_BOOK}, {_FOLDS} SELECT fold, count(*) AS n, {_METRICS} FROM daily JOIN folds ON t BETWEEN oos_start AND oos_end GROUP BY fold")
@@ -340,10 +360,10 @@ def fold_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.agg(F.count("*").alias("n_folds"), F.round(F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)), 6).alias("positive"), F.round(F.when(total > 0, F.max(F.abs("r")) / total).otherwise(1.0), 6).alias("largest_share"))
 
 
-@query(f"""WITH {_TRADES} SELECT t, round(max(abs(change) * 1e6 / (price * volume)), 6) AS participation, count(*) FILTER (volume IS NULL OR volume <= 0) AS unknown FROM trades LEFT JOIN panel USING (entity, t) GROUP BY t""")
+@query(f"""WITH {_BOOK} SELECT t, round(max(abs(change) * 1e6 / (price * volume)), 6) AS participation, count(*) FILTER (volume IS NULL OR volume <= 0) AS unknown FROM trades GROUP BY t""")
 def capacity_participation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    market = written(_panel(spark, sf_dir), "capacity-panel")
-    rows = _trades(spark, sf_dir, market).join(market, ["entity", "t"], "left")
+    """Trades are where the name has a market: a name is traded in its own rows only."""
+    rows = _trades(_held(spark, sf_dir))
     return rows.groupBy("t").agg(F.round(F.max(F.abs("change") * 1e6 / (F.col("price") * F.col("volume"))), 6).alias("participation"), F.count_if(F.col("volume").isNull() | (F.col("volume") <= 0)).alias("unknown"))
 
 
@@ -351,7 +371,10 @@ def capacity_participation(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT n, m / sd AS sr, sum(pow((r - m) / sd, 3)) / n AS g3, sum(pow((r - m) / sd, 4)) / n AS g4 FROM x, s GROUP BY n, m, sd)
 SELECT n, round(sr, 6) AS sharpe, round(g3, 5) AS skew, round(g4, 4) AS kurt, round(sr * sqrt(n - 1.0) / sqrt(1 - g3 * sr + (g4 - 1) / 4 * sr * sr), 5) AS z FROM k""")
 def deflated_sharpe_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(_daily(spark, sf_dir), "daily-returns")
+    return _moments(written(_daily(_held(spark, sf_dir)), "daily-returns"))
+
+
+def _moments(rows: DataFrame) -> DataFrame:
     s = rows.agg(F.count("*").alias("n"), F.avg("gross").alias("m"), F.stddev_samp("gross").alias("sd"))
     z = (F.col("gross") - F.col("m")) / F.col("sd")
     k = rows.join(F.broadcast(s)).groupBy("n", "m", "sd").agg((F.sum(F.pow(z, 3)) / F.first("n")).alias("g3"), (F.sum(F.pow(z, 4)) / F.first("n")).alias("g4")).withColumn("sr", F.col("m") / F.col("sd"))
@@ -396,8 +419,9 @@ def row_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), *parts)
 
 
-def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _daily(spark, sf_dir).select((F.row_number().over(Window.orderBy("t")) - 1).alias("i"), F.col("gross").alias("r"))
+def _series(daily: DataFrame) -> DataFrame:
+    """Sessions are few: numbered in one place."""
+    return daily.select((F.row_number().over(Window.orderBy("t")) - 1).alias("i"), F.col("gross").alias("r"))
 
 
 REPLICATIONS, BLOCK, SEED = 64, 10, 42
@@ -412,19 +436,17 @@ d AS (SELECT replication, (floor(xor(x, x >> 14) / 4294967296.0 * n)::BIGINT + p
 e AS (SELECT replication, avg(r - m) / stddev_samp(r - m) AS sharpe FROM d JOIN s USING (i), n GROUP BY replication)
 SELECT count(*) AS replications, count(*) FILTER (sharpe >= sr) AS exceedances, round((count(*) FILTER (sharpe >= sr) + 1) / (count(*) + 1), 6) AS p_value FROM e, n GROUP BY sr""")
 def bootstrap_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = written(_series(spark, sf_dir), "bootstrap-series")
+    series = written(_series(_daily(_held(spark, sf_dir))), "bootstrap-series")
     observed = series.agg((F.avg("r") / F.stddev_samp("r")).alias("sr")).first()["sr"]
     drawn = null.block_bootstrap(spark, series, REPLICATIONS, BLOCK, SEED).groupBy("replication").agg((F.avg("value") / F.stddev_samp("value")).alias("sharpe"))
     return null.p_value(drawn, "sharpe", observed).withColumn("p_value", F.round("p_value", 6))
 
 
-@query(f"""WITH {_BOOK}{_TRADES.removeprefix(_signal_sql())}, c AS (SELECT t, sum(abs(change)) * {BPS} / 1e4 AS cost FROM trades GROUP BY t)
-SELECT count(*) AS n, round(avg(gross - 2 * coalesce(cost, 0)) / stddev_samp(gross - 2 * coalesce(cost, 0)) * sqrt(252), 5) AS sharpe FROM daily LEFT JOIN c USING (t)""")
+@query(f"""WITH {_BOOK}
+SELECT count(*) AS n, round(avg(gross - 2 * coalesce(turnover, 0) * {BPS} / 1e4) / stddev_samp(gross - 2 * coalesce(turnover, 0) * {BPS} / 1e4) * sqrt(252), 5) AS sharpe FROM daily LEFT JOIN costs USING (t)""")
 def cost_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The Sharpe ratio at twice the costs."""
-    rows = written(_panel(spark, sf_dir), "stress-panel")
-    cost = _trades(spark, sf_dir, rows).groupBy("t").agg(F.sum(finance.linear_cost(F.col("change"), BPS)).alias("cost"))
-    net = _daily(spark, sf_dir, rows).join(cost, "t", "left").withColumn("net", F.col("gross") - 2 * F.coalesce("cost", F.lit(0.0)))
+    """The Sharpe ratio of the book held at twice its costs."""
+    net = _daily(_held(spark, sf_dir)).withColumn("net", F.col("gross") - 2 * F.col("cost"))
     return net.agg(F.count("*").alias("n"), F.round(finance.sharpe("net"), 5).alias("sharpe"))
 
 
@@ -472,7 +494,10 @@ _ERF = "({1} + k * ({2} + k * ({3} + k * ({4} + k * {5}))))".format(*finance.ERF
 y AS (SELECT n, sharpe, (sharpe - sd * {_LUCK}) / sd / sqrt(2.0) AS y FROM v), k AS (SELECT *, 1 / (1 + {finance.ERF[0]} * abs(y)) AS k FROM y)
 SELECT n, sharpe, round((1 + sign(y) * (1 - k * {_ERF} * exp(-y * y))) / 2, 6) AS probability FROM k""")
 def deflated_sharpe_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = deflated_sharpe_inputs(spark, sf_dir)
+    return _deflated(deflated_sharpe_inputs(spark, sf_dir))
+
+
+def _deflated(x: DataFrame) -> DataFrame:
     v = finance.sharpe_variance(F.col("sharpe"), F.col("skew"), F.col("kurt"), F.col("n"))
     return x.select("n", "sharpe", F.round(finance.deflated_sharpe(F.col("sharpe"), v, F.lit(_TRIALS)), 6).alias("probability"))
 
@@ -491,21 +516,20 @@ def volatility_sized_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 CAPITAL, MOST_PARTICIPATION = 1e4, 0.05
 
 
-def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel, its trades and its returns are used more than once: each is written and read again."""
-    rows = written(_panel(spark, sf_dir), "gates-panel")
-    trades, returns = written(_trades(spark, sf_dir, rows), "gates-trades"), written(_by_fold(spark, sf_dir, rows), "gates-returns")
-    traded = trades.join(rows, ["entity", "t"], "left")
-    cost = trades.groupBy("t").agg(F.sum(finance.linear_cost(F.col("change"), BPS)).alias("cost"))
-    costs = returns.join(cost, "t", "left").select("gross", F.coalesce("cost", F.lit(0.0)).alias("cost"))
-    return gates.report(gates.capacity(traded, CAPITAL, MOST_PARTICIPATION), gates.cost_stress(costs), gates.stability(returns.select("fold", F.col("gross").alias("r"))))
+def _gates(held: DataFrame, returns: DataFrame) -> DataFrame:
+    """Capacity and costs of the book held, and stability of its returns by fold."""
+    return gates.report(gates.capacity(_trades(held), CAPITAL, MOST_PARTICIPATION), gates.cost_stress(returns), gates.stability(returns.select("fold", F.col("gross").alias("r"))))
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = _held(spark, sf_dir)
+    return _gates(held, written(_by_fold(spark, sf_dir, held), "gates-returns"))
 
 
-_GATES = f"""{_BOOK}{_TRADES.removeprefix(_signal_sql())}, {_FOLDS},
-shares AS (SELECT CASE WHEN price > 0 AND volume > 0 THEN abs(change) * {CAPITAL} / (price * volume) END AS share FROM trades LEFT JOIN panel USING (entity, t)),
+_GATES = f"""{_BOOK}, {_FOLDS},
+shares AS (SELECT CASE WHEN price > 0 AND volume > 0 THEN abs(change) * {CAPITAL} / (price * volume) END AS share FROM trades),
 oos AS (SELECT fold, t, gross FROM daily JOIN folds ON t BETWEEN oos_start AND oos_end),
-c AS (SELECT t, sum(abs(change)) * {BPS} / 1e4 AS cost FROM trades GROUP BY t),
-stressed AS (SELECT count(*) AS n, coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 0) AS s FROM (SELECT gross - {gates.COST_MULTIPLE} * coalesce(cost, 0) AS r FROM oos LEFT JOIN c USING (t))),
+stressed AS (SELECT count(*) AS n, coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 0) AS s FROM (SELECT gross - {gates.COST_MULTIPLE} * round(coalesce(turnover, 0) * {BPS} / 1e4, 12) AS r FROM oos LEFT JOIN costs USING (t))),
 sums AS (SELECT sum(gross) AS r FROM oos GROUP BY fold),
 stable AS (SELECT count(*) AS n, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS share, coalesce(max(abs(r)) / nullif(sum(abs(r)), 0), 1) AS one FROM sums),
 gates AS (SELECT 'capacity' AS gate, CASE WHEN count(*) = 0 THEN 'unavailable' WHEN count(*) = count(share) AND max(share) <= {MOST_PARTICIPATION} THEN 'passed' ELSE 'failed' END AS status, max(share) AS observed FROM shares
@@ -515,12 +539,12 @@ gates AS (SELECT 'capacity' AS gate, CASE WHEN count(*) = 0 THEN 'unavailable' W
 
 @query(f"WITH {_GATES} SELECT gate, status, round(observed, 6) AS observed FROM gates")
 def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gates(spark, sf_dir).select("gate", "status", F.round("observed", 6).alias("observed"))
+    return _report(spark, sf_dir).select("gate", "status", F.round("observed", 6).alias("observed"))
 
 
 @query(f"WITH {_GATES} SELECT CASE WHEN bool_or(status = 'failed' OR status = 'unavailable' AND gate <> 'stability') THEN 'rejected' WHEN bool_or(status = 'unavailable') THEN 'degraded' ELSE 'accepted' END AS verdict FROM gates")
 def report_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.verdict(_gates(spark, sf_dir), ("capacity", "cost"))
+    return gates.verdict(_report(spark, sf_dir), ("capacity", "cost"))
 
 
 @query(f"""WITH {_PANEL}, x AS (SELECT {_offset_sql(-20)} AS p20, {_offset_sql(5)} AS ahead, price FROM panel),

@@ -118,10 +118,10 @@ grown AS (SELECT lookback, t, sum(weight * coalesce(ahead, 0)) AS gross FROM hel
 days AS (SELECT lookback, t, round(gross, 9) AS gross, round(coalesce(turnover, 0), 9) AS turnover, round(round(gross, 9) - round(coalesce(turnover, 0), 9) * {c.BPS} / 1e4, 9) AS net FROM grown LEFT JOIN swaps USING (lookback, t))"""
 
 
-def _candidate_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _candidate_days(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """lookback, t, gross, turnover, net: a book that is held to its horizon for each candidate, all candidates at once; costs fall on the first day of holding."""
     momenta = (F.round(panel.momentum(k), 9).alias(str(k)) for k in c.LOOKBACKS)
-    rows = written(c._panel(spark, sf_dir).select("entity", "t", "tradable", F.round(panel.forward_label(1), 9).alias("ahead"), *momenta), "protocol-panel")
+    rows = written((rows or c._panel(spark, sf_dir)).select("entity", "t", "tradable", F.round(panel.forward_label(1), 9).alias("ahead"), *momenta), "protocol-panel")
     at = rows.where((F.col("t") % c.HORIZON == 0) & F.col("tradable"))
     tall = at.unpivot(["entity", "t"], [str(k) for k in c.LOOKBACKS], "lookback", "signal").withColumn("lookback", F.col("lookback").cast("int"))
     book = portfolio.books(portfolio.ranked(tall, by=("lookback", "t")), c.QUANTILE).select("lookback", "entity", "t", "weight")
@@ -144,9 +144,9 @@ oos AS (SELECT fold, lookback, t, turnover, net FROM days JOIN folds ON t BETWEE
 chosen AS (SELECT oos.* FROM oos SEMI JOIN choice USING (fold, lookback))"""
 
 
-def _choice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _choice(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Each fold's candidate with the best Sharpe in training (the first of equals), and the days out of sample, of all candidates and of the one chosen."""
-    days, folds = written(_candidate_days(spark, sf_dir), "protocol-days"), F.broadcast(c._folds(spark, sf_dir))
+    days, folds = written(_candidate_days(spark, sf_dir, rows), "protocol-days"), F.broadcast(c._folds(spark, sf_dir))
     scores = days.join(folds, F.col("t").between(F.col("train_start"), F.col("train_end"))).groupBy("fold", "lookback").agg(F.round(finance.sharpe("net"), 5).alias("sharpe"))
     choice = scores.withColumn("place", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("sharpe"), "lookback"))).where("place = 1").drop("place")
     oos = days.join(folds, F.col("t").between(F.col("oos_start"), F.col("oos_end"))).select("fold", "lookback", "t", "turnover", "net")
@@ -192,16 +192,20 @@ def eight_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All gates on the overlapping momentum book; its neighbours are the other lookbacks' books, held to their horizon, out of sample and net of costs."""
     dates = c._table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("decision_time")).distinct()
     calendar = dates.withColumn("t", (F.row_number().over(Window.orderBy("decision_time")) - 1).cast("int"))  # sessions are few
-    near = written(_choice(spark, sf_dir)[1].groupBy(F.col("lookback").alias("lock")).agg(F.round(finance.sharpe("net"), 5).alias("sharpe")), "gates-neighbours")
-    series = written(c._series(spark, sf_dir), "gates-series")
+    rows = written(c._panel(spark, sf_dir), "gates-panel")
+    held = c._held(spark, sf_dir, rows)
+    daily = written(c._daily(held), "gates-days")
+    returns = daily.join(F.broadcast(c._folds(spark, sf_dir)), F.col("t").between(F.col("oos_start"), F.col("oos_end")))
+    near = written(_choice(spark, sf_dir, rows)[1].groupBy(F.col("lookback").alias("lock")).agg(F.round(finance.sharpe("net"), 5).alias("sharpe")), "gates-neighbours")
+    series = c._series(daily)
     observed = series.agg((F.avg("r") / F.stddev_samp("r")).alias("sr")).first()["sr"]
     drawn = null.block_bootstrap(spark, series, c.REPLICATIONS, c.BLOCK, c.SEED).groupBy("replication").agg((F.avg("value") / F.stddev_samp("value")).alias("value"))
     ids = near.select(F.col("lock").alias("id"))
-    rows = gates.report(
-        c._gates(spark, sf_dir), gates.contamination(c._by_fold(spark, sf_dir).join(calendar, "t"), CUTOFF), gates.chance(drawn, observed), gates.neighbours(near, str(OWN)),
-        gates.trials(gates.trial_count(len(c.LOOKBACKS), ids, ids.limit(0)), len(c.LOOKBACKS)), gates.deflated(c.deflated_sharpe_probability(spark, sf_dir)),
+    found = gates.report(
+        c._gates(held, returns), gates.contamination(returns.join(calendar, "t"), CUTOFF), gates.chance(drawn, observed), gates.neighbours(near, str(OWN)),
+        gates.trials(gates.trial_count(len(c.LOOKBACKS), ids, ids.limit(0)), len(c.LOOKBACKS)), gates.deflated(c._deflated(c._moments(daily))),
     )
-    return rows.select("gate", "status", F.round("observed", 5).alias("observed"))
+    return found.select("gate", "status", F.round("observed", 5).alias("observed"))
 
 
 @query(f"""SELECT doc_id, {', '.join(f"coalesce(regexp_matches(text, '{p}', 'i'), FALSE) AS {code.lower()}" for code, p in text.ADVISORIES.items())} FROM documents""")
