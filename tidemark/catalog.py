@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import finance
-from .operators import gates, guard, joins, null, panel, portfolio, pricing, regression
+from .operators import gates, guard, joins, null, panel, portfolio, pricing, regression, views
 from .plans.declaration import Declaration, read_plan
 from .plans.folds import fitted_folds
 from .session import written
@@ -318,14 +318,11 @@ def fold_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_PANEL}, {_FOLDS}, d AS (SELECT fold, train_start AS hist_start, unnest(range(oos_start, oos_end + 1, {HORIZON})) AS decision FROM folds)
-SELECT fold, decision::INT AS decision, count(*) AS history_rows, count(*) FILTER (NOT tradable) AS masked_rows, count(*) FILTER (tradable) AS output_rows, count(*) FILTER (tradable AND t = decision) AS decision_rows
-FROM d JOIN panel ON t BETWEEN hist_start AND decision GROUP BY fold, decision""")
+SELECT fold, decision::INT AS decision, count(*) AS source_rows, count(*) FILTER (t BETWEEN hist_start AND decision) AS history_rows, count(*) FILTER (t < hist_start OR t > decision) AS outside_rows, count(*) FILTER (t BETWEEN hist_start AND decision AND NOT tradable) AS masked_rows,
+  count(*) FILTER (t BETWEEN hist_start AND decision AND tradable) AS output_rows, count(*) FILTER (tradable AND t = decision) AS decision_rows FROM d, panel GROUP BY fold, decision""")
 def verification_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     decisions = _folds(spark, sf_dir).select("fold", F.col("train_start").alias("hist_start"), F.explode(F.sequence("oos_start", "oos_end", F.lit(HORIZON))).alias("decision"))
-    # the audit needs counts only: sessions are added up first, so that decisions meet sessions, not rows
-    rows = _panel(spark, sf_dir).groupBy("t").agg(F.count("*").alias("n"), F.count_if("tradable").alias("ok"))
-    both = rows.join(F.broadcast(decisions), F.col("t").between(F.col("hist_start"), F.col("decision")))
-    return both.groupBy("fold", "decision").agg(F.sum("n").alias("history_rows"), F.sum(F.col("n") - F.col("ok")).alias("masked_rows"), F.sum("ok").alias("output_rows"), F.sum(F.when(F.col("t") == F.col("decision"), F.col("ok")).otherwise(0)).alias("decision_rows"))
+    return views.audit(_panel(spark, sf_dir), decisions)
 
 
 _METRICS = "round(coalesce(avg(gross) / nullif(stddev_samp(gross), 0) * sqrt(252), 0), 6) AS sharpe, round(avg(gross) * 252, 6) AS annual_return, round(coalesce(stddev_samp(gross), 0) * sqrt(252), 6) AS annual_vol"

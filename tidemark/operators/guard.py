@@ -31,6 +31,17 @@ def clock_and_cutoff(df: DataFrame, clock: str, when: str) -> tuple[Column, Colu
     raise PlanError("C1", f"{clock} is a {kind}, not a clock")
 
 
+def moment(df: DataFrame, clock: str) -> Column:
+    """A clock as a time in UTC without a zone, whatever its type and the session's zone, null where it is no instant; so clocks of different types compare. Numbers of sessions stay numbers."""
+    if df.schema[clock].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return F.col(f"`{clock}`").cast("bigint")
+    col, _ = clock_and_cutoff(df, clock, "1970-01-01 00:00:00")
+    if df.schema[clock].dataType.typeName() in ("timestamp_ntz", "date"):
+        return col
+    seconds = F.unix_micros(col).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")
+    return F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
 def as_of(df: DataFrame, clock: str, when: str) -> Column:
     """clock <= when, and an error (C1) on a row whose clock is null or unreadable.
 

@@ -2,22 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.declaration import PlanError
+from . import guard
+
+
+#: Whole numbers of sessions are clocks, too; they don't compare with times.
+_NUMBER = "bigint"
+
+
+def _sides(primary: DataFrame, membership: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, str]:
+    """Both sides with their clocks as moments that compare, membership as one row for each key with the number of its rows, and the moments' type."""
+    a = primary.withColumn("own_moment", guard.moment(primary, "available"))
+    b = membership.withColumn("member_moment", guard.moment(membership, "member_available"))
+    kinds = {df.schema[c].dataType.simpleString() for df, c in ((a, "own_moment"), (b, "member_moment"))}
+    kind = _NUMBER if kinds == {_NUMBER} else "timestamp_ntz"
+    if _NUMBER in kinds and len(kinds) > 1:
+        raise PlanError("C1", "a number of a session doesn't compare with a time")
+    a, b = (df.withColumn(c, F.col(c).cast(kind)) for df, c in ((a, "own_moment"), (b, "member_moment")))
+    one = b.groupBy(*keys).agg(F.count("*").alias("member_rows"), F.max("member_moment").alias("member_moment"), F.bool_and("member").alias("member"))
+    return a, one, kind
+
 
 def composite(primary: DataFrame, membership: DataFrame, keys: list[str]) -> DataFrame:
     """primary (keys, available, tradable) with membership (keys, member_available, member): the later availability, and tradable and member.
 
-    Every primary row needs one membership row: a missing or repeated one, or one that doesn't say true or false, is
-    an error (C4) when the row is read. Membership that no primary row has is let be; coverage() counts it.
+    The later one is later as an instant, whatever types and zones the clocks are written in; it is a TIMESTAMP_NTZ
+    in UTC (or a number, if both sides have numbers of sessions). Errors when the row is read, whichever of the new
+    columns is asked for: a null or unreadable clock on either side (C1); missing or repeated membership, a primary key that repeats, a mask
+    that doesn't say true or false (C4). Membership that no primary row has is let be; composite_audit() counts it.
     """
-    one = membership.groupBy(*keys).agg(F.count("*").alias("member_rows"), F.max("member_available").alias("member_available"), F.bool_and("member").alias("member"))
-    broken = lambda text: F.raise_error(F.lit(f"C4: {text}")).cast("boolean")
-    member = F.when(F.col("member_rows").isNull(), broken("a row has no membership")).when(F.col("member_rows") > 1, broken("a membership key repeats"))
-    member = member.when(F.col("member").isNull() | F.col("tradable").isNull(), broken("a mask is null")).otherwise(F.col("member"))
-    rows = primary.join(one, keys, "left")
-    return rows.withColumns({"available": F.greatest("available", "member_available"), "eligible": member & F.col("tradable")}).drop("member_rows")
+    a, one, kind = _sides(primary, membership, keys)
+    rows = a.withColumn("own_rows", F.count("*").over(Window.partitionBy(*keys))).join(one, keys, "left")
+    faults = (
+        (F.col("member_rows").isNull(), "C4: a row has no membership"), (F.col("member_rows") > 1, "C4: a membership key repeats"), (F.col("own_rows") > 1, "C4: a primary key repeats"),
+        (F.col("own_moment").isNull() | F.col("member_moment").isNull(), "C1: an availability is null or no instant"), (F.col("member").isNull() | F.col("tradable").isNull(), "C4: a mask is null"),
+    )
+
+    def checked(value: Column, to: str) -> Column:
+        out = F
+        for broken, says in faults:
+            out = out.when(broken, F.raise_error(F.lit(says)).cast(to))
+        return out.otherwise(value)
+
+    new = {"available": checked(F.greatest("own_moment", "member_moment"), kind), "eligible": checked(F.col("member") & F.col("tradable"), "boolean")}
+    return rows.withColumns(new | {"member_available": F.col("member_moment")}).drop("member_rows", "own_rows", "own_moment", "member_moment")
+
+
+def composite_audit(primary: DataFrame, membership: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of what composite() would do, without its errors: rows of either side, and how each primary row ends.
+
+    eligible_rows, dropped_by_mask (not tradable) and dropped_by_membership (tradable and no member) are of the rows
+    that have all they need and add up to matched_rows; unmatched_rows have no membership or more than one row of it,
+    repeated_rows share their key with another primary row, clock_faults lack an instant on a side, mask_faults a mask: each row counts
+    once, in this order, and all add up to primary_rows. unused_rows is membership that no primary row has; later_membership counts eligible rows whose membership was known after the row itself.
+    """
+    a, one, _ = _sides(primary, membership, keys)
+    own = a.withColumn("own_rows", F.count("*").over(Window.partitionBy(*keys)))
+    both = own.join(one, keys, "full")
+    row = F.col("own_rows").isNotNull()
+    kinds = F.when(~row, "unused_rows").when(F.coalesce(F.col("member_rows"), F.lit(0)) != 1, "unmatched_rows").when(F.col("own_rows") > 1, "repeated_rows")
+    kinds = kinds.when(F.col("own_moment").isNull() | F.col("member_moment").isNull(), "clock_faults").when(F.col("member").isNull() | F.col("tradable").isNull(), "mask_faults")
+    kinds = kinds.when(~F.col("tradable"), "dropped_by_mask").when(~F.col("member"), "dropped_by_membership").otherwise("eligible_rows")
+    n = lambda *names: F.count_if(F.col("kind").isin(*names))
+    unused = F.sum(F.when(F.col("kind") == "unused_rows", F.col("member_rows")).otherwise(0))
+    # membership counts once for each key, though several primary rows may share it
+    share = F.when(row, F.col("member_rows") / F.col("own_rows")).otherwise(F.col("member_rows"))
+    counts = both.withColumn("kind", kinds).agg(
+        F.count_if(row).alias("primary_rows"), F.coalesce(F.round(F.sum(share)), F.lit(0.0)).cast("bigint").alias("membership_rows"), n("eligible_rows", "dropped_by_mask", "dropped_by_membership").alias("matched_rows"),
+        *(n(k).alias(k) for k in ("eligible_rows", "dropped_by_mask", "dropped_by_membership", "unmatched_rows", "repeated_rows", "clock_faults", "mask_faults")), F.coalesce(unused, F.lit(0)).alias("unused_rows"),
+        F.count_if((F.col("kind") == "eligible_rows") & (F.col("member_moment") > F.col("own_moment"))).alias("later_membership"),
+    )
+    parts = ("matched_rows", "unmatched_rows", "repeated_rows", "clock_faults", "mask_faults")
+    balanced = F.col("primary_rows") == sum((F.col(p) for p in parts[1:]), F.col(parts[0]))
+    return counts.where(balanced | F.raise_error(F.lit("composite counts don't add up")).cast("boolean"))
 
 
 def coverage(primary: DataFrame, membership: DataFrame, keys: list[str]) -> DataFrame:

@@ -44,6 +44,32 @@ def view(rows: DataFrame, asked: DataFrame, mask: str = "tradable") -> DataFrame
     return seen.where(F.when(F.col(mask).isNull(), _broken("C4", "a mask is null")).otherwise(F.col(mask)))
 
 
+def audit(rows: DataFrame, asked: DataFrame, mask: str = "tradable") -> DataFrame:
+    """For each decision (any columns, hist_start and decision), how the rows of the source end: source, history, outside, masked, output and decision rows.
+
+    Sessions are added up first and counted up to each of them, so that a decision looks up two sessions, the last
+    one up to its decision and the last one before its history. The counts must balance, or it is an error.
+    """
+    if (n := asked.count()) > MAX_DECISIONS:
+        raise PlanError("C2", f"{n} decisions")
+    by_session = rows.groupBy("t").agg(F.count("*").alias("n"), F.count_if(mask).alias("ok"))
+    # sessions and decisions are few: one window over both
+    ends = asked.withColumn("ask", F.monotonically_increasing_id())
+    edges = ends.select("ask", F.explode(F.array(F.struct(F.lit("to").alias("end"), F.col("decision").alias("t")), F.struct(F.lit("from").alias("end"), (F.col("hist_start") - 1).alias("t")))).alias("e")).select("ask", "e.end", "e.t")
+    both = by_session.unionByName(edges, allowMissingColumns=True)
+    whole, upto = Window.partitionBy(), Window.orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    at = Window.partitionBy("t")
+    known = both.withColumns({"all_rows": F.sum("n").over(whole), "n_upto": F.sum("n").over(upto), "ok_upto": F.sum("ok").over(upto), "ok_here": F.sum("ok").over(at)}).where("end is not null")
+    pick = lambda c, end: F.coalesce(F.max(F.when(F.col("end") == end, F.col(c))), F.lit(0))
+    counts = known.groupBy("ask").agg(
+        F.coalesce(F.max("all_rows"), F.lit(0)).alias("source_rows"), (pick("n_upto", "to") - pick("n_upto", "from")).alias("history_rows"), (pick("ok_upto", "to") - pick("ok_upto", "from")).alias("output_rows"), pick("ok_here", "to").alias("decision_rows"),
+    )
+    found = counts.withColumns({"outside_rows": F.col("source_rows") - F.col("history_rows"), "masked_rows": F.col("history_rows") - F.col("output_rows")})
+    ok = (F.col("outside_rows") >= 0) & (F.col("masked_rows") >= 0) & (F.col("decision_rows") <= F.col("output_rows"))
+    names = [c for c in asked.columns if c != "hist_start"]
+    return ends.join(found.where(ok | _broken("C2", "a view's counts don't add up")), "ask").select(*names, "source_rows", "history_rows", "outside_rows", "masked_rows", "output_rows", "decision_rows")
+
+
 def admitted(output: DataFrame, seen: DataFrame, entity: str = "entity") -> DataFrame:
     """Output rows (fold, role, decision, entity, t) that count: all of training, and out of sample those at the decision.
 

@@ -115,7 +115,7 @@ book AS (SELECT lookback, entity, t, CASE WHEN place <= k THEN 0.5 / k ELSE -0.5
 swaps AS (SELECT lookback, t, sum(abs(coalesce(a.weight, 0) - coalesce(b.weight, 0))) AS turnover FROM book a FULL JOIN (SELECT lookback, entity, t + {c.HORIZON} AS t, weight FROM book) b USING (lookback, entity, t) GROUP BY lookback, t),
 held AS (SELECT lookback, entity, t + i AS t, weight FROM book, range({c.HORIZON}) r(i)),
 grown AS (SELECT lookback, t, sum(weight * coalesce(ahead, 0)) AS gross FROM held LEFT JOIN moves USING (entity, t) GROUP BY lookback, t),
-days AS (SELECT lookback, t, round(gross, 9) AS gross, round(coalesce(turnover, 0), 9) AS turnover, round(round(gross, 9) - round(coalesce(turnover, 0), 9) * {c.BPS} / 1e4, 9) AS net FROM grown LEFT JOIN swaps USING (lookback, t))"""
+days AS (SELECT lookback, t, round(gross, 9) AS gross, round(coalesce(turnover, 0), 9) AS turnover, round(round(gross, 9) - round(coalesce(turnover, 0), 9) * {c.BPS} / 1e4, 9) AS net FROM grown LEFT JOIN swaps USING (lookback, t) WHERE t < (SELECT max(t) FROM panel))"""
 
 
 def _candidate_days(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
@@ -129,6 +129,8 @@ def _candidate_days(spark: SparkSession, sf_dir: str, rows: DataFrame | None = N
     held = book.withColumn("t", F.explode(F.sequence(F.col("t"), F.col("t") + c.HORIZON - 1)))
     grown = held.join(rows.select("entity", "t", "ahead"), ["entity", "t"], "left").groupBy("lookback", "t").agg(F.round(F.sum(F.col("weight") * F.coalesce("ahead", F.lit(0.0))), 9).alias("gross"))
     days = grown.join(swaps, ["lookback", "t"], "left").withColumn("turnover", F.round(F.coalesce("turnover", F.lit(0.0)), 9))
+    # a book earns up to the last session, and isn't sold after it
+    days = days.join(F.broadcast(rows.agg(F.max("t").alias("last_session"))), F.col("t") < F.col("last_session")).drop("last_session")
     return days.withColumn("net", F.round(F.col("gross") - finance.linear_cost(F.col("turnover"), c.BPS), 9))
 
 
