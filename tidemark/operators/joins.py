@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,3 +136,24 @@ def in_universe(panel: DataFrame, members: DataFrame, survivors_: DataFrame) ->
     both = rows.withColumn("step", F.lit(0)).unionByName(opened.unionByName(closed), allowMissingColumns=True)
     w = Window.partitionBy("entity").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("member", F.sum("step").over(w) > 0).where("step = 0").drop("step")
+
+
+def full_panel(panel: DataFrame, members: DataFrame, survivors_: DataFrame, revisions: DataFrame) -> DataFrame:
+    """panel (entity, t, ...) with `member` (some span since <= t < until holds t; an open end is null), `survivor`, and the fundamental in force (`period`, `fundamental`, `known_at`).
+
+    In force at t is, of the latest period known by then (revisions: entity, period, effective, value), the revision
+    known last; a late revision of an older period doesn't displace a newer one. Prices, ends of spans, revisions and
+    survivors are events of one window by entity, in order of t, so that there is one shuffle and no row meets a span or a revision.
+    """
+    version = F.struct("period", "effective", "value")
+    events = [
+        members.select("entity", F.col("since").alias("t"), F.lit(1).alias("event_step")), members.where("until is not null").select("entity", F.col("until").alias("t"), F.lit(-1).alias("event_step")),
+        revisions.where("period is not null and effective is not null and value is not null").select("entity", F.col("effective").alias("t"), version.alias("event_version")), survivors_.select("entity", F.lit(True).alias("event_last")),
+    ]
+    both = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), events, panel.withColumn("event_row", F.lit(True)))
+    w = Window.partitionBy("entity").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    known = both.withColumns({"member": F.coalesce(F.sum("event_step").over(w), F.lit(0)) > 0, "in_force": F.max("event_version").over(w), "survivor": F.coalesce(F.bool_or("event_last").over(Window.partitionBy("entity")), F.lit(False))})
+    rows = known.where("event_row")
+    new = ("member", "survivor", "period", "fundamental", "known_at")
+    of_version = {"period": F.col("in_force.period"), "fundamental": F.col("in_force.value"), "known_at": F.col("in_force.effective")}
+    return rows.withColumns(of_version).select(*(f"`{c}`" for c in panel.columns if c not in new), *new)

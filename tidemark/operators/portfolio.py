@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Fixed value: a session with fewer names makes no book where books are of the best and worst of many.
+LEAST_NAMES = 10
+
+
 def ranked(signals: DataFrame, signal: str = "signal", by: tuple[str, ...] = ("t",)) -> DataFrame:
     """Rows with a signal, with their place (from 1, best first, ties by entity) and the number of names of the session. Several strategies are ranked at once if by names them too."""
     w = Window.partitionBy(*by).orderBy(F.desc(signal), F.asc("entity"))

@@ -210,7 +210,11 @@ def eight_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("gate", "status", F.round("observed", 5).alias("observed"))
 
 
-@query(f"""SELECT doc_id, {', '.join(f"coalesce(regexp_matches(text, '{p}', 'i'), FALSE) AS {code.lower()}" for code, p in text.ADVISORIES.items())} FROM documents""")
+def _sql_text(text: str) -> str:
+    return text.replace("'", "''")
+
+
+@query(f"""SELECT doc_id, {', '.join(f"coalesce(regexp_matches(text, '{_sql_text(p)}', 'i'), FALSE) AS {code.lower()}" for code, p in text.ADVISORIES.items())} FROM documents""")
 def advisory_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c._table(spark, sf_dir, "documents").select("doc_id", *(text.advisory(F.col("text"), code).alias(code.lower()) for code in text.ADVISORIES))
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.declaration import PlanError
+from ..session import ship_package
 
 
 def read(spark: SparkSession, kind: str, paths: list[str], schema: str | None = None) -> DataFrame:
@@ -70,11 +75,69 @@ def found(spark: SparkSession, root: str, text: str) -> list[str]:
     return [hadoop.Path(top, n).toString() for n in sorted(names)]
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """name (from the folder's path on), bytes and sha256 of each file under a path, hashed where it lies. A file is one cell: 2 GB at most."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+#: Bytes of a file that are hashed at a time; part of what a tree hash is.
+RANGE = 64 << 20
+#: Bytes that a task holds of a range.
+_PIECE = 1 << 20
+
+
+def uri(path: str) -> str:
+    """A path as Spark names it, as Arrow's file systems do."""
+    return re.sub(r"^file:/(?!/)", "file:///", path)
+
+
+def _range_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for path, offset, size in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "size")), strict=True):
+            system, place = fs.FileSystem.from_uri(uri(path))
+            leaf, left = hashlib.sha256(offset.to_bytes(8, "big")), size
+            with system.open_input_file(place) as f:
+                f.seek(offset)
+                while left and (piece := f.read(min(left, _PIECE))):
+                    leaf.update(piece)
+                    left -= len(piece)
+            if left:
+                raise OSError(f"{path} ends early")
+            out.append(leaf.digest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "leaf"])
+
+
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    """The files under a path that have no byte: Spark's readers pass over them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system, out = place.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    if not system.getFileStatus(place).isDirectory():
+        return out
+    each = system.listFiles(place, True)
+    while each.hasNext():
+        status = each.next()
+        if status.getLen() == 0 and not status.getPath().getName().startswith(("_", ".")):
+            out.append(status.getPath().toString())
+    return out
+
+
+def manifest(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+    """name (from the folder's path on), bytes and tree of each file under a path, of any size.
+
+    tree is the SHA-256 of the hashes of the file's ranges in order; ranges are dealt to all tasks and read where they
+    lie, a piece at a time. Files are listed by Spark, and their content is read by ranges only.
+    """
+    ship_package(spark)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     top = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri().getPath().rstrip("/") + "/"
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    if hollow := _empty_files(spark, path):
+        listed = listed.unionByName(spark.createDataFrame([(p, 0) for p in hollow], "path string, length bigint"))
+    first = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), F.expr(f"(length - 1) div {range_bytes}"))))
+    ranges = listed.withColumn("part", first).withColumn("offset", F.col("part") * range_bytes).withColumn("size", F.least(F.lit(range_bytes).cast("bigint"), F.col("length") - F.col("offset")))
+    # a hash of the range deals the parts of one file to many tasks
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ranges.repartition(n, F.xxhash64("path", "offset")).select("path", "length", "offset", "size")
+    leaves = dealt.mapInArrow(_range_hashes, "path string, length bigint, offset bigint, size bigint, leaf binary")
+    # 32 bytes for each range of a file
+    trees = leaves.groupBy("path", "length").agg(F.sort_array(F.collect_list(F.struct("offset", "leaf"))).alias("leaves"))
+    tree = F.sha2(F.concat(F.encode(F.concat(F.col("length").cast("string"), F.lit("|")), "UTF-8"), F.encode(F.array_join(F.transform("leaves", lambda x: F.hex(x["leaf"])), ""), "UTF-8")), 256)
     place = F.regexp_replace("path", "^[a-z0-9+.-]+:(//[^/]*)?/", "/")
     name = F.when(F.startswith(place, F.lit(top)), F.substring(place, F.lit(len(top) + 1), F.length(place))).otherwise(F.element_at(F.split("path", "/"), -1))
-    return files.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return trees.select(name.alias("name"), F.col("length").alias("bytes"), tree.alias("tree"))

@@ -7,6 +7,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,44 +15,64 @@ from pyspark.sql import functions as F
 from ..operators import guard, joins
 from ..plans.declaration import Declaration, PlanError, ReadPlan, read_plan
 from . import files
+from .connectors import Connector, FilesOf, Parts, Request, Taken, checked
 
-#: A connector makes a DataFrame of a declaration's source; the guard then filters it, whatever the connector has done.
-Connector = Callable[[SparkSession, Declaration], DataFrame]
+#: The simplest connector: it makes a DataFrame of a declaration's source, whole.
+Source = Callable[[SparkSession, Declaration], DataFrame]
 
 
 class Registry:
     """Connectors by kind. With a root, locators of files are portable ones under it; without, they are paths as Spark takes them."""
 
     def __init__(self, root: str | None = None) -> None:
-        self._connectors: dict[str, Connector] = {}
+        self._connectors: dict[str, Connector | Source] = {}
+        self.root = root
         for kind in ("csv", "parquet"):
-            self.register(kind, lambda spark, d: files.read(spark, d.kind, files.found(spark, root, d.locator) if root else [d.locator]))
+            self.register(kind, FilesOf(kind))
+        self.register("parts", Parts())
 
-    def register(self, kind: str, connector: Connector) -> None:
+    def register(self, kind: str, connector: Connector | Source) -> None:
         if kind in self._connectors:
             raise PlanError("CONFIG", f"{kind} has a connector")
+        if not callable(connector) and not isinstance(connector, Connector):
+            raise PlanError("CONFIG", f"{kind} is no connector")
         self._connectors[kind] = connector
 
     def kinds(self) -> list[str]:
         return sorted(self._connectors)
 
     def read(self, spark: SparkSession, plan: ReadPlan) -> DataFrame:
-        """The plan's rows, by the connector of its declaration's kind and always through the guard."""
-        return guard.guarded(self.source(spark, plan.declaration), plan)
+        """The plan's rows, by the connector of its declaration's kind and always through the guard, whatever the connector says that it has done."""
+        return self.reported(spark, plan)[0]
+
+    def reported(self, spark: SparkSession, plan: ReadPlan) -> tuple[DataFrame, Taken]:
+        """The plan's rows, and what the connector says that it took over."""
+        df, taken = self._source(spark, plan)
+        return guard.guarded(df, plan, locate=plan.declaration.kind == "parquet"), taken
 
     def source(self, spark: SparkSession, d: Declaration) -> DataFrame:
         """All rows of a declared source, for connectors that are made of others."""
+        return self._source(spark, ReadPlan(d, datetime.max.replace(tzinfo=UTC), (), ()))[0]
+
+    def _source(self, spark: SparkSession, plan: ReadPlan) -> tuple[DataFrame, Taken]:
+        d = plan.declaration
         if d.kind not in self._connectors:
             raise PlanError("CONFIG", f"no connector for {d.kind}")
+        connector = self._connectors[d.kind]
         try:
-            return self._connectors[d.kind](spark, d)
+            if not isinstance(connector, Connector):
+                return connector(spark, d), Taken()
+            if not connector.accepts(d):
+                raise PlanError("CONFIG", f"{connector.name} doesn't read {d.name}")
+            request = Request(plan, tuple(files.found(spark, self.root, d.locator) if self.root else [d.locator]))
+            return checked(connector, connector.read(spark, request), request)
         except PlanError:
             raise
         except Exception as e:
             raise PlanError("SOURCE", redacted(str(e))) from None
 
 
-def composite_connector(registry: Registry, primary: Declaration, membership: Declaration, member: str, keys: list[str]) -> Connector:
+def composite_connector(registry: Registry, primary: Declaration, membership: Declaration, member: str, keys: list[str]) -> Source:
     """A connector of primary's rows with the point-in-time membership of another source, on shared keys.
 
     It gives primary's columns with `available`, the later availability of both sides, and `eligible`, tradable and a
@@ -89,9 +110,8 @@ def panel(registry: Registry, spark: SparkSession, d: Declaration, as_of: str, c
 
 
 def _print(spark: SparkSession, path: str) -> str:
-    """One digest of all files under a path: their digests are summed up by Spark, and one row comes back."""
-    rows = files.manifest(spark, path).select(F.sha2(F.concat_ws("|", "name", "bytes", "sha256"), 256).alias("h"))
-    return rows.agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("h"))), 256)).first()[0]
+    """One digest of all files under a path: sums of their rows' hashes, so that no list of files meets in one place."""
+    return rows_digest(files.manifest(spark, path))
 
 
 @contextmanager
@@ -117,26 +137,71 @@ def rows_digest(df: DataFrame) -> str:
     return spark.range(1).select(F.sha2(F.concat_ws("|", F.lit(names), *(F.lit(x or "0") for x in total)), 256)).first()[0]
 
 
-def save_snapshot(df: DataFrame, store: str) -> str:
-    """Writes df as Parquet to a folder named by its digest, unless it is there already; gives the digest.
+def _place(spark: SparkSession, path: str):
+    """A path, and the file system that it is in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    It is written aside and renamed when whole, so that an interrupted write is never taken for a snapshot.
-    """
-    digest, hadoop = rows_digest(df), df.sparkSession._jvm.org.apache.hadoop.fs
-    whole, aside = hadoop.Path(f"{store}/{digest}"), hadoop.Path(f"{store}/_{digest}-{uuid.uuid4().hex}")
-    system = whole.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+
+def _published(df: DataFrame, path: str) -> None:
+    """Writes df aside and renames it when whole, unless something is there already: an interrupted write is never taken for a whole one."""
+    spark = df.sparkSession
+    whole, system = _place(spark, path)
+    folder, _, name = path.rpartition("/")
+    aside, _ = _place(spark, f"{folder}/_{name}-{uuid.uuid4().hex}")
     if not system.exists(whole):
         df.write.parquet(aside.toString())
         if system.exists(whole) or not system.rename(aside, whole):  # another writer was first
             system.delete(aside, True)
+
+
+def save_snapshot(df: DataFrame, store: str, clock: str | None = None) -> str:
+    """Writes df as Parquet to a folder named by its digest, unless it is there already; gives the digest.
+
+    With a clock, files are ranges of it, and a zone map is kept beside the snapshot: the smallest and largest clock and
+    the number of rows without one, by file.
+    """
+    digest, spark = rows_digest(df), df.sparkSession
+    if clock:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartitionByRange(n, clock).sortWithinPartitions(clock)
+    _published(df, f"{store}/{digest}")
+    if clock:
+        saved = spark.read.parquet(f"{store}/{digest}")
+        rows = saved.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), guard.moment(saved, clock).alias("m"))
+        _published(rows.groupBy("file").agg(F.min("m").alias("first"), F.max("m").alias("last"), F.count_if(F.col("m").isNull()).alias("without"), F.count("*").alias("n")), f"{store}/{digest}.{clock}.zones")
     return digest
 
 
-def load_snapshot(spark: SparkSession, store: str, digest: str) -> DataFrame:
-    """The snapshot, if its rows still are what its name says."""
+def _there(spark: SparkSession, store: str, digest: str, name: str = "") -> str:
     if not re.fullmatch("[0-9a-f]{64}", digest):
         raise PlanError("CONFIG", "not a digest")
-    df = spark.read.parquet(f"{store}/{digest}")
+    place, system = _place(spark, f"{store}/{digest}{name}")
+    if not system.exists(place):
+        raise PlanError("READ_SET_UNAVAILABLE", f"{digest}{name} is not in the store")
+    return place.toString()
+
+
+def load_snapshot(spark: SparkSession, store: str, digest: str) -> DataFrame:
+    """The snapshot, if its rows still are what its name says; one that isn't there is READ_SET_UNAVAILABLE."""
+    df = spark.read.parquet(_there(spark, store, digest))
     if rows_digest(df) != digest:
         raise PlanError("SNAPSHOT_CORRUPT", digest)
     return df
+
+
+def snapshot_as_of(spark: SparkSession, store: str, digest: str, d: Declaration, as_of: str, columns: list[str] | None = None) -> DataFrame:
+    """What of a snapshot with a zone map was known at as_of, through the guard. Files of which nothing was known are not read; those with rows without a clock are.
+
+    The rows aren't checked against the snapshot's name, which needs all of them; load_snapshot() does that.
+    """
+    folder, plan = _there(spark, store, digest), read_plan(d, as_of, columns)
+    zones = spark.read.parquet(_there(spark, store, digest, f".{d.clock}.zones"))
+    if zones.schema["first"].dataType.typeName() == "long":
+        cutoff = F.lit(int(plan.as_of.timestamp() * 1000))
+    else:
+        cutoff = F.lit(plan.as_of.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+    names = sorted(r["file"] for r in zones.where((F.col("without") > 0) | (F.col("first") <= cutoff)).select("file").collect())  # a name for each file
+    whole = spark.read.parquet(folder)
+    known = spark.read.schema(whole.schema).parquet(*(f"{folder}/{n}" for n in names)) if names else whole.limit(0)
+    return guard.guarded(known, plan, locate=bool(names))
