@@ -104,9 +104,9 @@ def test_null_or_unreadable_clock_breaks_c1(spark, tmp_path, clock):
     assert tuple(guard.audit(df, "known", "2026-08-12 00:00:00").first()) == (1, 0, 1, 1)
 
 
-def test_number_is_no_clock(spark):
+def test_a_truth_value_is_no_clock(spark):
     with pytest.raises(PlanError, match="C1"):
-        guard.guarded(spark.range(1).withColumn("known", F.lit(5)), read_plan(Declaration("t", "id", "known", "known"), "2026-08-12"))
+        guard.guarded(spark.range(1).withColumn("known", F.lit(True)), read_plan(Declaration("t", "id", "known", "known"), "2026-08-12"))
 
 
 def test_guarded_stream(spark, tmp_path):

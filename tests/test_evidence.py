@@ -313,3 +313,54 @@ def test_zone_map_leaves_files_out(spark, tmp_path):
     for read in (lambda: registry.load_snapshot(spark, store, "0" * 64), lambda: registry.snapshot_as_of(spark, store, registry.save_snapshot(rows.limit(3), store), d, "2024-01-04")):
         with pytest.raises(PlanError, match="READ_SET_UNAVAILABLE"):
             read()
+
+
+def _walked(rows, hold, lag, quantile, long_short):
+    """Positions of each fold by a walk over its sessions, one at a time: {(fold, t): {entity: weight}}."""
+    out, budgets = {}, (0.5, 0.5) if long_short else (1.0, 0.0)
+    for fold in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == fold]
+        times, held = sorted({r[1] for r in own}), {}
+        for o, t in enumerate(times):
+            if o >= lag and (o - lag) % hold == 0:
+                may = {r[2] for r in own if r[1] == t and r[4]}
+                names = sorted((-r[5], r[2]) for r in own if r[1] == times[o - lag] and r[5] is not None and r[2] in may)
+                carried = {e: w for e, w in held.items() if e not in may}
+                k = max(1, int(len(names) * quantile))
+                k = min(k, len(names) // 2) if long_short else min(k, len(names))
+                left = [max(0.0, b - sum(max(0.0, w * s) for w in carried.values())) for b, s in zip(budgets, (1, -1))]
+                held = dict(carried) | {e: left[0] / k for _, e in names[:k]} | ({e: -left[1] / k for _, e in names[len(names) - k :]} if long_short and k else {})
+            out[fold, t] = dict(held)
+    return out
+
+
+@pytest.mark.parametrize("long_short", [True, False])
+def test_carried_positions_are_as_by_a_walk(spark, long_short):
+    from tidemark.operators import pricing
+
+    rng = np.random.default_rng(6)
+    rows = [(f, t, e, float(10 + rng.random()), bool(rng.random() > 0.5), float(rng.integers(0, 5)) if rng.random() > 0.1 else None) for f in (0, 1) for t in range(f, 23) for e in range(9)]
+    df = spark.createDataFrame(rows, "fold int, t int, entity bigint, price double, tradable boolean, score double")
+    want, price = _walked(rows, 2, 1, 0.3, long_short), {r[:3]: r[3] for r in rows}
+    for r in pricing.fold_returns(df, 2, 1, 0.3, long_short).collect():
+        book = want[r["fold"], r["t"]]
+        assert r["held"] == len(book)
+        assert r["gross"] == pytest.approx(sum(w * (price[r["fold"], r["t"], e] / price[r["fold"], r["t"] - 1, e] - 1) for e, w in book.items()), abs=1e-9)
+    trades = {(r["fold"], r["t"], r["entity"]): r["change"] for r in pricing.fold_trades(df, 2, 1, 0.3, long_short).collect()}
+    for (fold, t), book in want.items():
+        before = want.get((fold, t - 1), {})
+        for e in range(9):
+            assert trades.get((fold, t, e), 0.0) == pytest.approx(book.get(e, 0.0) - before.get(e, 0.0), abs=1e-9)
+
+
+def test_jobs_do_not_grow_with_the_steps(spark):
+    from tidemark.operators import pricing
+
+    def jobs(sessions):
+        df = spark.range(sessions * 4).select(F.lit(0).alias("fold"), F.expr("cast(id div 4 as int) AS t"), (F.col("id") % 4).alias("entity"), F.lit(1.0).alias("price"), (F.col("id") % 5 > 0).alias("tradable"), (F.col("id") % 7).cast("double").alias("score"))
+        context = spark.sparkContext
+        context.setJobGroup(f"steps-{sessions}", "")
+        pricing.fold_returns(df, 1, 1, 0.25).collect()
+        return len(context.statusTracker().getJobIdsForGroup(f"steps-{sessions}"))
+
+    assert jobs(40) <= jobs(8) + 2

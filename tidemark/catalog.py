@@ -462,10 +462,10 @@ def lookback_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fold, t, entity, price, tradable, score by supplier and month. A month without a sale carries the price and isn't tradable."""
+    """fold, t, entity, price, tradable, score by supplier and month. A month without a sale carries the price; it, and a month whose last line came back, isn't tradable."""
     lines = _table(spark, sf_dir, "lineitem")
     t = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("t")
-    seen = lines.groupBy(F.col("l_suppkey").alias("entity"), t).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("seen"), F.bool_or(F.col("l_returnflag") != "R").alias("open"))
+    seen = lines.groupBy(F.col("l_suppkey").alias("entity"), t).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("seen"), (F.max_by("l_returnflag", F.struct("l_shipdate", "l_orderkey", "l_linenumber")) != "R").alias("open"))
     last = seen.agg(F.max("t")).first()[0]
     if last is None:
         last = 0
@@ -476,10 +476,34 @@ def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
-@query()
+#: A walk from step to step: what can't be traded stays, and what else is wished shares what is left of its side's budget.
+_MONTHS = f"""seen AS (SELECT l_suppkey AS entity, (year(l_shipdate) * 12 + month(l_shipdate))::INT AS t, avg(l_extendedprice / l_quantity) AS seen, arg_max(l_returnflag, (l_shipdate, l_orderkey, l_linenumber)) <> 'R' AS open FROM lineitem GROUP BY 1, 2),
+last_ AS (SELECT max(t) AS last FROM seen), grid AS (SELECT entity, unnest(range(min(t), (SELECT last FROM last_) + 1))::INT AS t FROM seen GROUP BY entity),
+filled AS (SELECT entity, t, last_value(seen IGNORE NULLS) OVER (PARTITION BY entity ORDER BY t) AS price, seen IS NOT NULL AND open AS tradable FROM grid LEFT JOIN seen USING (entity, t)),
+market AS (SELECT ((last - t) // 24)::INT AS fold, t, entity, price, tradable, price / lag(price, 3) OVER (PARTITION BY entity ORDER BY t) - 1 AS score FROM filled, last_),
+sessions AS (SELECT fold, t, row_number() OVER (PARTITION BY fold ORDER BY t) - 1 AS o FROM (SELECT DISTINCT fold, t FROM market)),
+m AS (SELECT * FROM market JOIN sessions USING (fold, t)),
+may AS (SELECT fold, (o - 1) // 3 AS step, entity FROM m WHERE o >= 1 AND (o - 1) % 3 = 0 AND tradable),
+signals AS (SELECT fold, o // 3 AS step, entity, score FROM m WHERE o % 3 = 0 AND score IS NOT NULL AND NOT isnan(score)),
+placed AS (SELECT fold, step, entity, row_number() OVER (PARTITION BY fold, step ORDER BY score DESC, entity) AS place, count(*) OVER (PARTITION BY fold, step) AS names FROM signals JOIN may USING (fold, step, entity)),
+cut AS (SELECT *, least(greatest(1, floor(names * {QUANTILE})::INT), names // 2) AS k FROM placed),
+wish AS (SELECT fold, step, entity, CASE WHEN place <= k THEN 0.5 / k ELSE -0.5 / k END::DOUBLE AS base FROM cut WHERE place <= k OR place > names - k),
+walk AS (SELECT -1 AS step, fold, NULL::BIGINT AS entity, NULL::DOUBLE AS target FROM (SELECT DISTINCT fold FROM m)
+  UNION ALL (WITH carried AS (SELECT w.step + 1 AS step, w.fold, w.entity, w.target FROM walk w WHERE w.entity IS NOT NULL AND NOT EXISTS (SELECT 1 FROM may WHERE may.fold = w.fold AND may.step = w.step + 1 AND may.entity = w.entity)),
+    used AS (SELECT fold, sum(greatest(target, 0)) AS l, sum(greatest(-target, 0)) AS s FROM carried GROUP BY fold),
+    here AS (SELECT step + 1 AS step, fold FROM walk w WHERE entity IS NULL AND EXISTS (SELECT 1 FROM sessions x WHERE x.fold = w.fold AND x.o = 1 + 3 * (w.step + 1)))
+    SELECT carried.* FROM carried SEMI JOIN here USING (step, fold)
+    UNION ALL SELECT step, fold, entity, base * CASE WHEN base > 0 THEN (0.5 - coalesce(l, 0)) / 0.5 ELSE (0.5 - coalesce(s, 0)) / 0.5 END FROM wish JOIN here USING (step, fold) LEFT JOIN used USING (fold)
+    UNION ALL SELECT step, fold, NULL, NULL FROM here)),
+kept AS (SELECT fold, o, t, w.entity, target FROM walk w JOIN sessions USING (fold) WHERE o >= 1 AND (o - 1) // 3 = w.step AND w.entity IS NOT NULL),
+paid AS (SELECT k.fold, k.t, count(*)::INT AS held, sum(target * (now.price / before.price - 1)) AS gross FROM kept k JOIN m now ON now.fold = k.fold AND now.o = k.o AND now.entity = k.entity
+  JOIN m before ON before.fold = k.fold AND before.o = k.o - 1 AND before.entity = k.entity GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {_MONTHS} SELECT fold, t, coalesce(held, 0) AS held, round(coalesce(gross, 0), 8) AS gross FROM sessions LEFT JOIN paid USING (fold, t)")
 def fold_pricing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gross returns of long-short books with positions carried through months without a sale."""
-    return pricing.fold_returns(_months(spark, sf_dir), 3, 1, QUANTILE)
+    return pricing.fold_returns(_months(spark, sf_dir), 3, 1, QUANTILE).withColumn("gross", F.round("gross", 8))
 
 
 _TRIALS = len(LOOKBACKS)
