@@ -27,7 +27,7 @@ source: {type: csv, locator: data/*.csv}
 def test_declaration_from_yaml(spark, tmp_path):
     file = tmp_path / "d.yaml"
     file.write_text(GOOD)
-    d = load(spark, str(file))
+    d = load(str(file))
     assert (d.name, d.clock, d.mask, d.kind, d.locator, d.payload) == ("prices", "a", "ok", "csv", "data/*.csv", ("v",))
     assert [(str(u)[:10] if u else None, b) for _, u, b in d.segments] == [("2024-01-02", "reconstructed"), (None, "observed")]
     for old, new, message in (
@@ -37,14 +37,24 @@ def test_declaration_from_yaml(spark, tmp_path):
     ):
         file.write_text(GOOD.replace(old, new, 1))
         with pytest.raises(PlanError, match=message):
-            load(spark, str(file))
+            load(str(file))
     with pytest.raises(PlanError, match="no readable"):
-        load(spark, str(tmp_path / "none.yaml"))
+        load(str(tmp_path / "none.yaml"))
+    for old, new, message in (
+        ("dataset: prices", "dataset: ..", "dataset"), ("point_in_time: true", 'point_in_time: "false"', "true or false"), ("point_in_time: true", "vintage: 7", "true or false"), ("point_in_time: true", "survivorship_free: maybe", "survivorship_free"),
+        ("point_in_time: true", "point_in_time: on", "neither true nor false"), ("tradability_mask: ok", "tradability_mask: 3", "must be a text"), ("basis: observed", "basis: observed\n    source: x", "can't carry source"), ("source: vendor", "source: vendor\n    lag: P2D", "can't carry lag"),
+        ("source: {type", "provenance: {certified: true}\nsource: {type", "lineage_ref"), ("source: {type", "provenance: {lineage_ref: 'sha256:ab'}\nsource: {type", "SHA-256"), ("{v: float64}", "{v: 3}", "payload_schema"),
+    ):
+        file.write_text(GOOD.replace(old, new, 1))
+        with pytest.raises(PlanError, match=message):
+            load(str(file))
+    file.write_text(GOOD)
+    assert load(str(file)).digest == d.digest != load(str(file)).__class__(d.name, d.entity, d.event_time).digest
     whole = {"dataset": "x", "version": "1", "entity_key": "k", "event_time": "t", "available_time": "a", "source": {"type": "csv", "locator": "x"}}
-    assert declaration(spark, whole | {"availability_basis": {"basis": "assumed", "lag": "P2D", "rationale": "r"}}).degradations == ("NO_TRADABILITY_MASK", "AVAILABILITY_ASSUMED")
+    assert declaration(whole | {"availability_basis": {"basis": "assumed", "lag": "P2D", "rationale": "r"}}).degradations == ("NO_TRADABILITY_MASK", "AVAILABILITY_ASSUMED")
     for basis in ("assumed", {"basis": "assumed", "lag": "P0D", "rationale": "r"}, [], {"basis": "guessed"}):
         with pytest.raises(PlanError, match="CONFIG"):
-            declaration(spark, whole | {"availability_basis": basis})
+            declaration(whole | {"availability_basis": basis})
 
 
 def test_command_line(spark, tmp_path, capsys):

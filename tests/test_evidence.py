@@ -364,3 +364,43 @@ def test_jobs_do_not_grow_with_the_steps(spark):
         return len(context.statusTracker().getJobIdsForGroup(f"steps-{sessions}"))
 
     assert jobs(40) <= jobs(8) + 2
+
+
+def test_business_days_by_counting(spark):
+    from datetime import date, timedelta
+
+    from tidemark.functions.dates import add_business_days
+
+    def count(day, n):
+        step = 1 if n > 0 else -1
+        while n == 0 and day.weekday() > 4:
+            day -= timedelta(1)
+        for _ in range(abs(n)):
+            day += timedelta(step)
+            while day.weekday() > 4:
+                day += timedelta(step)
+        return day
+
+    rows = [(date(2024, 1, 1) + timedelta(i), n) for i in range(14) for n in range(-12, 13)]
+    got = spark.createDataFrame(rows, "d date, n int").select("d", "n", add_business_days(F.col("d"), F.col("n")).alias("due")).collect()
+    assert all(r["due"] == count(r["d"], r["n"]) for r in got)
+
+
+def test_block_folds(spark):
+    from tidemark.plans.folds import block_folds
+
+    made = lambda n: [tuple(r) for r in block_folds(spark.createDataFrame([(n,)], "n int"), 4, 30, 10).orderBy("fold").collect()]
+    assert made(131) == [(0, 30, 40, 51, 70), (1, 30, 60, 71, 90), (2, 30, 80, 91, 110), (3, 30, 100, 111, 130)]
+    assert made(31) == made(0) == []
+    with pytest.raises(PlanError, match="C2"):
+        block_folds(spark.range(1), 0, 30, 10)
+
+
+def test_written_tables_can_be_cleared(spark, tmp_path):
+    from tidemark import session
+
+    kept = session.written(spark.range(3), "test-table")
+    path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path)
+    session.clear_written(spark)
+    assert not os.path.exists(path)

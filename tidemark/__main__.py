@@ -31,7 +31,7 @@ def main(arguments: list[str], spark: SparkSession | None = None) -> int:
     spark = spark or session()
     try:
         read = registry.point if a.mode == "point" else registry.panel
-        rows = read(registry.Registry(a.root), spark, load(spark, a.declaration), a.as_of, a.columns.split(",") if a.columns else None)
+        rows = read(registry.Registry(a.root), spark, load(a.declaration), a.as_of, a.columns.split(",") if a.columns else None)
         if a.output == "preview":
             print("\n".join(r.json for r in rows.limit(a.rows).selectExpr("to_json(struct(*)) as json").collect()))
         elif a.output == "parquet":

@@ -72,3 +72,11 @@ def trailing_volatility(value: str, sessions: int = 60, least: int = 20) -> Colu
     n, s, q = F.count(value).over(w), F.sum(value).over(w), F.sum(F.col(value) * F.col(value)).over(w)
     var = q / n - (s / n) * (s / n)
     return F.when((F.col("t") >= sessions) & (n >= least) & (var > 0), F.sqrt(var))
+
+
+def full_sample_volatility(value: str, least: int = 20) -> Column:
+    """Population sd over all of the entity's values: a deliberate look into the future."""
+    w = Window.partitionBy("entity")
+    n, s, q = F.count(value).over(w), F.sum(value).over(w), F.sum(F.col(value) * F.col(value)).over(w)
+    var = q / n - (s / n) * (s / n)
+    return F.when((n >= least) & (var > 0), F.sqrt(var))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import hashlib
+import json
+from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
 
@@ -33,6 +35,12 @@ class Declaration:
         """What a row is filtered by: when it was available, or when it happened if that isn't declared."""
         return self.available_time or self.event_time
 
+    @property
+    def digest(self) -> str:
+        """The SHA-256 of what is declared, by which evidence names it: of a domain's name, a zero byte and JSON with its keys in order."""
+        said = {k: v for k, v in asdict(self).items() if k != "segments"} | {"segments": [[x.isoformat() if isinstance(x, datetime) else x for x in s] for s in self.segments]}
+        return hashlib.sha256(b"tidemark.declaration.v1\0" + json.dumps(said, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
     @property
     def degradations(self) -> tuple[str, ...]:
         found = [] if self.available_time else ["PIT_UNSAFE"]

@@ -56,3 +56,17 @@ def fitted_folds(sessions: DataFrame, train: int, oos: int, purge: int, embargo:
     rows = sessions.select(F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n") - train - gap) / oos).cast("int")))).alias("fold"), "n").where(train + gap + (k + 1) * oos <= F.col("n"))
     end = train + k * oos - 1
     return rows.select("fold", F.lit(0).alias("train_start"), end.alias("train_end"), (end + 1 + gap).alias("oos_start"), (end + gap + oos).alias("oos_end"))
+
+
+def block_folds(sessions: DataFrame, n_folds: int, warm_up: int, gap: int) -> DataFrame:
+    """n_folds folds of equal blocks at the end of a schedule (its number of sessions is the only column `n` of one row): block k out of sample, trained on what lies between the warm-up and a gap before it.
+
+    A block has floor((n - warm_up) / (n_folds + 1)) sessions; of a schedule too short for one, there are no folds.
+    """
+    if n_folds < 1 or warm_up < 0 or gap < 0:
+        raise PlanError("C2", "folds, a warm-up and a gap can't be below 0")
+    block, k = F.floor((F.col("n") - warm_up) / (n_folds + 1)).cast("int"), F.col("fold")
+    rows = sessions.select("n", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("fold"))
+    start = F.col("n").cast("int") - (n_folds - k) * F.col("block")
+    made = rows.select("fold", F.lit(warm_up).alias("train_start"), (start - gap - 1).alias("train_end"), start.alias("oos_start"), (start + F.col("block") - 1).alias("oos_end"), "block")
+    return made.where((F.col("block") > 0) & (F.col("train_end") >= warm_up)).drop("block")

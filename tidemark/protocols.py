@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from . import catalog as c
 from .catalog import SQL, query
-from .functions import finance, text
+from .functions import dates, finance, text
 from .operators import gates, joins, lineage, null, panel, portfolio, views
 from .plans.declaration import Declaration
+from .plans.folds import block_folds
 from .session import written
 
 _DECISIONS = f"""{c._FOLDS}, asked AS (SELECT fold, 'train' AS role, train_end AS decision, train_start AS hist_start FROM folds
@@ -192,8 +193,8 @@ UNION ALL SELECT 'trials', CASE WHEN greatest(n, {len(c.LOOKBACKS)}) <= {len(c.L
 UNION ALL SELECT 'deflated_sharpe', CASE WHEN n < {gates.LEAST_RETURNS} THEN 'unavailable' WHEN probability >= {gates.PROBABILITY['standard']} THEN 'passed' ELSE 'failed' END, round(probability, 5) FROM luck""")
 def eight_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All gates on the overlapping momentum book; its neighbours are the other lookbacks' books, held to their horizon, out of sample and net of costs."""
-    dates = c._table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("decision_time")).distinct()
-    calendar = dates.withColumn("t", (F.row_number().over(Window.orderBy("decision_time")) - 1).cast("int"))  # sessions are few
+    days = c._table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("decision_time")).distinct()
+    calendar = days.withColumn("t", (F.row_number().over(Window.orderBy("decision_time")) - 1).cast("int"))  # sessions are few
     rows = written(c._panel(spark, sf_dir), "gates-panel")
     held = c._held(spark, sf_dir, rows)
     daily = written(c._daily(held), "gates-days")
@@ -237,6 +238,47 @@ def business_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select("d", (F.row_number().over(Window.orderBy("d")) - 1).cast("int").alias("t"))
 
 
+@query("""WITH days AS (SELECT d, row_number() OVER (ORDER BY d) AS i FROM (SELECT unnest(generate_series(min(o_orderdate)::DATE - INTERVAL 90 DAY, max(o_orderdate)::DATE + INTERVAL 90 DAY, INTERVAL 1 DAY))::DATE AS d FROM orders) WHERE isodow(d) < 6),
+asked AS (SELECT o_orderkey, o_orderdate::DATE AS d, (o_orderkey % 41 - 20)::INT AS n FROM orders),
+based AS (SELECT o_orderkey, n, CASE WHEN n >= 0 THEN d - greatest(0, isodow(d) - 5)::INT ELSE d + CASE WHEN isodow(d) > 5 THEN 8 - isodow(d) ELSE 0 END::INT END AS d FROM asked)
+SELECT o_orderkey, n, b.d AS due FROM based JOIN days a USING (d) JOIN days b ON b.i = a.i + n""")
+def business_day_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days due so many business days after or before an order."""
+    n = (F.col("o_orderkey") % 41 - 20).cast("int")
+    return c._table(spark, sf_dir, "orders").select("o_orderkey", n.alias("n"), dates.add_business_days(F.col("o_orderdate").cast("date"), n).alias("due"))
+
+
+BLOCKS, WARM_UP, GAP = 4, 30, 10
+
+
+@query(f"""WITH n AS (SELECT count(DISTINCT l_shipdate) AS n FROM lineitem), b AS (SELECT n, (n - {WARM_UP}) // {BLOCKS + 1} AS block, unnest(range({BLOCKS})) AS fold FROM n)
+SELECT fold::INT AS fold, {WARM_UP} AS train_start, (n - ({BLOCKS} - fold) * block - {GAP} - 1)::INT AS train_end, (n - ({BLOCKS} - fold) * block)::INT AS oos_start, (n - ({BLOCKS} - fold - 1) * block - 1)::INT AS oos_end FROM b WHERE block > 0""")
+def block_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds by equal blocks at the end of the calendar."""
+    return block_folds(c._table(spark, sf_dir, "lineitem").agg(F.count_distinct("l_shipdate").alias("n")), BLOCKS, WARM_UP, GAP)
+
+
+VOL_SESSIONS, VOL_LEAST = 250, 20
+_ROW_SD = "CASE WHEN {n} >= %d AND {q} / {n} - ({s} / {n}) * ({s} / {n}) > 0 THEN sqrt({q} / {n} - ({s} / {n}) * ({s} / {n})) END" % VOL_LEAST
+
+
+@query(f"""WITH {c._signal_sql()}, r AS (SELECT entity, t, round(price / nullif(lag(price) OVER (PARTITION BY entity ORDER BY t), 0) - 1, 6) AS r FROM panel),
+sums AS (SELECT entity, t, count(r) OVER f AS n, sum(r) OVER f AS s, sum(r * r) OVER f AS q, count(r) OVER e AS n_all, sum(r) OVER e AS s_all, sum(r * r) OVER e AS q_all FROM r
+  WINDOW f AS (PARTITION BY entity ORDER BY t RANGE BETWEEN {VOL_SESSIONS - 1} PRECEDING AND CURRENT ROW), e AS (PARTITION BY entity)),
+vols AS (SELECT entity, t, round(CASE WHEN t >= {VOL_SESSIONS} THEN {_ROW_SD.format(n='n', s='s', q='q')} END, 6) AS of_past, round({_ROW_SD.format(n='n_all', s='s_all', q='q_all')}, 6) AS full_sample FROM sums),
+sized AS (SELECT entity, t, CASE WHEN of_past > 0 THEN sign(weight) * {portfolio.TARGET_VOLATILITY} / of_past END AS a, CASE WHEN full_sample > 0 THEN sign(weight) * {portfolio.TARGET_VOLATILITY} / full_sample END AS b FROM weights JOIN vols USING (entity, t))
+SELECT entity, t, round(a / sum(abs(a)) OVER (PARTITION BY t), 7) AS of_past, round(b / sum(abs(b)) OVER (PARTITION BY t), 7) AS full_sample FROM sized WHERE a IS NOT NULL OR b IS NOT NULL""")
+def return_sized_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books sized by the volatility of each name's own returns: of the last sessions, and of the whole sample (a deliberate look into the future)."""
+    rows = written(c._panel(spark, sf_dir), "sizes-panel")
+    w = Window.partitionBy("entity").orderBy("t")
+    r = rows.withColumn("r", F.round(F.when(F.lag("price").over(w) != 0, F.col("price") / F.lag("price").over(w) - 1), 6))
+    vols = r.select("entity", "t", F.round(panel.trailing_volatility("r", VOL_SESSIONS, VOL_LEAST), 6).alias("of_past"), F.round(panel.full_sample_volatility("r", VOL_LEAST), 6).alias("full_sample"))
+    book = c._weights(spark, sf_dir, rows).select("entity", "t", F.signum("weight").alias("side")).join(vols, ["entity", "t"])
+    forms = (portfolio.sized_by_volatility(book, form).select("entity", "t", F.round("weight", 7).alias(form)) for form in ("of_past", "full_sample"))
+    return next(forms).join(next(forms), ["entity", "t"], "full")
+
+
 LAST = 20
 
 

@@ -52,9 +52,23 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: What written() has written, by application, until clear_written() deletes it.
+_tables: dict[str, list[str]] = {}
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Deletes all tables that written() made for this application. Results that read them must have been taken by then."""
+    for path in _tables.pop(spark.sparkContext.applicationId, []):
+        delete(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read again: its lineage ends there and no lost executor takes it along."""
+    """df, written once to the shared folder and read again: its lineage ends there and no lost executor takes it along.
+
+    Results read such tables after this returns, so that they stay until clear_written() is called.
+    """
     path = fresh_folder(df.sparkSession, name)
+    _tables.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
