@@ -266,8 +266,8 @@ _ROW_SD = "CASE WHEN {n} >= %d AND {q} / {n} - ({s} / {n}) * ({s} / {n}) > 0 THE
 sums AS (SELECT entity, t, count(r) OVER f AS n, sum(r) OVER f AS s, sum(r * r) OVER f AS q, count(r) OVER e AS n_all, sum(r) OVER e AS s_all, sum(r * r) OVER e AS q_all FROM r
   WINDOW f AS (PARTITION BY entity ORDER BY t RANGE BETWEEN {VOL_SESSIONS - 1} PRECEDING AND CURRENT ROW), e AS (PARTITION BY entity)),
 vols AS (SELECT entity, t, round(CASE WHEN t >= {VOL_SESSIONS} THEN {_ROW_SD.format(n='n', s='s', q='q')} END, 6) AS of_past, round({_ROW_SD.format(n='n_all', s='s_all', q='q_all')}, 6) AS full_sample FROM sums),
-sized AS (SELECT entity, t, CASE WHEN of_past > 0 THEN sign(weight) * {portfolio.TARGET_VOLATILITY} / of_past END AS a, CASE WHEN full_sample > 0 THEN sign(weight) * {portfolio.TARGET_VOLATILITY} / full_sample END AS b FROM weights JOIN vols USING (entity, t))
-SELECT entity, t, round(a / sum(abs(a)) OVER (PARTITION BY t), 7) AS of_past, round(b / sum(abs(b)) OVER (PARTITION BY t), 7) AS full_sample FROM sized WHERE a IS NOT NULL OR b IS NOT NULL""")
+by_vol AS (SELECT entity, t, CASE WHEN of_past > 0 THEN sign(weight) * {portfolio.TARGET_VOLATILITY} / of_past END AS a, CASE WHEN full_sample > 0 THEN sign(weight) * {portfolio.TARGET_VOLATILITY} / full_sample END AS b FROM weights JOIN vols USING (entity, t))
+SELECT entity, t, round(a / sum(abs(a)) OVER (PARTITION BY t), 7) AS of_past, round(b / sum(abs(b)) OVER (PARTITION BY t), 7) AS full_sample FROM by_vol WHERE a IS NOT NULL OR b IS NOT NULL""")
 def return_sized_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books sized by the volatility of each name's own returns: of the last sessions, and of the whole sample (a deliberate look into the future)."""
     rows = written(c._panel(spark, sf_dir), "sizes-panel")
