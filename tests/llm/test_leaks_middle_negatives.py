@@ -3,15 +3,13 @@ import math
 import re
 from collections import defaultdict
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import fill_in_middle, hard_negatives, queries, winnowing
+from tidemark.llm import fill_in_middle, hard_negatives, winnowing
 from tidemark.llm.words import ALPHANUMERIC, BLOCK, NOT_SPACE, hashed
 
-SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -204,14 +202,3 @@ def test_bounds_hold_and_skip():
     scores = np.array([[5.0, 5, 9, 5, 1], [1, 1, 1, 1, 1]])
     row, score, ids = hard_negatives._best(scores, scores < 9, np.arange(1, 6), 2)
     assert sorted(zip(row.tolist(), score.tolist(), ids.tolist())) == [(0, 5, 1), (0, 5, 2), (1, 1, 1), (1, 1, 2)]
-
-
-@pytest.mark.parametrize("name", ["op11_decontamination", "op12_fill_in_middle", "op13_hard_negatives"])
-def test_query_is_as_its_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    df, got = queries.QUERIES[name](spark, SF), con.execute(queries.ORACLE_SQL[name])
-    names = [d[0] for d in got.description]
-    assert sorted(names) == sorted(df.columns)
-    assert sorted(map(repr, map(tuple, df.select(*names).collect()))) == sorted(map(repr, got.fetchall()))

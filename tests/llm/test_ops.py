@@ -415,7 +415,7 @@ def test_mix_comes_in_the_order_of_its_schedule(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_is_as_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, got = queries.QUERIES[name](spark, SF), con.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in got.description]
@@ -475,6 +475,19 @@ def test_columns_may_have_the_operators_names(odd, name):
         assert len(rows) == odd.count()
 
 
+@pytest.mark.parametrize("name", ["keep_good", "drop_near_duplicates", "mixed_documents", "language", "encode", "count"])
+def test_names_of_any_kind_and_nested_fields(odd, name):
+    docs = odd.select("doc_id", "text", "lang", "source", F.struct(F.lit(1).alias("a b"), F.lit("x").alias("c`d")).alias("st ruct"), F.lit("own").alias("back`tick"), F.lit(2).alias("do.t"))
+    run = {
+        "keep_good": quality.keep_good, "drop_near_duplicates": minmax_dedup.drop_near_duplicates, "mixed_documents": mixing.mixed_documents, "language": lambda d: lang_id.predict(d, lang_id.fit(d)),
+        "encode": word_bpe.encode, "count": prefix_counts.count_tokens,
+    }[name]
+    found = run(docs)
+    rows = found.collect()
+    assert found.columns[: len(docs.columns)] == docs.columns and (rows or name == "keep_good")  # the base rules reject all of them
+    assert all(r["back`tick"] == "own" and r["do.t"] == 2 and tuple(r["st ruct"]) == (1, "x") for r in rows)
+
+
 def test_text_of_20_megabytes():
     text = " ".join(f"word{i}" for i in range(1_800_000)) + "x" * 1_000_000
     assert len(text) > 20_000_000

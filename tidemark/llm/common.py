@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..session import Scratch, fresh_folder, shared_dir, ship_package, written
 
@@ -63,16 +65,21 @@ def counted(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("size"))
 
 
-def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """df.mapInArrow of a function from batch to batch."""
+def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow of a function from batch to batch. Columns whose names are more than letters, digits and _ (which mapInArrow may not read) have others meanwhile, if they come back in a schema by ddl()."""
     session_defaults(df.sparkSession)
+    odd = [c for c in df.columns if not re.fullmatch(r"\w+", c)]
+    meanwhile = dict(zip(odd, free(df, *(f"column_{i}" for i in range(len(odd)))), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield step(batch)
 
-    return df.mapInArrow(run, schema)
+    if not odd or isinstance(schema, str):
+        return df.mapInArrow(run, schema)
+    fields = [StructField(meanwhile.get(f.name, f.name), f.dataType, f.nullable) for f in schema.fields]
+    return df.toDF(*(meanwhile.get(c, c) for c in df.columns)).mapInArrow(run, StructType(fields)).toDF(*(f.name for f in schema.fields))
 
 
 def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
@@ -80,10 +87,14 @@ def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
 
 
-def ddl(df: DataFrame, more: str = "") -> str:
-    """The schema of df, and more columns after it, as DDL."""
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return f"{own}, {more}" if more else own
+def ddl(df: DataFrame, more: str) -> StructType:
+    """The schema of df, and more columns after it, as DDL says them."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
+def tick(name: str) -> str:
+    """A column's name as Spark reads it, whatever is in it."""
+    return f"`{name.replace('`', '``')}`"
 
 
 def free(df: DataFrame, *names: str) -> list[str]:
@@ -100,11 +111,11 @@ def free(df: DataFrame, *names: str) -> list[str]:
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without its columns of these names."""
     low = {x.lower() for x in names}
-    return df.select(*(f"`{c}`" for c in df.columns if c.lower() not in low))
+    return df.select(*(tick(c) for c in df.columns if c.lower() not in low))
 
 
 def quoted(df: DataFrame) -> list[str]:
-    return [f"`{c}`" for c in df.columns]
+    return [tick(c) for c in df.columns]
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

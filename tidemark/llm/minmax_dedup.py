@@ -19,7 +19,6 @@ meet each other, a large bucket is a grid of slices by slices. No task gets more
 from __future__ import annotations
 
 import hashlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import SLICE, Scratch, counted, ddl, free, frequent, map_batches, mix64, quoted, session_defaults, skew_join, texts, with_columns, written
 from .components import components
+from .words import NOT_SPACE, hashed
 
 SHINGLE, THRESHOLD = 5, 80
 #: Hash functions; each gives two values.
@@ -42,7 +42,6 @@ PARITY = [f"parity_{i}" for i in range(16)]
 
 _XOR = mix64(np.arange(FUNCTIONS) + 7000)
 _ODD = mix64(np.arange(FUNCTIONS) + 9000) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C55
 
 
 def rows_per_band(threshold: int, values: int = 2 * FUNCTIONS, miss: float = MISS) -> int:
@@ -51,27 +50,9 @@ def rows_per_band(threshold: int, values: int = 2 * FUNCTIONS, miss: float = MIS
     return max(r for r in range(1, values + 1) if r == 1 or (1 - t**r) ** (values // r) <= miss)
 
 
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of a fixed odd number and of its inverse, modulo 2**64; n is a power of two."""
-    inverse = pow(_BASE, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        return tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (_BASE, inverse))
-
-
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each word, in order; words are runs of characters other than ASCII white space, A-Z lower-cased."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.uint64)
-    inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    powers, inverse = _powers(1 << int(len(raw)).bit_length())
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[: len(raw)], out=sums[1:])
-        return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return hashed([text], NOT_SPACE)[0]
 
 
 def shingles(text: str, k: int) -> np.ndarray:
