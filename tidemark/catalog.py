@@ -388,14 +388,6 @@ def ridge_normal_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), *(F.round(F.sum(F.col(p[0]) * F.col(p[1]) if len(p) == 2 else F.col(p)), 3).alias(p) for p in pairs))
 
 
-@query("""SELECT event_type, bool_or(value > 150) AS any_failed, bool_or(value IS NULL) AS any_unavailable,
-  CASE WHEN bool_or(value > 150) THEN 'rejected' WHEN bool_or(value IS NULL) THEN 'degraded' ELSE 'accepted' END AS verdict FROM events GROUP BY event_type""")
-def gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failed, unavailable = F.bool_or(F.col("value") > 150), F.bool_or(F.col("value").isNull())
-    verdict = F.when(F.col("any_failed"), "rejected").when(F.col("any_unavailable"), "degraded").otherwise("accepted")
-    return _table(spark, sf_dir, "events").groupBy("event_type").agg(failed.alias("any_failed"), unavailable.alias("any_unavailable")).withColumn("verdict", verdict)
-
-
 @query("""SELECT o_custkey, o_orderdate, CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 'assumed' WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'reconstructed' ELSE 'observed' END AS basis, o_orderkey FROM orders""")
 def basis_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda d: F.lit(d).cast("timestamp_ntz")
@@ -568,6 +560,25 @@ def report_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.verdict(_report(spark, sf_dir), ("capacity", "cost"))
 
 
+#: A fold's gain is known once it has so many sessions with trades.
+LEAST_TRADED = 100
+
+
+@query(f"""WITH {_GATES}, x AS (SELECT fold, t, gross, round(coalesce(turnover, 0) * {BPS} / 1e4, 12) AS cost, coalesce(n_trades, 0) AS n_trades FROM oos LEFT JOIN costs USING (t)),
+f AS (SELECT fold, count(*) AS n, count(*) FILTER (n_trades > 0) AS traded, sum(gross) AS gain, coalesce(avg(gross - {gates.COST_MULTIPLE} * cost) / nullif(stddev_samp(gross - {gates.COST_MULTIPLE} * cost), 0), 0) AS s FROM x GROUP BY fold),
+g AS (SELECT fold, CASE WHEN n < {gates.LEAST_RETURNS} THEN 'unavailable' WHEN s > 0 THEN 'passed' ELSE 'failed' END AS cost, CASE WHEN traded < {LEAST_TRADED} THEN 'unavailable' WHEN gain > 0 THEN 'passed' ELSE 'failed' END AS gain FROM f)
+SELECT fold, CASE WHEN cost <> 'passed' OR gain = 'failed' THEN 'rejected' WHEN gain = 'unavailable' THEN 'degraded' ELSE 'accepted' END AS verdict FROM g""")
+def gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on each fold from two gates of its own: what it earns after doubled costs (required), and what it gains where it traded enough to tell."""
+    days = _by_fold(spark, sf_dir)
+    stressed = days.withColumn("stressed", F.col("gross") - gates.COST_MULTIPLE * F.col("cost"))
+    folds = stressed.groupBy("fold").agg(F.count("*").alias("n"), F.count_if(F.col("n_trades") > 0).alias("traded"), F.sum("gross").alias("gain"), finance.sharpe("stressed").alias("s"))
+    cost = F.when(F.col("n") < gates.LEAST_RETURNS, gates.UNAVAILABLE).when(F.col("s") > 0, gates.PASSED).otherwise(gates.FAILED)
+    gain = F.when(F.col("traded") < LEAST_TRADED, gates.UNAVAILABLE).when(F.col("gain") > 0, gates.PASSED).otherwise(gates.FAILED)
+    rows = folds.select("fold", F.explode(F.array(F.struct(F.lit("cost").alias("gate"), cost.alias("status")), F.struct(F.lit("gain").alias("gate"), gain.alias("status")))).alias("g")).select("fold", "g.*")
+    return gates.verdict(rows, ("cost",), ("fold",))
+
+
 @query(f"""WITH {_PANEL}, x AS (SELECT {_offset_sql(-20)} AS p20, {_offset_sql(5)} AS ahead, price FROM panel),
 f AS (SELECT round(price / p20 - 1, 6) AS b, round(ahead / price - 1, 6) AS y FROM x WHERE p20 > 0 AND ahead IS NOT NULL),
 s AS (SELECT count(*) AS n, sum(b) AS b, sum(y) AS y, sum(b * b) + 1 AS bb, sum(b * y) AS c FROM f)

@@ -106,10 +106,10 @@ def report(*gates: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, gates)
 
 
-def verdict(rows: DataFrame, required: tuple[str, ...]) -> DataFrame:
-    """One row `verdict`: rejected if a gate failed or a required one is unavailable or missing, degraded if another one is unavailable, else accepted."""
+def verdict(rows: DataFrame, required: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """One row `verdict` (or one for each of what `by` names): rejected if a gate failed or a required one is unavailable or missing, degraded if another one is unavailable, else accepted."""
     failed, unknown = F.col("status") == FAILED, F.col("status") == UNAVAILABLE
     needed = F.col("gate").isin(*required)
-    found = rows.agg(F.coalesce(F.bool_or(failed | (unknown & needed)), F.lit(False)).alias("bad"), F.coalesce(F.bool_or(unknown), F.lit(False)).alias("open"), F.collect_set(F.when(needed, F.col("gate"))).alias("seen"))
+    found = rows.groupBy(*by).agg(F.coalesce(F.bool_or(failed | (unknown & needed)), F.lit(False)).alias("bad"), F.coalesce(F.bool_or(unknown), F.lit(False)).alias("open"), F.collect_set(F.when(needed, F.col("gate"))).alias("seen"))
     rejected = F.col("bad") | (F.size("seen") < len(set(required)))
-    return found.select(F.when(rejected, "rejected").when(F.col("open"), "degraded").otherwise("accepted").alias("verdict"))
+    return found.select(*by, F.when(rejected, "rejected").when(F.col("open"), "degraded").otherwise("accepted").alias("verdict"))

@@ -184,7 +184,7 @@ CUTOFF, OWN = "1997-12-31", 20
 
 
 @query(f"""WITH {c._GATES}, boot AS ({SQL['bootstrap_pvalue']}), luck AS ({SQL['deflated_sharpe_probability']}), late AS (SELECT count(*) AS n, count(*) FILTER (d > TIMESTAMP '{CUTOFF}') AS after FROM oos JOIN calendar USING (t)),
-near AS (WITH {_CHOICE} SELECT lookback, {_NET_SHARPE} AS sharpe FROM oos GROUP BY lookback), others AS (SELECT count(*) AS n, avg((sharpe > 0)::INT) AS share FROM near WHERE lookback <> {OWN}), tried AS (SELECT count(*) AS n FROM near)
+near AS (WITH {_CHOICE} SELECT lookback, {_NET_SHARPE} AS sharpe FROM oos GROUP BY lookback), others AS (SELECT count(*) AS n, avg((sharpe > 0)::INT) AS share FROM near WHERE lookback <> {OWN}), picked AS (WITH {_CHOICE} SELECT count(DISTINCT lookback) AS n FROM choice), tried AS (SELECT (SELECT count(*) FROM near) + (SELECT n FROM picked) AS n)
 SELECT gate, status, round(observed, 5) AS observed FROM gates
 UNION ALL SELECT 'contamination', CASE WHEN n = 0 THEN 'unavailable' WHEN after >= {gates.LEAST_RETURNS} THEN 'passed' ELSE 'failed' END, after FROM late
 UNION ALL SELECT 'null', CASE WHEN p_value <= {gates.ALPHA} THEN 'passed' ELSE 'failed' END, round(p_value, 5) FROM boot
@@ -192,21 +192,25 @@ UNION ALL SELECT 'parameter', CASE WHEN n < {gates.LEAST_NEIGHBOURS} THEN 'unava
 UNION ALL SELECT 'trials', CASE WHEN greatest(n, {len(c.LOOKBACKS)}) <= {len(c.LOOKBACKS)} THEN 'passed' ELSE 'failed' END, greatest(n, {len(c.LOOKBACKS)}) FROM tried
 UNION ALL SELECT 'deflated_sharpe', CASE WHEN n < {gates.LEAST_RETURNS} THEN 'unavailable' WHEN probability >= {gates.PROBABILITY['standard']} THEN 'passed' ELSE 'failed' END, round(probability, 5) FROM luck""")
 def eight_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All gates on the overlapping momentum book; its neighbours are the other lookbacks' books, held to their horizon, out of sample and net of costs."""
+    """All gates on the overlapping momentum book; its neighbours are the other lookbacks' books, held to their horizon, out of sample and net of costs.
+
+    On record are those that were tried out of sample, and besides, as experiments of the family, those that some fold's training chose.
+    """
     days = c._table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("decision_time")).distinct()
     calendar = days.withColumn("t", (F.row_number().over(Window.orderBy("decision_time")) - 1).cast("int"))  # sessions are few
     rows = written(c._panel(spark, sf_dir), "gates-panel")
     held = c._held(spark, sf_dir, rows)
     daily = written(c._daily(held), "gates-days")
     returns = daily.join(F.broadcast(c._folds(spark, sf_dir)), F.col("t").between(F.col("oos_start"), F.col("oos_end")))
-    near = written(_choice(spark, sf_dir, rows)[1].groupBy(F.col("lookback").alias("lock")).agg(F.round(finance.sharpe("net"), 5).alias("sharpe")), "gates-neighbours")
+    choice, tried, _ = _choice(spark, sf_dir, rows)
+    near = written(tried.groupBy(F.col("lookback").alias("lock")).agg(F.round(finance.sharpe("net"), 5).alias("sharpe")), "gates-neighbours")
     series = c._series(daily)
     observed = series.agg((F.avg("r") / F.stddev_samp("r")).alias("sr")).first()["sr"]
     drawn = null.block_bootstrap(spark, series, c.REPLICATIONS, c.BLOCK, c.SEED).groupBy("replication").agg((F.avg("value") / F.stddev_samp("value")).alias("value"))
     ids = near.select(F.col("lock").alias("id"))
     found = gates.report(
         c._gates(held, returns), gates.contamination(returns.join(calendar, "t"), CUTOFF), gates.chance(drawn, observed), gates.neighbours(near, str(OWN)),
-        gates.trials(gates.trial_count(len(c.LOOKBACKS), ids, ids.limit(0)), len(c.LOOKBACKS)), gates.deflated(c._deflated(c._moments(daily))),
+        gates.trials(gates.trial_count(len(c.LOOKBACKS), ids, choice.select(F.col("lookback").alias("id"))), len(c.LOOKBACKS)), gates.deflated(c._deflated(c._moments(daily))),
     )
     return found.select("gate", "status", F.round("observed", 5).alias("observed"))
 
