@@ -205,6 +205,35 @@ def test_quality_measures_are_as_by_hand(spark):
     assert np.mean([r["kept"] == bool(r["quality"]) for r in rows]) > 0.95
 
 
+def test_quality_votes_where_fences_are():
+    lines = np.array([[100, 140]] * len(quality.RULES))
+    level = np.repeat(np.array([[-1], [100 - 121], [100 - 120], [100 - 60], [100], [140 + 60], [140 + 61], [140 + 121]]), len(quality.RULES), axis=1)
+    level[1] = np.maximum(level[1], 0)
+    sides = list(quality.SIDES.values())
+    got = quality.votes(level, lines).T
+    assert all((v[0], v[4]) == (quality.ABSTAIN, quality.GOOD) for v in got)
+    for v, side in zip(got, sides, strict=True):
+        assert (v[7] == quality.BAD) == (side != "low") and (v[6] == quality.ABSTAIN) == (side != "low") and v[5] == v[3] == quality.GOOD
+    close = quality.votes(np.array([[0] * len(sides), [61] * len(sides)]), np.zeros((len(sides), 2), int))
+    assert (close[0] == quality.GOOD).all() and [v == quality.BAD for v in close[1]] == [side != "low" for side in sides]
+    assert (quality.quartiles({}) == 0).all() and quality.quartiles({(0, 5): 1, (0, 7): 2, (0, 9): 1, (0, -1): 50})[0].tolist() == [5, 7]
+
+
+def test_quality_is_more_than_all_rules_passed(spark):
+    """Documents that one rule alone finds bad stay unless the corpus bears the rule out; labels measure only."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    corpus = quality.read_corpus(docs)
+    measured = quality._measures(docs, corpus, "doc_id").where("not base_failed").collect()
+    model = quality.fit(docs)
+    v = quality.votes(np.array([r["levels"] for r in measured]), model.lines)
+    p = np.array([model.posterior[k] for k in quality.pattern(v).tolist()])
+    strict = (v != quality.BAD).all(axis=1)
+    assert ((p >= 0.5) & ~strict).sum() >= 10
+    labels = {r["doc_id"]: bool(r["quality"]) for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    known = [(labels[r["doc_id"]], a >= 0.5, b) for r, a, b in zip(measured, p, strict, strict=True) if r["doc_id"] in labels]
+    assert np.mean([a == k for k, a, _ in known]) >= np.mean([b == k for k, _, b in known])
+
+
 def test_em_is_as_by_a_slow_version_and_knows_a_noisy_rule():
     rng = np.random.default_rng(5)
     good = rng.random(5000) < 0.9

@@ -1,6 +1,7 @@
 """The pipeline against slow versions of all its stages, one after the other."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter
 from functools import cache
@@ -9,15 +10,51 @@ import numpy as np
 
 import corpus_pipeline
 from tidemark.llm import lang_id, quality, vocab, word_bpe
+from tidemark.llm.words import NOT_SPACE, hashed
 
 SF = "/root/testdata/sf0.001"
 
 
+def slow_levels(docs, passed):
+    """The level of each rule for each document of passed, (document, measures), by the counts of all docs."""
+    bucket = lambda w: int(hashed([w], NOT_SPACE)[0][0]) >> 48
+    words, pairs, first = Counter(), Counter(), Counter()
+    for d in docs:
+        raw = (d["text"] or "").encode()
+        words.update(bucket(w.decode()) for w in raw.lower().split())
+        pairs.update(zip(raw, raw[1:]))
+        first.update(raw[:-1])
+    total, out = sum(words.values()), []
+    for d, m in passed:
+        raw, by = d["text"].encode(), dict(zip(quality.MEASURES, m, strict=True))
+        n, letters = by["n_words"], by["n_letters"] + by["n_loud"]
+        entropy = -sum(c / len(raw) * math.log2(c / len(raw)) for c in Counter(raw).values())
+        cost = sum(round(-100 * math.log2((pairs[p] + 1) / (first[p[0]] + 256))) for p in zip(raw, raw[1:])) / (len(raw) - 1)
+        rare = sum(words[bucket(w.decode())] * quality.BUCKETS < total for w in raw.lower().split())
+        found = [
+            1000 * by["n_letter_bytes"] / by["n_bytes"], 1000 * by["n_function"] / n, 1000 * rare / n, 100 * by["word_chars"] / n, 1000 * by["n_ended"] / n, 100 * by["n_kinds"] / n**0.8,
+            1000 * max(by["n_repeat_words"] / n, by["n_dup_lines"] / by["n_lines"]), 1000 * (by["n_upper"] + by["n_loud"]) / letters if letters else -1, 100 * entropy, cost, 100 * math.log2(1 + n / by["n_lines"]),
+        ]
+        out.append([min(math.floor(x), quality.LEVELS - 1) for x in found])
+    return out
+
+
+def slow_votes(docs, passed):
+    levels, out = slow_levels(docs, passed), [[] for _ in passed]
+    for r, side in enumerate(quality.SIDES.values()):
+        own = sorted(x[r] for x in levels if x[r] != quality.NONE)
+        q1, q3 = (own[math.ceil(k * len(own) / 4) - 1] for k in (1, 3)) if own else (0, 0)
+        for x, row in zip(levels, out, strict=True):
+            far = max(0, *([q1 - x[r]] if side != "high" else []), *([x[r] - q3] if side != "low" else [])) / max(q3 - q1, 20)
+            row.append(quality.ABSTAIN if x[r] == quality.NONE else quality.GOOD if far <= 1.5 else quality.BAD if far > 3 else quality.ABSTAIN)
+    return out
+
+
 def good_by_slow_em(docs):
     """Documents that pass the base rules and whose posterior, by EM over one document after the other, is 0.5 or more."""
     measured = [(d, quality.measure(d["text"] or "")) for d in docs]
     passed = [(d, m) for d, m in measured if m[0] >= 50 and 100 * m[4] <= 50 * m[0]]
-    votes = [quality.votes(np.array([m]))[0].tolist() for _, m in passed]
+    votes = slow_votes(docs, passed)
     right, share, post, n = [[x] * len(quality.RULES) for x in quality.START_RIGHT], quality.START_GOOD, [], len(quality.RULES)
     for _ in range(quality.ROUNDS):
         before, post = post, []
@@ -116,3 +153,11 @@ def test_pipeline_is_as_slow_stages_in_a_row(spark):
             want[d["doc_id"], tuple(library.encode(d["text"], add_special_tokens=False).ids)] += n
     got = Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == want
+
+
+def test_quality_is_as_by_slow_rules_and_em(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = [r.asDict() for r in table.collect()]
+    good = {d["doc_id"] for d in good_by_slow_em(docs)}
+    assert {r["doc_id"] for r in quality.assess(table).where("kept").collect()} == good
+    assert {r["doc_id"] for r in quality.keep_good(table).collect()} == good
