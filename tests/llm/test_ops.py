@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import lang_id, minmax_dedup, mixing, order_minhash, prefix_counts, pseudo_likelihood, quality, queries, sstable, vocab, warc, word_bpe
+from tidemark.llm import common, lang_id, minmax_dedup, mixing, order_minhash, prefix_counts, pseudo_likelihood, quality, queries, sstable, vocab, warc, word_bpe
 from tidemark.llm.common import fresh_folder
 from tidemark.llm.components import components
 
@@ -479,6 +479,22 @@ def test_parity_bitmaps_never_tell_sets_further_apart_than_they_are(own, other,
     assert apart <= own + other and (apart > 0) == (own + other > 0)
 
 
+@pytest.mark.parametrize("frequent", [10**9, 1])
+def test_revisits_are_the_same_when_payloads_are_dealt_to_slices(spark, monkeypatch, frequent):
+    """By slices (more than 3 rows of a payload) and, with FREQUENT so large that all are broadcast, without."""
+    monkeypatch.setattr(common, "SLICE", 3)
+    monkeypatch.setattr(warc, "FREQUENT", frequent)
+    body = lambda i: f"<p>{i}</p>" * 30
+    rows = [(i, f"u{i}", body("hot" if i % 3 else i % 10)) for i in range(1, 101)] + [(None, "x", body("hot")), (200, "y", "short"), (201, "z", "short"), (202, "n", None)]
+    firsts = {}
+    for i, _, h in rows:
+        if i is not None and len(h or "") >= 100:
+            firsts[h] = min(firsts.get(h, i), i)
+    want = sorted(((i, firsts[h] if h in firsts and firsts[h] != i else None) for i, _, h in rows), key=repr)
+    found = warc.read_bundles(warc.write_bundles(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4))).collect()
+    assert sorted(((r["page_id"], r["refers_to"]) for r in found), key=repr) == want
+
+
 CLASHES = ("target", "source_size", "taken", "n_tokens", "ids", "kept", "posterior", "dedup_node", "lang_pred", "score", "n_words", "lm_sum", "total", "row", "word", "mix_row", "mix_size", "mix_copy", "mix_position", "size", "node", "gone_id", "slice", "key")
 
 

@@ -50,7 +50,7 @@ def frequent(counts: DataFrame, scratch: Scratch) -> DataFrame | None:
     return scratch.written(counts.where(F.col("size") > bound).select("key", F.ceil(F.col("size") / SLICE).cast("int").alias("slices")), "dedup-frequent")
 
 
-def skew_join(rows: DataFrame, table: DataFrame, key: str, spread: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+def skew_join(rows: DataFrame, table: DataFrame, key: str, spread: str | Column, hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """rows joined with table (one row for each key) by key. Rows of a key in hot, as frequent() gives them, are dealt to its slices by spread, and the table's row is there for each slice."""
     if hot is None:
         return rows.join(table, key, how)

@@ -24,7 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh_folder, session_defaults, written
+from .common import Scratch, fresh_folder, session_defaults, skew_join, written
+from .common import frequent as hot_keys
 from .files import new_file, open_input, open_output
 
 #: Fixed values of the seekable format: magic of skippable frames (the first of 16 kinds and the seek table's), of its footer.
@@ -196,7 +197,9 @@ def write_bundles(pages: DataFrame) -> DataFrame:
     own = F.unhex(F.lpad(F.hex(F.xxhash64("page_id", "url")), 16, "0"))
     keyed = rows.join(F.broadcast(frequent), "digest", "left").withColumn("key", F.when(F.col("digest").isNotNull() & F.col("frequent").isNull(), F.col("digest")).otherwise(own))
     first = F.coalesce("frequent_first", "first")
-    joined = keyed.join(rest, "key", "left").select("page_id", "url", "html", F.when(first.isNotNull() & ~F.col("page_id").eqNullSafe(first), first).alias("refers_to"))
+    # a payload that is not frequent by that measure may still have more rows than a task should get: they are dealt to slices
+    counts = firsts.where(F.col("n") * FREQUENT <= total).select(F.col("digest").alias("key"), F.col("n").alias("size"))
+    joined = skew_join(keyed, rest, "key", F.struct("page_id", "url"), hot_keys(counts, scratch), "left").select("page_id", "url", "html", F.when(first.isNotNull() & ~F.col("page_id").eqNullSafe(first), first).alias("refers_to"))
     date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     folder = fresh_folder(spark, "warc")
 
