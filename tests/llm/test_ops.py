@@ -1,5 +1,6 @@
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -191,6 +192,22 @@ def test_fingerprint_feels_order():
     assert order_minhash.likeness(order_minhash.fingerprint(a), order_minhash.fingerprint(b)) < 0.6
 
 
+def test_long_texts_are_numbered_in_parts(monkeypatch):
+    rng = np.random.default_rng(8)
+    text = "".join(rng.choice(list("abcdé ☃"), 30_000)) + "abcabc" * 3000
+    whole = order_minhash.kmers(text)
+    for run in (1 << 10, 7001, len(text) - 6):
+        monkeypatch.setattr(order_minhash, "RUN", run)
+        assert all((x == y).all() for x, y in zip(order_minhash.kmers(text), whole, strict=True))
+    monkeypatch.undo()
+    long = text * 430
+    tracemalloc.start()
+    assert len(long) > 20_000_000 and order_minhash.fingerprint(long).any()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 700 << 20
+
+
 def test_quality_measures_are_as_by_hand(spark):
     for text in ["", "a b c", "a b c a b c x", "one two\none two\n\n three# |\none two", " ".join(WORDS * 5)]:
         words = text.split()

@@ -22,6 +22,8 @@ from .common import code_points, mix64, session_defaults, written
 K, L, SKETCHES = 6, 2, 32
 #: k-mers of one block of hashes, so that memory doesn't grow with the text.
 BLOCK = 1 << 15
+#: k-mers that are numbered in one go, about; longer texts go in parts.
+RUN = 1 << 20
 TASK_BYTES = 64 << 20
 _ODD = (mix64(np.arange(SKETCHES)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _MASK = (mix64(np.arange(SKETCHES) + 1000) >> np.uint64(32)).astype(np.uint32)
@@ -32,29 +34,41 @@ def kmers(text: str) -> tuple[np.ndarray, np.ndarray]:
 
     A text shorter than K is one k-mer; an empty one has none.
     """
-    points = code_points(text).astype(np.uint64)
+    points = code_points(text)
     k = min(K, len(points))
     n = len(points) - k + 1
     if not k:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    h, ids = np.empty(n, np.uint64), np.empty(n, np.uint32)
     with np.errstate(over="ignore"):
-        h = np.full(n, k, np.uint64)
-        for j in range(k):
-            h *= np.uint64(0x100000001B3)
-            h += points[j : j + n]
-        h = mix64(h)
-        # sort by hash, then place; a k-mer's number is its distance from the first of its kind
-        bits = np.uint64(max(1, n.bit_length()))
-        kind = h >> bits
-        key = (kind << bits) | np.arange(n, dtype=np.uint64)
-        key.sort()
-        first = np.ones(n, bool)
-        sorted_kind = key >> bits
-        first[1:] = sorted_kind[1:] != sorted_kind[:-1]
-        at = np.arange(n)
-        number = np.empty(n, np.uint64)
-        number[(key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)] = at - np.maximum.accumulate(np.where(first, at, 0))
-        return h, (mix64(h ^ (number * np.uint64(0xC2B2AE3D27D4EB4F))) >> np.uint64(32)).astype(np.uint32)
+        for a in range(0, n, RUN):
+            own = np.full(min(RUN, n - a), k, np.uint64)
+            for j in range(k):
+                own *= np.uint64(0x100000001B3)
+                own += points[a + j : a + j + len(own)]
+            h[a : a + len(own)] = mix64(own)
+        # k-mers of one kind have equal first bits, so that a long text is numbered in parts by these
+        split = (-(-n // RUN) - 1).bit_length()
+        top = (h >> np.uint64(48)).astype(np.uint16) if split else None
+        for part in range(1 << split):
+            _number(h, np.arange(n) if top is None else np.flatnonzero(top >> np.uint16(16 - split) == part), ids)
+    return h, ids
+
+
+def _number(h: np.ndarray, places: np.ndarray, ids: np.ndarray) -> None:
+    """Sets ids at the places (ascending; with a kind, all of its places) to the hashes of k-mers with their occurrence numbers."""
+    if not len(places):
+        return
+    # sort by hash, then place; a k-mer's number is its distance from the first of its kind
+    bits = np.uint64(max(1, len(h).bit_length()))
+    key = (h[places] >> bits << bits) | places.astype(np.uint64)
+    key.sort()
+    kind = key >> bits
+    first = np.r_[True, kind[1:] != kind[:-1]]
+    at = np.arange(len(key))
+    number = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
+    place = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    ids[place] = (mix64(h[place] ^ (number * np.uint64(0xC2B2AE3D27D4EB4F))) >> np.uint64(32)).astype(np.uint32)
 
 
 def fingerprint(text: str) -> np.ndarray:
