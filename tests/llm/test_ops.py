@@ -118,12 +118,8 @@ def test_shards_round_trip_and_look_up(spark, odd):
     assert all(s.get(12345) is None for s in shards)
 
 
-@pytest.mark.parametrize("k,threshold", [(3, 85), (5, 80)])
-def test_near_duplicates_are_as_by_brute_force(spark, k, threshold):
-    rng = np.random.default_rng(k)
-    base = [list(rng.choice(WORDS, 120)) for _ in range(6)]
-    rows = [(i, " ".join(w if rng.random() > e else f"w{rng.integers(1000)}" for w in base[i % 6])) for i, e in enumerate(rng.choice([0, 0.005, 0.01, 0.02, 0.03, 0.05], 150))]
-    rows += [(500, None), (501, ""), (502, "one two"), (503, "ONE  two"), (504, "two one"), (505, rows[0][1].upper())]
+def _components_by_hand(rows, k, threshold):
+    """(set size, component) of each doc_id, all pairs compared."""
     sets = {}
     for i, t in rows:
         w = (t or "").lower().split()
@@ -135,10 +131,59 @@ def test_near_duplicates_are_as_by_brute_force(spark, k, threshold):
             if a < b and sets[a] and sets[b] and 100 * c >= threshold * (len(sets[a]) + len(sets[b]) - c):
                 x, y = sorted((label[a], label[b]))
                 label = {i: x if v == y else v for i, v in label.items()}
+    return {i: (len(sets[i]), label[i]) for i in sets}
+
+
+@pytest.mark.parametrize("k,threshold", [(3, 85), (5, 80)])
+def test_near_duplicates_are_as_by_brute_force(spark, k, threshold):
+    rng = np.random.default_rng(k)
+    base = [list(rng.choice(WORDS, 120)) for _ in range(6)]
+    rows = [(i, " ".join(w if rng.random() > e else f"w{rng.integers(1000)}" for w in base[i % 6])) for i, e in enumerate(rng.choice([0, 0.005, 0.01, 0.02, 0.03, 0.05], 150))]
+    rows += [(500, None), (501, ""), (502, "one two"), (503, "ONE  two"), (504, "two one"), (505, rows[0][1].upper())]
+    want = _components_by_hand(rows, k, threshold)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = minmax_dedup.near_duplicates(docs, k, threshold).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(sets[i]), label[i], label[i] == i) for i in sets}
-    assert sorted(r["doc_id"] for r in minmax_dedup.drop_near_duplicates(docs, k, threshold).collect()) == sorted({*label.values()})
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (n, c, c == i) for i, (n, c) in want.items()}
+    assert sorted(r["doc_id"] for r in minmax_dedup.drop_near_duplicates(docs, k, threshold).collect()) == sorted({c for _, c in want.values()})
+
+
+def test_large_buckets_of_alike_but_unlinked_texts(spark, monkeypatch):
+    """Texts of one core and three of six passages each: nearly alike, but linked with their own edits only."""
+    monkeypatch.setattr(common, "SLICE", 8)
+    monkeypatch.setattr(minmax_dedup, "SLICE", 8)
+    called, rarest = [], minmax_dedup._rarest
+    monkeypatch.setattr(minmax_dedup, "_rarest", lambda *a: called.append(1) or rarest(*a))
+    rng = np.random.default_rng(8)
+    words = lambda name, n: [f"{name}{j}" for j in range(n)]
+    core = words("core", 100)
+    passages = [[words(f"p{slot}x{i}y", 13) for i in range(6)] for slot in range(3)]
+    picks = rng.permutation(216)[:80]
+    rows = [(i, core[:50] + passages[0][p % 6] + core[50:] + passages[1][p // 6 % 6] + passages[2][p // 36]) for i, p in enumerate(picks)]
+    for i, w in rows[:80:4]:  # edits of every fourth
+        at = int(rng.integers(len(w)))
+        rows.append((1000 + i, [*w[:at], "edit", *w[at + 1 :]]))
+    rows = [(i, " ".join(w)) for i, w in rows]
+    want = _components_by_hand(rows, 3, 85)
+    assert len({c for _, c in want.values()}) == 80
+    got = minmax_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()
+    assert called
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_sets_that_are_alike_share_one_of_their_rarest_shingles(spark):
+    rng = np.random.default_rng(4)
+    core = rng.choice(500, (12, 40))
+    sets = [set(rng.choice(core[i % 12], rng.integers(33, 40), replace=False).tolist()) | set(rng.integers(500, 5000, rng.integers(0, 6)).tolist()) for i in range(200)]
+    count = Counter(t for x in sets for t in x)
+    rows = [(str(i).encode(), len(x), sum(count[t] > 1 for t in x), t) for i, x in enumerate(sets) for t in x if count[t] > 1]
+    tokens = spark.createDataFrame(rows, "node binary, n bigint, most bigint, token int")
+    shared = spark.createDataFrame([(t, c) for t, c in count.items() if c > 1], "key int, size bigint")
+    found = {}
+    for r in minmax_dedup._rarest(tokens, shared, 80, common.Scratch(spark)).collect():
+        found.setdefault(int(bytes(r["node"])), set()).add(r["token"])
+    alike = [(i, j) for i in range(200) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(alike) > 20 and all(found[i] & found[j] for i, j in alike)
+    assert sum(map(len, found.values())) < len(rows) / 2
 
 
 def test_repeated_rows_leave_one(odd):

@@ -9,11 +9,12 @@ Candidates are never all pairs of a bucket. First each class is compared with on
 classes then form components. What is left are pairs of a bucket whose components differ. Of these, only those
 are compared that have enough in common by a bound: shingles that no other class of such a bucket has (an edit
 makes some) can't be in an intersection, and bits in which two sets' parity bitmaps differ are hashes that only one of
-them has. The bounds drop no pair that is similar enough.
+them has. In a bucket with many such classes only those meet that share one of their rarest shingles (a prefix
+filter): a pair that is similar enough always does. The bounds drop no pair that is similar enough.
 
 A bucket, a shingle or a class may hold any share of the rows. Wherever rows meet a table by such a key, the rows of
-a frequent key are dealt to slices and the table's row is repeated for each (skew_join); where the rows of a bucket
-meet each other, a large bucket is a grid of slices by slices. No task gets more than a few thousand rows of a key.
+a frequent key are dealt to slices and the table's row is repeated for each (skew_join); where more than a slice of
+rows of a bucket and a shingle meet each other, they are a grid of slices by slices. No task gets more than a few thousand rows of a key.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SLICE, Scratch, counted, ddl, free, frequent, map_batches, mix64, quoted, session_defaults, skew_join, texts, with_columns, written
@@ -169,7 +170,8 @@ def link_classes(docs: DataFrame, described: DataFrame, k: int, threshold: int,
     rows = keep(skew_join(rows, apart, "key", "node", hot), "dedup-apart")
     # what a class may have in common with any other one here: its shingles that another class here has too
     there = sets.join(rows.select("node").distinct(), "node", "left_semi")
-    tokens = keep(map_batches(there, _tokens, "node binary, token array<int>"), "dedup-tokens").select("node", F.explode("token").alias("token"))
+    short = keep(map_batches(there, _tokens, "node binary, token array<int>"), "dedup-tokens")
+    tokens = short.select("node", F.explode("token").alias("token"))
     common = keep(counted(tokens, "token").where("size > 1"), "dedup-common")
     most = skew_join(tokens, common.select(F.col("key").alias("token")), "token", "node", frequent(common, scratch)).groupBy("node").agg(F.count("*").alias("most"))
     rows = rows.join(most, "node").select("key", "node", "n", "label", F.least("most", "n").alias("most"))
@@ -187,11 +189,20 @@ def link_classes(docs: DataFrame, described: DataFrame, k: int, threshold: int,
     if more.limit(1).count():
         labels = keep(components(_as_links(labels).unionByName(more), scratch), "dedup-stars")
         rows = keep(rows.drop("label").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"), "most"), "dedup-open")
-    parts = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
-    tops = keep(parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top")).where("parts > 1").select("key", "size", F.col("top.label").alias("top")), "dedup-tops")
+    tops = keep(_tops(rows), "dedup-tops")
+    meet, places = skew_join(rows, tops, "key", "node", hot), tops
+    if tops.where(F.col("size") > SLICE).limit(1).count():
+        # in a large bucket only those meet that share one of their rarest shingles, as every pair that is similar enough does
+        wide = keep(skew_join(rows, tops.where(F.col("size") > SLICE).select("key"), "key", "node", hot), "dedup-wide")
+        theirs = short.join(wide.select("node", "n", "most").distinct(), "node").select("node", "n", "most", F.explode("token").alias("token"))
+        first = _rarest(theirs, common, threshold, scratch)
+        wide = keep(wide.join(first, "node").select(F.xxhash64("key", "token").alias("key"), "node", "n", "label", "most"), "dedup-wide")
+        places = keep(_tops(wide), "dedup-tops")
+        wide = skew_join(wide, places, "key", "node", frequent(places, scratch))
+        meet = meet.where(F.col("size") <= SLICE).unionByName(wide)
     maps = map_batches(sets.join(rows.select("node").distinct(), "node", "left_semi"), _parities, f"node binary, {', '.join(f'{c} bigint' for c in PARITY)}")
-    open_ = keep(skew_join(rows, tops, "key", "node", hot).join(maps, "node"), "dedup-open")
-    # a large bucket is a grid: each class is in one row of it and all columns on one side, and the other way round on the other side
+    open_ = keep(meet.join(maps, "node"), "dedup-open")
+    # where many meet nevertheless is a grid: each class is in one row of it and all columns on one side, and the other way round on the other side
     slices = F.ceil(F.col("size") / SLICE).cast("int")
     own, all_ = F.pmod(F.xxhash64("node"), slices).cast("int"), F.explode(F.sequence(F.lit(0), slices - 1))
     left = open_.where("label <> top").withColumn("row", own).withColumn("column", all_).drop("top", "size")
@@ -205,6 +216,24 @@ def link_classes(docs: DataFrame, described: DataFrame, k: int, threshold: int,
     return components(_as_links(labels).unionByName(more), scratch)
 
 
+def _tops(rows: DataFrame) -> DataFrame:
+    """Of each key with classes (key, node, label) of more than one label: the number of them, and the label that most have."""
+    parts = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
+    return parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top")).where("parts > 1").select("key", "size", F.col("top.label").alias("top"))
+
+
+def _rarest(tokens: DataFrame, common: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """(node, token): of each set's tokens (node, n, most, token), the rarest ones, of which two sets that are similar enough share one.
+
+    Such sets have at least threshold percent of either in common. In one order for all sets, a set's tokens without
+    the last ones, one fewer than that, hold the first one that they share. The order is by the number in common
+    (key, size), so that tokens which no other set has come first; these are not in tokens with a match.
+    """
+    ranked = skew_join(tokens, common.select(F.col("key").alias("token"), "size"), "token", "node", frequent(common, scratch))
+    turn = F.row_number().over(Window.partitionBy("node").orderBy("size", "token"))
+    return ranked.withColumn("turn", turn).where(f"turn <= most - ({threshold} * n + 99) div 100 + 1").select("node", "token").distinct()
+
+
 def _as_links(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
 
