@@ -43,6 +43,28 @@ def test_view_and_output(spark):
     assert views.view(rows.limit(0), asked).count() == 0
 
 
+def test_output_by_ranges_is_as_by_views(spark):
+    rows = spark.createDataFrame([(e, t, t % 3 > 0) for e in ("a", "b") for t in range(10)] + [("a", 1, True), ("a", 8, True)], "entity string, t int, tradable boolean")
+    asked = views.admissible(spark.createDataFrame([(0, "train", 5), (0, "out-of-sample", 8), (1, "out-of-sample", 8)], ASKED), spark.createDataFrame([(0, 0, 5, 6, 9), (1, 4, 6, 8, 9)], FOLDS))
+    seen = views.view(rows, asked)
+    output = seen.drop("tradable")
+    whole = sorted(map(tuple, views.admitted_by_range(output, rows, asked).select(*views.VIEW, "entity", "t").collect()))
+    assert whole == sorted(map(tuple, views.admitted(output, seen).select(*views.VIEW, "entity", "t").collect())) and len(whole) == 15
+    row = lambda *r: spark.createDataFrame([r], "fold int, role string, decision int, entity string, t int")
+    for code, more in {
+        "C1": row(0, "out-of-sample", 8, "a", 9),
+        "C2": row(2, "out-of-sample", 8, "a", 8),
+        # masked; before the history of this fold; more often than the rows have it; a name that isn't there; no name
+        "C4": [row(0, "out-of-sample", 8, "a", 6), row(1, "out-of-sample", 8, "a", 2), output.unionByName(output.where("entity = 'b' and t = 8")), row(0, "train", 5, "c", 1), row(0, "train", 5, None, 1)],
+    }.items():
+        for bad in more if isinstance(more, list) else [more]:
+            with pytest.raises(Exception, match=code):
+                views.admitted_by_range(bad, rows, asked).collect()
+    with pytest.raises(Exception, match="C4"):
+        views.admitted_by_range(output, rows.withColumn("tradable", F.lit(None).cast("boolean")), asked).collect()
+    assert views.admitted_by_range(output.limit(0), rows, asked).count() == 0
+
+
 def test_lineage(spark):
     at = lambda y: datetime(y, 1, 1, tzinfo=UTC)
     d = Declaration("x", "e", "ts", "known", segments=((at(2000), at(2010), "assumed"), (at(2010), None, "observed")))

@@ -81,3 +81,22 @@ def admitted(output: DataFrame, seen: DataFrame, entity: str = "entity") -> Data
     future, more = F.col("t") > F.col("decision"), F.col("n_output") > F.coalesce("n_supplied", F.lit(0))
     keep = F.when(future, _broken("C1", "output of the future")).when(more, _broken("C4", "output that the view didn't have"))
     return counted.where(keep.otherwise((F.col("role") == TRAIN) | (F.col("t") == F.col("decision")))).drop("n_output", "n_supplied")
+
+
+def admitted_by_range(output: DataFrame, rows: DataFrame, asked: DataFrame, entity: str = "entity", mask: str = "tradable") -> DataFrame:
+    """As admitted(), for output of the views of rows (entity, t, mask) at asked, which are not made for it.
+
+    How often a row may come is the same for every decision that sees its session, so that rows are counted once
+    by entity and session, and the decision's range says whether it sees it. One shuffle of the output by entity and
+    session serves this join and the count of its own rows. Output for a decision that isn't asked for is an error (C2).
+    """
+    if (n := asked.count()) > MAX_DECISIONS:
+        raise PlanError("C2", f"{n} decisions")
+    open_ = F.when(F.col(mask).isNull(), _broken("C4", "a mask is null")).otherwise(F.col(mask))
+    supplied = rows.where(open_).groupBy(entity, "t").agg(F.count("*").alias("n_supplied"))
+    ranged = output.join(F.broadcast(asked.select(*VIEW, "hist_start").distinct()), [*VIEW], "left").join(supplied, [entity, "t"], "left")
+    counted = ranged.withColumn("n_output", F.count("*").over(Window.partitionBy(*VIEW, entity, "t")))
+    t, seen = F.col("t"), F.when(F.col("t") >= F.col("hist_start"), F.col("n_supplied"))
+    keep = F.when(F.col("hist_start").isNull(), _broken("C2", "output of a decision that isn't asked for")).when(t > F.col("decision"), _broken("C1", "output of the future"))
+    keep = keep.when(F.col("n_output") > F.coalesce(seen, F.lit(0)), _broken("C4", "output that the view didn't have"))
+    return counted.where(keep.otherwise((F.col("role") == TRAIN) | (t == F.col("decision")))).select(*output.columns)

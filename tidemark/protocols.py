@@ -20,24 +20,26 @@ _DECISIONS = f"""{c._FOLDS}, asked AS (SELECT fold, 'train' AS role, train_end A
 _SEEN = f"""{c._PANEL}, {_DECISIONS}, seen AS (SELECT fold, role, decision, entity, t, price FROM asked JOIN panel ON t BETWEEN hist_start AND decision WHERE tradable)"""
 
 
-def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What may be seen at each fold's end of training and at its first decision out of sample."""
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fold's end of training and its first decision out of sample."""
     folds = c._folds(spark, sf_dir)
     first = folds.select("fold", F.lit(views.OUT_OF_SAMPLE).alias("role"), F.col("oos_start").alias("decision"))
     train = folds.select("fold", F.lit(views.TRAIN).alias("role"), F.col("train_end").alias("decision"))
-    return views.view(c._panel(spark, sf_dir), views.admissible(train.unionByName(first), folds)).select(*views.VIEW, "entity", "t", "price")
+    return views.admissible(train.unionByName(first), folds)
 
 
 @query(f"WITH {_SEEN} SELECT * FROM seen")
 def verification_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _seen(spark, sf_dir)
+    """What may be seen at each decision."""
+    return views.view(c._panel(spark, sf_dir), _asked(spark, sf_dir)).select(*views.VIEW, "entity", "t", "price")
 
 
 @query(f"WITH {_SEEN} SELECT fold, role, decision, entity, t FROM seen WHERE price > 10 AND (role = 'train' OR t = decision)")
 def admitted_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Output on the rows with a price above 10: training's counts whole, out of sample only what is said at the decision."""
-    seen = written(_seen(spark, sf_dir), "views-seen")
-    return views.admitted(seen.where("price > 10").drop("price"), seen).select(*views.VIEW, "entity", "t")
+    rows, asked = written(c._panel(spark, sf_dir).select("entity", "t", "price", "tradable"), "views-panel"), _asked(spark, sf_dir)
+    output = views.view(rows, asked).where("price > 10").select(*views.VIEW, "entity", "t")
+    return views.admitted_by_range(output, rows, asked).select(*views.VIEW, "entity", "t")
 
 
 _FACTOR = f"""{c._PANEL}, open AS (SELECT * FROM panel WHERE tradable AND price > 0),
