@@ -9,12 +9,12 @@ Candidates are never all pairs of a bucket. First each class is compared with on
 classes then form components. What is left are pairs of a bucket whose components differ. Of these, only those
 are compared that have enough in common by a bound: shingles that no other class of such a bucket has (an edit
 makes some) can't be in an intersection, and bits in which two sets' parity bitmaps differ are hashes that only one of
-them has. In a bucket with many such classes only those meet that share one of their rarest shingles (a prefix
-filter): a pair that is similar enough always does. The bounds drop no pair that is similar enough.
+them has. Of the classes of buckets with many such ones, only those meet that share one of their rarest
+shingles (a prefix filter): a pair that is similar enough always does. The bounds drop no pair that is similar enough.
 
 A bucket, a shingle or a class may hold any share of the rows. Wherever rows meet a table by such a key, the rows of
 a frequent key are dealt to slices and the table's row is repeated for each (skew_join); where more than a slice of
-rows of a bucket and a shingle meet each other, they are a grid of slices by slices. No task gets more than a few thousand rows of a key.
+rows of a bucket or a shingle meet each other, they are a grid of slices by slices. No task gets more than a few thousand rows of a key.
 """
 
 from __future__ import annotations
@@ -192,11 +192,12 @@ def link_classes(docs: DataFrame, described: DataFrame, k: int, threshold: int,
     tops = keep(_tops(rows), "dedup-tops")
     meet, places = skew_join(rows, tops, "key", "node", hot), tops
     if tops.where(F.col("size") > SLICE).limit(1).count():
-        # in a large bucket only those meet that share one of their rarest shingles, as every pair that is similar enough does
-        wide = keep(skew_join(rows, tops.where(F.col("size") > SLICE).select("key"), "key", "node", hot), "dedup-wide")
-        theirs = short.join(wide.select("node", "n", "most").distinct(), "node").select("node", "n", "most", F.explode("token").alias("token"))
-        first = _rarest(theirs, common, threshold, scratch)
-        wide = keep(wide.join(first, "node").select(F.xxhash64("key", "token").alias("key"), "node", "n", "label", "most"), "dedup-wide")
+        # of the classes of large buckets only those meet that share one of their rarest shingles, as every pair that
+        # is similar enough does; they meet by shingle and not by bucket too, so that a pair of many buckets meets no more often
+        large = tops.where(F.col("size") > SLICE).select("key")
+        wide = keep(skew_join(rows, large, "key", "node", hot).select("node", "n", "label", "most").distinct(), "dedup-wide")
+        theirs = short.join(wide, "node").select("node", "n", "label", "most", F.explode("token").alias("token"))
+        wide = keep(_rarest(theirs, common, threshold, scratch).withColumnRenamed("token", "key"), "dedup-wide")
         places = keep(_tops(wide), "dedup-tops")
         wide = skew_join(wide, places, "key", "node", frequent(places, scratch))
         meet = meet.where(F.col("size") <= SLICE).unionByName(wide)
@@ -223,7 +224,7 @@ def _tops(rows: DataFrame) -> DataFrame:
 
 
 def _rarest(tokens: DataFrame, common: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
-    """(node, token): of each set's tokens (node, n, most, token), the rarest ones, of which two sets that are similar enough share one.
+    """Of each set's tokens (node, n, most, token; more columns may be there), the rarest ones, of which two sets that are similar enough share one.
 
     Such sets have at least threshold percent of either in common. In one order for all sets, a set's tokens without
     the last ones, one fewer than that, hold the first one that they share. The order is by the number in common
@@ -231,7 +232,7 @@ def _rarest(tokens: DataFrame, common: DataFrame, threshold: int, scratch: Scrat
     """
     ranked = skew_join(tokens, common.select(F.col("key").alias("token"), "size"), "token", "node", frequent(common, scratch))
     turn = F.row_number().over(Window.partitionBy("node").orderBy("size", "token"))
-    return ranked.withColumn("turn", turn).where(f"turn <= most - ({threshold} * n + 99) div 100 + 1").select("node", "token").distinct()
+    return ranked.withColumn("turn", turn).where(f"turn <= most - ({threshold} * n + 99) div 100 + 1").select(*tokens.columns).distinct()
 
 
 def _as_links(labels: DataFrame) -> DataFrame:
