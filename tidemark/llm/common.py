@@ -65,16 +65,20 @@ def counted(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("size"))
 
 
-def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """df.mapInArrow of a function from batch to batch. Columns whose names are more than letters, digits and _ (which mapInArrow may not read) have others meanwhile, if they come back in a schema by ddl()."""
+def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, end: Callable[[], None] | None = None) -> DataFrame:
+    """df.mapInArrow of a function from batch to batch; end is called when a task has no more of them, as its worker lives on. Columns whose names are more than letters, digits and _ (which mapInArrow may not read) have others meanwhile, if they come back in a schema by ddl()."""
     session_defaults(df.sparkSession)
     odd = [c for c in df.columns if not re.fullmatch(r"\w+", c)]
     meanwhile = dict(zip(odd, free(df, *(f"column_{i}" for i in range(len(odd)))), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    yield step(batch)
+        finally:
+            if end:
+                end()
 
     if not odd or isinstance(schema, str):
         return df.mapInArrow(run, schema)

@@ -6,11 +6,12 @@ is the sum of its trigrams' vectors; a language's prototype is the sum over the
 prediction is the language whose prototype has the largest cosine with the text's vector.
 
 Letters are Unicode letters in lower case; every run of other characters counts as one space, and a text has a
-space at either end.
+space at either end. Texts are taken in blocks of characters, so that memory doesn't grow with a batch or a text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -25,6 +26,8 @@ UNKNOWN = "und"
 MAX_LANGUAGES = 10_000
 #: Documents of one matrix product, and trigrams of one block of it.
 DOCS, TRIGRAMS = 128, 4096
+#: Characters of a block; each takes about 100 bytes while its trigrams are counted.
+BLOCK = 1 << 19
 
 
 @cache
@@ -60,7 +63,11 @@ def trigram_counts(docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
     Empty texts, and texts with no letter, have none.
     """
-    parts = [code_points(f" {x.lower()} ") for x in docs]
+    return _counted([f" {x.lower()} " for x in docs])
+
+
+def _counted(spaced: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    parts = [code_points(x) for x in spaced]
     doc = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
     points = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
     letter = _letters()[points]
@@ -98,6 +105,48 @@ def bundle(group: np.ndarray, kind: np.ndarray, count: np.ndarray, rows: np.ndar
     return out
 
 
+def _last_two(text: str) -> str:
+    """The last two characters of a text whose runs of other characters than letters are one space each."""
+    out = ""
+    for c in reversed(text):
+        c = c if c.isalpha() else " "
+        if c != " " or out[:1] != " ":
+            out = c + out
+        if len(out) == 2:
+            break
+    return out
+
+
+def _blocks(docs: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """The texts in lower case and in pieces of BLOCK characters, about as many together, with their numbers. A piece begins with what the trigrams across its start need of the one before."""
+    numbers, pieces, size = [], [], 0
+    for i, x in enumerate(docs):
+        text, before = f" {x.lower()} ", ""
+        for a in range(0, len(text), BLOCK):
+            piece = before + text[a : a + BLOCK]
+            if pieces and size + len(piece) > BLOCK:
+                yield numbers, pieces
+                numbers, pieces, size = [], [], 0
+            numbers.append(i)
+            pieces.append(piece)
+            size += len(piece)
+            if a + BLOCK < len(text):
+                before = _last_two(piece)
+    if pieces:
+        yield numbers, pieces
+
+
+def profiles(docs: list[str], group: np.ndarray, groups: int, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
+    """For each group, the sum of the vectors of its texts; and whether they have any trigram. group has the number of each text's group."""
+    out, known = np.zeros((groups, dimensions)), np.zeros(groups, bool)
+    for numbers, pieces in _blocks(docs):
+        doc, kind, count, rows = _counted(pieces)
+        own, at = np.unique(group[numbers], return_inverse=True)
+        out[own] += bundle(at[doc], kind, count, rows, len(own), dimensions)
+        known[own[at[doc]]] = True
+    return out, known
+
+
 def fit(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """Prototypes of all languages of docs (columns doc_id, text, lang).
 
@@ -115,8 +164,7 @@ def fit(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
             langs = batch.column("lang").to_pylist()
             names = sorted(set(langs))
             at = np.array([names.index(x) for x in langs])
-            doc, kind, count, rows = trigram_counts(texts(batch))
-            for name, row in zip(names, bundle(at[doc], kind, count, rows, len(names), dimensions), strict=True):
+            for name, row in zip(names, profiles(texts(batch), at, len(names), dimensions)[0], strict=True):
                 total[name] = total.get(name, 0) + row
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([np.rint(x).astype(np.int64).tolist() for x in total.values()], pa.list_(pa.int64()))], names=["lang", "v"])
@@ -141,11 +189,9 @@ def predict_texts(docs: list[str], prototypes: dict[str, np.ndarray]) -> tuple[l
     matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
     for start in range(0, len(docs), DOCS):
         part = docs[start : start + DOCS]
-        doc, kind, count, rows = trigram_counts(part)
-        vectors = bundle(doc, kind, count, rows, len(part), matrix.shape[1])
+        vectors, known = profiles(part, np.arange(len(part)), len(part), matrix.shape[1])
         cosines = np.round(vectors @ matrix.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12), 9)
         best = cosines.argmax(axis=1)
-        known = np.bincount(doc, minlength=len(part)) > 0
         for i in np.flatnonzero(known):
             lang[start + i], score[start + i] = names[best[i]], min(1.0, max(0.0, cosines[i, best[i]]))
     return lang, score

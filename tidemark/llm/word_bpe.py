@@ -113,13 +113,17 @@ class WordBpe:
             self.known[run] = " ".join([str(i) for w in parts for i in own[w]])
             self.held += len(run)
 
+    def forget(self) -> None:
+        """Empties the table."""
+        self.known.clear()
+        self.held = 0
+
     def encode(self, docs: list[str]) -> list[str]:
         """For each text, its decimal ids, joined by one space."""
         parts = [[x] if not any(s in x for s in self.special) else self.split_special.split(x) for x in docs]
         runs = [[p if k % 2 else self._runs(p) for k, p in enumerate(x)] for x in parts]
         if len(self.known) > TABLE or self.held > TABLE_CHARS:
-            self.known.clear()
-            self.held = 0
+            self.forget()
         new = set().union(*(r for x in runs for r in x[::2])).difference(self.known)
         if new:
             self._learn(list(new))
@@ -164,6 +168,7 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, digests: bool = True, ou
 
     Null text is empty: no tokens, digests of the empty text. Rows with equal texts get equal results. The decoded
     text is decoded from the ids that the text was encoded to. Columns of docs with one of the new names are replaced.
+    The table of a worker is emptied at the end of each task: Spark keeps the worker for what comes next.
     """
     new = ("n_tokens", *("ids_sha256", "decoded_sha256") * digests, *("ids", "decoded") * outputs)
     kinds = {"n_tokens": "bigint", "ids": "array<int>"}
@@ -181,4 +186,4 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, digests: bool = True, ou
             more |= {"ids": pa.array([ids_of(x) for x in ids], pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
         return with_columns(batch, **more)
 
-    return map_batches(docs, step, ddl(docs, ", ".join(f"{x} {kinds.get(x, 'string')}" for x in new)))
+    return map_batches(docs, step, ddl(docs, ", ".join(f"{x} {kinds.get(x, 'string')}" for x in new)), lambda: word_bpe(public_tokenizers.path(tokenizer)).forget())
