@@ -26,6 +26,8 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 #: Rows of a key that stay together; and how many keys may have more, at most: with more rows in all, a key has to have its share of them.
 SLICE, HOT_KEYS = 1000, 100_000
+#: Rows of a table that is broadcast for a join (of less than 100 bytes each); beyond that, both sides are shuffled.
+FEW_ROWS = 250_000
 
 
 def session_defaults(spark: SparkSession) -> None:
@@ -50,8 +52,10 @@ def frequent(counts: DataFrame, scratch: Scratch) -> DataFrame | None:
     return scratch.written(counts.where(F.col("size") > bound).select("key", F.ceil(F.col("size") / SLICE).cast("int").alias("slices")), "dedup-frequent")
 
 
-def skew_join(rows: DataFrame, table: DataFrame, key: str, spread: str | Column, hot: DataFrame | None, how: str = "inner") -> DataFrame:
-    """rows joined with table (one row for each key) by key. Rows of a key in hot, as frequent() gives them, are dealt to its slices by spread, and the table's row is there for each slice."""
+def skew_join(rows: DataFrame, table: DataFrame, key: str, spread: str | Column, hot: DataFrame | None, how: str = "inner", few: bool = False) -> DataFrame:
+    """rows joined with table (one row for each key) by key. Rows of a key in hot, as frequent() gives them, are dealt to its slices by spread, and the table's row is there for each slice. few says that the table has FEW_ROWS at most: then it is broadcast, the rows stay where they are, and hot may be None."""
+    if few:
+        return rows.join(F.broadcast(table), key, how)
     if hot is None:
         return rows.join(table, key, how)
     hot = F.broadcast(hot.withColumnRenamed("key", key))  # fewer than HOT_KEYS rows

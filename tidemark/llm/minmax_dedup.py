@@ -13,7 +13,7 @@ them has. Of the classes of buckets with many such ones, only those meet that sh
 shingles (a prefix filter): a pair that is similar enough always does. The bounds drop no pair that is similar enough.
 
 A bucket, a shingle or a class may hold any share of the rows. Wherever rows meet a table by such a key, the rows of
-a frequent key are dealt to slices and the table's row is repeated for each (skew_join); where more than a slice of
+a frequent key are dealt to slices and the table's row is repeated for each, or stay where they are if the table has so few rows that it is broadcast (skew_join); where more than a slice of
 rows of a bucket or a shingle meet each other, they are a grid of slices by slices. No task gets more than a few thousand rows of a key.
 """
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE, Scratch, counted, ddl, free, frequent, map_batches, mix64, quoted, session_defaults, skew_join, texts, with_columns, written
+from .common import FEW_ROWS, SLICE, Scratch, counted, ddl, free, frequent, map_batches, mix64, quoted, session_defaults, skew_join, texts, with_columns, written
 from .components import components
 from .words import NOT_SPACE, hashed
 
@@ -105,9 +105,9 @@ def _describe(docs: DataFrame, k: int, rows: int) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), step, "doc_id bigint, n bigint, node binary, keys array<bigint>")
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """df (a written table), to be broadcast if its rows (a long and a digest) are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _few(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df (a written table), to be broadcast if it has so many rows at most: BROADCAST_ROWS (each a digest, and a long maybe), if not given."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -123,17 +123,20 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 sets.append(own.tobytes())
         return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "own"])
 
-    rows = docs.select("doc_id", "text").join(_few(wanted.where("doc_id is not null")), "doc_id").select("node", "text")
+    rows = map_batches(docs.select("doc_id", "text").join(_few(wanted.where("doc_id is not null")), "doc_id").select("node", "text"), step, "node binary, own binary")
+    if not wanted.where("doc_id is null").limit(1).count():
+        return rows.dropDuplicates(["node"])
     # of classes without any doc_id, the sets of all documents without one
     lost = docs.where("doc_id is null").select(F.lit(None).cast("binary").alias("node"), "text")
     nameless = map_batches(lost, step, "node binary, own binary").join(wanted.where("doc_id is null").select("node"), "node", "left_semi")
-    return map_batches(rows, step, "node binary, own binary").unionByName(nameless).dropDuplicates(["node"])
+    return rows.unionByName(nameless).dropDuplicates(["node"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
     """Those pairs (u, v) whose full sets are similar enough. A class that is in many pairs has its set in each slice of them."""
     first, second = (frequent(counted(pairs, c), scratch) for c in ("u", "v"))
-    both = skew_join(pairs, sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u", "v", first)
+    own = sets.select(F.col("node").alias("u"), F.col("own").alias("a"))
+    both = own.join(F.broadcast(pairs), "u") if first is None and pairs.count() <= FEW_ROWS else skew_join(pairs, own, "u", "v", first)
     both = skew_join(both, sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v", "u", second).select("u", "v", "a", "b")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -147,61 +150,68 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch)
     return scratch.written(map_batches(both, step, "u binary, v binary"), "dedup-links")
 
 
-def link_classes(docs: DataFrame, described: DataFrame, k: int, threshold: int, scratch: Scratch) -> DataFrame:
-    """(node, label) for all classes that are linked with another one; described is what _describe() gives for docs."""
+def _classes(described: DataFrame) -> DataFrame:
+    """(node, doc_id, size, n, keys) of the classes of what _describe() gives; doc_id is the smallest, size the number of documents."""
+    return described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+
+
+def link_classes(docs: DataFrame, classes: DataFrame, k: int, threshold: int, scratch: Scratch) -> DataFrame:
+    """(node, label) for all classes that are linked with another one; classes is what _classes() gives for docs, written."""
     keep = scratch.written
-    classes = described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    classes = keep(classes, "dedup-classes")
-    bands = classes.select(F.explode("keys").alias("key"), "node", "n")
+    bands = classes.select(F.explode("keys").alias("key"), "node", "n", "doc_id")
     # of each bucket, one class that all others are compared with; buckets of one class end here
     anchors = bands.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node").alias("turn"), "node", "n")).alias("anchor")).where("size > 1")
     anchors = keep(anchors.select("key", "size", F.col("anchor.node").alias("other"), F.col("anchor.n").alias("other_n")), "dedup-anchors")
-    hot = frequent(anchors.select("key", "size"), scratch)
+    # what is found for each bucket has as many rows at most
+    few = anchors.count() <= FEW_ROWS
+    hot = None if few else frequent(anchors.select("key", "size"), scratch)
     near = F.expr(f"100 * least(n, other_n) >= {threshold} * greatest(n, other_n)")
-    shared = keep(skew_join(bands, anchors.drop("size"), "key", "node", hot), "dedup-buckets")
+    shared = keep(skew_join(bands, anchors.drop("size"), "key", "node", hot, few=few), "dedup-buckets")
     ordered = [F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")]
     pairs = keep(shared.where(near & (F.col("node") != F.col("other"))).select(*ordered).distinct(), "dedup-pairs")
     buckets = shared.select("key", "node", "n")
-    members = keep(buckets.select("node").distinct().join(classes.select("node", "doc_id"), "node"), "dedup-members")
+    members = keep(shared.select("node", "doc_id").distinct(), "dedup-members")
     sets = keep(_sets(docs, members, k), "dedup-sets")
     labels = keep(components(_linked(pairs, sets, threshold, scratch), scratch), "dedup-stars")
-    rows = keep(buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")), "dedup-rows")
+    rows = keep(buckets.join(_few(labels, FEW_ROWS), "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")), "dedup-rows")
     apart = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    rows = keep(skew_join(rows, apart, "key", "node", hot), "dedup-apart")
+    rows = keep(skew_join(rows, apart, "key", "node", hot, few=few), "dedup-apart")
     # what a class may have in common with any other one here: its shingles that another class here has too
-    there = sets.join(rows.select("node").distinct(), "node", "left_semi")
+    there = sets.join(_few(keep(rows.select("node").distinct(), "dedup-nodes")), "node", "left_semi")
     short = keep(map_batches(there, _tokens, "node binary, token array<int>"), "dedup-tokens")
     tokens = short.select("node", F.explode("token").alias("token"))
     common = keep(counted(tokens, "token").where("size > 1"), "dedup-common")
-    most = skew_join(tokens, common.select(F.col("key").alias("token")), "token", "node", frequent(common, scratch)).groupBy("node").agg(F.count("*").alias("most"))
+    several = common.count() <= BROADCAST_ROWS
+    most = skew_join(tokens, common.select(F.col("key").alias("token")), "token", "node", None if several else frequent(common, scratch), few=several).groupBy("node").agg(F.count("*").alias("most"))
     rows = rows.join(most, "node").select("key", "node", "n", "label", F.least("most", "n").alias("most"))
     # a class that can't be similar enough to one of the shortest of its bucket, or of the best length, is done there
     bounds = rows.groupBy("key").agg(F.min("n").alias("shortest"))
-    rows = skew_join(rows, bounds, "key", "node", hot).withColumn("best", F.greatest("most", "shortest")).where(f"100 * most >= {threshold} * (n + best - most)").select("key", "node", "n", "label", "most")
+    rows = skew_join(rows, bounds, "key", "node", hot, few=few).withColumn("best", F.greatest("most", "shortest")).where(f"100 * most >= {threshold} * (n + best - most)").select("key", "node", "n", "label", "most")
     rows = keep(rows, "dedup-open")
     # then with the class of the bucket that has the least of its own, as the middle of a group does
     middle = rows.groupBy("key").agg(F.max(F.struct((F.col("most") / F.col("n")).alias("share"), "node", "n", "most", "label")).alias("m")).select("key", *(F.col(f"m.{c}").alias(f"other_{c}") for c in ("node", "n", "label", "most")))
     both_most = F.expr(f"100 * least(most, other_most) >= {threshold} * (n + other_n - least(most, other_most))")
     unlike = near & (F.col("label") != F.col("other_label")) & both_most
     pair = [F.least("node", "other_node").alias("u"), F.greatest("node", "other_node").alias("v")]
-    second = keep(skew_join(rows, middle, "key", "node", hot).where(unlike).select(*pair).distinct().join(pairs, ["u", "v"], "left_anti"), "dedup-pairs")
+    second = keep(skew_join(rows, middle, "key", "node", hot, few=few).where(unlike).select(*pair).distinct().join(_few(pairs, FEW_ROWS), ["u", "v"], "left_anti"), "dedup-pairs")
     more = _linked(second, sets, threshold, scratch)
     if more.limit(1).count():
         labels = keep(components(_as_links(labels).unionByName(more), scratch), "dedup-stars")
-        rows = keep(rows.drop("label").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"), "most"), "dedup-open")
+        rows = keep(rows.drop("label").join(_few(labels, FEW_ROWS), "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"), "most"), "dedup-open")
     tops = keep(_tops(rows), "dedup-tops")
-    meet, places = skew_join(rows, tops, "key", "node", hot), tops
+    meet = skew_join(rows, tops, "key", "node", hot, few=few)
     if tops.where(F.col("size") > SLICE).limit(1).count():
         # of the classes of large buckets only those meet that share one of their rarest shingles, as every pair that
         # is similar enough does; they meet by shingle and not by bucket too, so that a pair of many buckets meets no more often
         large = tops.where(F.col("size") > SLICE).select("key")
-        wide = keep(skew_join(rows, large, "key", "node", hot).select("node", "n", "label", "most").distinct(), "dedup-wide")
+        wide = keep(skew_join(rows, large, "key", "node", hot, few=few).select("node", "n", "label", "most").distinct(), "dedup-wide")
         theirs = short.join(wide, "node").select("node", "n", "label", "most", F.explode("token").alias("token"))
         wide = keep(_rarest(theirs, common, threshold, scratch).withColumnRenamed("token", "key"), "dedup-wide")
         places = keep(_tops(wide), "dedup-tops")
-        wide = skew_join(wide, places, "key", "node", frequent(places, scratch))
+        many = places.count() > FEW_ROWS
+        wide = skew_join(wide, places, "key", "node", frequent(places, scratch) if many else None, few=not many)
         meet = meet.where(F.col("size") <= SLICE).unionByName(wide)
-    maps = map_batches(sets.join(rows.select("node").distinct(), "node", "left_semi"), _parities, f"node binary, {', '.join(f'{c} bigint' for c in PARITY)}")
+    maps = map_batches(sets.join(_few(keep(rows.select("node").distinct(), "dedup-nodes")), "node", "left_semi"), _parities, f"node binary, {', '.join(f'{c} bigint' for c in PARITY)}")
     open_ = keep(meet.join(maps, "node"), "dedup-open")
     # where many meet nevertheless is a grid: each class is in one row of it and all columns on one side, and the other way round on the other side
     slices = F.ceil(F.col("size") / SLICE).cast("int")
@@ -210,7 +220,7 @@ def link_classes(docs: DataFrame, described: DataFrame, k: int, threshold: int,
     others = open_.withColumn("column", own).withColumn("row", all_).select("key", "row", "column", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "label", "most", "top", *PARITY)))
     once = (F.col("other_label") == F.col("other_top")) | (F.col("node") < F.col("other_node"))
     found = left.join(others, ["key", "row", "column"]).where(unlike & once & _near_parity(threshold))
-    fresh = found.select(*pair).distinct().join(pairs.unionByName(second), ["u", "v"], "left_anti")
+    fresh = found.select(*pair).distinct().join(_few(pairs, FEW_ROWS), ["u", "v"], "left_anti").join(_few(second, FEW_ROWS), ["u", "v"], "left_anti")
     more = _linked(keep(fresh, "dedup-pairs"), sets, threshold, scratch)
     if not more.limit(1).count():
         return labels
@@ -230,7 +240,8 @@ def _rarest(tokens: DataFrame, common: DataFrame, threshold: int, scratch: Scrat
     the last ones, one fewer than that, hold the first one that they share. The order is by the number in common
     (key, size), so that tokens which no other set has come first; these are not in tokens with a match.
     """
-    ranked = skew_join(tokens, common.select(F.col("key").alias("token"), "size"), "token", "node", frequent(common, scratch))
+    few = common.count() <= BROADCAST_ROWS
+    ranked = skew_join(tokens, common.select(F.col("key").alias("token"), "size"), "token", "node", None if few else frequent(common, scratch), few=few)
     turn = F.row_number().over(Window.partitionBy("node").orderBy("size", "token"))
     return ranked.withColumn("turn", turn).where(f"turn <= most - ({threshold} * n + 99) div 100 + 1").select(*tokens.columns).distinct()
 
@@ -278,10 +289,10 @@ def _components(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     described = scratch.written(_describe(docs, k, rows_per_band(threshold)), "dedup-documents")
-    labels = scratch.written(link_classes(docs, described, k, threshold, scratch), "dedup-labels")
+    classes = scratch.written(_classes(described), "dedup-classes")
+    labels = scratch.written(link_classes(docs, classes, k, threshold, scratch), "dedup-labels")
     slim = described.select("doc_id", "n", "node")
-    classes = scratch.written(slim.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")), "dedup-classes")
-    named = classes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
+    named = classes.join(_few(labels, FEW_ROWS), "node", "left").select("node", F.col("doc_id").alias("first"), F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("rep"))
     by_node = named.join(least, "label").select("node", F.col("rep.first").alias("component_id"), F.col("rep.node").alias("rep_node"))
     # a class may hold any share of the rows
