@@ -20,16 +20,17 @@ averaged with their words as weights. Averages are taken of whole numbers, so th
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, free, map_batches, quoted, session_defaults, texts, with_columns, without, written
+from .common import ddl, free, map_batches, quoted, session_defaults, with_columns, without, written
 
 SIDE, BAG = 1, 8
 #: Groups of leaves and hidden units at least, and words that are listed for each task at most.
@@ -37,8 +38,6 @@ GROUPS, HIDDEN, VOCABULARY = 24, 16, 50_000
 #: Words of a step, of a shard, and of a task that walks shards, about.
 STEP, SHARD_WORDS, TASK_WORDS = 4096, 1_000_000, 64_000_000
 RATE, SMALL = 0.1, 1e-7
-#: Words, and bytes of them, that a worker keeps numbers of.
-SEEN, SEEN_BYTES = 400_000, 64 << 20
 #: Fixed-point scale of weights that are averaged.
 SCALE = 1 << 20
 
@@ -48,6 +47,17 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def split(text: pa.StringArray) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The same words of all texts in a row, made by Arrow, and where each text's begin (with the end of the last). Null is empty."""
+    cut = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(text, ""))))
+    words, sizes = cut.flatten(), pc.list_value_length(cut).to_numpy()
+    there = pc.greater(pc.binary_length(words), 0)  # a text without words has one of no bytes
+    if not pc.all(there).as_py():
+        ends = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])[np.cumsum(sizes)]
+        return words.filter(there).cast(pa.binary()), np.concatenate([[0], ends])
+    return words.cast(pa.binary()), np.concatenate([[0], np.cumsum(sizes)])
+
+
 def n_groups_for(kinds: int) -> int:
     """Groups for a corpus of so many different words; there are as many leaves in each. Half of all leaves are frequent words."""
     return max(GROUPS, round(kinds**0.2))
@@ -71,26 +81,29 @@ class Lexicon:
     n_own: int
     groups: int
 
-    number: dict[bytes, int] | None = None
-    table: list[np.ndarray] | None = None
-    n_bytes: int = 0
-
     @property
     def n_leaves(self) -> int:
         return self.groups * self.groups
 
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The words' leaves and log-probabilities, and whether they lack their count. Words met before are found by number; the table of them starts anew when it is full."""
-        if self.number is None or len(self.number) > SEEN or self.n_bytes > SEEN_BYTES:
-            self.number, self.n_bytes = {w: i for i, w in enumerate(self.known)}, 0
-            self.table = [np.array(x) for x in zip(*self.known.values(), strict=True)] if self.known else [np.zeros(0, np.int64), np.zeros(0)]
-        new = list(set(words).difference(self.number))
-        self.n_bytes += sum(map(len, new))
-        leaves = np.array([shared_leaf(w, self.n_own, self.n_leaves) for w in new], np.int64)
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-        self.table = [np.concatenate(x) for x in zip(self.table, (leaves, self.other[leaves]), strict=True)]
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        return self.table[0][at], self.table[1][at], at >= len(self.known)
+    @cached_property
+    def listed(self) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
+        """The listed words, and their leaves and log-probabilities."""
+        leaves, logs = zip(*self.known.values(), strict=True) if self.known else ((), ())
+        return pa.array(list(self.known), pa.binary()), np.array(leaves, np.int64), np.array(logs, np.float64)
+
+    def look_up(self, words: list[bytes] | pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' leaves and log-probabilities, and whether they lack their count: those do that aren't listed, whose leaf is looked up once for each ending."""
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+        kinds, own, own_logs = self.listed
+        at = pc.index_in(words, value_set=kinds)
+        lack = at.is_null().to_numpy(zero_copy_only=False)
+        leaves, logs = np.zeros(len(words), np.int64), np.zeros(len(words))
+        found = pc.drop_null(at).to_numpy()
+        leaves[~lack], logs[~lack] = own[found], own_logs[found]
+        ends = pc.binary_slice(words.filter(pa.array(lack)), -3).dictionary_encode()
+        shared = np.array([shared_leaf(w, self.n_own, self.n_leaves) for w in ends.dictionary.to_pylist()], np.int64)[ends.indices.to_numpy()]
+        leaves[lack], logs[lack] = shared, self.other[shared]
+        return leaves, logs, lack
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -99,11 +112,9 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def counts(batches):
         for batch in batches:
-            total: Counter[bytes] = Counter()
-            for text in texts(batch):
-                total.update(words_of(text))
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+            total = split(batch.column("text"))[0].value_counts()
+            if len(total):
+                yield pa.RecordBatch.from_arrays([total.field("values"), total.field("counts")], names=["word", "n"])
 
     return docs.select("text").mapInArrow(counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -145,14 +156,12 @@ def encoded(docs: DataFrame, lexicon: Lexicon, leaves: str, total: str, lacking:
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # VOCABULARY words at most
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        split = [words_of(x) for x in texts(batch)]
-        ends = np.cumsum([0, *map(len, split)])
-        words = [w for x in split for w in x]
+        words, ends = split(batch.column("text"))
         at, logs, lack = shared.value.look_up(words)
         short = at.astype("<u2")
         sums = np.add.reduceat(np.append(logs, 0.0), ends[:-1]) * (np.diff(ends) > 0)
         missing = np.concatenate([[0], np.cumsum(lack)])[ends]
-        rest = pa.ListArray.from_arrays(pa.array(missing, pa.int32()), pa.array([words[i] for i in np.flatnonzero(lack)], pa.binary()))
+        rest = pa.ListArray.from_arrays(pa.array(missing, pa.int32()), words.take(pa.array(np.flatnonzero(lack))))
         cells = [short[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
         return with_columns(batch.drop_columns(["text"]), **{leaves: pa.array(cells, pa.binary()), total: pa.array(sums), lacking: rest})
 
